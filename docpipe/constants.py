@@ -140,9 +140,9 @@ MOVE_CLAUSE_PATTERN = r"When you ([^,]+)(?:,|:)"      # -> "When you **X**,"
 ROLL_PATTERN = r"roll\+(\w+)"                          # -> "roll+**X**"
 STAT_WORDS = ["cool", "hard", "hot", "sharp", "weird", "Hx"]   # whole word, any case -> "**X**"
 
-# Python's str.strip() removes exactly the characters for which str.isspace() is true.
-# Written so that both Java regex (Spark) and RE2 (the SQL oracle) read it the same way.
-PY_WHITESPACE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Python's str.strip() removes exactly the characters for which str.isspace() is true; the
+# set is built from that rule (all such characters lie below U+3001).
+PY_WHITESPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 # Job identifiers and output names.
 JOB_TS_FORMAT = "yyyyMMdd_HHmmss"

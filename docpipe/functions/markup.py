@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docpipe.functions.text import STRIP_RE, col_
+from docpipe.functions.text import col_, py_strip
 
 # (pattern, replacement); ``$1`` is the first group. White space is spelled out as a class
 # because ``\s`` differs between the two regex engines (vertical tab).
@@ -51,4 +51,4 @@ def markup_to_markdown(html: Column | str) -> Column:
     out = col_(html)
     for pattern, replacement in MARKUP_RULES:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.regexp_replace(out, STRIP_RE, "")
+    return py_strip(out)

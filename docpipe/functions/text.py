@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docpipe.constants import PY_WHITESPACE
+from docpipe.constants import PY_WHITESPACE_CHARS
 
 _REGEX_META = set("\\.^$|?*+()[]{}")
 
@@ -28,7 +28,8 @@ def alternation(literals: Iterable[str]) -> str:
     return "(?:" + "|".join(regex_escape(s) for s in literals) + ")"
 
 
-WS_CLASS = "[" + PY_WHITESPACE + "]"
+# The same set as a regex class, spelled so that Java regex and RE2 both read it.
+WS_CLASS = "[" + "".join("\\x{%X}" % ord(ch) for ch in PY_WHITESPACE_CHARS) + "]"
 STRIP_RE = r"\A" + WS_CLASS + "+|" + WS_CLASS + r"+\z"
 BLANK_RE = r"\A" + WS_CLASS + r"*\z"
 
@@ -38,18 +39,19 @@ def col_(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: Spark's ``trim`` only removes blanks."""
-    return F.regexp_replace(col_(c), STRIP_RE, "")
+    """Python ``str.strip()``: ``btrim`` with the exact white-space set (Spark's ``trim``
+    removes blanks only). Touches only the two ends of the string."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:
     """True when the text is empty after ``py_strip``."""
-    return col_(c).rlike(BLANK_RE)
+    return py_strip(c) == ""
 
 
 def stripped_equals(c: Column | str, literal: str) -> Column:
-    """``strip(c) == literal`` as one anchored regex (no intermediate string)."""
-    return col_(c).rlike(r"\A" + WS_CLASS + "*" + regex_escape(literal) + WS_CLASS + r"*\z")
+    """``strip(c) == literal``; the cheap ``contains`` test runs first."""
+    return col_(c).contains(literal) & (py_strip(c) == literal)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
