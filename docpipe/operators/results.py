@@ -2,12 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.constants import PREVIEW_CHARS
+from docpipe.constants import DATA_URI_PREFIX, JOB_TS_FORMAT, PREVIEW_CHARS
+from docpipe.operators.jobs import base_name, stem
 
 
 def preview(text: Column) -> Column:
     """First 500 characters followed by ``...``."""
     return F.concat(F.substring(text, 1, PREVIEW_CHARS), F.lit("..."))
+
+
+def job_id(run_ts: Column, path: Column) -> Column:
+    """``job_{yyyyMMdd_HHmmss}_{stem}`` (second resolution, as the ledger names jobs)."""
+    return F.concat_ws("_", F.lit("job"), F.date_format(run_ts, JOB_TS_FORMAT), stem(path))
+
+
+def job_ids(files: DataFrame, run_ts: Column) -> DataFrame:
+    """Job id, file names and output names per document.
+
+    ``files``: doc_id, path. Outputs ``{stem}_{job}.md`` / ``{stem}_{job}_metadata.json``,
+    and for a run that failed unexpectedly ``job_{ts}_{stem}_error`` with
+    ``{stem}_error_{id}_metadata.json``.
+    """
+    p = F.col("path")
+    jid = job_id(run_ts, p)
+    err = F.concat(jid, F.lit("_error"))
+    return files.select(
+        "doc_id", base_name(p).alias("source_name"), stem(p).alias("stem"), jid.alias("job_id"),
+        F.concat(stem(p), F.lit("_"), jid, F.lit(".md")).alias("output_markdown"),
+        F.concat(stem(p), F.lit("_"), jid, F.lit("_metadata.json")).alias("output_metadata"),
+        err.alias("error_job_id"),
+        F.concat(stem(p), F.lit("_error_"), err, F.lit("_metadata.json")).alias("error_metadata"))
+
+
+def approach_output_name(stem_col: Column, approach: Column, jid: Column) -> Column:
+    return F.concat(stem_col, F.lit("_"), approach, F.lit("_"), jid, F.lit(".md"))
+
+
+def encode_document(files: DataFrame, content_col: str = "content", path_col: str = "path") -> DataFrame:
+    """Base64 data URI of the document bytes plus its file name (S4).
+
+    Spark's ``base64`` wraps lines with CRLF every 76 characters; a data URI must not.
+    """
+    b64 = F.replace(F.base64(F.col(content_col)), F.lit("\r\n"), F.lit(""))
+    return files.select("doc_id", base_name(F.col(path_col)).alias("document_name"),
+                        F.concat(F.lit(DATA_URI_PREFIX), b64).alias("document_url"))
+
+
+def approach_summary(responses: DataFrame) -> DataFrame:
+    """Per document over its approach runs: totals, successful and failed approach names.
+
+    The name lists are bounded by the catalogue size (8-9 entries).
+    """
+    ok = F.col("status") == "success"
+    agg = responses.groupBy("doc_id").agg(
+        F.count("*").alias("total_approaches"),
+        F.count_if(ok).alias("successful"),
+        F.array_sort(F.collect_list(F.when(ok, F.struct("approach_no", "approach")))).alias("_ok"),
+        F.array_sort(F.collect_list(F.when(~ok, F.struct("approach_no", "approach")))).alias("_bad"))
+    return agg.select(
+        "doc_id", "total_approaches", "successful",
+        (F.col("total_approaches") - F.col("successful")).alias("failed"),
+        F.transform("_ok", lambda a: a["approach"]).alias("successful_approaches"),
+        F.transform("_bad", lambda a: a["approach"]).alias("failed_approaches"),
+        (F.col("successful") == 0).alias("all_failed"))
+
+
+def run_metadata(ids: DataFrame, routed: DataFrame, reduction: DataFrame, results: DataFrame,
+                 requests: DataFrame, processing_date: Column) -> DataFrame:
+    """The metadata record of each conversion run, success or failure (S10).
+
+    ``ids``: job_ids(); ``routed``: optimize_routing() output; ``reduction``:
+    size_reduction(); ``results``: doc_id, status, markdown, error, model, processing_time
+    (the conversion time), optimization_time; ``requests``: doc_id, page_ranges. All inputs
+    are one row per document, joined on ``doc_id``.
+    """
+    j = (ids.join(routed.select("doc_id", "route", "total_images"), "doc_id", "left")
+         .join(reduction.select("doc_id", F.col("size_reduction").alias("_reduction"),
+                                F.col("status").alias("_opt_status")), "doc_id", "left")
+         .join(results.select("doc_id", "status", "markdown", "error", "model",
+                              F.col("processing_time").alias("ocr_time"), "optimization_time"), "doc_id", "left")
+         .join(requests.select("doc_id", "page_ranges"), "doc_id", "left"))
+    performed = F.coalesce(F.col("route") != "skipped", F.lit(False))
+    ok = F.col("status") == "success"
+    opt_time = F.when(performed, F.coalesce(F.col("optimization_time"), F.lit(0.0))).otherwise(F.lit(0.0))
+    ocr_time = F.coalesce(F.col("ocr_time"), F.lit(0.0))
+    return j.select(
+        "doc_id", "job_id",
+        F.col("source_name").alias("source_pdf"),
+        F.col("output_markdown"),
+        F.date_format(processing_date, "yyyy-MM-dd'T'HH:mm:ss").alias("processing_date"),
+        F.coalesce(F.when(F.col("page_ranges") != "", F.col("page_ranges")), F.lit("all")).alias("pages_processed"),
+        performed.alias("optimization_performed"),
+        # A failed rewrite has no reduction figure: shown as N/A instead of failing the record.
+        F.when(performed, F.coalesce(F.col("_reduction"), F.lit("N/A"))).otherwise(F.lit("N/A")).alias("size_reduction"),
+        F.when(F.col("route") == "remove_images", F.col("total_images")).otherwise(F.lit(0).cast("bigint"))
+        .alias("images_removed"),
+        opt_time.alias("optimization_seconds"),
+        ocr_time.alias("ocr_seconds"),
+        (opt_time + ocr_time).alias("total_seconds"),
+        F.coalesce(F.col("model"), F.lit("unknown")).alias("model"),
+        F.coalesce(F.col("status"), F.lit("error")).alias("status"),
+        F.when(ok, F.length("markdown")).otherwise(F.lit(0)).alias("markdown_length"),
+        F.when(~ok, F.col("error")).alias("error"),
+    )
+
+
+def timing_summary(metadata: DataFrame) -> DataFrame:
+    """Optimisation / conversion / total seconds per status and optimisation decision."""
+    return metadata.groupBy("status", "optimization_performed").agg(
+        F.count("*").alias("runs"),
+        F.sum("optimization_seconds").alias("optimization_seconds"),
+        F.sum("ocr_seconds").alias("ocr_seconds"),
+        F.sum("total_seconds").alias("total_seconds"))

@@ -505,3 +505,193 @@ def q_retry_routing(spark: SparkSession, d: str) -> DataFrame:
     routed = JB.retry_routing(ev, fallback_enabled=F.col("event_id") % 3 != 2)
     return routed.select("event_id", "job_id", "error_type", "error", "page_ranges", "retriable",
                          "next_route", "final_stage")
+
+
+# ---------------------------------------------------------------------------------------
+# Encoding, job ids, prompt fan-out, conversion and run metadata
+# ---------------------------------------------------------------------------------------
+
+@query("encode_document", with_fixtures("""
+SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS document_name,
+       'data:application/pdf;base64,' || to_base64(encode(text)) AS document_url
+FROM documents"""))
+def q_encode_document(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.results import encode_document
+    return encode_document(FX.fx_file_bytes(spark, d))
+
+
+_JOB_IDS_SQL = f"""
+SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_name, 'doc_' || CAST(doc_id AS VARCHAR) AS stem,
+       '{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) AS job_id,
+       'doc_' || CAST(doc_id AS VARCHAR) || '_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '.md' AS output_markdown,
+       'doc_' || CAST(doc_id AS VARCHAR) || '_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_metadata.json' AS output_metadata,
+       '{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_error' AS error_job_id,
+       'doc_' || CAST(doc_id AS VARCHAR) || '_error_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_error_metadata.json'
+         AS error_metadata
+FROM fx_files
+"""
+
+
+def _job_ids(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.results import job_ids
+    return job_ids(FX.fx_files(spark, d), F.lit(FX.RUN_TS).cast("timestamp_ntz"))
+
+
+@query("job_ids", with_fixtures(_JOB_IDS_SQL, "fx_files"))
+def q_job_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _job_ids(spark, d)
+
+
+def _prompt_values_sql() -> str:
+    from docpipe.sources.prompts import PROMPTS
+    rows = [f"({i + 1}, {S.lit(name)}, {len(text)})" for i, (name, text) in enumerate(PROMPTS.items())]
+    return "(VALUES " + ", ".join(rows) + ") AS a(approach_no, approach, prompt_length)"
+
+
+@query("approach_fanout", with_fixtures(f"""
+SELECT d.doc_id, a.approach_no, a.approach, a.prompt_length,
+       CASE WHEN a.approach = 'default' THEN 'default' ELSE 'custom' END AS prompt_type
+FROM documents d CROSS JOIN {_prompt_values_sql()}"""))
+def q_approach_fanout(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.sources.prompts import fan_out
+    docs = FX.read_table(spark, d, "documents").select("doc_id")
+    return fan_out(docs).select("doc_id", "approach_no", "approach", "prompt_length", "prompt_type")
+
+
+@query("approach_summary", with_fixtures(f"""
+SELECT doc_id, count(*) AS total_approaches, count(*) FILTER (WHERE ok) AS successful,
+       count(*) FILTER (WHERE NOT ok) AS failed,
+       coalesce(string_agg(CASE WHEN ok THEN approach END, ',' ORDER BY approach_no), '') AS successful_approaches,
+       coalesce(string_agg(CASE WHEN NOT ok THEN approach END, ',' ORDER BY approach_no), '') AS failed_approaches,
+       count(*) FILTER (WHERE ok) = 0 AS all_failed
+FROM (SELECT d.doc_id, a.approach_no, a.approach, (d.doc_id + a.approach_no) % 9 <> 0 AND d.doc_id % 50 <> 7 AS ok
+      FROM documents d CROSS JOIN {_prompt_values_sql()})
+GROUP BY doc_id"""))
+def q_approach_summary(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.results import approach_summary
+    from docpipe.sources.prompts import fan_out
+    docs = FX.read_table(spark, d, "documents").select("doc_id")
+    runs = fan_out(docs).withColumn("status", F.when(
+        ((F.col("doc_id") + F.col("approach_no")) % 9 != 0) & (F.col("doc_id") % 50 != 7), "success").otherwise("error"))
+    s = approach_summary(runs)
+    return s.select("doc_id", "total_approaches", "successful", "failed",
+                    F.array_join("successful_approaches", ",").alias("successful_approaches"),
+                    F.array_join("failed_approaches", ",").alias("failed_approaches"), "all_failed")
+
+
+def _converted(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.convert import convert_with_fallback, echo_converter, ocr_echo_converter
+    docs = FX.read_table(spark, d, "documents").select("doc_id", "text").join(FX.fx_requests(spark, d), "doc_id")
+    return convert_with_fallback(docs, echo_converter, ocr_echo_converter, keep=["doc_id"],
+                                 inputs=["doc_id", "text"], model="converter",
+                                 fallback_enabled=F.col("doc_id") % 3 != 2)
+
+
+_CONVERT_SQL = """
+SELECT doc_id,
+  CASE WHEN NOT failed THEN 'success' WHEN retriable AND no_range THEN 'chunked'
+       WHEN retriable AND doc_id % 3 <> 2 THEN 'success' ELSE 'error' END AS status,
+  CASE WHEN NOT failed THEN 'primary' WHEN retriable AND no_range THEN 'chunk'
+       WHEN retriable AND doc_id % 3 <> 2 THEN 'ocr_fallback' ELSE 'fail' END AS route,
+  failed AND retriable AND NOT no_range AND doc_id % 3 <> 2 AS fallback_used,
+  NOT failed OR (retriable AND no_range) AS formatting_preserved,
+  CASE WHEN failed AND retriable AND NOT no_range AND doc_id % 3 <> 2
+       THEN 'converter (OCR fallback - formatting reduced)' ELSE 'converter' END AS model,
+  CASE WHEN failed AND NOT (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN error END AS error,
+  CASE WHEN NOT failed OR (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN length(text) END AS markdown_length,
+  CASE WHEN NOT failed THEN CAST(length(text) AS DOUBLE) / 1000
+       WHEN retriable AND NOT no_range AND doc_id % 3 <> 2 THEN CAST(length(text) AS DOUBLE) / 2000
+       ELSE 0.0 END AS processing_time
+FROM (SELECT *, coalesce(error_type = 'APITimeoutError' OR contains(error, '504')
+                         OR contains(lower(error), 'timeout'), FALSE) AS retriable
+      FROM (SELECT d.doc_id, d.text, (r.page_ranges IS NULL OR r.page_ranges = '') AS no_range,
+                   d.doc_id % 13 = 0 OR d.doc_id % 17 = 0 AS failed,
+                   CASE WHEN d.doc_id % 13 = 0 THEN 'HTTP 504 Gateway Timeout'
+                        WHEN d.doc_id % 17 = 0 THEN 'bad request' END AS error,
+                   CASE WHEN d.doc_id % 13 = 0 AND d.doc_id % 2 = 0 THEN 'APITimeoutError'
+                        WHEN d.doc_id % 13 = 0 OR d.doc_id % 17 = 0 THEN 'SDKError' END AS error_type
+            FROM documents d JOIN fx_requests r ON d.doc_id = r.doc_id))
+"""
+
+
+@query("convert_documents", with_fixtures(_CONVERT_SQL, "fx_requests"))
+def q_convert_documents(spark: SparkSession, d: str) -> DataFrame:
+    c = _converted(spark, d)
+    return c.select("doc_id", "status", "route", "fallback_used", "formatting_preserved", "model", "error",
+                    F.length("markdown").alias("markdown_length"), "processing_time")
+
+
+def _run_metadata(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.results import run_metadata
+    reduction = PR.size_reduction(FX.fx_files(spark, d))
+    results = _converted(spark, d).join(
+        reduction.select("doc_id", (F.col("original_size_mb") / 100.0).alias("optimization_time")), "doc_id")
+    return run_metadata(_job_ids(spark, d), _routed(spark, d), reduction, results, FX.fx_requests(spark, d),
+                        F.lit(FX.RUN_TS).cast("timestamp_ntz"))
+
+
+_METADATA_SQL = f"""
+SELECT i.doc_id, i.job_id, i.source_name AS source_pdf, i.output_markdown,
+       '2024-01-30T12:00:00' AS processing_date,
+       coalesce(CASE WHEN q.page_ranges <> '' THEN q.page_ranges END, 'all') AS pages_processed,
+       coalesce(r.route <> 'skipped', FALSE) AS optimization_performed,
+       CASE WHEN coalesce(r.route <> 'skipped', FALSE)
+            THEN coalesce(CASE WHEN f.file_size_bytes = 0 THEN 'N/A'
+                               ELSE printf('%.1f', round_even((CAST(f.file_size_bytes AS DOUBLE) - CAST(f.optimized_size_bytes AS DOUBLE))
+                                      / CAST(f.file_size_bytes AS DOUBLE) * 100, 1)) || '%' END, 'N/A')
+            ELSE 'N/A' END AS size_reduction,
+       CASE WHEN r.route = 'remove_images' THEN r.total_images ELSE 0 END AS images_removed,
+       CASE WHEN coalesce(r.route <> 'skipped', FALSE) THEN CAST(f.file_size_bytes AS DOUBLE) / 1024 / 1024 / 100 ELSE 0.0 END
+         AS optimization_seconds,
+       coalesce(c.processing_time, 0.0) AS ocr_seconds,
+       CASE WHEN coalesce(r.route <> 'skipped', FALSE) THEN CAST(f.file_size_bytes AS DOUBLE) / 1024 / 1024 / 100 ELSE 0.0 END
+         + coalesce(c.processing_time, 0.0) AS total_seconds,
+       coalesce(c.model, 'unknown') AS model, coalesce(c.status, 'error') AS status,
+       CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS markdown_length,
+       CASE WHEN c.status <> 'success' THEN c.error END AS error
+FROM ({_JOB_IDS_SQL}) i
+LEFT JOIN ({_ROUTING_SQL}) r ON i.doc_id = r.doc_id
+LEFT JOIN fx_files f ON i.doc_id = f.doc_id
+LEFT JOIN ({_CONVERT_SQL}) c ON i.doc_id = c.doc_id
+LEFT JOIN fx_requests q ON i.doc_id = q.doc_id
+"""
+
+
+@query("run_metadata", with_fixtures(_METADATA_SQL, "fx_pages", "fx_files", "fx_requests"))
+def q_run_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _run_metadata(spark, d)
+
+
+@query("timing_summary", with_fixtures(f"""
+SELECT status, optimization_performed, count(*) AS runs, sum(optimization_seconds) AS optimization_seconds,
+       sum(ocr_seconds) AS ocr_seconds, sum(total_seconds) AS total_seconds
+FROM ({_METADATA_SQL}) GROUP BY status, optimization_performed""", "fx_pages", "fx_files", "fx_requests"))
+def q_timing_summary(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.results import timing_summary
+    return timing_summary(_run_metadata(spark, d))
+
+
+def _original_chunk_id(parent: F.Column, chunk_number: F.Column) -> F.Column:
+    """Id the chunk's own run had before re-keying: one minute per chunk after the parent."""
+    return F.format_string("job_20240130_12%02d00_%s", chunk_number,
+                           F.regexp_extract(parent, r"^job_[0-9]{8}_[0-9]{6}_(.*)$", 1))
+
+
+@query("chunk_job_link", with_fixtures(f"""
+SELECT CASE WHEN r.success THEN r.job_id ELSE r.original_job_id END AS job_id, r.original_job_id,
+       r.parent_job_id, r.chunk_number, r.total_chunks, r.pages AS page_range, r.success AS is_chunk, l.status
+FROM (SELECT *, NOT starts_with(content, '<!-- ERROR') AS success,
+             printf('job_20240130_12%02d00_%s', chunk_number,
+                    regexp_extract(parent_job_id, '^job_[0-9]{{8}}_[0-9]{{6}}_(.*)$', 1)) AS original_job_id
+      FROM ({_CHUNK_RESULTS_SQL})) r
+JOIN (SELECT printf('job_20240130_12%02d00_%s', chunk_number, 'doc_' || CAST(doc_id AS VARCHAR)) AS original_job_id,
+             CASE WHEN (doc_id + chunk_number) % 7 = 0 THEN 'failed' ELSE 'completed' END AS status
+      FROM ({_PLAN_SQL}) WHERE total_pages > 20 AND (doc_id + chunk_number) % 11 <> 0) l
+  ON r.original_job_id = l.original_job_id""", "fx_pages", "fx_files"))
+def q_chunk_job_link(spark: SparkSession, d: str) -> DataFrame:
+    results = _chunk_results(spark, d).withColumn(
+        "original_job_id", _original_chunk_id(F.col("parent_job_id"), F.col("chunk_number")))
+    runs = _chunk_outcomes(spark, d).select(
+        _original_chunk_id(F.col("job_id"), F.col("chunk_number")).alias("job_id"),
+        F.when(F.col("status") == "success", "completed").otherwise("failed").alias("status"))
+    return CH.chunk_job_link(results, runs)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "docpipe",
@@ -52,3 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Used where a costly or non-repeatable step (a remote conversion call) feeds several
+    branches: the branches read the checkpoint instead of re-running the step, and a lost
+    executor does not send the step to the service again.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -200,3 +200,13 @@ def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) ->
     if not ctes:
         return sql.strip()
     return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM (\n" + sql.strip() + "\n) q"
+
+
+def fx_file_bytes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Stand-in file contents: doc_id, path, content (the document text as UTF-8 bytes)."""
+    d = _docs(spark, data_dir, "doc_id", "source", "text")
+    return d.select(
+        "doc_id",
+        F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
+                 F.lit(".pdf")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"))
