@@ -10,3 +10,15 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Python functions of this package that run in tasks (the converter step, the
+    stateful stream) are pickled with their code, so workers need no installed copy."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -13,20 +13,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import docpipe
 from docpipe.constants import FALLBACK_MODEL_FMT
 from docpipe.operators.jobs import retry_routing
 from docpipe.session import reliable
 
-# The converter closures reference this package; ship their code with the task so Python
-# workers need no copy of the package on their path.
-cloudpickle.register_pickle_by_value(docpipe)
-
 # A converter receives a pandas batch of input rows and returns, aligned with it, columns
 # status ('success' | 'error'), markdown, error, error_type, processing_time.
 Converter = Callable[[pd.DataFrame], pd.DataFrame]
