@@ -60,11 +60,16 @@ def chunk_plan(counts: DataFrame, chunk_size: int | Column = DEFAULT_CHUNK_SIZE,
     )
 
 
-def chunk_membership(pages: DataFrame, plan: DataFrame) -> DataFrame:
-    """Page -> chunk number through the per-document chunk size (equi-join on doc_id)."""
-    sizes = plan.select("doc_id", "chunk_size").dropDuplicates(["doc_id"])
-    return pages.select("doc_id", "page_no").join(sizes, "doc_id").select(
-        "doc_id", "page_no", chunk_of_page(F.col("page_no"), F.col("chunk_size")).alias("chunk_number"))
+def chunk_sizes(counts: DataFrame, chunk_size: int | Column = DEFAULT_CHUNK_SIZE) -> DataFrame:
+    """doc_id, chunk_size: the effective chunk size of each document (one row per document)."""
+    return counts.select("doc_id", effective_chunk_size(F.col("total_pages"), chunk_size).cast("int").alias("chunk_size"))
+
+
+def chunk_membership(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pages with their chunk number: equi-join on doc_id with one row per document, then
+    arithmetic. The page columns are kept, so no second join is needed for the text."""
+    return pages.join(sizes.select("doc_id", "chunk_size"), "doc_id").withColumn(
+        "chunk_number", chunk_of_page(F.col("page_no"), F.col("chunk_size"))).drop("chunk_size")
 
 
 def chunk_results(plan: DataFrame, outcomes: DataFrame) -> DataFrame:

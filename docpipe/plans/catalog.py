@@ -296,7 +296,8 @@ SELECT p.doc_id, p.page_no, CAST(pl.chunk_number AS INTEGER) AS chunk_number
 FROM fx_pages p JOIN ({_PLAN_SQL}) pl
   ON p.doc_id = pl.doc_id AND p.page_no BETWEEN pl.start_page AND pl.end_page""", "fx_pages", "fx_files"))
 def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
-    return CH.chunk_membership(FX.fx_pages(spark, d), _plan(spark, d))
+    sizes = CH.chunk_sizes(PG.page_counts(FX.fx_pages(spark, d)))
+    return CH.chunk_membership(FX.fx_pages(spark, d).select("doc_id", "page_no"), sizes)
 
 
 # Chunk outcomes of a converter run over the chunked documents: a chunk's Markdown is its
@@ -305,7 +306,7 @@ def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
 def _chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
     plan = _plan(spark, d).where(F.col("total_pages") > 20)
     pages = FX.fx_pages(spark, d).select("doc_id", "page_no", "text")
-    member = CH.chunk_membership(pages, plan).join(pages, ["doc_id", "page_no"])
+    member = CH.chunk_membership(pages, plan.select("doc_id", "chunk_size").where(F.col("chunk_number") == 1))
     md = member.groupBy("doc_id", "chunk_number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]),
                      "\n").alias("markdown"))

@@ -39,7 +39,7 @@ def test_chunk_membership_equals_range_join(spark):
     pages = spark.range(1, 48).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"))
     counts = spark.createDataFrame([(1, "j", 47)], "doc_id long, job_id string, total_pages long")
     plan = CH.chunk_plan(counts)
-    arithmetic = CH.chunk_membership(pages, plan)
+    arithmetic = CH.chunk_membership(pages, CH.chunk_sizes(counts)).select("doc_id", "page_no", "chunk_number")
     theta = pages.join(plan, (pages.doc_id == plan.doc_id) & pages.page_no.between(plan.start_page, plan.end_page)) \
         .select(pages.doc_id, "page_no", "chunk_number")
     assert sorted(arithmetic.collect()) == sorted(theta.collect())
