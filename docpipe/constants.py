@@ -144,6 +144,9 @@ STAT_WORDS = ["cool", "hard", "hot", "sharp", "weird", "Hx"]   # whole word, any
 # set is built from that rule (all such characters lie below U+3001).
 PY_WHITESPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
+# Key of the service section inside an existing JSON job record (holds the token usage).
+JOB_RECORD_API_KEY = "mistral_api"
+
 # Job identifiers and output names.
 JOB_TS_FORMAT = "yyyyMMdd_HHmmss"
 DATA_URI_PREFIX = "data:application/pdf;base64,"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docpipe.constants import JOB_RECORD_API_KEY
 from docpipe.schemas import JOB_EVENT_SCHEMA
 
 # Fields of a job record file that map onto event columns.
@@ -25,7 +26,7 @@ JOB_RECORD_SCHEMA = T.StructType([
     T.StructField("current_stage", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("error_type", T.StringType()),
-    T.StructField("mistral_api", T.StructType([
+    T.StructField(JOB_RECORD_API_KEY, T.StructType([
         T.StructField("usage", T.StructType([
             T.StructField("prompt_tokens", T.LongType()),
             T.StructField("completion_tokens", T.LongType()),
@@ -55,5 +56,5 @@ def read_job_records(spark: SparkSession, path: str) -> DataFrame:
     return rec.select(
         F.xxhash64("id", ts).alias("event_id"), F.col("id").alias("job_id"), ts.alias("event_ts"),
         "status", "current_stage", "input_file", "error", "page_ranges",
-        F.col("mistral_api.usage.prompt_tokens").alias("prompt_tokens"),
-        F.col("mistral_api.usage.completion_tokens").alias("completion_tokens"))
+        F.col(f"{JOB_RECORD_API_KEY}.usage.prompt_tokens").alias("prompt_tokens"),
+        F.col(f"{JOB_RECORD_API_KEY}.usage.completion_tokens").alias("completion_tokens"))

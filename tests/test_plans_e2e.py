@@ -14,6 +14,7 @@ from docpipe.sources import ledger as LG
 from docpipe.sources import sinks as SK
 from docpipe.sources.files import extract_pages, list_files, read_files
 from docpipe.operators.jobs import latest_job_state
+from docpipe.constants import JOB_RECORD_API_KEY
 from pyspark import cloudpickle
 import sys
 
@@ -84,7 +85,7 @@ def test_job_record_ingest_and_sinks(spark):
     d = tempfile.mkdtemp(prefix="docpipe-jobs-")
     recs = [{"id": "job_1", "input_file": "/a/x.pdf", "status": "started", "start_time": "2024-01-01T10:00:00.5"},
             {"id": "job_2", "input_file": "/a/y.pdf", "status": "completed", "start_time": "2024-01-01T10:00:00",
-             "end_time": "2024-01-01T10:01:00", "mistral_api": {"usage": {"prompt_tokens": 5, "completion_tokens": 7,
+             "end_time": "2024-01-01T10:01:00", JOB_RECORD_API_KEY: {"usage": {"prompt_tokens": 5, "completion_tokens": 7,
                                                                            "total_tokens": 12}}}]
     for r in recs:
         with open(os.path.join(d, r["id"] + ".json"), "w") as f:
