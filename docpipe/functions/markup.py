@@ -14,33 +14,37 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.text import col_, py_strip
 
-# (pattern, replacement); ``$1`` is the first group. White space is spelled out as a class
-# because ``\s`` differs between the two regex engines (vertical tab).
+WS = r"[ \t\n\f\r]*"
+
+# Regex rules in order: (pattern, replacement); ``$1`` is the first group. White space is
+# spelled out as a class because ``\s`` differs between the two engines (vertical tab).
 MARKUP_RULES: list[tuple[str, str]] = [
-    (r"(?is)<script\b[^>]*>.*?</script[ \t\n\f\r]*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style[ \t\n\f\r]*>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<head\b[^>]*>.*?</head[ \t\n\f\r]*>", ""),
-    (r"(?is)<nav\b[^>]*>.*?</nav[ \t\n\f\r]*>", ""),
-    (r"(?is)<h1\b[^>]*>(.*?)</h1[ \t\n\f\r]*>", "\n\n# $1\n\n"),
-    (r"(?is)<h2\b[^>]*>(.*?)</h2[ \t\n\f\r]*>", "\n\n## $1\n\n"),
-    (r"(?is)<h3\b[^>]*>(.*?)</h3[ \t\n\f\r]*>", "\n\n### $1\n\n"),
-    (r"(?is)<h4\b[^>]*>(.*?)</h4[ \t\n\f\r]*>", "\n\n#### $1\n\n"),
-    (r"(?is)<h5\b[^>]*>(.*?)</h5[ \t\n\f\r]*>", "\n\n##### $1\n\n"),
-    (r"(?is)<h6\b[^>]*>(.*?)</h6[ \t\n\f\r]*>", "\n\n###### $1\n\n"),
-    (r"(?is)<(?:b|strong)\b[^>]*>[ \t\n\f\r]*<(?:i|em)\b[^>]*>(.*?)</(?:i|em)[ \t\n\f\r]*>[ \t\n\f\r]*</(?:b|strong)[ \t\n\f\r]*>", "***$1***"),
-    (r"(?is)<(?:i|em)\b[^>]*>[ \t\n\f\r]*<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)[ \t\n\f\r]*>[ \t\n\f\r]*</(?:i|em)[ \t\n\f\r]*>", "***$1***"),
-    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)[ \t\n\f\r]*>", "**$1**"),
-    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)[ \t\n\f\r]*>", "*$1*"),
+    # non-content elements, dropped in one pass (the leftmost element wins, so nested ones go with it)
+    (r"(?is)<script\b[^>]*>.*?</script" + WS + ">|<style\b[^>]*>.*?</style" + WS + ">|<!--.*?-->"
+     r"|<head\b[^>]*>.*?</head" + WS + ">|<nav\b[^>]*>.*?</nav" + WS + ">", ""),
+    (r"(?is)<h1\b[^>]*>(.*?)</h1" + WS + ">", "\n\n# $1\n\n"),
+    (r"(?is)<h2\b[^>]*>(.*?)</h2" + WS + ">", "\n\n## $1\n\n"),
+    (r"(?is)<h3\b[^>]*>(.*?)</h3" + WS + ">", "\n\n### $1\n\n"),
+    (r"(?is)<h4\b[^>]*>(.*?)</h4" + WS + ">", "\n\n#### $1\n\n"),
+    (r"(?is)<h5\b[^>]*>(.*?)</h5" + WS + ">", "\n\n##### $1\n\n"),
+    (r"(?is)<h6\b[^>]*>(.*?)</h6" + WS + ">", "\n\n###### $1\n\n"),
+    (r"(?is)<(?:b|strong)\b[^>]*>" + WS + r"<(?:i|em)\b[^>]*>(.*?)</(?:i|em)" + WS + ">" + WS + "</(?:b|strong)" + WS + ">"
+     r"|<(?:i|em)\b[^>]*>" + WS + r"<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)" + WS + ">" + WS + "</(?:i|em)" + WS + ">",
+     "***$1$2***"),
+    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)" + WS + ">", "**$1**"),
+    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)" + WS + ">", "*$1*"),
     (r"(?is)<li\b[^>]*>", "\n- "),
-    (r"(?is)<br[ \t\n\f\r]*/?>", "\n"),
+    (r"(?is)<br" + WS + "/?>", "\n"),
     (r"(?is)</?(?:p|div|ul|ol|article|section|body|html|footer|header|main)\b[^>]*>", "\n\n"),
     (r"(?s)<[^>]*>", ""),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", "\""),
-    (r"&#39;", "'"),
-    (r"&amp;", "&"),
+]
+
+# Character references decoded after the tags are gone, as literal replacements;
+# ``&amp;`` last so that ``&amp;lt;`` becomes ``&lt;``, not ``<``.
+ENTITIES: list[tuple[str, str]] = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"), ("&amp;", "&")]
+
+# Tidy-up of the line structure.
+LAYOUT_RULES: list[tuple[str, str]] = [
     (r"[ \t]+\n", "\n"),
     (r"\n[ \t]+", "\n"),
     (r"\n{3,}", "\n\n"),
@@ -51,4 +55,8 @@ def markup_to_markdown(html: Column | str) -> Column:
     out = col_(html)
     for pattern, replacement in MARKUP_RULES:
         out = F.regexp_replace(out, pattern, replacement)
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    for pattern, replacement in LAYOUT_RULES:
+        out = F.regexp_replace(out, pattern, replacement)
     return py_strip(out)

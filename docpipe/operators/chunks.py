@@ -40,16 +40,20 @@ def needs_chunking(counts: DataFrame, threshold: int = DEFAULT_CHUNK_THRESHOLD,
 
 
 def chunk_plan(counts: DataFrame, chunk_size: int | Column = DEFAULT_CHUNK_SIZE,
-               job_col: str = "job_id") -> DataFrame:
+               job_col: str = "job_id", carry: list[str] | None = None) -> DataFrame:
     """One row per chunk: doc_id, job_id, total_pages, chunk_size, chunk_number, total_chunks,
-    start_page, end_page, label, chunk_job_id. ``counts`` holds doc_id, job_id, total_pages."""
+    start_page, end_page, label, chunk_job_id. ``counts`` holds doc_id, job_id, total_pages;
+    ``carry`` names further columns of ``counts`` passed through to every chunk row."""
+    carry = carry or []
     size = effective_chunk_size(F.col("total_pages"), chunk_size)
     sized = counts.withColumn("chunk_size", size.cast("int")).withColumn(
         "starts", chunk_starts(F.col("total_pages"), F.col("chunk_size")))
+    # posexplode_outer + a filter on pos: the inner form makes Catalyst infer a
+    # size(starts) > 0 filter below the projection, which would recompute the inputs.
     exploded = sized.select(
-        "doc_id", job_col, "total_pages", "chunk_size",
+        "doc_id", job_col, "total_pages", "chunk_size", *carry,
         F.size("starts").alias("total_chunks"),
-        F.posexplode("starts").alias("pos", "start_page"))
+        F.posexplode_outer("starts").alias("pos", "start_page")).where(F.col("pos").isNotNull())
     end = F.least(F.col("start_page") + F.col("chunk_size") - 1, F.col("total_pages").cast("int"))
     return exploded.select(
         "doc_id", job_col, "total_pages", "chunk_size",
@@ -57,6 +61,7 @@ def chunk_plan(counts: DataFrame, chunk_size: int | Column = DEFAULT_CHUNK_SIZE,
         end.alias("end_page"),
         range_label(F.col("start_page"), end).alias("label"),
         chunk_job_id(F.col(job_col), F.col("pos") + 1, F.col("total_chunks")).alias("chunk_job_id"),
+        *carry,
     )
 
 

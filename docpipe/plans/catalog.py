@@ -236,12 +236,19 @@ def q_stitch_pages(spark: SparkSession, d: str) -> DataFrame:
 RUN_JOB_PREFIX = "job_20240130_120000_"
 
 
-def _doc_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Per document: doc_id, job_id (``job_{run ts}_{stem}``), total_pages."""
-    counts = PG.page_counts(FX.fx_pages(spark, d))
-    files = FX.fx_files(spark, d).select("doc_id", JB.stem(F.col("path")).alias("stem"))
-    return counts.join(files, "doc_id").select(
-        "doc_id", F.concat(F.lit(RUN_JOB_PREFIX), F.col("stem")).alias("job_id"), "total_pages")
+def _doc_jobs(spark: SparkSession, d: str, with_lines: bool = False) -> DataFrame:
+    """Per document: doc_id, job_id (``job_{run ts}_{stem}``), total_pages [, lines].
+
+    One page per line, so the page count and the page texts come straight from the
+    document row: a narrow projection, no aggregation or join.
+    """
+    lines = F.split(F.col("text"), "\n", -1)
+    path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    cols = ["doc_id", F.concat(F.lit(RUN_JOB_PREFIX), JB.stem(path)).alias("job_id"),
+            F.size(lines).cast("bigint").alias("total_pages")]
+    if with_lines:
+        cols.append(lines.alias("lines"))
+    return FX.read_table(spark, d, "documents").select(*cols)
 
 
 _DOC_JOBS_SQL = f"""
@@ -301,21 +308,17 @@ def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Chunk outcomes of a converter run over the chunked documents: a chunk's Markdown is its
-# pages joined by newlines; (doc_id + chunk_number) % 7 = 0 failed with a 504, and
-# (doc_id + chunk_number) % 11 = 0 produced no outcome row at all.
+# pages joined by newlines (a slice of the document's lines, taken in the document's own
+# row); (doc_id + chunk_number) % 7 = 0 failed with a 504, and (doc_id + chunk_number)
+# % 11 = 0 produced no outcome row at all.
 def _chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    plan = _plan(spark, d).where(F.col("total_pages") > 20)
-    pages = FX.fx_pages(spark, d).select("doc_id", "page_no", "text")
-    member = CH.chunk_membership(pages, plan.select("doc_id", "chunk_size").where(F.col("chunk_number") == 1))
-    md = member.groupBy("doc_id", "chunk_number").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]),
-                     "\n").alias("markdown"))
+    plan = CH.chunk_plan(_doc_jobs(spark, d, with_lines=True).where(F.col("total_pages") > 20), carry=["lines"])
     key = F.col("doc_id") + F.col("chunk_number")
-    return plan.select("doc_id", "job_id", "chunk_number").join(md, ["doc_id", "chunk_number"]).where(
-        key % 11 != 0).select(
+    markdown = F.array_join(F.slice("lines", F.col("start_page"), F.col("end_page") - F.col("start_page") + 1), "\n")
+    return plan.where(key % 11 != 0).select(
         "job_id", "chunk_number",
         F.when(key % 7 == 0, "error").otherwise("success").alias("status"),
-        F.when(key % 7 != 0, F.col("markdown")).alias("markdown"),
+        F.when(key % 7 != 0, markdown).alias("markdown"),
         F.when(key % 7 == 0, F.lit("504")).alias("error"),
         F.when(key % 7 != 0, F.col("chunk_number") * 1.5).otherwise(0.0).alias("processing_time"))
 

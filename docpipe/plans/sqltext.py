@@ -20,7 +20,7 @@ from docpipe.constants import (
     STAT_WORDS,
 )
 from docpipe.functions.cleaning import CHATTER_RE, INDICATOR_RE, SUBJECT_RE
-from docpipe.functions.markup import MARKUP_RULES
+from docpipe.functions.markup import ENTITIES, LAYOUT_RULES, MARKUP_RULES
 from docpipe.functions.text import BLANK_RE, STRIP_RE, WS_CLASS, regex_escape
 
 
@@ -125,8 +125,16 @@ def enhance_sql(expr: str) -> str:
             f"THEN '**' || p || '**' ELSE p END), '')")
 
 
+def _re2_replacement(replacement: str) -> str:
+    return replacement.replace("$1", "\\1").replace("$2", "\\2")
+
+
 def markup_sql(expr: str) -> str:
     out = expr
     for pattern, replacement in MARKUP_RULES:
-        out = f"regexp_replace({out}, {lit(pattern)}, {lit(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+        out = f"regexp_replace({out}, {lit(pattern)}, {lit(_re2_replacement(replacement))}, 'g')"
+    for entity, char in ENTITIES:
+        out = f"replace({out}, {lit(entity)}, {lit(char)})"
+    for pattern, replacement in LAYOUT_RULES:
+        out = f"regexp_replace({out}, {lit(pattern)}, {lit(replacement)}, 'g')"
     return strip(out)

@@ -29,7 +29,7 @@ def _docs(spark: SparkSession, data_dir: str, *cols: str) -> DataFrame:
 def fx_pages(spark: SparkSession, data_dir: str) -> DataFrame:
     """One page per line of a document: doc_id, page_no, text, images."""
     lines = _docs(spark, data_dir, "doc_id", "text").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+        "doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "text")).where(F.col("pos").isNotNull())
     page_no = (F.col("pos") + 1).cast("int")
     images = F.when((F.col("doc_id") + page_no) % 23 == 0,
                     (F.col("doc_id") * 7 + page_no * 3) % 41).otherwise(F.lit(0).cast("bigint"))
