@@ -667,12 +667,15 @@ def q_run_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("timing_summary", with_fixtures(f"""
-SELECT status, optimization_performed, count(*) AS runs, sum(optimization_seconds) AS optimization_seconds,
-       sum(ocr_seconds) AS ocr_seconds, sum(total_seconds) AS total_seconds
+SELECT status, optimization_performed, count(*) AS runs, round(sum(optimization_seconds), 6) AS optimization_seconds,
+       round(sum(ocr_seconds), 6) AS ocr_seconds, round(sum(total_seconds), 6) AS total_seconds
 FROM ({_METADATA_SQL}) GROUP BY status, optimization_performed""", "fx_pages", "fx_files", "fx_requests"))
 def q_timing_summary(spark: SparkSession, d: str) -> DataFrame:
     from docpipe.operators.results import timing_summary
-    return timing_summary(_run_metadata(spark, d))
+    # Sums of doubles depend on the summation order; six decimals make the check order-free.
+    t = timing_summary(_run_metadata(spark, d))
+    return t.select("status", "optimization_performed", "runs",
+                    *[F.round(c, 6).alias(c) for c in ("optimization_seconds", "ocr_seconds", "total_seconds")])
 
 
 def _original_chunk_id(parent: F.Column, chunk_number: F.Column) -> F.Column:
