@@ -107,3 +107,47 @@ def test_retry_routing_table(spark):
                    ("fail", "api_error"), ("ocr_fallback", "api_error")]
     got_off = [r.next_route for r in JB.retry_routing(df, False).collect()]
     assert got_off == ["chunk", "chunk", "fail", "fail", "fail"]
+
+
+def test_job_lookup_by_ids(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [(1, "a", t0, "completed", None, "/x/a.pdf", None, None, 3, 4)]
+    state = JB.latest_job_state(ledger(spark, rows))
+    ids = spark.createDataFrame([("a",), ("zzz",)], "job_id string")
+    got = {r.job_id: (r.found, r.total_tokens) for r in JB.job_status(state, "2024-01-01 13:00:00", ids).collect()}
+    assert got == {"a": (True, 7), "zzz": (False, None)}
+
+
+def test_custom_prompt_file_and_fan_out(spark, tmp_path):
+    from docpipe.sources.prompts import fan_out, prompt_catalog, read_prompt_file
+    p = tmp_path / "prompt.txt"
+    p.write_text("Convert, keeping every table.\nSecond line.")
+    text = read_prompt_file(spark, str(p))
+    assert text == "Convert, keeping every table.\nSecond line."
+    cat = prompt_catalog(spark, text)
+    assert cat.count() == 9 and cat.where("approach = 'custom'").first().prompt_length == len(text)
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    out = fan_out(docs, approaches=["default", "custom"], custom_prompt=text).collect()
+    assert sorted((r.doc_id, r.approach, r.prompt_type) for r in out) == [
+        (1, "custom", "custom"), (1, "default", "default"), (2, "custom", "custom"), (2, "default", "default")]
+
+
+def test_random_page_ranges_match_sequential_model(spark):
+    import random
+    rnd = random.Random(11)
+    specs = []
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            a = rnd.randint(0, 30)
+            parts.append(str(a) if rnd.random() < 0.5 else f"{a}-{a + rnd.randint(-3, 6)}")
+        specs.append(",".join(parts))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "i int, s string")
+    got = [r.p for r in df.select("i", parse_page_ranges(F.col("s")).alias("p")).orderBy("i").collect()]
+    for spec, pages in zip(specs, got):
+        try:
+            want = M.parse_ranges(spec)
+        except ValueError:
+            want = None
+        assert pages == want, spec
