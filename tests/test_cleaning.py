@@ -118,3 +118,14 @@ def test_emphasis_matches_sequential_model(spark):
     docs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 20))) for _ in range(300)]
     got = run(spark, docs, enhance_formatting)
     assert got == [M.enhance(d) for d in docs]
+
+
+def test_python_strip_on_unicode_white_space(spark):
+    from docpipe.constants import PY_WHITESPACE_CHARS
+    from docpipe.functions.text import is_blank, py_strip
+    samples = ["　abc \x1c", "  x y ", "\x85\t\r\n", "é ü", "​zero-width​",
+               PY_WHITESPACE_CHARS + "mid" + PY_WHITESPACE_CHARS, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    rows = df.select("i", py_strip(F.col("s")).alias("t"), is_blank(F.col("s")).alias("b")).orderBy("i").collect()
+    assert [r.t for r in rows] == [s.strip() for s in samples]
+    assert [r.b for r in rows] == [not s.strip() for s in samples]
