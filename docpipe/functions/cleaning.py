@@ -69,15 +69,22 @@ def join_lines(lines: Column) -> Column:
 
 # --- block pass -------------------------------------------------------------------------
 
-def _residual_length(lowered: Column) -> Column:
-    """Characters left in a block once indicators and samples are deleted (join + strip)."""
+def scrub_line(lowered_line: Column) -> Column:
+    """A lower-cased block line with indicator phrases, then formatting samples, deleted
+    (in list order) and stripped: what still counts as content."""
+    line = lowered_line
+    for phrase in BLOCK_INDICATORS + BLOCK_FORMAT_SAMPLES:
+        line = F.replace(line, F.lit(phrase), F.lit(""))
+    return py_strip(line)
+
 
-    def scrub(line: Column) -> Column:
-        for phrase in BLOCK_INDICATORS + BLOCK_FORMAT_SAMPLES:
-            line = F.replace(line, F.lit(phrase), F.lit(""))
-        return py_strip(line)
+def counts_as_content(residual: Column) -> Column:
+    return (residual != "") & ~residual.startswith("-")
 
-    kept = F.filter(F.transform(lowered, scrub), lambda r: (r != "") & ~r.startswith("-"))
+
+def _residual_length(lowered: Column) -> Column:
+    """Characters left in a block once indicators and samples are deleted (join + strip)."""
+    kept = F.filter(F.transform(lowered, scrub_line), counts_as_content)
     return let(kept, lambda rs: F.aggregate(rs, F.lit(0), lambda acc, r: acc + F.length(r))
                + F.greatest(F.size(rs) - 1, F.lit(0)))
 

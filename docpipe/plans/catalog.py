@@ -399,6 +399,14 @@ def q_clean_response(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", clean_expr(F.col("content"), True).alias("markdown"))
 
 
+@query("clean_line_table", with_fixtures(S.clean_sql("fx_responses", remove_markers=True, as_lines=True),
+                                         "fx_responses"))
+def q_clean_line_table(spark: SparkSession, d: str) -> DataFrame:
+    from docpipe.operators.line_table import clean_line_table, explode_lines
+    # Small buckets so that the documents of the test data cross bucket borders.
+    return clean_line_table(explode_lines(FX.fx_responses(spark, d)), True, bucket_lines=16)
+
+
 @query("enhance_formatting", with_fixtures(f"""
 SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN {S.enhance_sql('content')} ELSE content END AS markdown
 FROM fx_responses""", "fx_responses"))

@@ -50,8 +50,9 @@ def _scrub(expr: str) -> str:
 
 def clean_sql(src: str, key: str = "doc_id", col: str = "content", blocks: bool = True,
               lines: bool = True, remove_markers: bool = True, trim: bool = True,
-              out: str = "markdown") -> str:
-    """Relational cleaner over relation ``src(key, col)``; returns ``(key, out)``."""
+              out: str = "markdown", as_lines: bool = False) -> str:
+    """Relational cleaner over relation ``src(key, col)``; returns ``(key, out)``, or with
+    ``as_lines`` the surviving lines ``(key, line_no, line)`` with the trim applied."""
     parts = [f"""
 l0 AS (
   SELECT {key} AS k, CAST(ln AS BIGINT) AS ln, line FROM (
@@ -99,6 +100,16 @@ c2 AS (
 c3 AS (
   SELECT k, ln, line FROM c2 WHERE NOT trig AND NOT (coalesce(pt, FALSE) AND {is_blank('line')}))""")
         cur = "c3"
+    if as_lines:
+        lstrip = f"regexp_replace(line, {lit(chr(92) + 'A' + WS_CLASS + '+')}, '', 'g')"
+        rstrip = f"regexp_replace(line, {lit(WS_CLASS + '+' + chr(92) + 'z')}, '', 'g')"
+        parts.append(f"""
+fl AS (SELECT k, min(ln) AS f, max(ln) AS l FROM {cur} WHERE NOT {is_blank('line')} GROUP BY k)""")
+        return ("WITH " + ",".join(p.strip("\n") for p in parts) + f"""
+SELECT c.k AS {key}, CAST(c.ln AS INTEGER) AS line_no,
+       CASE WHEN c.ln = fl.f AND c.ln = fl.l THEN {strip('line')} WHEN c.ln = fl.f THEN {lstrip}
+            WHEN c.ln = fl.l THEN {rstrip} ELSE line END AS line
+FROM {cur} c JOIN fl ON c.k = fl.k WHERE c.ln BETWEEN fl.f AND fl.l""")
     body = f"coalesce(a.txt, '')"
     if trim:
         body = strip(body)
