@@ -110,3 +110,60 @@ def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes") -> DataFra
             .groupBy("job_id")
             .applyInPandasWithState(_track, ALERT_SCHEMA, _STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+LIVE_SCHEMA = ("job_id string, status string, current_stage string, input_file string, error string, "
+               "page_ranges string, prompt_tokens long, completion_tokens long, "
+               "last_event_ts timestamp_ntz, start_time timestamp_ntz")
+_LIVE_STATE = ("start_us long, last_ts_us long, last_id long, status string, current_stage string, "
+               "input_file string, error string, page_ranges string, prompt_tokens long, completion_tokens long")
+_LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]
+
+
+def _live(retention_us: int):
+    def track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:          # nothing newer within the retention: forget the job
+            state.remove()
+            return
+        cur = list(state.get) if state.exists else [None] * 10
+        changed = False
+        for pdf in pdfs:
+            ts = _us(pdf["event_ts"])
+            first = int(ts.min())
+            cur[0] = first if cur[0] is None else min(cur[0], first)
+            order = pd.DataFrame({"ts": ts, "id": pdf["event_id"]}).sort_values(["ts", "id"])
+            i = order.index[-1]
+            cand = (int(order.loc[i, "ts"]), int(order.loc[i, "id"]))
+            if cur[1] is None or cand > (cur[1], cur[2]):
+                cur[1], cur[2] = cand
+                for j, f in enumerate(_LIVE_FIELDS):
+                    v = pdf.loc[i, f]
+                    cur[3 + j] = None if pd.isna(v) else (int(v) if f.endswith("tokens") else v)
+                changed = True
+        state.update(tuple(cur))
+        state.setTimeoutTimestamp((cur[1] + retention_us) // 1000)
+        if changed:
+            row = {"job_id": [key[0]]}
+            for j, f in enumerate(_LIVE_FIELDS):
+                row[f] = [cur[3 + j]]
+            row["last_event_ts"] = [pd.Timestamp(cur[1], unit="us")]
+            row["start_time"] = [pd.Timestamp(cur[0], unit="us")]
+            out = pd.DataFrame(row)
+            for f in ("prompt_tokens", "completion_tokens"):
+                out[f] = out[f].astype("Int64")
+            yield out
+    return track
+
+
+def live_job_state_bounded(events: DataFrame, retention_seconds: int = 86400,
+                           watermark: str = "10 minutes") -> DataFrame:
+    """Newest state per job, emitted whenever it changes (output mode ``update``).
+
+    Unlike the aggregate in ``live_job_state``, the state of a job is dropped once the
+    event-time watermark passes its last event plus ``retention_seconds``, so state size
+    follows the number of recently active jobs, not of all jobs ever seen.
+    """
+    return (with_event_time(events).withWatermark("event_time", watermark)
+            .groupBy("job_id")
+            .applyInPandasWithState(_live(retention_seconds * 1_000_000), LIVE_SCHEMA, _LIVE_STATE, "update",
+                                    GroupStateTimeout.EventTimeTimeout))

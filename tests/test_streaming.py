@@ -52,3 +52,24 @@ def test_streaming_cleaner_matches_batch(spark):
     got = spark.read.parquet(sink)
     want = R.cleaned_responses(responses)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_bounded_live_state_matches_batch(spark):
+    src = scratch()
+    events = FX.fx_job_events(spark, SF_SMALL)
+    # Files arrive in event-time order (one time slice per write): a stateful stream drops
+    # events older than its watermark, as it should.
+    for lo, hi in [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]:
+        events.where(F.col("event_ts").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))
+                     & (F.col("event_ts") < F.lit(hi).cast("timestamp_ntz"))) \
+            .coalesce(1).write.mode("append").parquet(src)
+    q = (L.live_job_state_bounded(L.read_job_events(spark, src, max_files_per_trigger=1), retention_seconds=10 ** 7)
+         .writeStream.format("memory").queryName("live_bounded").outputMode("update")
+         .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
+    q.awaitTermination()
+    emitted = spark.table("live_bounded")
+    newest = emitted.groupBy("job_id").agg(F.max_by(F.struct("status", "current_stage", "last_event_ts", "start_time",
+                                                              "prompt_tokens"), "last_event_ts").alias("s")).select("job_id", "s.*")
+    want = JB.latest_job_state(events).select("job_id", "status", "current_stage", "last_event_ts", "start_time",
+                                              "prompt_tokens")
+    assert sorted(newest.collect()) == sorted(want.collect())
