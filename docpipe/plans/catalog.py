@@ -310,17 +310,18 @@ def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
 # Chunk outcomes of a converter run over the chunked documents: a chunk's Markdown is its
 # pages joined by newlines (a slice of the document's lines, taken in the document's own
 # row); (doc_id + chunk_number) % 7 = 0 failed with a 504, and (doc_id + chunk_number)
-# % 11 = 0 produced no outcome row at all.
+# % 11 = 0 failed without an error message ("Unknown error").
 def _chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
     plan = CH.chunk_plan(_doc_jobs(spark, d, with_lines=True).where(F.col("total_pages") > 20), carry=["lines"])
     key = F.col("doc_id") + F.col("chunk_number")
     markdown = F.array_join(F.slice("lines", F.col("start_page"), F.col("end_page") - F.col("start_page") + 1), "\n")
-    return plan.where(key % 11 != 0).select(
+    failed = (key % 7 == 0) | (key % 11 == 0)
+    return plan.select(
         "job_id", "chunk_number",
-        F.when(key % 7 == 0, "error").otherwise("success").alias("status"),
-        F.when(key % 7 != 0, markdown).alias("markdown"),
-        F.when(key % 7 == 0, F.lit("504")).alias("error"),
-        F.when(key % 7 != 0, F.col("chunk_number") * 1.5).otherwise(0.0).alias("processing_time"))
+        F.when(failed, "error").otherwise("success").alias("status"),
+        F.when(~failed, markdown).alias("markdown"),
+        F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 7 == 0, F.lit("504")).alias("error"),
+        F.when(~failed, F.col("chunk_number") * 1.5).otherwise(0.0).alias("processing_time"))
 
 
 def _chunk_results(spark: SparkSession, d: str) -> DataFrame:
@@ -700,8 +701,9 @@ FROM (SELECT *, NOT starts_with(content, '<!-- ERROR') AS success,
                     regexp_extract(parent_job_id, '^job_[0-9]{{8}}_[0-9]{{6}}_(.*)$', 1)) AS original_job_id
       FROM ({_CHUNK_RESULTS_SQL})) r
 JOIN (SELECT printf('job_20240130_12%02d00_%s', chunk_number, 'doc_' || CAST(doc_id AS VARCHAR)) AS original_job_id,
-             CASE WHEN (doc_id + chunk_number) % 7 = 0 THEN 'failed' ELSE 'completed' END AS status
-      FROM ({_PLAN_SQL}) WHERE total_pages > 20 AND (doc_id + chunk_number) % 11 <> 0) l
+             CASE WHEN (doc_id + chunk_number) % 7 = 0 OR (doc_id + chunk_number) % 11 = 0
+                  THEN 'failed' ELSE 'completed' END AS status
+      FROM ({_PLAN_SQL}) WHERE total_pages > 20) l
   ON r.original_job_id = l.original_job_id""", "fx_pages", "fx_files"))
 def q_chunk_job_link(spark: SparkSession, d: str) -> DataFrame:
     results = _chunk_results(spark, d).withColumn(
