@@ -36,3 +36,30 @@ def start_cleaning(spark: SparkSession, source: str, sink: str, checkpoint: str,
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def read_chunk_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    from docpipe.schemas import CHUNK_RESULTS_SCHEMA
+    return spark.readStream.schema(CHUNK_RESULTS_SCHEMA).format(fmt).load(path)
+
+
+def start_chunk_collection(spark: SparkSession, source: str, table_path: str, checkpoint: str,
+                           available_now: bool = False) -> StreamingQuery:
+    """Append chunk results to a table as they arrive.
+
+    This replaces a working file rewritten after every chunk: each micro-batch is one
+    atomic append, the checkpoint makes the collection restartable, and the stitched,
+    cleaned document is a batch step over the table (``operators.chunks.stitch_chunks``)
+    once a parent job has all its chunks (see ``complete_parents``).
+    """
+    writer = (read_chunk_results(spark, source).writeStream.format("parquet")
+              .option("path", table_path).option("checkpointLocation", checkpoint).outputMode("append"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def complete_parents(results: DataFrame) -> DataFrame:
+    """Parent jobs whose every chunk has arrived (count of chunk numbers = total_chunks)."""
+    return (results.groupBy("parent_job_id")
+            .agg(F.countDistinct("chunk_number").alias("n"), F.max("total_chunks").alias("total"))
+            .where(F.col("n") == F.col("total")).select("parent_job_id"))
