@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docpipe.functions.text import col_, py_strip
+from docpipe.functions.text import col_, let, py_strip
 
 WS = r"[ \t\n\f\r]*"
 
@@ -51,12 +51,41 @@ LAYOUT_RULES: list[tuple[str, str]] = [
 ]
 
 
+# For each rule in MARKUP_RULES, lower-case substrings of which at least one must occur in
+# the page for the rule to have anything to match. Replacements never introduce a tag, so
+# a tag absent from the original page cannot appear later: skipping is exact.
+RULE_NEEDLES: list[tuple[str, ...]] = [
+    ("<script", "<style", "<!--", "<head", "<nav"),
+    ("<h1",), ("<h2",), ("<h3",), ("<h4",), ("<h5",), ("<h6",),
+    ("<i", "<em"),
+    ("<b", "<strong"),
+    ("<i", "<em"),
+    ("<li",),
+    ("<br",),
+    ("<",),
+    ("<",),
+]
+assert len(RULE_NEEDLES) == len(MARKUP_RULES)
+
+
+def _gated(pattern: str, replacement: str, present: Column):
+    return lambda o: F.when(present, F.regexp_replace(o, pattern, replacement)).otherwise(o)
+
+
 def markup_to_markdown(html: Column | str) -> Column:
-    out = col_(html)
-    for pattern, replacement in MARKUP_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    for pattern, replacement in LAYOUT_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return py_strip(out)
+    """Apply the rules in order; a rule whose tags do not occur in the page is skipped."""
+    src = col_(html)
+
+    def run(low: Column) -> Column:
+        out = src
+        for (pattern, replacement), needles in zip(MARKUP_RULES, RULE_NEEDLES):
+            present = F.lit(False)
+            for needle in needles:
+                present = present | low.contains(needle)
+            out = let(out, _gated(pattern, replacement, present))
+        for entity, char in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        for pattern, replacement in LAYOUT_RULES:
+            out = F.regexp_replace(out, pattern, replacement)
+        return py_strip(out)
+    return let(F.lower(src), run)
