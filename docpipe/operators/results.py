@@ -76,9 +76,13 @@ def run_metadata(ids: DataFrame, routed: DataFrame, reduction: DataFrame, result
 
     ``ids``: job_ids(); ``routed``: optimize_routing() output; ``reduction``:
     size_reduction(); ``results``: doc_id, status, markdown, error, model, processing_time
-    (the conversion time), optimization_time; ``requests``: doc_id, page_ranges. All inputs
-    are one row per document, joined on ``doc_id``.
+    (the conversion time) and optionally optimization_time; ``requests``: doc_id,
+    page_ranges. All inputs are one row per document, joined on ``doc_id``. Without an
+    optimisation time the record shows 0, as the original's optimisation result carries
+    no time of its own.
     """
+    if "optimization_time" not in results.columns:
+        results = results.withColumn("optimization_time", F.lit(None).cast("double"))
     j = (ids.join(routed.select("doc_id", "route", "total_images"), "doc_id", "left")
          .join(reduction.select("doc_id", F.col("size_reduction").alias("_reduction"),
                                 F.col("status").alias("_opt_status")), "doc_id", "left")

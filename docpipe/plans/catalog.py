@@ -637,8 +637,7 @@ def q_convert_documents(spark: SparkSession, d: str) -> DataFrame:
 def _run_metadata(spark: SparkSession, d: str) -> DataFrame:
     from docpipe.operators.results import run_metadata
     reduction = PR.size_reduction(FX.fx_files(spark, d))
-    results = _converted(spark, d).join(
-        reduction.select("doc_id", (F.col("original_size_mb") / 100.0).alias("optimization_time")), "doc_id")
+    results = _converted(spark, d)
     return run_metadata(_job_ids(spark, d), _routed(spark, d), reduction, results, FX.fx_requests(spark, d),
                         F.lit(FX.RUN_TS).cast("timestamp_ntz"))
 
@@ -654,11 +653,9 @@ SELECT i.doc_id, i.job_id, i.source_name AS source_pdf, i.output_markdown,
                                       / CAST(f.file_size_bytes AS DOUBLE) * 100, 1)) || '%' END, 'N/A')
             ELSE 'N/A' END AS size_reduction,
        CASE WHEN r.route = 'remove_images' THEN r.total_images ELSE 0 END AS images_removed,
-       CASE WHEN coalesce(r.route <> 'skipped', FALSE) THEN CAST(f.file_size_bytes AS DOUBLE) / 1024 / 1024 / 100 ELSE 0.0 END
-         AS optimization_seconds,
+       0.0 AS optimization_seconds,
        coalesce(c.processing_time, 0.0) AS ocr_seconds,
-       CASE WHEN coalesce(r.route <> 'skipped', FALSE) THEN CAST(f.file_size_bytes AS DOUBLE) / 1024 / 1024 / 100 ELSE 0.0 END
-         + coalesce(c.processing_time, 0.0) AS total_seconds,
+       0.0 + coalesce(c.processing_time, 0.0) AS total_seconds,
        coalesce(c.model, 'unknown') AS model, coalesce(c.status, 'error') AS status,
        CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS markdown_length,
        CASE WHEN c.status <> 'success' THEN c.error END AS error
