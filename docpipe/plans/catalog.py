@@ -25,9 +25,20 @@ from docpipe.operators import chunks as CH
 from docpipe.operators import jobs as JB
 from docpipe.operators import pages as PG
 from docpipe.operators import profile as PR
+from docpipe.operators.convert import convert_with_fallback, echo_converter, ocr_echo_converter
+from docpipe.operators.line_table import clean_line_table, explode_lines
+from docpipe.operators.results import (
+    approach_summary,
+    encode_document,
+    job_ids,
+    preview,
+    run_metadata,
+    timing_summary,
+)
 from docpipe.plans import sqltext as S
 from docpipe.sources import fixtures as FX
 from docpipe.sources.fixtures import AS_OF, FX_TEXT_LIMIT, with_fixtures
+from docpipe.sources.prompts import PROMPTS, fan_out
 
 
 @dataclass(frozen=True)
@@ -403,7 +414,6 @@ def q_clean_response(spark: SparkSession, d: str) -> DataFrame:
 @query("clean_line_table", with_fixtures(S.clean_sql("fx_responses", remove_markers=True, as_lines=True),
                                          "fx_responses"))
 def q_clean_line_table(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.line_table import clean_line_table, explode_lines
     # Small buckets so that the documents of the test data cross bucket borders.
     return clean_line_table(explode_lines(FX.fx_responses(spark, d)), True, bucket_lines=16)
 
@@ -426,7 +436,6 @@ def q_markup_to_markdown(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, CASE WHEN content IS NULL THEN NULL ELSE substring(content, 1, 500) || '...' END AS preview
 FROM fx_responses""", "fx_responses"))
 def q_result_preview(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import preview
     return FX.fx_responses(spark, d).select("doc_id", preview(F.col("content")).alias("preview"))
 
 
@@ -529,7 +538,6 @@ SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS document_name,
        'data:application/pdf;base64,' || to_base64(encode(text)) AS document_url
 FROM documents"""))
 def q_encode_document(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import encode_document
     return encode_document(FX.fx_file_bytes(spark, d))
 
 
@@ -546,7 +554,6 @@ FROM fx_files
 
 
 def _job_ids(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import job_ids
     return job_ids(FX.fx_files(spark, d), F.lit(FX.RUN_TS).cast("timestamp_ntz"))
 
 
@@ -556,7 +563,6 @@ def q_job_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prompt_values_sql() -> str:
-    from docpipe.sources.prompts import PROMPTS
     rows = [f"({i + 1}, {S.lit(name)}, {len(text)})" for i, (name, text) in enumerate(PROMPTS.items())]
     return "(VALUES " + ", ".join(rows) + ") AS a(approach_no, approach, prompt_length)"
 
@@ -566,7 +572,6 @@ SELECT d.doc_id, a.approach_no, a.approach, a.prompt_length,
        CASE WHEN a.approach = 'default' THEN 'default' ELSE 'custom' END AS prompt_type
 FROM documents d CROSS JOIN {_prompt_values_sql()}"""))
 def q_approach_fanout(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.sources.prompts import fan_out
     docs = FX.read_table(spark, d, "documents").select("doc_id")
     return fan_out(docs).select("doc_id", "approach_no", "approach", "prompt_length", "prompt_type")
 
@@ -581,8 +586,6 @@ FROM (SELECT d.doc_id, a.approach_no, a.approach, (d.doc_id + a.approach_no) % 9
       FROM documents d CROSS JOIN {_prompt_values_sql()})
 GROUP BY doc_id"""))
 def q_approach_summary(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import approach_summary
-    from docpipe.sources.prompts import fan_out
     docs = FX.read_table(spark, d, "documents").select("doc_id")
     runs = fan_out(docs).withColumn("status", F.when(
         ((F.col("doc_id") + F.col("approach_no")) % 9 != 0) & (F.col("doc_id") % 50 != 7), "success").otherwise("error"))
@@ -593,7 +596,6 @@ def q_approach_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _converted(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.convert import convert_with_fallback, echo_converter, ocr_echo_converter
     docs = FX.read_table(spark, d, "documents").select("doc_id", "text").join(FX.fx_requests(spark, d), "doc_id")
     return convert_with_fallback(docs, echo_converter, ocr_echo_converter, keep=["doc_id"],
                                  inputs=["doc_id", "text"], model="converter",
@@ -635,7 +637,6 @@ def q_convert_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_metadata(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import run_metadata
     reduction = PR.size_reduction(FX.fx_files(spark, d))
     results = _converted(spark, d)
     return run_metadata(_job_ids(spark, d), _routed(spark, d), reduction, results, FX.fx_requests(spark, d),
@@ -677,7 +678,6 @@ SELECT status, optimization_performed, count(*) AS runs, round(sum(optimization_
        round(sum(ocr_seconds), 6) AS ocr_seconds, round(sum(total_seconds), 6) AS total_seconds
 FROM ({_METADATA_SQL}) GROUP BY status, optimization_performed""", "fx_pages", "fx_files", "fx_requests"))
 def q_timing_summary(spark: SparkSession, d: str) -> DataFrame:
-    from docpipe.operators.results import timing_summary
     # Sums of doubles depend on the summation order; six decimals make the check order-free.
     t = timing_summary(_run_metadata(spark, d))
     return t.select("status", "optimization_performed", "runs",
