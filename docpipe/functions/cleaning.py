@@ -134,7 +134,9 @@ def remove_confirmation_blocks_lines(lines: Column) -> Column:
 
 
 def remove_confirmation_blocks(text: Column | str) -> Column:
-    return join_lines(remove_confirmation_blocks_lines(split_lines(col_(text))))
+    t = col_(text)
+    # Without any "---" there is no block: the pass is the identity (a cheap whole-text test).
+    return F.when(t.contains(BLOCK_MARKER), join_lines(remove_confirmation_blocks_lines(split_lines(t)))).otherwise(t)
 
 
 # --- line pass --------------------------------------------------------------------------
@@ -190,6 +192,8 @@ def remove_chatter_lines(text: Column | str, remove_page_markers: bool = True) -
 
 def clean_response(text: Column | str, remove_page_markers: bool = True) -> Column:
     """Block pass, line pass, then Python-style strip. NULL and '' come back unchanged."""
-    lines = remove_chatter_lines_lines(
-        remove_confirmation_blocks_lines(split_lines(col_(text))), remove_page_markers)
-    return py_strip(join_lines(lines))
+    t = col_(text)
+    lines = split_lines(t)
+    # Without any "---" there is no block, and the block pass is skipped.
+    after_blocks = F.when(t.contains(BLOCK_MARKER), remove_confirmation_blocks_lines(lines)).otherwise(lines)
+    return py_strip(join_lines(remove_chatter_lines_lines(after_blocks, remove_page_markers)))
