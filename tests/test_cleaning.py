@@ -129,3 +129,16 @@ def test_python_strip_on_unicode_white_space(spark):
     rows = df.select("i", py_strip(F.col("s")).alias("t"), is_blank(F.col("s")).alias("b")).orderBy("i").collect()
     assert [r.t for r in rows] == [s.strip() for s in samples]
     assert [r.b for r in rows] == [not s.strip() for s in samples]
+
+
+odd_line = st.sampled_from(ALPHABET) | st.builds(
+    lambda a, b: a + b, st.sampled_from(["---", "```", "", "x", "Formatting preserved as specified."]),
+    st.sampled_from(["\r", " ", "\x85", "\xa0", "\x1c", " ", "\t"]))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(odd_line, max_size=25))
+def test_hypothesis_line_terminators_inside_lines(spark, lines):
+    doc = "\n".join(lines)
+    assert run(spark, [doc], lambda c: C.clean_response(c, True)) == [M.clean(doc, True)]
+    assert run(spark, [doc], lambda c: C.clean_response(c, False)) == [M.clean(doc, False)]
