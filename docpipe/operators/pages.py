@@ -39,18 +39,51 @@ def missing_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_r
         pages.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
 
 
+SPLIT_ABOVE_PAGES = 10_000
+
+
+def _concat(parts: DataFrame, keys: list[str], order_col: str, text_col: str, separator: str) -> DataFrame:
+    """Texts of each group joined by ``separator`` in ``order_col`` order; keeps the
+    group's first order value so that groups can be ordered again."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t"))))
+    return parts.groupBy(*keys).agg(
+        F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(text_col),
+        F.min(order_col).alias(order_col))
+
+
+def ordered_concat(parts: DataFrame, key: str, order_col: str, text_col: str, separator: str,
+                   size_col: str | None = None, split_above: int = SPLIT_ABOVE_PAGES) -> DataFrame:
+    """(key, text_col): the parts of each key joined in order.
+
+    With ``size_col`` (the number of parts of the key, carried on every row), keys with
+    more than ``split_above`` parts are joined in two levels: first per (key, block of
+    ``split_above`` consecutive parts), spreading one huge key over many tasks, then the
+    few partial texts per key. Smaller keys take a single aggregation. Joining partial
+    texts with the same separator gives the same text as one join of all parts.
+    """
+    if size_col is None:
+        return _concat(parts, [key], order_col, text_col, separator).select(key, text_col)
+    small = parts.where(F.col(size_col) <= split_above)
+    large = parts.where(F.col(size_col) > split_above).withColumn(
+        "_block", F.floor(F.col(order_col) / split_above))
+    one = _concat(small, [key], order_col, text_col, separator)
+    two = _concat(_concat(large, [key, "_block"], order_col, text_col, separator), [key], order_col, text_col,
+                  separator)
+    return one.unionByName(two).select(key, text_col)
+
+
 def stitch_pages(pages: DataFrame, documents: DataFrame, text_col: str = "text",
-                 separator: str = PAGE_SEPARATOR) -> DataFrame:
+                 separator: str = PAGE_SEPARATOR, size_col: str | None = None,
+                 split_above: int = SPLIT_ABOVE_PAGES) -> DataFrame:
     """Non-empty pages of each document in page order, joined by ``separator``.
 
-    A document without any usable page gets ``''`` (left join from ``documents``). The
-    per-document list is bounded by the document itself; ``collect_list`` is combined
-    map-side before the shuffle.
+    A document without any usable page gets ``''`` (left join from ``documents``). With
+    ``size_col`` (page count of the document on each page row) very long documents are
+    stitched in two levels so that no single task collects all of their pages.
     """
     usable = pages.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    stitched = usable.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.col(text_col).alias("t")))),
-                                 lambda p: p["t"]), separator).alias("markdown"))
+    stitched = ordered_concat(usable, "doc_id", "page_no", text_col, separator, size_col, split_above) \
+        .withColumnRenamed(text_col, "markdown")
     return documents.select("doc_id").join(stitched, "doc_id", "left").select(
         "doc_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
 

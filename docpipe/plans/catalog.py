@@ -237,7 +237,8 @@ LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10
     "fx_pages"))
 def q_stitch_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = FX.read_table(spark, d, "documents")
-    return PG.stitch_pages(FX.fx_pages(spark, d), docs)
+    # A low split threshold so that the two-level path for long documents runs on this data.
+    return PG.stitch_pages(FX.fx_pages_sized(spark, d), docs, size_col="n_pages", split_above=16)
 
 
 # ---------------------------------------------------------------------------------------

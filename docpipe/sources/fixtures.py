@@ -36,6 +36,18 @@ def fx_pages(spark: SparkSession, data_dir: str) -> DataFrame:
     return lines.select("doc_id", page_no.alias("page_no"), "text", images.alias("images"))
 
 
+def fx_pages_sized(spark: SparkSession, data_dir: str) -> DataFrame:
+    """fx_pages plus ``n_pages``, the page count of the document on every page row (known
+    where pages are extracted; here the line count of the document row, so no join)."""
+    d = _docs(spark, data_dir, "doc_id", "text").withColumn("_lines", F.split("text", "\n", -1))
+    lines = d.select("doc_id", F.size("_lines").cast("long").alias("n_pages"),
+                     F.posexplode_outer("_lines").alias("pos", "text")).where(F.col("pos").isNotNull())
+    page_no = (F.col("pos") + 1).cast("int")
+    images = F.when((F.col("doc_id") + page_no) % 23 == 0,
+                    (F.col("doc_id") * 7 + page_no * 3) % 41).otherwise(F.lit(0).cast("bigint"))
+    return lines.select("doc_id", page_no.alias("page_no"), "text", images.alias("images"), "n_pages")
+
+
 FX_PAGES_SQL = """
 SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, text,
        CASE WHEN (doc_id + page_no) % 23 = 0 THEN (doc_id * 7 + page_no * 3) % 41 ELSE 0 END AS images

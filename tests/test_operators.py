@@ -151,3 +151,14 @@ def test_random_page_ranges_match_sequential_model(spark):
         except ValueError:
             want = None
         assert pages == want, spec
+
+
+def test_two_level_stitch_equals_single_level(spark):
+    rows = [(1, p, f"p{p}", 7) for p in range(1, 8)] + [(2, 1, "only", 1)] + [(3, 2, "b", 2), (3, 1, "a", 2)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, n long")
+    docs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
+    single = {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs).collect()}
+    for split_above in (1, 2, 3, 100):
+        two = {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs, size_col="n", split_above=split_above).collect()}
+        assert two == single
+    assert single[1] == "\n\n---\n\n".join(f"p{p}" for p in range(1, 8)) and single[4] == ""
