@@ -29,6 +29,7 @@ from docpipe.functions.pages import (
     effective_chunk_size,
     range_label,
 )
+from docpipe.operators.pages import SPLIT_ABOVE_PAGES, ordered_concat
 
 
 def needs_chunking(counts: DataFrame, threshold: int = DEFAULT_CHUNK_THRESHOLD,
@@ -100,20 +101,14 @@ def chunk_succeeded(content: Column) -> Column:
     return ~content.startswith(CHUNK_ERROR_PREFIX)
 
 
-def _ordered_chunks(results: DataFrame) -> DataFrame:
-    return results.groupBy("parent_job_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "chunk_number", "pages", "content", "processing_time", "job_id",
-            chunk_succeeded(F.col("content")).alias("success")))).alias("chunks"))
-
-
-def stitch_chunks(results: DataFrame) -> DataFrame:
+def stitch_chunks(results: DataFrame, split_above: int = SPLIT_ABOVE_PAGES) -> DataFrame:
     """Every chunk (failed ones too) as ``<!-- Pages L -->\\n{content}\\n`` joined by newlines,
-    then cleaned with page markers removed."""
-    def piece(c: Column) -> Column:
-        return F.concat(F.format_string(CHUNK_MARKER_FMT, c["pages"]), F.lit("\n"), c["content"], F.lit("\n"))
-    stitched = _ordered_chunks(results).select(
-        "parent_job_id", F.array_join(F.transform("chunks", piece), "\n").alias("raw_markdown"))
+    then cleaned with page markers removed. Jobs with more than ``split_above`` chunks are
+    joined in two levels (``total_chunks`` is on every row), so no task collects them all."""
+    piece = F.concat(F.format_string(CHUNK_MARKER_FMT, F.col("pages")), F.lit("\n"), F.col("content"), F.lit("\n"))
+    parts = results.select("parent_job_id", "chunk_number", "total_chunks", piece.alias("raw_markdown"))
+    stitched = ordered_concat(parts, "parent_job_id", "chunk_number", "raw_markdown", "\n",
+                              size_col="total_chunks", split_above=split_above)
     return stitched.select("parent_job_id", clean_response(F.col("raw_markdown"), True).alias("markdown"))
 
 

@@ -367,7 +367,8 @@ def q_chunk_failures(spark: SparkSession, d: str) -> DataFrame:
         FROM ({_CHUNK_RESULTS_SQL}) GROUP BY parent_job_id)""",
     key="parent_job_id", col="raw_markdown", remove_markers=True), "fx_pages", "fx_files"))
 def q_stitch_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return CH.stitch_chunks(_chunk_results(spark, d))
+    # A low split threshold so that the two-level path for long jobs runs on this data.
+    return CH.stitch_chunks(_chunk_results(spark, d), split_above=2)
 
 
 @query("chunk_summary", with_fixtures(f"""
