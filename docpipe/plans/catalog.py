@@ -203,7 +203,7 @@ e AS (
 
 
 @query("page_range_parse", with_fixtures(_PARSE_SQL + """
-SELECT doc_id, page_ranges, valid, len(pages) AS n_pages,
+SELECT doc_id, page_ranges, valid, CAST(len(pages) AS INTEGER) AS n_pages,
        array_to_string(pages, ',') AS pages, array_to_string(list_transform(pages, lambda p: p - 1), ',') AS pages0
 FROM e""", "fx_requests"))
 def q_page_range_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -349,8 +349,8 @@ SELECT pl.job_id AS parent_job_id, pl.chunk_number, pl.total_chunks, pl.label AS
               THEN '<!-- ERROR: Chunk ' || pl.label || ' failed: 504 -->'
             ELSE (SELECT string_agg(p.text, chr(10) ORDER BY p.page_no) FROM fx_pages p
                   WHERE p.doc_id = pl.doc_id AND p.page_no BETWEEN pl.start_page AND pl.end_page) END AS content,
-       CASE WHEN (pl.doc_id + pl.chunk_number) % 11 = 0 OR (pl.doc_id + pl.chunk_number) % 7 = 0 THEN 0.0
-            ELSE pl.chunk_number * 1.5 END AS processing_time,
+       CAST(CASE WHEN (pl.doc_id + pl.chunk_number) % 11 = 0 OR (pl.doc_id + pl.chunk_number) % 7 = 0 THEN 0.0
+            ELSE pl.chunk_number * 1.5 END AS DOUBLE) AS processing_time,
        pl.chunk_job_id AS job_id
 FROM ({_PLAN_SQL}) pl WHERE pl.total_pages > 20
 """
@@ -615,7 +615,8 @@ SELECT doc_id,
   CASE WHEN failed AND retriable AND NOT no_range AND doc_id % 3 <> 2
        THEN 'converter (OCR fallback - formatting reduced)' ELSE 'converter' END AS model,
   CASE WHEN failed AND NOT (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN error END AS error,
-  CASE WHEN NOT failed OR (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN length(text) END AS markdown_length,
+  CASE WHEN NOT failed OR (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN CAST(length(text) AS INTEGER) END
+    AS markdown_length,
   CASE WHEN NOT failed THEN CAST(length(text) AS DOUBLE) / 1000
        WHEN retriable AND NOT no_range AND doc_id % 3 <> 2 THEN CAST(length(text) AS DOUBLE) / 2000
        ELSE 0.0 END AS processing_time
@@ -656,11 +657,11 @@ SELECT i.doc_id, i.job_id, i.source_name AS source_pdf, i.output_markdown,
                                       / CAST(f.file_size_bytes AS DOUBLE) * 100, 1)) || '%' END, 'N/A')
             ELSE 'N/A' END AS size_reduction,
        CASE WHEN r.route = 'remove_images' THEN r.total_images ELSE 0 END AS images_removed,
-       0.0 AS optimization_seconds,
+       CAST(0.0 AS DOUBLE) AS optimization_seconds,
        coalesce(c.processing_time, 0.0) AS ocr_seconds,
-       0.0 + coalesce(c.processing_time, 0.0) AS total_seconds,
+       CAST(0.0 AS DOUBLE) + coalesce(c.processing_time, 0.0) AS total_seconds,
        coalesce(c.model, 'unknown') AS model, coalesce(c.status, 'error') AS status,
-       CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS markdown_length,
+       CAST(CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS INTEGER) AS markdown_length,
        CASE WHEN c.status <> 'success' THEN c.error END AS error
 FROM ({_JOB_IDS_SQL}) i
 LEFT JOIN ({_ROUTING_SQL}) r ON i.doc_id = r.doc_id

@@ -30,7 +30,22 @@ def rows_of(columns, rows):
     return [tuple(_norm(r[i]) for i in order) for r in rows], sorted(columns)
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP",
+                 "DateType()": "DATE"}
+
+
+def type_differences(spark_df, con, sql):
+    spark_types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return [(c, t, duck_types.get(c)) for c, t in spark_types.items() if t != duck_types.get(c)]
+
+
 def compare(spark_df, con, sql):
+    types = type_differences(spark_df, con, sql)
+    if types:
+        return [f"column types differ (name, spark, duck): {types}"]
     s_cols = spark_df.columns
     s_rows, s_names = rows_of(s_cols, [tuple(r) for r in spark_df.collect()])
     res = con.execute(sql)
