@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docpipe.constants import STAT_WORDS
+from docpipe.constants import MOVE_CLAUSE_PATTERN, ROLL_PATTERN, STAT_WORDS
 from docpipe.functions.text import col_
 
-# "When you X," / "When you X:" -> "When you **X**," (X never crosses a comma or a line end)
-MOVE_RE = r"When you ([^,\n]+)(?:,|:)"
+# "When you X," / "When you X:" -> "When you **X**,". The rule is per line; on the whole
+# string the clause must also stop at a line end, so the class excludes the newline.
+MOVE_RE = MOVE_CLAUSE_PATTERN.replace("[^,]", r"[^,\n]")
 MOVE_REPLACEMENT = "When you **$1**,"
-# roll+word -> roll+**word** (Unicode word characters)
-ROLL_RE = r"(?U)roll\+(\w+)"
+# roll+word -> roll+**word**; Java needs (?U) for Unicode word characters, as in Python.
+ROLL_RE = "(?U)" + ROLL_PATTERN
 ROLL_REPLACEMENT = "roll+**$1**"
 # stat words, whole word, any case
 STAT_RE = r"(?iU)\b(" + "|".join(STAT_WORDS) + r")\b"
