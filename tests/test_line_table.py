@@ -1,7 +1,6 @@
 """The bucketed lines-table cleaner equals the per-row cleaner, across bucket borders."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import seqmodel as M
 from test_cleaning import random_docs
