@@ -570,8 +570,7 @@ def _prompt_values_sql() -> str:
 
 
 @query("approach_fanout", with_fixtures(f"""
-SELECT d.doc_id, a.approach_no, a.approach, a.prompt_length,
-       CASE WHEN a.approach = 'default' THEN 'default' ELSE 'custom' END AS prompt_type
+SELECT d.doc_id, a.approach_no, a.approach, a.prompt_length, 'custom' AS prompt_type
 FROM documents d CROSS JOIN {_prompt_values_sql()}"""))
 def q_approach_fanout(spark: SparkSession, d: str) -> DataFrame:
     docs = FX.read_table(spark, d, "documents").select("doc_id")

@@ -56,13 +56,18 @@ def prompt_type(prompt_given: Column) -> Column:
 
 
 def fan_out(docs: DataFrame, approaches: list[str] | None = None, custom_prompt: str | None = None) -> DataFrame:
-    """docs x prompt variants: adds approach_no, approach, prompt, prompt_length, prompt_type."""
+    """docs x prompt variants: adds approach_no, approach, prompt, prompt_length, prompt_type.
+
+    ``approaches=None`` is the "all variants" run, where every variant's text — the
+    default one included — is passed as a prompt, so every row is ``custom``. With a
+    chosen list each run is a single-approach run, where ``default`` passes no prompt.
+    """
     arr = approaches_literal(custom_prompt)
     if approaches is not None:
         wanted = F.array(*[F.lit(a) for a in approaches])
         arr = F.filter(arr, lambda a: F.array_contains(wanted, a["approach"]))
+    passed = F.lit(True) if approaches is None else (F.col("_a.approach") != "default")
     out = docs.withColumn("_a", F.explode(arr))
     return out.select(*docs.columns, "_a.approach_no", "_a.approach", "_a.prompt",
                       F.length("_a.prompt").alias("prompt_length"),
-                      # Any named preset is passed as a prompt, so only 'default' counts as default.
-                      prompt_type(F.col("_a.approach") != "default").alias("prompt_type"))
+                      prompt_type(passed).alias("prompt_type"))
