@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docpipe.constants import (
     DEFAULT_STATUS_STYLE,
@@ -145,3 +146,19 @@ def retry_routing(failures: DataFrame, fallback_enabled: Column | bool = True) -
              .otherwise(F.lit("fail")))
     final = F.when(F.col("error_type") == "APITimeoutError", F.lit("api_timeout")).otherwise(F.lit("api_error"))
     return failures.withColumn("retriable", retriable).withColumn("next_route", route).withColumn("final_stage", final)
+
+
+USAGE_SCHEMA = T.StructType([
+    T.StructField("prompt_tokens", T.LongType()),
+    T.StructField("completion_tokens", T.LongType()),
+    T.StructField("total_tokens", T.LongType()),
+])
+
+
+def parse_usage(raw_json: Column, path: str = "usage") -> Column:
+    """Token usage from a raw JSON response string: STRUCT<prompt, completion, total>.
+
+    Missing objects or keys come back NULL (the optional-attribute chains of a client
+    response), malformed JSON too; parsing uses a fixed schema, never inference.
+    """
+    return F.from_json(F.get_json_object(raw_json, f"$.{path}"), USAGE_SCHEMA)

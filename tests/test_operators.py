@@ -162,3 +162,11 @@ def test_two_level_stitch_equals_single_level(spark):
         two = {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs, size_col="n", split_above=split_above).collect()}
         assert two == single
     assert single[1] == "\n\n---\n\n".join(f"p{p}" for p in range(1, 8)) and single[4] == ""
+
+
+def test_parse_usage_from_raw_json(spark):
+    rows = [('{"id": "x", "usage": {"prompt_tokens": 5, "completion_tokens": 7, "total_tokens": 12}}',),
+            ('{"id": "y"}',), ('{"usage": {"total_tokens": 3}}',), ("not json",), (None,)]
+    df = spark.createDataFrame(rows, "raw string")
+    got = [tuple(r.u) if r.u is not None else None for r in df.select(JB.parse_usage(F.col("raw")).alias("u")).collect()]
+    assert got == [(5, 7, 12), None, (None, None, 3), None, None]
