@@ -71,9 +71,18 @@ def chunk_sizes(counts: DataFrame, chunk_size: int | Column = DEFAULT_CHUNK_SIZE
     return counts.select("doc_id", effective_chunk_size(F.col("total_pages"), chunk_size).cast("int").alias("chunk_size"))
 
 
-def chunk_membership(pages: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pages with their chunk number: equi-join on doc_id with one row per document, then
-    arithmetic. The page columns are kept, so no second join is needed for the text."""
+def chunk_membership(pages: DataFrame, sizes: DataFrame | None = None, size_col: str | None = None,
+                     chunk_size: int | Column = DEFAULT_CHUNK_SIZE) -> DataFrame:
+    """Pages with their chunk number; the page columns are kept.
+
+    With ``size_col`` (the document's page count on every page row) the chunk size is
+    computed per row: a narrow projection, no join. Otherwise ``sizes`` (one row per
+    document, see ``chunk_sizes``) is joined on doc_id; a document with very many pages is
+    then one skewed join key, which AQE's skew-join handling splits.
+    """
+    if size_col is not None:
+        size = effective_chunk_size(F.col(size_col), chunk_size)
+        return pages.withColumn("chunk_number", chunk_of_page(F.col("page_no"), size))
     return pages.join(sizes.select("doc_id", "chunk_size"), "doc_id").withColumn(
         "chunk_number", chunk_of_page(F.col("page_no"), F.col("chunk_size"))).drop("chunk_size")
 

@@ -315,8 +315,9 @@ SELECT p.doc_id, p.page_no, CAST(pl.chunk_number AS INTEGER) AS chunk_number
 FROM fx_pages p JOIN ({_PLAN_SQL}) pl
   ON p.doc_id = pl.doc_id AND p.page_no BETWEEN pl.start_page AND pl.end_page""", "fx_pages", "fx_files"))
 def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
-    sizes = CH.chunk_sizes(PG.page_counts(FX.fx_pages(spark, d)))
-    return CH.chunk_membership(FX.fx_pages(spark, d).select("doc_id", "page_no"), sizes)
+    # Page rows carry their document's page count, so the assignment is a projection.
+    pages = FX.fx_pages_sized(spark, d).select("doc_id", "page_no", "n_pages")
+    return CH.chunk_membership(pages, size_col="n_pages").select("doc_id", "page_no", "chunk_number")
 
 
 # Chunk outcomes of a converter run over the chunked documents: a chunk's Markdown is its

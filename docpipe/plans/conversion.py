@@ -52,19 +52,29 @@ def single_pass(pages: DataFrame, files: DataFrame, requests: DataFrame, page_co
 
 def chunked(pages: DataFrame, jobs: DataFrame, chunk_converter: ConverterFactory,
             document_converter: ConverterFactory, chunk_size: int = DEFAULT_CHUNK_SIZE,
-            threshold: int = DEFAULT_CHUNK_THRESHOLD, model: str = "converter") -> dict[str, DataFrame]:
+            threshold: int = DEFAULT_CHUNK_THRESHOLD, model: str = "converter",
+            size_col: str | None = None) -> dict[str, DataFrame]:
     """Long documents in chunks, the rest in one call.
 
     ``jobs``: doc_id, job_id, page_ranges. ``chunk_converter`` reads job_id, chunk_number,
     label, text (the chunk's pages joined by newlines); ``document_converter`` reads
     doc_id, text. Returns ``plan``, ``chunk_results``, ``stitched`` (per parent job,
     cleaned with page markers removed), ``summary`` and ``single`` (cleaned, markers kept).
+    With ``size_col`` (the document's page count on each page row) pages find their chunk
+    without a join.
     """
     counts = PG.page_counts(pages).join(jobs, "doc_id")
     routed = CH.needs_chunking(counts, threshold)
     plan = CH.chunk_plan(routed.where("needs_chunking"), chunk_size)
-    sizes = CH.chunk_sizes(routed.where("needs_chunking"), chunk_size)
-    member = CH.chunk_membership(pages.select("doc_id", "page_no", "text"), sizes)
+    if size_col is not None:
+        # Only long documents can be chunked; the join with the plan on (doc_id,
+        # chunk_number) below keeps those that are, with no join keyed by doc_id alone.
+        long_pages = pages.where(F.col(size_col) > threshold)
+        member = CH.chunk_membership(long_pages.select("doc_id", "page_no", "text", size_col),
+                                     size_col=size_col, chunk_size=chunk_size)
+    else:
+        sizes = CH.chunk_sizes(routed.where("needs_chunking"), chunk_size)
+        member = CH.chunk_membership(pages.select("doc_id", "page_no", "text"), sizes)
     chunk_text = member.groupBy("doc_id", "chunk_number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]),
                      "\n").alias("text"))

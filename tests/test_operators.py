@@ -170,3 +170,13 @@ def test_parse_usage_from_raw_json(spark):
     df = spark.createDataFrame(rows, "raw string")
     got = [tuple(r.u) if r.u is not None else None for r in df.select(JB.parse_usage(F.col("raw")).alias("u")).collect()]
     assert got == [(5, 7, 12), None, (None, None, 3), None, None]
+
+
+def test_chunk_membership_from_row_page_count(spark):
+    pages = spark.range(1, 48).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"),
+                                      F.lit(47).cast("long").alias("n"))
+    counts = spark.createDataFrame([(1, "j", 47)], "doc_id long, job_id string, total_pages long")
+    narrow = CH.chunk_membership(pages, size_col="n").select("doc_id", "page_no", "chunk_number")
+    joined = CH.chunk_membership(pages.drop("n"), CH.chunk_sizes(counts)).select("doc_id", "page_no", "chunk_number")
+    assert sorted(narrow.collect()) == sorted(joined.collect())
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()

@@ -63,6 +63,8 @@ def test_chunked_isolates_failures(spark):
     summary = {r.parent_job_id: r for r in out["summary"].collect()}
     assert all(s.total_chunks >= s.chunks_processed for s in summary.values())
     assert out["single"].count() + len(summary) == jobs.count()
+    sized = chunked(FX.fx_pages_sized(spark, SF_SMALL), jobs, flaky_chunks, upper_pages, size_col="n_pages")
+    assert sorted(sized["stitched"].collect()) == sorted(stitched)
 
 
 def test_file_scan_and_extractor(spark):
