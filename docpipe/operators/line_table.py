@@ -41,85 +41,107 @@ def _bucket(line_no: Column, bucket_lines: int) -> Column:
     return F.floor((line_no - 1) / bucket_lines).cast("long")
 
 
-def _with_blocks(src: DataFrame, key: str) -> DataFrame:
-    """Adds ``blk`` (block number of lines inside a closed ``---`` block, else NULL).
-
-    The running marker count is the marker total of all earlier buckets (a prefix over the
-    one-row-per-bucket summary) plus the running count inside the bucket.
-    """
+def _marker_prefix(src: DataFrame, key: str) -> DataFrame:
+    """(key, b, before, tot): ``---`` lines in all earlier buckets and in the document."""
     per_bucket = src.groupBy(key, "b").agg(F.sum("mk").alias("m"))
     doc = Window.partitionBy(key)
-    prefix = per_bucket.select(
+    return per_bucket.select(
         key, "b",
         F.coalesce(F.sum("m").over(doc.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("m").over(doc).alias("tot"))
+
+
+def _annotated(src: DataFrame, prefix: DataFrame, key: str, remove_page_markers: bool) -> DataFrame:
+    """Every line with its closed-block number (or NULL) and its line-pass flags."""
     within = Window.partitionBy(key, "b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rc = F.col("before") + F.sum("mk").over(within)
-    counted = src.join(prefix, [key, "b"]).withColumn("rc", rc)
     block = F.when((F.col("mk") == 1) | (F.col("rc") % 2 == 1), F.floor((F.col("rc") + 1) / 2))
-    return counted.withColumn("blk", F.when(block * 2 <= F.col("tot"), block)).drop("before", "tot", "rc")
-
-
-def _removed_ranges(blocks: DataFrame, key: str, bucket_lines: int) -> DataFrame:
-    """(key, b, s, e): line ranges of removable confirmation blocks, listed under every
-    bucket they touch (a removable block has at most 15 lines, so few buckets)."""
+    line = F.col("line")
+    return (src.join(prefix, [key, "b"])
+            .withColumn("rc", rc)
+            .withColumn("blk", F.when(block * 2 <= F.col("tot"), block))
+            .select(key, "b", "line_no", "line", "blk",
+                    is_bare_fence(line).alias("fence"),
+                    is_trigger(line, remove_page_markers).alias("trig"),
+                    is_blank(line).alias("blank")))
+
+
+def _summaries(lines: DataFrame, key: str) -> DataFrame:
+    """One row per (key, b, blk): block-test parts, and the line-pass facts the next
+    buckets and the trim need (last non-fence line and its trigger flag, first and last
+    line that will certainly be kept and is not blank)."""
+    in_block = F.col("blk").isNotNull()
     low = F.lower(F.col("line"))
     res = scrub_line(low)
-    stats = blocks.where(F.col("blk").isNotNull()).groupBy(key, "blk").agg(
+    content = in_block & counts_as_content(res)
+    usable = ~F.col("fence")
+    solid = usable & ~F.col("trig") & ~F.col("blank")
+    return lines.groupBy(key, "b", "blk").agg(
         F.count("*").alias("n"),
-        F.bool_or(low.rlike(INDICATOR_RE)).alias("has_ind"),
-        F.bool_or(low.rlike(SUBJECT_RE)).alias("has_subj"),
-        F.sum(F.when(counts_as_content(res), F.length(res)).otherwise(F.lit(0))).alias("res_len"),
-        F.count_if(counts_as_content(res)).alias("res_cnt"),
-        F.min("line_no").alias("s"), F.max("line_no").alias("e"))
-    removable = stats.where(
+        F.bool_or(in_block & low.rlike(INDICATOR_RE)).alias("has_ind"),
+        F.bool_or(in_block & low.rlike(SUBJECT_RE)).alias("has_subj"),
+        F.sum(F.when(content, F.length(res)).otherwise(F.lit(0))).alias("res_len"),
+        F.count_if(content).alias("res_cnt"),
+        F.max_by("trig", F.when(usable, F.col("line_no"))).alias("last_trig"),
+        F.max(F.when(usable, F.col("line_no"))).alias("last_no"),
+        F.min(F.when(solid, F.col("line_no"))).alias("lo"),
+        F.max(F.when(solid, F.col("line_no"))).alias("hi"))
+
+
+def _bucket_state(summary: DataFrame, key: str) -> DataFrame:
+    """(key, b, removed, prev_trig, first, last) from the summary table alone.
+
+    A block is removed on its totals over all buckets it spans. Removed blocks drop out of
+    the bucket facts; the previous bucket's last trigger flag is carried over buckets
+    with no usable line; first/last are the document's outermost kept non-blank lines.
+    """
+    blocks = summary.where(F.col("blk").isNotNull()).groupBy(key, "blk").agg(
+        F.sum("n").alias("n"), F.bool_or("has_ind").alias("has_ind"), F.bool_or("has_subj").alias("has_subj"),
+        F.sum("res_len").alias("res_len"), F.sum("res_cnt").alias("res_cnt"))
+    removed = blocks.where(
         F.col("has_ind") & (F.col("n") <= BLOCK_MAX_LINES) & ~F.col("has_subj")
-        & (F.col("res_len") + F.greatest(F.col("res_cnt") - 1, F.lit(0)) < BLOCK_MAX_RESIDUAL))
-    return removable.select(
-        key, "s", "e",
-        F.explode(F.sequence(_bucket(F.col("s"), bucket_lines), _bucket(F.col("e"), bucket_lines))).alias("b"))
+        & (F.col("res_len") + F.greatest(F.col("res_cnt") - 1, F.lit(0)) < BLOCK_MAX_RESIDUAL)
+    ).select(key, "blk", F.lit(True).alias("gone"))
+    marked = summary.join(removed, [key, "blk"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    per_bucket = marked.groupBy(key, "b").agg(
+        # a removable block has at most 15 lines, so this list stays short
+        F.collect_list(F.when(F.col("gone"), F.col("blk"))).alias("removed"),
+        F.max_by("last_trig", F.when(~F.col("gone"), F.col("last_no"))).alias("last_trig"),
+        F.min(F.when(~F.col("gone"), F.col("lo"))).alias("lo"),
+        F.max(F.when(~F.col("gone"), F.col("hi"))).alias("hi"))
+    by_b = Window.partitionBy(key).orderBy("b")
+    doc = Window.partitionBy(key)
+    return per_bucket.select(
+        key, "b", "removed",
+        F.last("last_trig", ignorenulls=True).over(by_b.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_trig"),
+        F.min("lo").over(doc).alias("first"), F.max("hi").over(doc).alias("last"))
 
 
 def clean_line_table(lines: DataFrame, remove_page_markers: bool = True, key: str = "doc_id",
                      bucket_lines: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """``lines``: key, line_no (1-based, increasing within a document), line.
     Returns key, line_no, line of the lines that survive the block pass, the line pass and
-    the final trim."""
+    the final trim.
+
+    The lines are read in two passes: one per-bucket marker count, and one pass that is
+    both summarised (one row per bucket and block) and, joined with the per-bucket state
+    derived from that summary, filtered into the result.
+    """
     src = (lines.select(key, "line_no", "line")
            .withColumn("b", _bucket(F.col("line_no"), bucket_lines))
            .withColumn("mk", stripped_equals(F.col("line"), BLOCK_MARKER).cast("int")))
+    annotated = _annotated(src, _marker_prefix(src, key), key, remove_page_markers)
+    state = _bucket_state(_summaries(annotated, key), key)
 
-    # Block pass: anti-join with the removed ranges on (key, bucket) plus the range test.
-    blocks = _with_blocks(src, key)
-    rm = _removed_ranges(blocks, key, bucket_lines)
-    kept = blocks.alias("l").join(
-        rm.alias("r"),
-        (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.b") == F.col("r.b"))
-        & F.col("l.line_no").between(F.col("r.s"), F.col("r.e")),
-        "left_anti")
-
-    # Line pass: bare fences go first; "previous line" crosses bucket borders through the
-    # last trigger flag of the previous non-empty bucket.
-    cand = (kept.where(~is_bare_fence(F.col("line")))
-            .select(key, "b", "line_no", "line",
-                    is_trigger(F.col("line"), remove_page_markers).alias("trig"),
-                    is_blank(F.col("line")).alias("blank")))
-    last = cand.groupBy(key, "b").agg(F.max_by("trig", "line_no").alias("last_trig"))
-    carry = last.select(key, "b", F.lag("last_trig").over(Window.partitionBy(key).orderBy("b")).alias("prev_trig"))
     within = Window.partitionBy(key, "b").orderBy("line_no")
     prev = F.coalesce(F.lag("trig").over(within), F.col("prev_trig"), F.lit(False))
-    survivors = (cand.join(carry, [key, "b"])
+    survivors = (annotated.join(state, [key, "b"])
+                 .where(~F.col("fence") & (F.col("blk").isNull() | ~F.array_contains("removed", F.col("blk"))))
                  .withColumn("prev", prev)
-                 .where(~F.col("trig") & ~(F.col("prev") & F.col("blank")))
-                 .select(key, "b", "line_no", "line", "blank"))
+                 .where(~F.col("trig") & ~(F.col("prev") & F.col("blank"))))
 
     # Final trim of the joined text: drop blank lines before the first and after the last
-    # non-blank line of the document, strip the outer ends of those two lines. The bounds
-    # come from one summary row per bucket, spread back to every bucket of the document.
-    nb = F.when(~F.col("blank"), F.col("line_no"))
-    per_bucket = survivors.groupBy(key, "b").agg(F.min(nb).alias("lo"), F.max(nb).alias("hi"))
-    doc = Window.partitionBy(key)
-    bounds = per_bucket.select(key, "b", F.min("lo").over(doc).alias("first"), F.max("hi").over(doc).alias("last"))
+    # non-blank line of the document, strip the outer ends of those two lines.
     ws = F.lit(PY_WHITESPACE_CHARS)
     ln = F.col("line_no")
     line = F.col("line")
@@ -127,9 +149,7 @@ def clean_line_table(lines: DataFrame, remove_page_markers: bool = True, key: st
                .when(ln == F.col("first"), F.ltrim(line, ws))
                .when(ln == F.col("last"), F.rtrim(line, ws))
                .otherwise(line))
-    return (survivors.join(bounds, [key, "b"])
-            .where(ln.between(F.col("first"), F.col("last")))
-            .select(key, "line_no", trimmed.alias("line")))
+    return survivors.where(ln.between(F.col("first"), F.col("last"))).select(key, "line_no", trimmed.alias("line"))
 
 
 def explode_lines(docs: DataFrame, text_col: str = "content", key: str = "doc_id") -> DataFrame:
