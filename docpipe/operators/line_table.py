@@ -8,13 +8,15 @@ This operator never keys the lines by ``doc_id`` alone:
 - lines are grouped into buckets of ``bucket_lines`` consecutive lines; every join and
   every window over lines is keyed by ``(doc_id, bucket)``, so a huge document spreads
   over as many tasks as it has buckets;
-- the state that crosses bucket borders (running count of ``---`` markers, "was the
-  previous kept line a trigger", first/last non-blank line) is computed on a per-bucket
-  summary table — one row per bucket — as a prefix over buckets, then joined back;
-- per-block tests are partial aggregates grouped by ``(doc_id, block)``.
-
-The lines themselves are shuffled once (on ``(doc_id, bucket)``); later joins and windows
-reuse that partitioning. The result is the kept lines with the final trim applied, so
+- everything that crosses bucket borders (running count of ``---`` markers, the block
+  tests, "was the previous kept line a trigger", first/last kept non-blank line) is
+  derived from small summary tables — one row per bucket, or per (bucket, block) — as
+  prefixes over buckets, and joined back once;
+- a removable block has at most 15 lines, so the removed block numbers of a bucket travel
+  as a short array on the bucket's summary row.
+
+The lines are read twice (a per-bucket marker count, then the annotated pass that is both
+summarised and filtered); the result is the kept lines with the final trim applied, so
 joining them with ``\\n`` in ``line_no`` order gives ``clean_response``.
 """
 
