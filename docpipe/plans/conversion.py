@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docpipe.constants import DEFAULT_CHUNK_SIZE, DEFAULT_CHUNK_THRESHOLD, PAGE_TEXT_LIMIT
 from docpipe.functions.cleaning import clean_response
 from docpipe.functions.emphasis import enhance_formatting
+from docpipe.functions.pages import int_range, parse_page_ranges
 from docpipe.operators import chunks as CH
 from docpipe.operators import pages as PG
 from docpipe.operators import profile as PR
@@ -34,9 +35,13 @@ def single_pass(pages: DataFrame, files: DataFrame, requests: DataFrame, page_co
     doc_id, page_no, text and returns Markdown per page.
     """
     routed = PR.optimize_routing(PR.document_profile(pages, files, text_limit), skip_optimization, keep_images)
-    ranged = requests.where(F.col("page_ranges").isNotNull() & (F.col("page_ranges") != ""))
-    all_pages = pages.join(ranged.select("doc_id"), "doc_id", "left_anti")
-    wanted = all_pages.unionByName(PG.select_pages(pages, ranged))
+    # The wanted (doc_id, page_no) list is built per document (all pages, or the parsed
+    # range), so the page table is joined only on (doc_id, page_no), never on doc_id alone.
+    whole = F.col("page_ranges").isNull() | (F.col("page_ranges") == "")
+    wanted_list = requests.join(routed.select("doc_id", "total_pages"), "doc_id").select(
+        "doc_id", F.explode(F.when(whole, int_range(F.lit(1), F.col("total_pages").cast("int")))
+                            .otherwise(parse_page_ranges(F.col("page_ranges")))).alias("page_no"))
+    wanted = pages.join(wanted_list, ["doc_id", "page_no"], "left_semi")
     # Read by the stitch and by the counts: materialise so each page is converted once.
     converted = reliable(convert(wanted, page_converter, keep=["doc_id", "page_no"], inputs=["text"]))
     ok = converted.where(F.col("status") == "success").select("doc_id", "page_no", F.col("markdown").alias("text"))

@@ -48,6 +48,8 @@ def test_single_pass(spark):
     first = pages.where("doc_id = 3 AND page_no = 1").first().text.upper()
     assert docs[3].pages_ok == 1 and docs[3].markdown.startswith(first[:20].strip()[:5])
     assert out["routed"].where("route = 'remove_images'").count() > 0
+    # doc 7 has no page range: every page is converted
+    assert docs[7].pages_ok == pages.where("doc_id = 7").count()
 
 
 def test_chunked_isolates_failures(spark):
