@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.constants import PAGE_SEPARATOR
-from docpipe.functions.pages import page_ranges_valid, parse_page_ranges, zero_based
+from docpipe.functions.pages import int_range, page_ranges_valid, parse_page_ranges, zero_based
 
 
 def parsed_requests(requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
@@ -28,6 +28,14 @@ def requested_pages(requests: DataFrame, spec_col: str = "page_ranges") -> DataF
     return requests.select("doc_id", F.explode(parse_page_ranges(F.col(spec_col))).alias("page_no"))
 
 
+def wanted_pages(requests: DataFrame, spec_col: str = "page_ranges", count_col: str = "total_pages") -> DataFrame:
+    """(doc_id, page_no) to convert: the parsed range, or every page 1..count when no range
+    is given. Built per document, so the page table is joined on (doc_id, page_no) only."""
+    whole = F.col(spec_col).isNull() | (F.col(spec_col) == "")
+    pages = F.when(whole, int_range(F.lit(1), F.col(count_col).cast("int"))).otherwise(parse_page_ranges(F.col(spec_col)))
+    return requests.select("doc_id", F.explode(pages).alias("page_no"))
+
+
 def select_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
     """Pages that were asked for and exist (left semi-join)."""
     return pages.join(requested_pages(requests, spec_col), ["doc_id", "page_no"], "left_semi")

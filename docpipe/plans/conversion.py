@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from docpipe.constants import DEFAULT_CHUNK_SIZE, DEFAULT_CHUNK_THRESHOLD, PAGE_TEXT_LIMIT
 from docpipe.functions.cleaning import clean_response
 from docpipe.functions.emphasis import enhance_formatting
-from docpipe.functions.pages import int_range, parse_page_ranges
 from docpipe.operators import chunks as CH
 from docpipe.operators import pages as PG
 from docpipe.operators import profile as PR
@@ -37,10 +36,7 @@ def single_pass(pages: DataFrame, files: DataFrame, requests: DataFrame, page_co
     routed = PR.optimize_routing(PR.document_profile(pages, files, text_limit), skip_optimization, keep_images)
     # The wanted (doc_id, page_no) list is built per document (all pages, or the parsed
     # range), so the page table is joined only on (doc_id, page_no), never on doc_id alone.
-    whole = F.col("page_ranges").isNull() | (F.col("page_ranges") == "")
-    wanted_list = requests.join(routed.select("doc_id", "total_pages"), "doc_id").select(
-        "doc_id", F.explode(F.when(whole, int_range(F.lit(1), F.col("total_pages").cast("int")))
-                            .otherwise(parse_page_ranges(F.col("page_ranges")))).alias("page_no"))
+    wanted_list = PG.wanted_pages(requests.join(routed.select("doc_id", "total_pages"), "doc_id"))
     wanted = pages.join(wanted_list, ["doc_id", "page_no"], "left_semi")
     # Read by the stitch and by the counts: materialise so each page is converted once.
     converted = reliable(convert(wanted, page_converter, keep=["doc_id", "page_no"], inputs=["text"]))
@@ -87,8 +83,10 @@ def chunked(pages: DataFrame, jobs: DataFrame, chunk_converter: ConverterFactory
     # Read by the stitch and by the summary: materialise so each chunk is converted once.
     outcomes = reliable(convert(chunk_in, chunk_converter, keep=["job_id", "chunk_number"], inputs=["label", "text"]))
     results = CH.chunk_results(plan, outcomes)
-    single_docs = routed.where(~F.col("needs_chunking")).select("doc_id")
-    whole = PG.stitch_pages(pages.join(single_docs, "doc_id", "left_semi"), single_docs, separator="\n") \
+    # Documents converted in one call: only their requested pages (all when no range).
+    single_docs = routed.where(~F.col("needs_chunking"))
+    single_pages = pages.join(PG.wanted_pages(single_docs), ["doc_id", "page_no"], "left_semi")
+    whole = PG.stitch_pages(single_pages, single_docs.select("doc_id"), separator="\n") \
         .withColumnRenamed("markdown", "text")
     single = convert(whole, document_converter, keep=["doc_id"], inputs=["text"]).select(
         "doc_id", "status", "error", clean_response(F.col("markdown"), False).alias("markdown"))

@@ -105,3 +105,15 @@ def test_job_record_ingest_and_sinks(spark):
     SK.write_markdown(spark.createDataFrame([(1, "a", "j", "x.md", "# t")],
                                             "doc_id long, approach string, job_id string, output_name string, markdown string"), md)
     assert spark.read.parquet(md).first().markdown == "# t"
+
+
+def test_chunked_respects_page_ranges(spark):
+    pages = FX.fx_pages(spark, SF_SMALL)
+    jobs = FX.fx_files(spark, SF_SMALL).select(
+        "doc_id", F.concat(F.lit("job_y_"), F.col("doc_id")).alias("job_id"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("1")).alias("page_ranges"))
+    out = chunked(pages, jobs, flaky_chunks, upper_pages)
+    single = {r.doc_id: r.markdown for r in out["single"].collect()}
+    p1 = {r.doc_id: r.text for r in pages.where("page_no = 1").collect()}
+    ranged = [d for d in single if d % 2 == 0]
+    assert ranged and all(single[d] == p1[d].upper().strip() for d in ranged)
