@@ -54,7 +54,7 @@ def single_pass(pages: DataFrame, files: DataFrame, requests: DataFrame, page_co
 def chunked(pages: DataFrame, jobs: DataFrame, chunk_converter: ConverterFactory,
             document_converter: ConverterFactory, chunk_size: int = DEFAULT_CHUNK_SIZE,
             threshold: int = DEFAULT_CHUNK_THRESHOLD, model: str = "converter",
-            size_col: str | None = None) -> dict[str, DataFrame]:
+            size_col: str | None = None, forced: DataFrame | None = None) -> dict[str, DataFrame]:
     """Long documents in chunks, the rest in one call.
 
     ``jobs``: doc_id, job_id, page_ranges. ``chunk_converter`` reads job_id, chunk_number,
@@ -62,10 +62,16 @@ def chunked(pages: DataFrame, jobs: DataFrame, chunk_converter: ConverterFactory
     doc_id, text. Returns ``plan``, ``chunk_results``, ``stitched`` (per parent job,
     cleaned with page markers removed), ``summary`` and ``single`` (cleaned, markers kept).
     With ``size_col`` (the document's page count on each page row) pages find their chunk
-    without a join.
+    without a join. ``forced`` (doc_id) lists documents the retry ladder sent to chunking
+    after a time-out (``convert_with_fallback`` route ``chunk``): they are chunked whatever
+    their size or the disable flag.
     """
     counts = PG.page_counts(pages).join(jobs, "doc_id")
     routed = CH.needs_chunking(counts, threshold)
+    if forced is not None:
+        flag = forced.select("doc_id").distinct().withColumn("_forced", F.lit(True))
+        routed = routed.join(flag, "doc_id", "left").withColumn(
+            "needs_chunking", F.col("needs_chunking") | F.coalesce(F.col("_forced"), F.lit(False))).drop("_forced")
     plan = CH.chunk_plan(routed.where("needs_chunking"), chunk_size)
     if size_col is not None:
         # Only long documents can be chunked; the join with the plan on (doc_id,

@@ -117,3 +117,15 @@ def test_chunked_respects_page_ranges(spark):
     p1 = {r.doc_id: r.text for r in pages.where("page_no = 1").collect()}
     ranged = [d for d in single if d % 2 == 0]
     assert ranged and all(single[d] == p1[d].upper().strip() for d in ranged)
+
+
+def test_chunked_forced_by_retry_route(spark):
+    pages = FX.fx_pages(spark, SF_SMALL)
+    jobs = FX.fx_files(spark, SF_SMALL).select(
+        "doc_id", F.concat(F.lit("job_z_"), F.col("doc_id")).alias("job_id"), F.lit(None).cast("string").alias("page_ranges"))
+    small = pages.groupBy("doc_id").count().where("count <= 10").orderBy("doc_id").first()
+    forced = spark.createDataFrame([(small.doc_id,)], "doc_id long")
+    out = chunked(pages, jobs, flaky_chunks, upper_pages, forced=forced)
+    plan = out["plan"].where(F.col("doc_id") == small.doc_id).collect()
+    assert plan and all(r.chunk_size == 5 for r in plan)          # short documents use 5-page chunks
+    assert out["single"].where(F.col("doc_id") == small.doc_id).count() == 0
