@@ -59,32 +59,37 @@ def live_job_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
                 "deadline timestamp_ntz")
 _STATE_SCHEMA = ("start_us long, last_ts_us long, last_id long, status string, stage string, "
-                 "input_file string")
+                 "input_file string, alerted boolean")
+ALERT_RETENTION_MS = 24 * 3600 * 1000      # how long an alerted job is remembered
 
 
 def _us(ts: pd.Series) -> pd.Series:
     return ts.astype("datetime64[us]").astype("int64")
 
 
+def _alert(job_id: str, start_us: int, stage, input_file, limit_us: int) -> pd.DataFrame:
+    return pd.DataFrame({
+        "job_id": [job_id],
+        "start_time": [pd.Timestamp(start_us, unit="us")],
+        "stage": [stage if stage is not None else "unknown"],
+        "input_file": [input_file],
+        "deadline": [pd.Timestamp(start_us + limit_us, unit="us")],
+    })
+
+
 def _track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     job_id = key[0]
     limit_us = HUNG_JOB_SECONDS * 1_000_000
     if state.hasTimedOut:
-        start_us, _, _, status, stage, input_file = state.get
+        start_us, _, _, status, stage, input_file, alerted = state.get
         state.remove()
-        if status == "started":
-            yield pd.DataFrame({
-                "job_id": [job_id],
-                "start_time": [pd.Timestamp(start_us, unit="us")],
-                "stage": [stage if stage is not None else "unknown"],
-                "input_file": [input_file],
-                "deadline": [pd.Timestamp(start_us + limit_us, unit="us")],
-            })
+        if status == "started" and not alerted:
+            yield _alert(job_id, start_us, stage, input_file, limit_us)
         return
     if state.exists:
-        start_us, last_ts, last_id, status, stage, input_file = state.get
+        start_us, last_ts, last_id, status, stage, input_file, alerted = state.get
     else:
-        start_us, last_ts, last_id, status, stage, input_file = None, None, None, None, None, None
+        start_us, last_ts, last_id, status, stage, input_file, alerted = None, None, None, None, None, None, False
     for pdf in pdfs:
         ts = _us(pdf["event_ts"])
         first = int(ts.min())
@@ -100,12 +105,28 @@ def _track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if status in TERMINAL:
         state.remove()
         return
-    state.update((start_us, last_ts, last_id, status, stage, input_file))
-    state.setTimeoutTimestamp((start_us + limit_us) // 1000)   # milliseconds
+    deadline_ms = (start_us + limit_us) // 1000
+    watermark_ms = state.getCurrentWatermarkMs()
+    if deadline_ms < watermark_ms:
+        # Events arrived after the deadline had already passed: alert now, once, and keep
+        # remembering the job for a while so that later events do not alert again.
+        if not alerted:
+            alerted = True
+            yield _alert(job_id, start_us, stage, input_file, limit_us)
+        state.update((start_us, last_ts, last_id, status, stage, input_file, alerted))
+        state.setTimeoutTimestamp(watermark_ms + ALERT_RETENTION_MS)
+        return
+    state.update((start_us, last_ts, last_id, status, stage, input_file, alerted))
+    state.setTimeoutTimestamp(deadline_ms)
 
 
 def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Alerts for jobs still running 600 s after they started (output mode ``append``)."""
+    """Alerts for jobs still running 600 s after they started (output mode ``append``).
+
+    A job gets at most one alert: when the event-time watermark passes its start + 600 s
+    while its newest status is ``started``, or at once if its events arrive after that
+    point. A terminal event (completed / failed) clears the job.
+    """
     return (with_event_time(events).withWatermark("event_time", watermark)
             .groupBy("job_id")
             .applyInPandasWithState(_track, ALERT_SCHEMA, _STATE_SCHEMA, "append",

@@ -91,3 +91,23 @@ def test_chunk_collection_then_batch_stitch(spark):
     assert [r.parent_job_id for r in done.collect()] == ["j1"]
     stitched = stitch_chunks(collected.join(done, "parent_job_id", "left_semi")).collect()
     assert [(r.parent_job_id, r.markdown) for r in stitched] == [("j1", "a\nb\n\nc")]
+
+
+def test_hung_job_alerts_over_many_batches(spark):
+    src = scratch()
+    events = FX.fx_job_events(spark, SF_SMALL)
+    # one file per ~3 days, in event-time order: timers fire across micro-batches
+    days = [f"2024-01-{d:02d}" for d in range(1, 32, 3)] + ["2024-02-01"]
+    for lo, hi in zip(days, days[1:]):
+        events.where((F.col("event_ts") >= F.lit(lo).cast("timestamp_ntz"))
+                     & (F.col("event_ts") < F.lit(hi).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(src)
+    q = (L.hung_job_alerts(L.read_job_events(spark, src, max_files_per_trigger=1), watermark="0 seconds").writeStream
+         .format("memory").queryName("hung_many").outputMode("append")
+         .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
+    q.awaitTermination()
+    alerts = spark.table("hung_many")
+    assert alerts.count() == alerts.select("job_id").distinct().count() > 0      # at most one alert per job
+    # Each job's events lie in one file, so the alerts equal the batch view at the last event.
+    last = events.agg(F.max("event_ts")).first()[0]
+    want = sorted(r.job_id for r in JB.hung_jobs(JB.latest_job_state(events), F.lit(last)).collect())
+    assert sorted(r.job_id for r in alerts.collect()) == want
