@@ -31,6 +31,8 @@ def build_session(master: str | None = None, app_name: str = "docpipe",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoints written by reliable() are removed once nothing references them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "16g",
     }
     if shuffle_partitions:
