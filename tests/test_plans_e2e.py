@@ -129,3 +129,16 @@ def test_chunked_forced_by_retry_route(spark):
     plan = out["plan"].where(F.col("doc_id") == small.doc_id).collect()
     assert plan and all(r.chunk_size == 5 for r in plan)          # short documents use 5-page chunks
     assert out["single"].where(F.col("doc_id") == small.doc_id).count() == 0
+
+
+def test_metadata_sink_round_trip(spark):
+    from docpipe.plans.catalog import REGISTRY
+    meta = REGISTRY["run_metadata"].run(spark, SF_SMALL)
+    out = tempfile.mkdtemp(prefix="docpipe-meta-") + "/meta"
+    SK.write_metadata(meta, out)
+    back = spark.read.json(out)
+    assert back.count() == meta.count()
+    row = back.where("status = 'success'").first()
+    assert row.optimization.size_reduction is not None and row.processing_time.total >= row.processing_time.ocr
+    assert set(back.columns) >= {"source_pdf", "output_markdown", "job_id", "pages_processed", "optimization",
+                                 "processing_time", "model", "status", "markdown_length"}
