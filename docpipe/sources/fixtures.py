@@ -3,8 +3,9 @@
 The conversion tool's own inputs are PDF files and model answers, which the test data does
 not contain. These views derive such inputs from ``documents``, ``pages`` and ``events``
 deterministically, once as DataFrame code and once as DuckDB SQL, so that the Spark
-queries and their SQL oracle read identical rows. Each view is a narrow projection
-(no shuffle) except ``fx_chunk_results``, which stitches the pages of a chunk.
+queries and their SQL oracle read identical rows. Every view is a narrow projection of one
+driver table (no shuffle); chunk outcomes are derived in ``plans/catalog.py`` from the
+chunk plan, slicing each chunk's pages out of its document row.
 """
 
 from __future__ import annotations
