@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docpipe.constants import (
     CHUNK_ERROR_PREFIX,
+    CHUNK_EXCEPTION_FMT,
     CHUNK_FAILED_FMT,
     CHUNK_MARKER_FMT,
     CHUNKED_MODEL_FMT,
@@ -91,14 +92,18 @@ def chunk_results(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Failure isolation: every planned chunk gets a row, failed ones an error comment.
 
     ``outcomes``: job_id (parent), chunk_number, status, markdown, error, processing_time.
-    A chunk without an outcome row counts as failed with an unknown error.
+    A returned error reads ``failed: {error}``, a raised one ``error: {message}``; a chunk
+    without an outcome row counts as failed with an unknown error.
     """
     o = outcomes.select("job_id", "chunk_number", "status", "markdown", "error", "processing_time")
     joined = plan.select("job_id", "chunk_number", "total_chunks", "label", "chunk_job_id").join(
         o, ["job_id", "chunk_number"], "left")
     ok = F.col("status") == "success"
-    content = F.when(ok, F.col("markdown")).otherwise(
-        F.format_string(CHUNK_FAILED_FMT, F.col("label"), F.coalesce(F.col("error"), F.lit(UNKNOWN_ERROR))))
+    content = (F.when(ok, F.col("markdown"))
+               .when(F.col("status") == "exception",
+                     F.format_string(CHUNK_EXCEPTION_FMT, F.col("label"), F.col("error")))
+               .otherwise(F.format_string(CHUNK_FAILED_FMT, F.col("label"),
+                                          F.coalesce(F.col("error"), F.lit(UNKNOWN_ERROR)))))
     return joined.select(
         F.col("job_id").alias("parent_job_id"), "chunk_number", "total_chunks",
         F.col("label").alias("pages"), content.alias("content"),

@@ -22,7 +22,8 @@ from docpipe.operators.jobs import retry_routing
 from docpipe.session import reliable
 
 # A converter receives a pandas batch of input rows and returns, aligned with it, columns
-# status ('success' | 'error'), markdown, error, error_type, processing_time.
+# status ('success' | 'error'), markdown, error, error_type, processing_time. A converter
+# that raises for a row gives that row status 'exception'.
 Converter = Callable[[pd.DataFrame], pd.DataFrame]
 ConverterFactory = Callable[[], Converter]
 
@@ -37,7 +38,9 @@ RESULT_COLUMNS = [f.name for f in RESULT_FIELDS]
 
 
 def _error_frame(n: int, exc: BaseException) -> pd.DataFrame:
-    return pd.DataFrame({"status": ["error"] * n, "markdown": [None] * n, "error": [str(exc)] * n,
+    """Rows for a converter call that raised: status ``exception`` (a returned error is
+    ``error``), the message and the exception's type."""
+    return pd.DataFrame({"status": ["exception"] * n, "markdown": [None] * n, "error": [str(exc)] * n,
                          "error_type": [type(exc).__name__] * n, "processing_time": [0.0] * n})
 
 

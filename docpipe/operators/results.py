@@ -108,7 +108,8 @@ def run_metadata(ids: DataFrame, routed: DataFrame, reduction: DataFrame, result
         ocr_time.alias("ocr_seconds"),
         (opt_time + ocr_time).alias("total_seconds"),
         F.coalesce(F.col("model"), F.lit("unknown")).alias("model"),
-        F.coalesce(F.col("status"), F.lit("error")).alias("status"),
+        # a raised conversion is an error in the record; 'chunked' means handed to chunking
+        F.when(F.col("status").isin("success", "chunked"), F.col("status")).otherwise(F.lit("error")).alias("status"),
         F.when(ok, F.length("markdown")).otherwise(F.lit(0)).alias("markdown_length"),
         F.when(~ok, F.col("error")).alias("error"),
     )

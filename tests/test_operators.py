@@ -180,3 +180,26 @@ def test_chunk_membership_from_row_page_count(spark):
     joined = CH.chunk_membership(pages.drop("n"), CH.chunk_sizes(counts)).select("doc_id", "page_no", "chunk_number")
     assert sorted(narrow.collect()) == sorted(joined.collect())
     assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_results_error_forms(spark):
+    plan = spark.createDataFrame([("j", 1, 3, "1-5", "j_chunk_01_of_03"), ("j", 2, 3, "6-10", "j_chunk_02_of_03"),
+                                  ("j", 3, 3, "11", "j_chunk_03_of_03")],
+                                 "job_id string, chunk_number int, total_chunks int, label string, chunk_job_id string")
+    outcomes = spark.createDataFrame([("j", 1, "error", None, "HTTP 504", 0.0), ("j", 2, "exception", None, "boom", 0.0)],
+                                     "job_id string, chunk_number int, status string, markdown string, error string, "
+                                     "processing_time double")
+    got = {r.chunk_number: r.content for r in CH.chunk_results(plan, outcomes).collect()}
+    assert got == {1: "<!-- ERROR: Chunk 1-5 failed: HTTP 504 -->", 2: "<!-- ERROR: Chunk 6-10 error: boom -->",
+                   3: "<!-- ERROR: Chunk 11 failed: Unknown error -->"}
+
+
+def test_output_names(spark):
+    from docpipe.operators.results import approach_output_name, job_ids
+    files = spark.createDataFrame([(1, "/corpus/a/Rule Book.v2.pdf")], "doc_id long, path string")
+    r = job_ids(files, F.lit("2024-01-30 12:00:05").cast("timestamp_ntz")).first()
+    assert r.job_id == "job_20240130_120005_Rule Book.v2"
+    assert r.output_markdown == "Rule Book.v2_job_20240130_120005_Rule Book.v2.md"
+    assert r.error_metadata == "Rule Book.v2_error_job_20240130_120005_Rule Book.v2_error_metadata.json"
+    name = spark.range(1).select(approach_output_name(F.lit("Rule Book.v2"), F.lit("minimal"), F.lit(r.job_id))).first()[0]
+    assert name == "Rule Book.v2_minimal_job_20240130_120005_Rule Book.v2.md"
