@@ -34,12 +34,21 @@ def page_ranges_valid(spec: Column | str) -> Column:
                     & F.forall(F.split(p, "-", -1), lambda n: n.try_cast("int").isNotNull()))
 
 
-def parse_page_ranges(spec: Column | str) -> Column:
-    """``"1-3,5,7-9"`` -> sorted distinct ARRAY<INT>; NULL when the spec is NULL or invalid."""
+def parse_page_ranges(spec: Column | str, max_page: Column | None = None) -> Column:
+    """``"1-3,5,7-9"`` -> sorted distinct ARRAY<INT>; NULL when the spec is NULL or invalid.
+
+    With ``max_page`` only pages in 1..max_page are produced, and each range is clipped
+    before it is expanded, so a range like ``1-1000000000`` costs no more than the
+    document's own pages. Use it where only existing pages matter.
+    """
     def expand(p: Column) -> Column:
         bounds = F.split(p, "-", -1)
         a = F.get(bounds, 0).try_cast("int")
         b = F.get(bounds, 1).try_cast("int")
+        if max_page is not None:
+            top = max_page.cast("int")
+            return F.when(F.size(bounds) == 2, int_range(F.greatest(a, F.lit(1)), F.least(b, top))) \
+                .otherwise(F.when((a >= 1) & (a <= top), F.array(a)).otherwise(empty_int_array()))
         return F.when(F.size(bounds) == 2, int_range(a, b)).otherwise(F.array(a))
     pages = F.array_sort(F.array_distinct(F.flatten(F.transform(range_parts(spec), expand))))
     return F.when(page_ranges_valid(spec), pages)

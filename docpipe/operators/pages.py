@@ -32,7 +32,8 @@ def wanted_pages(requests: DataFrame, spec_col: str = "page_ranges", count_col:
     """(doc_id, page_no) to convert: the parsed range, or every page 1..count when no range
     is given. Built per document, so the page table is joined on (doc_id, page_no) only."""
     whole = F.col(spec_col).isNull() | (F.col(spec_col) == "")
-    pages = F.when(whole, int_range(F.lit(1), F.col(count_col).cast("int"))).otherwise(parse_page_ranges(F.col(spec_col)))
+    count = F.col(count_col)
+    pages = F.when(whole, int_range(F.lit(1), count.cast("int"))).otherwise(parse_page_ranges(F.col(spec_col), count))
     return requests.select("doc_id", F.explode(pages).alias("page_no"))
 
 

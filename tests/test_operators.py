@@ -203,3 +203,12 @@ def test_output_names(spark):
     assert r.error_metadata == "Rule Book.v2_error_job_20240130_120005_Rule Book.v2_error_metadata.json"
     name = spark.range(1).select(approach_output_name(F.lit("Rule Book.v2"), F.lit("minimal"), F.lit(r.job_id))).first()[0]
     assert name == "Rule Book.v2_minimal_job_20240130_120005_Rule Book.v2.md"
+
+
+def test_page_ranges_clipped_to_document(spark):
+    df = spark.createDataFrame([("1-1000000000", 5), ("0,3,9", 5), ("4-2", 5), ("x", 5)], "s string, n long")
+    got = [r.p for r in df.select(parse_page_ranges(F.col("s"), F.col("n")).alias("p")).collect()]
+    assert got == [[1, 2, 3, 4, 5], [3], [], None]
+    wanted = PG.wanted_pages(spark.createDataFrame([(1, "2-1000000000", 3), (2, None, 2)],
+                                                   "doc_id long, page_ranges string, total_pages long"))
+    assert sorted(tuple(r) for r in wanted.collect()) == [(1, 2), (1, 3), (2, 1), (2, 2)]
