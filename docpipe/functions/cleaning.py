@@ -23,6 +23,8 @@ break), which is what makes the per-line array form exact.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,7 +136,9 @@ def remove_confirmation_blocks_lines(lines: Column) -> Column:
 
 
 def remove_confirmation_blocks(text: Column | str) -> Column:
-    t = col_(text)
+    if isinstance(text, str):
+        return _cached("blocks", text, True)
+    t = text
     # Without any "---" there is no block: the pass is the identity (a cheap whole-text test).
     return F.when(t.contains(BLOCK_MARKER), join_lines(remove_confirmation_blocks_lines(split_lines(t)))).otherwise(t)
 
@@ -185,13 +189,36 @@ def remove_chatter_lines_lines(lines: Column, remove_page_markers: bool = True)
 
 
 def remove_chatter_lines(text: Column | str, remove_page_markers: bool = True) -> Column:
-    return join_lines(remove_chatter_lines_lines(split_lines(col_(text)), remove_page_markers))
+    if isinstance(text, str):
+        return _cached("lines", text, remove_page_markers)
+    return join_lines(remove_chatter_lines_lines(split_lines(text), remove_page_markers))
 
 
 # --- full cleaner -----------------------------------------------------------------------
 
 def clean_response(text: Column | str, remove_page_markers: bool = True) -> Column:
-    """Block pass, line pass, then Python-style strip. NULL and '' come back unchanged."""
+    """Block pass, line pass, then Python-style strip. NULL and '' come back unchanged.
+
+    Given a column name, the (large) expression is built once per process and reused.
+    """
+    if isinstance(text, str):
+        return _cached("clean", text, remove_page_markers)
+    return _clean_response(text, remove_page_markers)
+
+
+@functools.lru_cache(maxsize=64)
+def _cached(kind: str, name: str, remove_page_markers: bool) -> Column:
+    """The expression for a column name, built once per process (it is unresolved, so one
+    tree serves every DataFrame that has a column of that name)."""
+    col = F.col(name)
+    if kind == "blocks":
+        return remove_confirmation_blocks(col)
+    if kind == "lines":
+        return remove_chatter_lines(col, remove_page_markers)
+    return _clean_response(col, remove_page_markers)
+
+
+def _clean_response(text: Column | str, remove_page_markers: bool) -> Column:
     t = col_(text)
     lines = split_lines(t)
     # Without any "---" there is no block, and the block pass is skipped.

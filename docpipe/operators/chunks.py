@@ -123,7 +123,7 @@ def stitch_chunks(results: DataFrame, split_above: int = SPLIT_ABOVE_PAGES) -> D
     parts = results.select("parent_job_id", "chunk_number", "total_chunks", piece.alias("raw_markdown"))
     stitched = ordered_concat(parts, "parent_job_id", "chunk_number", "raw_markdown", "\n",
                               size_col="total_chunks", split_above=split_above)
-    return stitched.select("parent_job_id", clean_response(F.col("raw_markdown"), True).alias("markdown"))
+    return stitched.select("parent_job_id", clean_response("raw_markdown", True).alias("markdown"))
 
 
 def chunk_summary(results: DataFrame, model: str = "converter") -> DataFrame:

@@ -398,20 +398,20 @@ def q_chunk_summary(spark: SparkSession, d: str) -> DataFrame:
                                      "fx_responses"))
 def q_clean_blocks(spark: SparkSession, d: str) -> DataFrame:
     r = FX.fx_responses(spark, d)
-    return r.select("doc_id", remove_confirmation_blocks(F.col("content")).alias("content"))
+    return r.select("doc_id", remove_confirmation_blocks("content").alias("content"))
 
 
 @query("clean_lines", with_fixtures(S.clean_sql("fx_responses", blocks=False, trim=False, remove_markers=False,
                                                 out="content"), "fx_responses"))
 def q_clean_lines(spark: SparkSession, d: str) -> DataFrame:
     r = FX.fx_responses(spark, d)
-    return r.select("doc_id", remove_chatter_lines(F.col("content"), False).alias("content"))
+    return r.select("doc_id", remove_chatter_lines("content", False).alias("content"))
 
 
 @query("clean_response", with_fixtures(S.clean_sql("fx_responses", remove_markers=True), "fx_responses"))
 def q_clean_response(spark: SparkSession, d: str) -> DataFrame:
     r = FX.fx_responses(spark, d)
-    return r.select("doc_id", clean_expr(F.col("content"), True).alias("markdown"))
+    return r.select("doc_id", clean_expr("content", True).alias("markdown"))
 
 
 @query("clean_line_table", with_fixtures(S.clean_sql("fx_responses", remove_markers=True, as_lines=True),

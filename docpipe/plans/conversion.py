@@ -95,6 +95,6 @@ def chunked(pages: DataFrame, jobs: DataFrame, chunk_converter: ConverterFactory
     whole = PG.stitch_pages(single_pages, single_docs.select("doc_id"), separator="\n") \
         .withColumnRenamed("markdown", "text")
     single = convert(whole, document_converter, keep=["doc_id"], inputs=["text"]).select(
-        "doc_id", "status", "error", clean_response(F.col("markdown"), False).alias("markdown"))
+        "doc_id", "status", "error", clean_response("markdown", False).alias("markdown"))
     return {"plan": plan, "chunk_results": results, "stitched": CH.stitch_chunks(results),
             "summary": CH.chunk_summary(results, model), "single": single}

@@ -21,7 +21,7 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def cleaned_responses(responses: DataFrame, remove_page_markers: bool = False) -> DataFrame:
     """doc_id, markdown: the cleaned text of each arriving answer."""
-    return responses.select("doc_id", clean_response(F.col("content"), remove_page_markers).alias("markdown"))
+    return responses.select("doc_id", clean_response("content", remove_page_markers).alias("markdown"))
 
 
 def start_cleaning(spark: SparkSession, source: str, sink: str, checkpoint: str,
