@@ -58,8 +58,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         seed: str = "mix", block_digits: int = 2) -> DataFrame:
     """One row per document and copy, in the order of the mix.
 
-    Columns: ``slot`` (struct that names the input row), ``doc_id``, ``size`` (words of the
-    text; null text: 0), ``source``, ``source_size``, ``target`` (of the source), ``copy``
+    Columns: ``slot`` (struct that names the input row), ``doc_id``, ``content`` (hash of the
+    text), ``size`` (words of the text; null text: 0), ``source``, ``source_size``, ``target`` (of the source), ``copy``
     (0-based), ``taken`` (words of this copy in the mix, 0 if it is not part of it),
     ``finish`` (virtual time at which the copy's taken words end), ``mix_end`` (words of the
     mix up to and with this copy; null if none are taken).
@@ -69,12 +69,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents, an empty table gives no rows; only the named columns are read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.size(words(F.col(text_col))).cast("long").alias("size"))
+                       F.size(words(F.col(text_col))).cast("long").alias("size"),
+                       F.xxhash64(F.col(text_col)).alias("content"))
     base = saved(base.withColumn("order_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
                  .withColumn("block", F.substring("order_key", 1, block_digits)))
     targets = bounded(saved(source_targets(base, weights, budget_share, max_repeats)), MAX_BROADCAST_SOURCES)
     rows = base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        "b.doc_id", "b.source", "b.size", "b.order_key", "b.block", "t.source_rank", "t.source_size", "t.target")
+        "b.doc_id", "b.content", "b.source", "b.size", "b.order_key", "b.block", "t.source_rank", "t.source_size", "t.target")
 
     block_offset = F.coalesce(F.sum("block_size").over(
         W.partitionBy("source_rank").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -104,7 +105,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ordered = ordered.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least(
         "taken", F.lit(total) - F.coalesce(F.col("mix_end"), F.lit(0)) + F.col("taken"))))
     slot = F.struct("source_rank", "block", "n").alias("slot")
-    return ordered.select(slot, "doc_id", "size", "source", "source_size", "target", "copy", "taken", "finish", "mix_end")
+    return ordered.select(slot, "doc_id", "content", "size", "source", "source_size", "target", "copy", "taken",
+                          "finish", "mix_end")
 
 
 def per_document(copies: DataFrame) -> DataFrame:
@@ -112,3 +114,25 @@ def per_document(copies: DataFrame) -> DataFrame:
     return copies.groupBy("slot").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
         F.first("target").alias("target"), F.sum("taken").alias("taken")).drop("slot")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of the mix with all their columns: one row per copy of which words are taken.
+
+    Adds ``mix`` (struct of ``copy``, ``size``, ``target``, ``taken``, ``finish``,
+    ``mix_end``); a column of that name in ``docs`` is replaced. Rows that agree in id and
+    text are one document here: it appears once per copy number with the words taken of all.
+    The text is shuffled once, by id and content hash.
+    """
+    copies = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
+    plan = copies.groupBy("doc_id", "content", "copy").agg(
+        F.first("size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken"),
+        F.min("finish").alias("finish"), F.min("mix_end").alias("mix_end"))
+    plan = plan.select(F.col("doc_id").alias("plan_id"), F.col("content").alias("plan_content"),
+                       F.struct("copy", "size", "target", "taken", "finish", "mix_end").alias("plan_mix"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("key_id"), F.xxhash64(F.col(text_col)).alias("key_content"))
+    same = W.partitionBy("key_id", "key_content").orderBy("key_content")
+    keyed = keyed.withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    joined = keyed.join(plan, F.col("key_id").eqNullSafe(F.col("plan_id")) & (F.col("key_content") == F.col("plan_content")))
+    others = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() != "mix"]
+    return joined.select(*others, F.col("plan_mix").alias("mix"))
