@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm import mixing
+from docpipe.llm import decontam, linetemplates, mixing, quality, simhash
 from docpipe.session import checkpoint_dir
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    return quality.accepted(docs, model)
+
+
+def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose template recurs; n_chars is that of the new text."""
+    out = linetemplates.drop_recurring_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_per_group(docs, shingle=4, radius=4)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents that the mix takes, with the words taken of each.
 
@@ -18,7 +46,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix", mix_sources)]
+STAGES = [
+    ("quality", good_documents),
+    ("lines", without_recurring_lines),
+    ("near_copies", one_of_near_copies),
+    ("decontaminate", without_benchmark),
+    ("mix", mix_sources),
+]
 
 #: Not expressible in SQL (trained classifier, iterated components): tested against brute force.
 ORACLE_SQL = None

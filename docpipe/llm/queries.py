@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm import chat, mixing, topk
+from docpipe.llm import chat, decontam, langid, linetemplates, mixing, quality, repeats, simhash, surrogates, topk
+from docpipe.llm.common import crc32_mod
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,19 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 CONTROL_CONVERSATION = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
 
 
+def op1_simhash_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, data_dir, "documents"), shingle=4, radius=4)
+
+
+def op2_quality(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels of four fifths of the ids."""
+    docs, labels = table(spark, data_dir, "documents"), table(spark, data_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
     """Digests of the formatted conversations, read back from the formatted text and its loss mask."""
     given = table(spark, data_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -30,18 +44,50 @@ def op3_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_language(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of the ids."""
+    docs = table(spark, data_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held), "text", "lang")
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_repeats(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Bytes of every document that 400-byte strings found twice cover, and a digest of the rest."""
+    return repeats.remove_repeats(table(spark, data_dir, "documents"), length=400, hashed=True).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_line_templates(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs."""
+    return linetemplates.drop_recurring_lines(table(spark, data_dir, "documents").select("doc_id", "text"))
+
+
 def op7_topk_search(spark: SparkSession, data_dir: str) -> DataFrame:
     """The 10 best vectors for every vector whose id is divisible by 100."""
     vectors = table(spark, data_dir, "embeddings").select("vec_id", "embedding")
     return topk.topk(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op8_decontaminate(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Benchmark items that leak into documents, with the most similar window of each."""
+    return decontam.leaking_documents(table(spark, data_dir, "documents"), table(spark, data_dir, "benchmark"))
+
+
+def op9_surrogates(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    return surrogates.replace_pii(table(spark, data_dir, "documents").select("doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, data_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.per_document(mixing.mix(table(spark, data_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op7_topk_search, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_dedup, op2_quality, op3_chat_format, op4_language, op5_repeats, op6_line_templates, op7_topk_search,
+    op8_decontaminate, op9_surrogates, op10_source_mix)}
 
 _REST = chat.REST.replace("\\<", "<").replace("\\>", ">")
 
