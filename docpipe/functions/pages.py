@@ -13,14 +13,19 @@ from docpipe.constants import (
     SMALL_DOC_CHUNK,
     SMALL_DOC_PAGES,
 )
-from docpipe.functions.text import WS_CLASS, col_, empty_int_array, int_range
+from docpipe.functions.text import WS_CLASS, col_, empty_int_array, int_range, py_strip
 
-_PART_RE = r"\A[0-9]+(-[0-9]+)?\z"
+_NUMBER = WS_CLASS + "*[0-9]+" + WS_CLASS + "*"
+_PART_RE = r"\A" + _NUMBER + "(-" + _NUMBER + r")?\z"
 
 
 def range_parts(spec: Column | str) -> Column:
-    """Comma-separated parts with all white space removed."""
-    return F.split(F.regexp_replace(col_(spec), WS_CLASS, ""), ",", -1)
+    """Comma-separated parts without blanks; other white space may stand around a number only."""
+    return F.split(F.replace(col_(spec), F.lit(" "), F.lit("")), ",", -1)
+
+
+def _number(text: Column) -> Column:
+    return py_strip(text).try_cast("int")
 
 
 def page_ranges_valid(spec: Column | str) -> Column:
@@ -31,7 +36,7 @@ def page_ranges_valid(spec: Column | str) -> Column:
     """
     parts = range_parts(spec)
     return F.forall(parts, lambda p: p.rlike(_PART_RE)
-                    & F.forall(F.split(p, "-", -1), lambda n: n.try_cast("int").isNotNull()))
+                    & F.forall(F.split(p, "-", -1), lambda n: _number(n).isNotNull()))
 
 
 def parse_page_ranges(spec: Column | str, max_page: Column | None = None) -> Column:
@@ -43,8 +48,7 @@ def parse_page_ranges(spec: Column | str, max_page: Column | None = None) -> Col
     """
     def expand(p: Column) -> Column:
         bounds = F.split(p, "-", -1)
-        a = F.get(bounds, 0).try_cast("int")
-        b = F.get(bounds, 1).try_cast("int")
+        a, b = _number(F.get(bounds, 0)), _number(F.get(bounds, 1))
         if max_page is not None:
             top = max_page.cast("int")
             return F.when(F.size(bounds) == 2, int_range(F.greatest(a, F.lit(1)), F.least(b, top))) \
@@ -54,6 +58,34 @@ def parse_page_ranges(spec: Column | str, max_page: Column | None = None) -> Col
     return F.when(page_ranges_valid(spec), pages)
 
 
+def merged_ranges(spec: Column | str) -> Column:
+    """``"7-9,1-3,2-5"`` -> disjoint sorted ARRAY<STRUCT<first, last>>, adjacent ranges joined.
+
+    The pages are never expanded, so a range of a billion pages is one entry. NULL when
+    the spec is NULL or invalid, empty when its ranges are all reversed.
+    """
+    def bounds(p: Column) -> Column:
+        ends = F.split(p, "-", -1)
+        first = _number(F.get(ends, 0))
+        return F.struct(first.alias("first"), F.coalesce(_number(F.get(ends, 1)), first).alias("last"))
+
+    def join(found: Column, r: Column) -> Column:
+        before = F.element_at(found, -1)
+        joined = F.struct(before["first"].alias("first"), F.greatest(before["last"], r["last"]).alias("last"))
+        touches = F.when(F.size(found) > 0, before["last"] >= r["first"] - 1).otherwise(False)
+        return F.when(touches, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(joined))).otherwise(
+            F.concat(found, F.array(r)))
+
+    ranges = F.array_sort(F.filter(F.transform(range_parts(spec), bounds), lambda r: r["first"] <= r["last"]))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    return F.when(page_ranges_valid(spec), F.aggregate(ranges, none, join))
+
+
+def ranges_label(ranges: Column, shift: int = 0) -> Column:
+    """``1-3,5`` for a range array; ``shift`` is added to every page number."""
+    return F.array_join(F.transform(ranges, lambda r: range_label(r["first"] + shift, r["last"] + shift)), ",")
+
+
 def parse_page_ranges_strict(spec: Column | str) -> Column:
     """As ``parse_page_ranges`` but an invalid spec fails the task, like the original parser."""
     return F.when(col_(spec).isNull() | page_ranges_valid(spec), parse_page_ranges(spec)).otherwise(
@@ -96,6 +128,6 @@ def chunk_of_page(page_no: Column, size: Column) -> Column:
 
 __all__ = [
     "chunk_job_id", "chunk_of_page", "chunk_starts", "effective_chunk_size", "int_range",
-    "page_ranges_valid", "parse_page_ranges", "parse_page_ranges_strict", "range_label",
-    "range_parts", "zero_based",
+    "merged_ranges", "page_ranges_valid", "parse_page_ranges", "parse_page_ranges_strict", "range_label",
+    "range_parts", "ranges_label", "zero_based",
 ]

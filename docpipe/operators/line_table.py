@@ -35,6 +35,7 @@ from docpipe.functions.cleaning import (
     scrub_line,
 )
 from docpipe.functions.text import is_blank, py_strip, stripped_equals
+from docpipe.operators.pages import ordered_concat
 
 DEFAULT_BUCKET_LINES = 4096
 
@@ -164,8 +165,7 @@ def explode_lines(docs: DataFrame, text_col: str = "content", key: str = "doc_id
 def assemble(lines: DataFrame, docs: DataFrame, text_col: str = "content", key: str = "doc_id",
              out: str = "markdown") -> DataFrame:
     """Join cleaned lines back into one text per document (NULL stays NULL, no lines -> '')."""
-    joined = lines.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("_t"))
+    joined = ordered_concat(lines, key, "line_no", "line", "\n").withColumnRenamed("line", "_t")
     return docs.select(key, text_col).join(joined, key, "left").select(
         key, F.when(F.col(text_col).isNull(), F.lit(None).cast("string"))
         .otherwise(F.coalesce(F.col("_t"), F.lit(""))).alias(out))

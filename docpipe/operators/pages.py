@@ -11,21 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.constants import PAGE_SEPARATOR
-from docpipe.functions.pages import int_range, page_ranges_valid, parse_page_ranges, zero_based
+from docpipe.functions.pages import int_range, merged_ranges, page_ranges_valid, parse_page_ranges
 
 
 def parsed_requests(requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
-    """Adds ``pages`` (sorted distinct ARRAY<INT>), ``pages0`` (0-based) and ``valid``."""
+    """Adds ``ranges`` (disjoint sorted ARRAY<STRUCT<first, last>>), ``n_pages`` (how many pages
+    they name) and ``valid``. Pages are not listed, so the size of a range costs nothing."""
     spec = F.col(spec_col)
+    named = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["last"].cast("long") - r["first"] + 1)
     return (requests
-            .withColumn("pages", parse_page_ranges(spec))
-            .withColumn("pages0", zero_based("pages"))
+            .withColumn("ranges", merged_ranges(spec))
+            .withColumn("n_pages", named)
             .withColumn("valid", F.when(spec.isNotNull(), page_ranges_valid(spec))))
 
 
-def requested_pages(requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
-    """(doc_id, page_no) for every page named by a valid range."""
-    return requests.select("doc_id", F.explode(parse_page_ranges(F.col(spec_col))).alias("page_no"))
+def last_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, last_page."""
+    return pages.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
+
+
+def requested_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
+    """(doc_id, page_no) for every page named by a valid range, up to the document's last page.
+
+    Ranges are clipped before they are expanded: a request costs no more than the document."""
+    known = requests.select("doc_id", spec_col).join(last_pages(pages), "doc_id")
+    return known.select("doc_id", F.explode(parse_page_ranges(F.col(spec_col), F.col("last_page"))).alias("page_no"))
 
 
 def wanted_pages(requests: DataFrame, spec_col: str = "page_ranges", count_col: str = "total_pages") -> DataFrame:
@@ -39,60 +49,58 @@ def wanted_pages(requests: DataFrame, spec_col: str = "page_ranges", count_col:
 
 def select_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
     """Pages that were asked for and exist (left semi-join)."""
-    return pages.join(requested_pages(requests, spec_col), ["doc_id", "page_no"], "left_semi")
+    return pages.join(requested_pages(pages, requests, spec_col), ["doc_id", "page_no"], "left_semi")
 
 
 def missing_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
-    """Requested pages that do not exist: reported and skipped (left anti-join)."""
-    return requested_pages(requests, spec_col).join(
-        pages.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
+    """Requested pages that do not exist, as ranges (doc_id, first_page, last_page): reported and skipped.
 
+    A document's pages are numbered from 1 to its last page; one without pages has none.
+    """
+    wanted = requests.select("doc_id", merged_ranges(F.col(spec_col)).alias("ranges")).where("ranges IS NOT NULL")
+    wanted = wanted.join(last_pages(pages), "doc_id", "left").select(
+        "doc_id", F.coalesce("last_page", F.lit(0)).alias("last_page"), F.explode("ranges").alias("r"))
+    first, last = F.col("r.first"), F.col("r.last")
+    outside = F.array(F.struct(first.alias("first"), F.least(last, F.lit(0)).alias("last")),
+                      F.struct(F.greatest(first, F.col("last_page") + 1).alias("first"), last.alias("last")))
+    # A document without pages misses its ranges whole, not split at page 1.
+    outside = F.when(F.col("last_page") == 0, F.array(F.struct(first.alias("first"), last.alias("last")))).otherwise(outside)
+    return wanted.select("doc_id", F.explode(outside).alias("m")).where("m.first <= m.last").select(
+        "doc_id", F.col("m.first").alias("first_page"), F.col("m.last").alias("last_page"))
 
-SPLIT_ABOVE_PAGES = 10_000
+
+BLOCK_PARTS = 1024
 
 
 def _concat(parts: DataFrame, keys: list[str], order_col: str, text_col: str, separator: str) -> DataFrame:
-    """Texts of each group joined by ``separator`` in ``order_col`` order; keeps the
-    group's first order value so that groups can be ordered again."""
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t"))))
-    return parts.groupBy(*keys).agg(
-        F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(text_col),
-        F.min(order_col).alias(order_col))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(text_col))
 
 
-def ordered_concat(parts: DataFrame, key: str, order_col: str, text_col: str, separator: str,
-                   size_col: str | None = None, split_above: int = SPLIT_ABOVE_PAGES) -> DataFrame:
-    """(key, text_col): the parts of each key joined in order.
+def ordered_concat(parts: DataFrame, keys: str | list[str], order_col: str, text_col: str, separator: str,
+                   block_parts: int = BLOCK_PARTS) -> DataFrame:
+    """The parts of each key joined in order: the key columns and ``text_col``.
 
-    With ``size_col`` (the number of parts of the key, carried on every row), keys with
-    more than ``split_above`` parts are joined in two levels: first per (key, block of
-    ``split_above`` consecutive parts), spreading one huge key over many tasks, then the
-    few partial texts per key. Smaller keys take a single aggregation. Joining partial
-    texts with the same separator gives the same text as one join of all parts.
+    Always in two levels: per (key, block of ``block_parts`` consecutive order values), which
+    spreads a key with very many parts over many tasks, then the block texts per key.
+    Joining block texts with the same separator gives the same text as one join of all
+    parts. Null texts are left out; parts without an order value come first.
     """
-    if size_col is None:
-        return _concat(parts, [key], order_col, text_col, separator).select(key, text_col)
-    small = parts.where(F.col(size_col) <= split_above)
-    large = parts.where(F.col(size_col) > split_above).withColumn(
-        "_block", F.floor(F.col(order_col) / split_above))
-    one = _concat(small, [key], order_col, text_col, separator)
-    two = _concat(_concat(large, [key, "_block"], order_col, text_col, separator), [key], order_col, text_col,
-                  separator)
-    return one.unionByName(two).select(key, text_col)
-
-
-def stitch_pages(pages: DataFrame, documents: DataFrame, text_col: str = "text",
-                 separator: str = PAGE_SEPARATOR, size_col: str | None = None,
-                 split_above: int = SPLIT_ABOVE_PAGES) -> DataFrame:
+    keys = [keys] if isinstance(keys, str) else keys
+    blocked = parts.where(F.col(text_col).isNotNull()).withColumn("_block", F.floor(F.col(order_col) / block_parts))
+    blocks = _concat(blocked, [*keys, "_block"], order_col, text_col, separator)
+    return _concat(blocks, keys, "_block", text_col, separator)
+
+
+def stitch_pages(pages: DataFrame, documents: DataFrame, text_col: str = "text", separator: str = PAGE_SEPARATOR,
+                 block_parts: int = BLOCK_PARTS) -> DataFrame:
     """Non-empty pages of each document in page order, joined by ``separator``.
 
-    A document without any usable page gets ``''`` (left join from ``documents``). With
-    ``size_col`` (page count of the document on each page row) very long documents are
-    stitched in two levels so that no single task collects all of their pages.
+    A document without any usable page gets ``''`` (left join from ``documents``).
     """
-    usable = pages.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    stitched = ordered_concat(usable, "doc_id", "page_no", text_col, separator, size_col, split_above) \
-        .withColumnRenamed(text_col, "markdown")
+    usable = pages.where(F.col(text_col) != "")
+    stitched = ordered_concat(usable, "doc_id", "page_no", text_col, separator, block_parts).withColumnRenamed(
+        text_col, "markdown")
     return documents.select("doc_id").join(stitched, "doc_id", "left").select(
         "doc_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
 

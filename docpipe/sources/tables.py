@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -14,15 +12,7 @@ def table_path(data_dir: str, name: str) -> str:
     return f"{data_dir.rstrip('/')}/{name}.parquet"
 
 
-@functools.lru_cache(maxsize=128)
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; later projections and filters are pushed into the scan.
-
-    The DataFrame handle (not the data) is reused per session and path, so the file
-    listing and footer reads happen once for tables that do not change during a run.
-    """
-    return _scan(spark, table_path(data_dir, name))
+    """Lazy parquet scan; later projections and filters are pushed into the scan. Each call
+    lists the files anew, so rows added to a table are seen."""
+    return spark.read.parquet(table_path(data_dir, name))
