@@ -35,6 +35,7 @@ CHUNK_FAILED_FMT = "<!-- ERROR: Chunk %s failed: %s -->"
 CHUNK_EXCEPTION_FMT = "<!-- ERROR: Chunk %s error: %s -->"
 CHUNK_ERROR_PREFIX = "<!-- ERROR"
 UNKNOWN_ERROR = "Unknown error"
+UNKNOWN_ERROR_TYPE = "UnknownError"
 CHUNKED_MODEL_FMT = "%s (chunked: %d/%d chunks)"
 CHUNKED_PAGES_FMT = "all (%d chunks)"
 FALLBACK_MODEL_FMT = "%s (OCR fallback - formatting reduced)"

@@ -13,17 +13,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpipe.constants import FALLBACK_MODEL_FMT
-from docpipe.operators.jobs import retry_routing
-from docpipe.session import reliable
-
-# A converter receives a pandas batch of input rows and returns, aligned with it, columns
-# status ('success' | 'error'), markdown, error, error_type, processing_time. A converter
-# that raises for a row gives that row status 'exception'.
+# A converter receives a pandas batch of input rows and returns, aligned with it row by row,
+# columns status ('success' | 'error'), markdown, error, error_type, processing_time. Each
+# row is handed to a converter once: if the call raises, every row of that call gets status
+# 'exception' and nothing is sent again, so a converter whose calls cost money takes one
+# row a call (the default) or returns errors instead of raising them.
 Converter = Callable[[pd.DataFrame], pd.DataFrame]
 ConverterFactory = Callable[[], Converter]
 
@@ -35,42 +33,41 @@ RESULT_FIELDS = [
     T.StructField("processing_time", T.DoubleType()),
 ]
 RESULT_COLUMNS = [f.name for f in RESULT_FIELDS]
+STATUSES = ("success", "error", "exception")
 
 
-def _error_frame(n: int, exc: BaseException) -> pd.DataFrame:
-    """Rows for a converter call that raised: status ``exception`` (a returned error is
-    ``error``), the message and the exception's type."""
-    return pd.DataFrame({"status": ["exception"] * n, "markdown": [None] * n, "error": [str(exc)] * n,
-                         "error_type": [type(exc).__name__] * n, "processing_time": [0.0] * n})
+def _error_frame(n: int, error: str, error_type: str, seconds: float) -> pd.DataFrame:
+    """Rows of a converter call that raised: status ``exception`` (a returned error is ``error``)."""
+    return pd.DataFrame({"status": ["exception"] * n, "markdown": [None] * n, "error": [error] * n,
+                         "error_type": [error_type] * n, "processing_time": [seconds / n] * n})
 
 
-def _run_batch(convert: Converter, batch: pd.DataFrame) -> pd.DataFrame:
-    """Whole batch first; if the converter raises, retry row by row so one bad document
-    only fails itself."""
+def _run_call(convert: Converter, rows: pd.DataFrame) -> pd.DataFrame:
+    """One converter call as aligned result rows, whatever comes back."""
+    start = time.monotonic()
     try:
-        out = convert(batch)
-        return out[RESULT_COLUMNS].reset_index(drop=True)
-    except Exception:  # noqa: BLE001 - errors are data here
-        pieces = []
-        for i in range(len(batch)):
-            row = batch.iloc[i:i + 1]
-            start = time.monotonic()
-            try:
-                pieces.append(convert(row)[RESULT_COLUMNS].reset_index(drop=True))
-            except Exception as exc:  # noqa: BLE001
-                err = _error_frame(1, exc)
-                err["processing_time"] = time.monotonic() - start
-                pieces.append(err)
-        return pd.concat(pieces, ignore_index=True)
+        out = convert(rows)[RESULT_COLUMNS].reset_index(drop=True)
+    except Exception as exc:  # noqa: BLE001 - errors are data here
+        return _error_frame(len(rows), str(exc), type(exc).__name__, time.monotonic() - start)
+    if len(out) != len(rows):
+        message = f"the converter returned {len(out)} rows for {len(rows)}"
+        return _error_frame(len(rows), message, "ConverterContractError", time.monotonic() - start)
+    unknown = ~out["status"].isin(STATUSES)
+    if unknown.any():
+        out.loc[unknown, "error"] = "the converter returned no status it may"
+        out.loc[unknown, "error_type"] = "ConverterContractError"
+        out.loc[unknown, ["status", "markdown"]] = ["exception", None]
+    return out
 
 
 def convert(df: DataFrame, make_converter: ConverterFactory, keep: list[str],
-            inputs: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+            inputs: list[str] | None = None, partitions: int | None = None, call_rows: int = 1) -> DataFrame:
     """Run the converter over ``df``; output = ``keep`` columns + status, markdown, error,
-    error_type, processing_time.
+    error_type, processing_time. Every input row comes back exactly once.
 
     ``inputs`` are the columns the converter reads (default: all). ``partitions``
     optionally re-spreads the rows first so that slow remote calls run on many tasks.
+    ``call_rows`` rows go into one call.
     """
     cols = list(dict.fromkeys(keep + (inputs or [c for c in df.columns if c not in keep])))
     src = df.select(*cols)
@@ -82,42 +79,33 @@ def convert(df: DataFrame, make_converter: ConverterFactory, keep: list[str],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         converter = make_converter()           # one client per partition
         for batch in batches:
-            out = _run_batch(converter, batch.reset_index(drop=True))
-            yield pd.concat([batch[keep].reset_index(drop=True), out], axis=1)
+            for at in range(0, len(batch), call_rows):
+                rows = batch.iloc[at:at + call_rows].reset_index(drop=True)
+                yield pd.concat([rows[[f.name for f in keep_fields]], _run_call(converter, rows)], axis=1)
 
     return src.mapInPandas(run, schema)
 
 
-def convert_with_fallback(df: DataFrame, primary: ConverterFactory, fallback: ConverterFactory,
-                          keep: list[str], inputs: list[str], model: str,
-                          fallback_enabled: Column | bool = True) -> DataFrame:
-    """Primary conversion, then the retry ladder on its failures.
+def retried(failed: DataFrame, inputs: DataFrame, fallback: ConverterFactory, keys: list[str],
+            read: list[str], call_rows: int = 1) -> DataFrame:
+    """Fallback calls for failed first attempts.
 
-    Time-outs without a page range are handed to chunking (``route = 'chunk'``); time-outs
-    with a page range go through the fallback converter when it is enabled; all other
-    failures stay failed. Adds route, fallback_used, formatting_preserved, model.
+    ``failed``: the keys, error, error_type, status and processing_time of the first attempt;
+    ``inputs``: the keys and what the converter reads. A fallback that works gives its text
+    as it is and the time of both attempts; one that fails leaves the first attempt's error.
     """
-    first = convert(df, primary, keep + ["page_ranges"], inputs)
-    # Four branches read the primary result: checkpoint it so the service is called once.
-    first = reliable(retry_routing(first, fallback_enabled))
-    ok = first.where(F.col("status") == "success").select(
-        *keep, *RESULT_COLUMNS, F.lit("primary").alias("route"), F.lit(False).alias("fallback_used"),
-        F.lit(True).alias("formatting_preserved"), F.lit(model).alias("model"))
-    failed = first.where(F.col("status") != "success")
-    chunked = failed.where(F.col("next_route") == "chunk").select(
-        *keep, F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("markdown"),
-        "error", "error_type", "processing_time", F.lit("chunk").alias("route"),
-        F.lit(False).alias("fallback_used"), F.lit(True).alias("formatting_preserved"), F.lit(model).alias("model"))
-    dead = failed.where(F.col("next_route") == "fail").select(
-        *keep, *RESULT_COLUMNS, F.lit("fail").alias("route"), F.lit(False).alias("fallback_used"),
-        F.lit(False).alias("formatting_preserved"), F.lit(model).alias("model"))
-    retry_keys = failed.where(F.col("next_route") == "ocr_fallback").select(*keep)
-    retry_in = df.select(*list(dict.fromkeys(keep + inputs))).join(retry_keys, keep, "left_semi")
-    second = convert(retry_in, fallback, keep, inputs).select(
-        *keep, *RESULT_COLUMNS, F.lit("ocr_fallback").alias("route"),
-        (F.col("status") == "success").alias("fallback_used"), F.lit(False).alias("formatting_preserved"),
-        F.format_string(FALLBACK_MODEL_FMT, F.lit(model)).alias("model"))
-    return ok.unionByName(chunked).unionByName(dead).unionByName(second)
+    again = inputs.join(failed.select(*keys), keys, "left_semi")
+    second = convert(again, fallback, keys, read, call_rows=call_rows).select(
+        *keys, F.col("status").alias("_status"), F.col("markdown").alias("_markdown"),
+        F.col("processing_time").alias("_seconds"))
+    worked = F.col("_status") == "success"
+    return failed.join(second, keys, "left").select(
+        *keys, F.when(worked, "success").otherwise(F.col("status")).alias("status"),
+        F.when(worked, F.col("_markdown")).alias("markdown"),
+        F.when(~F.coalesce(worked, F.lit(False)), F.col("error")).alias("error"),
+        F.when(~F.coalesce(worked, F.lit(False)), F.col("error_type")).alias("error_type"),
+        (F.col("processing_time") + F.coalesce("_seconds", F.lit(0.0))).alias("processing_time"),
+        F.coalesce(worked, F.lit(False)).alias("fallback_used"))
 
 
 # --- deterministic stand-in converters (tests, bench and the query catalogue) -------------
@@ -125,14 +113,21 @@ def convert_with_fallback(df: DataFrame, primary: ConverterFactory, fallback: Co
 def echo_converter() -> Converter:
     """Stand-in for the remote service: returns the document text as its Markdown.
 
-    Document ids divisible by 13 time out (a 504), ids divisible by 17 are rejected. The
-    time is one millisecond per input character.
+    A whole document (``chunk_number`` 0) times out with a 504 if its id is divisible by 13
+    and is rejected if it is divisible by 17; a chunk times out if id + chunk_number is
+    divisible by 7 and fails without a message if it is divisible by 11. Prompt variants
+    (``approach_no``) are rejected if id + approach_no is divisible by 9. The time is one
+    millisecond per input character, half a second for a failure.
     """
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        doc = batch["doc_id"]
-        timeout = doc % 13 == 0
-        rejected = (doc % 17 == 0) & ~timeout
-        failed = timeout | rejected
+        doc, chunk = batch["doc_id"], batch["chunk_number"]
+        whole = chunk == 0
+        timeout = (whole & (doc % 13 == 0)) | (~whole & ((doc + chunk) % 7 == 0))
+        silent = ~whole & ((doc + chunk) % 11 == 0) & ~timeout
+        rejected = whole & (doc % 17 == 0) & ~timeout
+        if "approach_no" in batch:
+            rejected = (rejected | (whole & ((doc + batch["approach_no"]) % 9 == 0))) & ~timeout
+        failed = timeout | rejected | silent
         out = pd.DataFrame({
             "status": failed.map({True: "error", False: "success"}),
             "markdown": batch["text"].where(~failed, None),
@@ -144,18 +139,19 @@ def echo_converter() -> Converter:
         out.loc[timeout, "error_type"] = (doc[timeout] % 2 == 0).map({True: "APITimeoutError", False: "SDKError"})
         out.loc[rejected, "error"] = "bad request"
         out.loc[rejected, "error_type"] = "SDKError"
-        out.loc[failed, "processing_time"] = 0.0
+        out.loc[failed, "processing_time"] = 0.5
         return out
     return run
 
 
 def ocr_echo_converter() -> Converter:
-    """Stand-in for the plain OCR fallback: always succeeds, half the time per character."""
+    """Stand-in for the plain OCR fallback: ids that leave 3 when divided by 4 fail, the others
+    take half the time per character."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        n = len(batch)
+        failed = batch["doc_id"] % 4 == 3
         return pd.DataFrame({
-            "status": ["success"] * n, "markdown": batch["text"].tolist(),
-            "error": [None] * n, "error_type": [None] * n,
-            "processing_time": (batch["text"].str.len().fillna(0).astype(float) / 2000.0).tolist(),
+            "status": failed.map({True: "error", False: "success"}), "markdown": batch["text"].where(~failed, None),
+            "error": failed.map({True: "no text layer", False: None}), "error_type": failed.map({True: "OCRError", False: None}),
+            "processing_time": batch["text"].str.len().fillna(0).astype(float) / 2000.0,
         })
     return run

@@ -23,8 +23,9 @@ from docpipe.constants import (
     WAITING_STAGE,
 )
 
-STATE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges",
-                "prompt_tokens", "completion_tokens"]
+STATE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens",
+                "total_tokens", "end_time", "prompt_type", "processing_time", "model", "markdown_length", "error_type",
+                "parent_job_id", "is_chunk"]
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -37,15 +38,17 @@ def as_of_ts(as_of: str | Column) -> Column:
 
 
 def latest_job_state(events: DataFrame, as_of: str | Column | None = None) -> DataFrame:
-    """One row per job: newest values of the state fields, first event time as start_time,
-    last request time while waiting on the service as chat_request_ts."""
+    """One row per job: the newest values of the state fields, start_time (as recorded, else
+    the first event's time) and chat_request_ts (as recorded, else the time of the newest
+    event that waits on the service)."""
     ev = events if as_of is None else events.where(F.col("event_ts") <= as_of_ts(as_of))
     order = F.struct("event_ts", "event_id")
     latest = F.max_by(F.struct(*STATE_FIELDS, F.col("event_ts").alias("last_event_ts")), order)
+    waiting = F.when(F.col("current_stage") == WAITING_STAGE, F.col("event_ts"))
     agg = ev.groupBy("job_id").agg(
         latest.alias("s"),
-        F.min("event_ts").alias("start_time"),
-        F.max(F.when(F.col("current_stage") == WAITING_STAGE, F.col("event_ts"))).alias("chat_request_ts"),
+        F.coalesce(F.min("start_time"), F.min("event_ts")).alias("start_time"),
+        F.coalesce(F.max("request_ts"), F.max(waiting)).alias("chat_request_ts"),
         F.count("*").alias("n_events"),
     )
     return agg.select("job_id", "s.*", "start_time", "chat_request_ts", "n_events")
@@ -69,14 +72,23 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
 
 
-def list_jobs(state: DataFrame, limit: int = RECENT_JOBS_LIMIT) -> DataFrame:
-    """Most recent jobs by record name (``{job_id}.json``) descending: a top-k, not a full sort."""
-    return (state
-            .orderBy(F.concat(F.col("job_id"), F.lit(".json")).desc())
-            .limit(limit)
-            .select("job_id", base_name(F.col("input_file")).alias("input_name"), "status",
-                    status_style(F.col("status")).alias("status_style"),
-                    F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time")))
+def recent_job_ids(events: DataFrame, limit: int = RECENT_JOBS_LIMIT) -> DataFrame:
+    """The ``limit`` job ids that come first by record name (``{job_id}.json``) descending."""
+    return events.select("job_id").distinct().orderBy(F.concat("job_id", F.lit(".json")).desc()).limit(limit)
+
+
+def list_jobs(events: DataFrame, limit: int = RECENT_JOBS_LIMIT) -> DataFrame:
+    """The most recent jobs: the top ids first, then the state of those jobs only."""
+    recent = recent_job_ids(events, limit)
+    state = latest_job_state(events.join(recent, "job_id", "left_semi"))
+    return state.select("job_id", base_name(F.col("input_file")).alias("input_name"), "status",
+                        status_style(F.col("status")).alias("status_style"),
+                        F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"))
+
+
+def all_tokens() -> Column:
+    """Total tokens as recorded, else prompt plus completion."""
+    return F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
 def job_status(state: DataFrame, as_of: str | Column, job_ids: DataFrame | None = None) -> DataFrame:
@@ -98,7 +110,15 @@ def job_status(state: DataFrame, as_of: str | Column, job_ids: DataFrame | None
         F.coalesce(wait > LONG_WAIT_SECONDS, F.lit(False)).alias("long_wait"),
         # A job over 300 s is yellow; the 600 s red branch is shadowed by the 300 s test.
         F.when(started & (elapsed > SLOW_JOB_SECONDS), F.lit("yellow")).otherwise(F.lit("cyan")).alias("severity"),
-        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+        all_tokens().alias("total_tokens"),
+        F.coalesce("prompt_type", F.lit("unknown")).alias("prompt_type"),
+        # shown for completed jobs
+        F.when(F.col("status") == "completed", F.col("processing_time")).alias("processing_time"),
+        F.when(F.col("status") == "completed", F.col("markdown_length")).alias("markdown_length"),
+        F.when(F.col("status") == "completed", F.col("model")).alias("model"),
+        # shown for failed jobs
+        F.when(F.col("status") == "failed", F.col("error")).alias("error"),
+        F.when(F.col("status") == "failed", F.col("error_type")).alias("error_type"),
     )
     if job_ids is None:
         return out
@@ -118,12 +138,12 @@ def hung_jobs(state: DataFrame, as_of: str | Column) -> DataFrame:
 
 
 def token_usage(state: DataFrame) -> DataFrame:
-    """Token usage of the newest record of each job, summed per start day."""
-    return state.groupBy(F.to_date("start_time").alias("day")).agg(
+    """Token usage of the newest record of each job, summed per start day and model."""
+    return state.groupBy(F.to_date("start_time").alias("day"), "model").agg(
         F.count("*").alias("n_jobs"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+        F.sum(all_tokens()).alias("total_tokens"))
 
 
 def is_retriable(error_type: Column, error: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.constants import DATA_URI_PREFIX, JOB_TS_FORMAT, PREVIEW_CHARS
+from docpipe.constants import DATA_URI_PREFIX, JOB_TS_FORMAT, PREVIEW_CHARS, UNKNOWN_ERROR, UNKNOWN_ERROR_TYPE
 from docpipe.operators.jobs import base_name, stem
 
 
@@ -22,6 +22,9 @@ def job_id(run_ts: Column, path: Column) -> Column:
 def job_ids(files: DataFrame, run_ts: Column) -> DataFrame:
     """Job id, file names and output names per document.
 
+    The job id is a label: files of one name in one run share it. ``unique_job_id`` adds
+    eight hex digits of the path's MD5 and tells them apart.
+
     ``files``: doc_id, path. Outputs ``{stem}_{job}.md`` / ``{stem}_{job}_metadata.json``,
     and for a run that failed unexpectedly ``job_{ts}_{stem}_error`` with
     ``{stem}_error_{id}_metadata.json``.
@@ -31,6 +34,7 @@ def job_ids(files: DataFrame, run_ts: Column) -> DataFrame:
     err = F.concat(jid, F.lit("_error"))
     return files.select(
         "doc_id", base_name(p).alias("source_name"), stem(p).alias("stem"), jid.alias("job_id"),
+        F.concat(jid, F.lit("_"), F.substring(F.md5(p), 1, 8)).alias("unique_job_id"),
         F.concat(stem(p), F.lit("_"), jid, F.lit(".md")).alias("output_markdown"),
         F.concat(stem(p), F.lit("_"), jid, F.lit("_metadata.json")).alias("output_metadata"),
         err.alias("error_job_id"),
@@ -71,33 +75,37 @@ def approach_summary(responses: DataFrame) -> DataFrame:
 
 
 def run_metadata(ids: DataFrame, routed: DataFrame, reduction: DataFrame, results: DataFrame,
-                 requests: DataFrame, processing_date: Column) -> DataFrame:
+                 processing_date: Column) -> DataFrame:
     """The metadata record of each conversion run, success or failure (S10).
 
     ``ids``: job_ids(); ``routed``: optimize_routing() output; ``reduction``:
-    size_reduction(); ``results``: doc_id, status, markdown, error, model, processing_time
-    (the conversion time) and optionally optimization_time; ``requests``: doc_id,
-    page_ranges. All inputs are one row per document, joined on ``doc_id``. Without an
-    optimisation time the record shows 0, as the original's optimisation result carries
-    no time of its own.
+    size_reduction(); all three one row per document. ``results``: the documents of
+    ``convert_ladder``, with approach, prompt_length and custom_prompt_file where runs have
+    them, and optionally optimization_time (without it the record shows 0, as the
+    original's optimisation result carries no time of its own). A failed run names no
+    output and has an error, its type and the time of failure.
     """
-    if "optimization_time" not in results.columns:
-        results = results.withColumn("optimization_time", F.lit(None).cast("double"))
-    j = (ids.join(routed.select("doc_id", "route", "total_images"), "doc_id", "left")
-         .join(reduction.select("doc_id", F.col("size_reduction").alias("_reduction"),
-                                F.col("status").alias("_opt_status")), "doc_id", "left")
-         .join(results.select("doc_id", "status", "markdown", "error", "model",
-                              F.col("processing_time").alias("ocr_time"), "optimization_time"), "doc_id", "left")
-         .join(requests.select("doc_id", "page_ranges"), "doc_id", "left"))
+    def given(name: str, kind: str) -> Column:
+        return (F.col(name) if name in results.columns else F.lit(None)).cast(kind).alias(name)
+
+    runs = results.select("doc_id", "status", "markdown_length", "error", "error_type", "model", "page_ranges",
+                          F.col("processing_time").alias("ocr_time"), given("optimization_time", "double"),
+                          given("approach", "string"), given("prompt_length", "int"), given("custom_prompt_file", "string"))
+    per_doc = ids.join(routed.select("doc_id", "route", "total_images"), "doc_id", "left").join(
+        reduction.select("doc_id", F.col("size_reduction").alias("_reduction")), "doc_id", "left")
+    j = per_doc.join(runs, "doc_id", "left")
     performed = F.coalesce(F.col("route") != "skipped", F.lit(False))
-    ok = F.col("status") == "success"
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
     opt_time = F.when(performed, F.coalesce(F.col("optimization_time"), F.lit(0.0))).otherwise(F.lit(0.0))
     ocr_time = F.coalesce(F.col("ocr_time"), F.lit(0.0))
+    named = F.when(F.col("approach").isNull(), F.col("output_markdown")).otherwise(
+        approach_output_name(F.col("stem"), F.col("approach"), F.col("job_id")))
+    date = F.date_format(processing_date, "yyyy-MM-dd'T'HH:mm:ss")
     return j.select(
-        "doc_id", "job_id",
+        "doc_id", "job_id", "unique_job_id", "approach",
         F.col("source_name").alias("source_pdf"),
-        F.col("output_markdown"),
-        F.date_format(processing_date, "yyyy-MM-dd'T'HH:mm:ss").alias("processing_date"),
+        F.when(ok, named).alias("output_markdown"),
+        date.alias("processing_date"),
         F.coalesce(F.when(F.col("page_ranges") != "", F.col("page_ranges")), F.lit("all")).alias("pages_processed"),
         performed.alias("optimization_performed"),
         # A failed rewrite has no reduction figure: shown as N/A instead of failing the record.
@@ -108,10 +116,12 @@ def run_metadata(ids: DataFrame, routed: DataFrame, reduction: DataFrame, result
         ocr_time.alias("ocr_seconds"),
         (opt_time + ocr_time).alias("total_seconds"),
         F.coalesce(F.col("model"), F.lit("unknown")).alias("model"),
-        # a raised conversion is an error in the record; 'chunked' means handed to chunking
-        F.when(F.col("status").isin("success", "chunked"), F.col("status")).otherwise(F.lit("error")).alias("status"),
-        F.when(ok, F.length("markdown")).otherwise(F.lit(0)).alias("markdown_length"),
-        F.when(~ok, F.col("error")).alias("error"),
+        F.coalesce("prompt_length", F.lit(0)).alias("prompt_length"), "custom_prompt_file",
+        F.when(ok, "success").otherwise("error").alias("status"),
+        F.when(ok, F.col("markdown_length")).otherwise(F.lit(0)).alias("markdown_length"),
+        F.when(~ok, F.coalesce("error", F.lit(UNKNOWN_ERROR))).alias("error"),
+        F.when(~ok, F.coalesce("error_type", F.lit(UNKNOWN_ERROR_TYPE))).alias("error_type"),
+        F.when(~ok, date).alias("failed_at"),
     )
 
 

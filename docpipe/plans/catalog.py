@@ -21,11 +21,12 @@ from docpipe.functions.cleaning import (
 )
 from docpipe.functions.emphasis import enhance_formatting
 from docpipe.functions.markup import markup_to_markdown
+from docpipe.functions.pages import ranges_label
 from docpipe.operators import chunks as CH
 from docpipe.operators import jobs as JB
 from docpipe.operators import pages as PG
 from docpipe.operators import profile as PR
-from docpipe.operators.convert import convert_with_fallback, echo_converter, ocr_echo_converter
+from docpipe.operators.convert import echo_converter, ocr_echo_converter
 from docpipe.operators.line_table import clean_line_table, explode_lines
 from docpipe.operators.results import (
     approach_summary,
@@ -36,6 +37,7 @@ from docpipe.operators.results import (
     timing_summary,
 )
 from docpipe.plans import sqltext as S
+from docpipe.plans.conversion import convert_ladder
 from docpipe.sources import fixtures as FX
 from docpipe.sources.fixtures import AS_OF, FX_TEXT_LIMIT, with_fixtures
 from docpipe.sources.prompts import PROMPTS, fan_out
@@ -181,8 +183,7 @@ def q_size_reduction(spark: SparkSession, d: str) -> DataFrame:
 
 _PARSE_SQL = r"""
 WITH r AS (
-  SELECT doc_id, page_ranges, string_split(regexp_replace(page_ranges, '[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g'), ',') AS parts
-  FROM fx_requests),
+  SELECT doc_id, page_ranges, string_split(replace(page_ranges, ' ', ''), ',') AS parts FROM fx_requests),
 v AS (
   SELECT *, CASE WHEN page_ranges IS NULL THEN NULL
                  ELSE len(list_filter(parts, lambda p: NOT regexp_full_match(p, '[0-9]+(-[0-9]+)?')
@@ -190,42 +191,53 @@ v AS (
                                             OR (p LIKE '%-%' AND TRY_CAST(split_part(p, '-', 2) AS INTEGER) IS NULL))) = 0
             END AS valid
   FROM r),
-e AS (
-  SELECT doc_id, page_ranges, valid,
-         CASE WHEN valid THEN list_sort(list_distinct(flatten(list_transform(parts, lambda p:
-           CASE WHEN p LIKE '%-%' THEN
-                  CASE WHEN CAST(split_part(p, '-', 2) AS INTEGER) >= CAST(split_part(p, '-', 1) AS INTEGER)
-                       THEN range(CAST(split_part(p, '-', 1) AS INTEGER), CAST(split_part(p, '-', 2) AS INTEGER) + 1)
-                       ELSE [] END
-                ELSE [CAST(p AS INTEGER)] END)))) END AS pages
-  FROM v)
+part AS (
+  SELECT DISTINCT doc_id, CAST(split_part(p, '-', 1) AS INTEGER) AS a,
+         CAST(CASE WHEN p LIKE '%-%' THEN split_part(p, '-', 2) ELSE p END AS INTEGER) AS b
+  FROM (SELECT doc_id, unnest(parts) AS p FROM v WHERE valid)),
+isle AS (
+  SELECT doc_id, a, b, sum(starts) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n
+  FROM (SELECT doc_id, a, b, CASE WHEN a - 1 <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts
+        FROM part WHERE a <= b)),
+range_of AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM isle GROUP BY doc_id, n),
+last_of AS (SELECT doc_id, count(*) AS last_page FROM fx_pages GROUP BY doc_id)
 """
 
 
-@query("page_range_parse", with_fixtures(_PARSE_SQL + """
-SELECT doc_id, page_ranges, valid, CAST(len(pages) AS INTEGER) AS n_pages,
-       array_to_string(pages, ',') AS pages, array_to_string(list_transform(pages, lambda p: p - 1), ',') AS pages0
-FROM e""", "fx_requests"))
-def q_page_range_parse(spark: SparkSession, d: str) -> DataFrame:
-    p = PG.parsed_requests(FX.fx_requests(spark, d))
-    return p.select("doc_id", "page_ranges", "valid", F.size("pages").alias("n_pages"),
-                    F.array_join("pages", ",").alias("pages"), F.array_join("pages0", ",").alias("pages0"))
+def _label_sql(shift: int) -> str:
+    return (f"string_agg(CASE WHEN a = b THEN CAST(a + {shift} AS VARCHAR) "
+            f"ELSE CAST(a + {shift} AS VARCHAR) || '-' || CAST(b + {shift} AS VARCHAR) END, ',' ORDER BY a)")
 
 
-_REQUESTED_SQL = _PARSE_SQL + ", q AS (SELECT doc_id, CAST(unnest(pages) AS INTEGER) AS page_no FROM e WHERE valid)\n"
+@query("page_range_parse", with_fixtures(_PARSE_SQL + f"""
+SELECT v.doc_id, v.page_ranges, v.valid, CASE WHEN v.valid THEN coalesce(m.n_pages, 0) END AS n_pages,
+       CASE WHEN v.valid THEN coalesce(m.pages, '') END AS pages, CASE WHEN v.valid THEN coalesce(m.pages0, '') END AS pages0
+FROM v LEFT JOIN (SELECT doc_id, CAST(sum(CAST(b AS BIGINT) - a + 1) AS BIGINT) AS n_pages, {_label_sql(0)} AS pages,
+                         {_label_sql(-1)} AS pages0 FROM range_of GROUP BY doc_id) m ON v.doc_id = m.doc_id""",
+    "fx_requests", "fx_pages"))
+def q_page_range_parse(spark: SparkSession, d: str) -> DataFrame:
+    p = PG.parsed_requests(FX.fx_requests(spark, d))
+    return p.select("doc_id", "page_ranges", "valid", "n_pages", ranges_label(F.col("ranges")).alias("pages"),
+                    ranges_label(F.col("ranges"), -1).alias("pages0"))
 
 
-@query("page_selection", with_fixtures(_REQUESTED_SQL + """
+@query("page_selection", with_fixtures(_PARSE_SQL + """
 SELECT p.doc_id, p.page_no, p.text, p.images FROM fx_pages p
-WHERE EXISTS (SELECT 1 FROM q WHERE q.doc_id = p.doc_id AND q.page_no = p.page_no)""", "fx_pages", "fx_requests"))
+WHERE EXISTS (SELECT 1 FROM range_of q WHERE q.doc_id = p.doc_id AND p.page_no BETWEEN q.a AND q.b)""",
+    "fx_pages", "fx_requests"))
 def q_page_selection(spark: SparkSession, d: str) -> DataFrame:
     return PG.select_pages(FX.fx_pages(spark, d), FX.fx_requests(spark, d))
 
 
-@query("out_of_range_pages", with_fixtures(_REQUESTED_SQL + """
-SELECT q.doc_id, q.page_no FROM q
-WHERE NOT EXISTS (SELECT 1 FROM fx_pages p WHERE q.doc_id = p.doc_id AND q.page_no = p.page_no)""",
-    "fx_pages", "fx_requests"))
+@query("out_of_range_pages", with_fixtures(_PARSE_SQL + """
+SELECT doc_id, CAST(lo AS INTEGER) AS first_page, CAST(hi AS INTEGER) AS last_page FROM (
+  SELECT q.doc_id, q.a AS lo, least(q.b, 0) AS hi FROM range_of q JOIN last_of l ON q.doc_id = l.doc_id
+  UNION ALL
+  SELECT q.doc_id, greatest(q.a, l.last_page + 1), q.b FROM range_of q JOIN last_of l ON q.doc_id = l.doc_id
+  UNION ALL
+  SELECT q.doc_id, q.a, q.b FROM range_of q ANTI JOIN last_of l ON q.doc_id = l.doc_id)
+WHERE lo <= hi""", "fx_pages", "fx_requests"))
 def q_out_of_range_pages(spark: SparkSession, d: str) -> DataFrame:
     return PG.missing_pages(FX.fx_pages(spark, d), FX.fx_requests(spark, d))
 
@@ -236,9 +248,7 @@ LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10
            FROM fx_pages WHERE text IS NOT NULL AND text <> '' GROUP BY doc_id) s ON d.doc_id = s.doc_id""",
     "fx_pages"))
 def q_stitch_pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = FX.read_table(spark, d, "documents")
-    # A low split threshold so that the two-level path for long documents runs on this data.
-    return PG.stitch_pages(FX.fx_pages_sized(spark, d), docs, size_col="n_pages", split_above=16)
+    return PG.stitch_pages(FX.fx_pages(spark, d), FX.read_table(spark, d, "documents"))
 
 
 # ---------------------------------------------------------------------------------------
@@ -248,23 +258,19 @@ def q_stitch_pages(spark: SparkSession, d: str) -> DataFrame:
 RUN_JOB_PREFIX = "job_20240130_120000_"
 
 
-def _doc_jobs(spark: SparkSession, d: str, with_lines: bool = False) -> DataFrame:
-    """Per document: doc_id, job_id (``job_{run ts}_{stem}``), total_pages [, lines].
+def _doc_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: doc_id, job_id (``job_{run ts}_{stem}``), total_pages.
 
-    One page per line, so the page count and the page texts come straight from the
-    document row: a narrow projection, no aggregation or join.
+    One page per line, so the page count comes straight from the document row: a narrow
+    projection, no aggregation or join. Documents of one file name share their job id.
     """
-    lines = F.split(F.col("text"), "\n", -1)
-    path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    cols = ["doc_id", F.concat(F.lit(RUN_JOB_PREFIX), JB.stem(path)).alias("job_id"),
-            F.size(lines).cast("bigint").alias("total_pages")]
-    if with_lines:
-        cols.append(lines.alias("lines"))
-    return FX.read_table(spark, d, "documents").select(*cols)
+    return FX.read_table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit(RUN_JOB_PREFIX), JB.stem(FX.fx_path())).alias("job_id"),
+        F.size(F.split(F.col("text"), "\n", -1)).cast("bigint").alias("total_pages"))
 
 
 _DOC_JOBS_SQL = f"""
-SELECT c.doc_id, '{RUN_JOB_PREFIX}' || 'doc_' || CAST(c.doc_id AS VARCHAR) AS job_id, c.total_pages
+SELECT c.doc_id, '{RUN_JOB_PREFIX}' || 'doc_' || CAST(c.doc_id % 40 AS VARCHAR) AS job_id, c.total_pages
 FROM (SELECT doc_id, count(*) AS total_pages FROM fx_pages GROUP BY doc_id) c
 JOIN fx_files f ON c.doc_id = f.doc_id
 """
@@ -321,18 +327,17 @@ def q_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Chunk outcomes of a converter run over the chunked documents: a chunk's Markdown is its
-# pages joined by newlines (a slice of the document's lines, taken in the document's own
-# row); (doc_id + chunk_number) % 7 = 0 failed with a 504, and (doc_id + chunk_number)
-# % 11 = 0 failed without an error message ("Unknown error").
+# pages joined by newlines; (doc_id + chunk_number) % 7 = 0 failed with a 504, and
+# (doc_id + chunk_number) % 11 = 0 failed without an error message ("Unknown error").
 def _chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    plan = CH.chunk_plan(_doc_jobs(spark, d, with_lines=True).where(F.col("total_pages") > 20), carry=["lines"])
+    pages = FX.fx_pages_sized(spark, d).where("n_pages > 20").select("doc_id", "page_no", "text", "n_pages")
+    chunks = CH.chunk_texts(CH.chunk_membership(pages, size_col="n_pages"))
     key = F.col("doc_id") + F.col("chunk_number")
-    markdown = F.array_join(F.slice("lines", F.col("start_page"), F.col("end_page") - F.col("start_page") + 1), "\n")
     failed = (key % 7 == 0) | (key % 11 == 0)
-    return plan.select(
-        "job_id", "chunk_number",
+    return chunks.select(
+        "doc_id", "chunk_number",
         F.when(failed, "error").otherwise("success").alias("status"),
-        F.when(~failed, markdown).alias("markdown"),
+        F.when(~failed, F.col("text")).alias("markdown"),
         F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 7 == 0, F.lit("504")).alias("error"),
         F.when(~failed, F.col("chunk_number") * 1.5).otherwise(0.0).alias("processing_time"))
 
@@ -343,7 +348,8 @@ def _chunk_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHUNK_RESULTS_SQL = f"""
-SELECT pl.job_id AS parent_job_id, pl.chunk_number, pl.total_chunks, pl.label AS pages,
+SELECT *, NOT starts_with(content, '<!-- ERROR') AS success FROM (
+SELECT pl.doc_id, pl.job_id AS parent_job_id, pl.chunk_number, pl.total_chunks, pl.label AS pages,
        CASE WHEN (pl.doc_id + pl.chunk_number) % 11 = 0
               THEN '<!-- ERROR: Chunk ' || pl.label || ' failed: Unknown error -->'
             WHEN (pl.doc_id + pl.chunk_number) % 7 = 0
@@ -353,7 +359,7 @@ SELECT pl.job_id AS parent_job_id, pl.chunk_number, pl.total_chunks, pl.label AS
        CAST(CASE WHEN (pl.doc_id + pl.chunk_number) % 11 = 0 OR (pl.doc_id + pl.chunk_number) % 7 = 0 THEN 0.0
             ELSE pl.chunk_number * 1.5 END AS DOUBLE) AS processing_time,
        pl.chunk_job_id AS job_id
-FROM ({_PLAN_SQL}) pl WHERE pl.total_pages > 20
+FROM ({_PLAN_SQL}) pl WHERE pl.total_pages > 20)
 """
 
 
@@ -363,29 +369,28 @@ def q_chunk_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stitch_chunks", with_fixtures(S.clean_sql(
-    f"""(SELECT parent_job_id, string_agg('<!-- Pages ' || pages || ' -->' || chr(10) || content || chr(10), chr(10)
+    f"""(SELECT doc_id, string_agg('<!-- Pages ' || pages || ' -->' || chr(10) || content || chr(10), chr(10)
                                       ORDER BY chunk_number) AS raw_markdown
-        FROM ({_CHUNK_RESULTS_SQL}) GROUP BY parent_job_id)""",
-    key="parent_job_id", col="raw_markdown", remove_markers=True), "fx_pages", "fx_files"))
+        FROM ({_CHUNK_RESULTS_SQL}) GROUP BY doc_id)""",
+    key="doc_id", col="raw_markdown", remove_markers=True), "fx_pages", "fx_files"))
 def q_stitch_chunks(spark: SparkSession, d: str) -> DataFrame:
-    # A low split threshold so that the two-level path for long jobs runs on this data.
-    return CH.stitch_chunks(_chunk_results(spark, d), split_above=2)
+    return CH.stitch_chunks(_chunk_results(spark, d)).select("doc_id", "markdown")
 
 
 @query("chunk_summary", with_fixtures(f"""
-SELECT parent_job_id, chunks_processed, total_chunks, chunk_processing_time, chunk_job_ids,
+SELECT doc_id, parent_job_id, chunks_processed, total_chunks, chunk_processing_time, chunk_job_ids,
        CASE WHEN chunks_processed > 0 THEN 'success' ELSE 'error' END AS status,
        CASE WHEN chunks_processed > 0 THEN 'completed' ELSE 'failed' END AS job_status,
        'completed_chunked' AS current_stage,
        'converter (chunked: ' || CAST(chunks_processed AS VARCHAR) || '/' || CAST(total_chunks AS VARCHAR) || ' chunks)' AS model,
        'all (' || CAST(total_chunks AS VARCHAR) || ' chunks)' AS page_ranges
-FROM (SELECT parent_job_id, count(*) FILTER (WHERE NOT starts_with(content, '<!-- ERROR')) AS chunks_processed,
+FROM (SELECT doc_id, any_value(parent_job_id) AS parent_job_id, count(*) FILTER (WHERE success) AS chunks_processed,
              count(*) AS total_chunks, sum(processing_time) AS chunk_processing_time,
              string_agg(job_id, ',' ORDER BY chunk_number) AS chunk_job_ids
-      FROM ({_CHUNK_RESULTS_SQL}) GROUP BY parent_job_id)""", "fx_pages", "fx_files"))
+      FROM ({_CHUNK_RESULTS_SQL}) GROUP BY doc_id)""", "fx_pages", "fx_files"))
 def q_chunk_summary(spark: SparkSession, d: str) -> DataFrame:
     s = CH.chunk_summary(_chunk_results(spark, d))
-    return s.select("parent_job_id", "chunks_processed", "total_chunks", "chunk_processing_time",
+    return s.select("doc_id", "parent_job_id", "chunks_processed", "total_chunks", "chunk_processing_time",
                     F.array_join("chunk_job_ids", ",").alias("chunk_job_ids"), "status", "job_status",
                     "current_stage", "model", "page_ranges")
 
@@ -446,23 +451,30 @@ def q_result_preview(spark: SparkSession, d: str) -> DataFrame:
 # Job ledger
 # ---------------------------------------------------------------------------------------
 
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    return JB.latest_job_state(FX.fx_job_events(spark, d), as_of=AS_OF)
+def _state(spark: SparkSession, d: str, as_of: str | None = None) -> DataFrame:
+    return JB.latest_job_state(FX.fx_job_events(spark, d), as_of=as_of)
 
 
-_STATE_SQL = f"""
+def _state_sql(seen: str = "TRUE") -> str:
+    return f"""
 SELECT r.job_id, r.status, r.current_stage, r.input_file, r.error, r.page_ranges, r.prompt_tokens,
-       r.completion_tokens, r.event_ts AS last_event_ts, s.start_time, s.chat_request_ts, s.n_events
+       r.completion_tokens, r.total_tokens, r.end_time, r.prompt_type, r.processing_time, r.model, r.markdown_length,
+       r.error_type, r.parent_job_id, r.is_chunk, r.event_ts AS last_event_ts, s.start_time, s.chat_request_ts, s.n_events
 FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_ts DESC, event_id DESC) AS rn
-      FROM fx_job_events WHERE event_ts <= {AS_OF_SQL}) r
-JOIN (SELECT job_id, min(event_ts) AS start_time,
-             max(CASE WHEN current_stage = 'waiting_for_chat_response' THEN event_ts END) AS chat_request_ts,
+      FROM fx_job_events WHERE {seen}) r
+JOIN (SELECT job_id, coalesce(min(start_time), min(event_ts)) AS start_time,
+             coalesce(max(request_ts), max(CASE WHEN current_stage = 'waiting_for_chat_response' THEN event_ts END))
+               AS chat_request_ts,
              count(*) AS n_events
-      FROM fx_job_events WHERE event_ts <= {AS_OF_SQL} GROUP BY job_id) s ON r.job_id = s.job_id
+      FROM fx_job_events WHERE {seen} GROUP BY job_id) s ON r.job_id = s.job_id
 WHERE r.rn = 1
 """
 
 
+_STATE_SQL = _state_sql()
+_STATE_AS_OF_SQL = _state_sql(f"event_ts <= {AS_OF_SQL}")      # only the status queries have a "now"
+
+
 @query("latest_job_state", with_fixtures(_STATE_SQL, "fx_job_events"))
 def q_latest_job_state(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d)
@@ -475,7 +487,7 @@ SELECT job_id, regexp_extract(input_file, '([^/]*)$', 1) AS input_name, status,
        strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time
 FROM ({_STATE_SQL}) ORDER BY job_id || '.json' DESC LIMIT 10""", "fx_job_events"))
 def q_list_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return JB.list_jobs(_state(spark, d))
+    return JB.list_jobs(FX.fx_job_events(spark, d))
 
 
 def _elapsed_sql(col: str) -> str:
@@ -488,11 +500,17 @@ SELECT job_id, status, input_file, start_time, page_ranges, {_elapsed_sql('start
        CASE WHEN waiting THEN {_elapsed_sql('chat_request_ts')} END AS api_wait_seconds,
        coalesce(waiting AND {_elapsed_sql('chat_request_ts')} > 120, FALSE) AS long_wait,
        CASE WHEN status = 'started' AND {_elapsed_sql('start_time')} > 300 THEN 'yellow' ELSE 'cyan' END AS severity,
-       prompt_tokens + completion_tokens AS total_tokens
+       coalesce(total_tokens, prompt_tokens + completion_tokens) AS total_tokens,
+       coalesce(prompt_type, 'unknown') AS prompt_type,
+       CASE WHEN status = 'completed' THEN processing_time END AS processing_time,
+       CASE WHEN status = 'completed' THEN markdown_length END AS markdown_length,
+       CASE WHEN status = 'completed' THEN model END AS model,
+       CASE WHEN status = 'failed' THEN error END AS error,
+       CASE WHEN status = 'failed' THEN error_type END AS error_type
 FROM (SELECT *, status = 'started' AND current_stage = 'waiting_for_chat_response'
-                AND chat_request_ts IS NOT NULL AS waiting FROM ({_STATE_SQL}))""", "fx_job_events"))
+                AND chat_request_ts IS NOT NULL AS waiting FROM ({_STATE_AS_OF_SQL}))""", "fx_job_events"))
 def q_job_status(spark: SparkSession, d: str) -> DataFrame:
-    return JB.job_status(_state(spark, d), AS_OF)
+    return JB.job_status(_state(spark, d, AS_OF), AS_OF)
 
 
 @query("hung_jobs", with_fixtures(f"""
@@ -500,16 +518,16 @@ SELECT job_id, start_time, {_elapsed_sql('start_time')} AS elapsed_seconds,
        {_elapsed_sql('start_time')} / 60.0 AS elapsed_minutes, coalesce(current_stage, 'unknown') AS stage,
        CASE WHEN chat_request_ts IS NOT NULL THEN {_elapsed_sql('chat_request_ts')} END AS api_wait_seconds,
        input_file
-FROM ({_STATE_SQL}) WHERE status = 'started' AND {_elapsed_sql('start_time')} > 600""", "fx_job_events"))
+FROM ({_STATE_AS_OF_SQL}) WHERE status = 'started' AND {_elapsed_sql('start_time')} > 600""", "fx_job_events"))
 def q_hung_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return JB.hung_jobs(_state(spark, d), AS_OF)
+    return JB.hung_jobs(_state(spark, d, AS_OF), AS_OF)
 
 
 @query("token_usage", with_fixtures(f"""
-SELECT CAST(start_time AS DATE) AS day, count(*) AS n_jobs, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+SELECT CAST(start_time AS DATE) AS day, model, count(*) AS n_jobs, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
        CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-       CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens
-FROM ({_STATE_SQL}) GROUP BY CAST(start_time AS DATE)""", "fx_job_events"))
+       CAST(sum(coalesce(total_tokens, prompt_tokens + completion_tokens)) AS BIGINT) AS total_tokens
+FROM ({_STATE_SQL}) GROUP BY CAST(start_time AS DATE), model""", "fx_job_events"))
 def q_token_usage(spark: SparkSession, d: str) -> DataFrame:
     return JB.token_usage(_state(spark, d))
 
@@ -522,11 +540,9 @@ SELECT event_id, job_id, error_type, error, page_ranges, retriable,
 FROM (SELECT event_id, job_id, error_type, error, page_ranges, event_id % 3 <> 2 AS fallback,
              coalesce(error_type = 'APITimeoutError' OR contains(error, '504')
                       OR contains(lower(error), 'timeout'), FALSE) AS retriable
-      FROM (SELECT *, CASE WHEN current_stage = 'api_timeout' THEN 'APITimeoutError' ELSE 'SDKError' END AS error_type
-            FROM fx_job_events WHERE error IS NOT NULL))""", "fx_job_events"))
+      FROM fx_job_events WHERE error IS NOT NULL)""", "fx_job_events"))
 def q_retry_routing(spark: SparkSession, d: str) -> DataFrame:
-    ev = FX.fx_job_events(spark, d).where(F.col("error").isNotNull()).withColumn(
-        "error_type", F.when(F.col("current_stage") == "api_timeout", "APITimeoutError").otherwise("SDKError"))
+    ev = FX.fx_job_events(spark, d).where(F.col("error").isNotNull())
     routed = JB.retry_routing(ev, fallback_enabled=F.col("event_id") % 3 != 2)
     return routed.select("event_id", "job_id", "error_type", "error", "page_ranges", "retriable",
                          "next_route", "final_stage")
@@ -537,7 +553,7 @@ def q_retry_routing(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 
 @query("encode_document", with_fixtures("""
-SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS document_name,
+SELECT doc_id, 'doc_' || CAST(doc_id % 40 AS VARCHAR) || '.pdf' AS document_name,
        'data:application/pdf;base64,' || to_base64(encode(text)) AS document_url
 FROM documents"""))
 def q_encode_document(spark: SparkSession, d: str) -> DataFrame:
@@ -545,14 +561,11 @@ def q_encode_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JOB_IDS_SQL = f"""
-SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_name, 'doc_' || CAST(doc_id AS VARCHAR) AS stem,
-       '{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) AS job_id,
-       'doc_' || CAST(doc_id AS VARCHAR) || '_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '.md' AS output_markdown,
-       'doc_' || CAST(doc_id AS VARCHAR) || '_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_metadata.json' AS output_metadata,
-       '{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_error' AS error_job_id,
-       'doc_' || CAST(doc_id AS VARCHAR) || '_error_{RUN_JOB_PREFIX}doc_' || CAST(doc_id AS VARCHAR) || '_error_metadata.json'
-         AS error_metadata
-FROM fx_files
+SELECT doc_id, stem || '.pdf' AS source_name, stem, job_id, job_id || '_' || substr(md5(path), 1, 8) AS unique_job_id,
+       stem || '_' || job_id || '.md' AS output_markdown, stem || '_' || job_id || '_metadata.json' AS output_metadata,
+       job_id || '_error' AS error_job_id, stem || '_error_' || job_id || '_error_metadata.json' AS error_metadata
+FROM (SELECT doc_id, path, 'doc_' || CAST(doc_id % 40 AS VARCHAR) AS stem,
+             '{RUN_JOB_PREFIX}doc_' || CAST(doc_id % 40 AS VARCHAR) AS job_id FROM fx_files)
 """
 
 
@@ -578,78 +591,155 @@ def q_approach_fanout(spark: SparkSession, d: str) -> DataFrame:
     return fan_out(docs).select("doc_id", "approach_no", "approach", "prompt_length", "prompt_type")
 
 
+# One converter run: every document to its end through the retry ladder. The SQL restates the
+# rules over the fixture pages; `route` says which rule ended a document.
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    ids = FX.fx_files(spark, d).select("doc_id", F.concat(F.lit(RUN_JOB_PREFIX), JB.stem(F.col("path"))).alias("job_id"))
+    return ids.join(FX.fx_requests(spark, d), "doc_id")
+
+
+def _ladder(spark: SparkSession, d: str, keep_text: bool = False) -> DataFrame:
+    pages = FX.fx_pages(spark, d).select("doc_id", "page_no", "text")
+    return convert_ladder(pages, _jobs(spark, d), echo_converter, ocr_echo_converter,
+                          fallback_enabled=F.col("doc_id") % 3 != 2, call_rows=1000, keep_text=keep_text)["documents"]
+
+
+_TIMEOUT_TYPE = "CASE WHEN doc_id % 2 = 0 THEN 'APITimeoutError' ELSE 'SDKError' END"
+
+
+def _ladder_ctes() -> str:
+    cleaned_whole = S.clean_sql("whole_text", key="doc_id", col="text", remove_markers=False)
+    cleaned_chunk = S.clean_sql("chunk_text", key="k", col="text", remove_markers=False)
+    cleaned_doc = S.clean_sql("stitched_raw", key="doc_id", col="raw", remove_markers=True)
+    return _PARSE_SQL + f""",
+doc_count AS (SELECT doc_id, count(*) AS total_pages FROM fx_pages GROUP BY doc_id),
+doc AS (
+  SELECT d.doc_id, v.page_ranges, coalesce(c.total_pages, 0) AS total_pages, coalesce(v.page_ranges, '') = '' AS no_range,
+         coalesce(v.page_ranges, '') <> '' AND NOT coalesce(v.valid, FALSE) AS bad, d.doc_id % 3 <> 2 AS fallback
+  FROM documents d JOIN v ON d.doc_id = v.doc_id LEFT JOIN doc_count c ON d.doc_id = c.doc_id),
+whole_text AS (
+  SELECT o.doc_id, coalesce(t.text, '') AS text FROM doc o
+  LEFT JOIN (SELECT p.doc_id, string_agg(p.text, chr(10) ORDER BY p.page_no) AS text FROM fx_pages p JOIN doc o ON p.doc_id = o.doc_id
+             WHERE o.no_range OR EXISTS (SELECT 1 FROM range_of q WHERE q.doc_id = p.doc_id AND p.page_no BETWEEN q.a AND q.b)
+             GROUP BY p.doc_id) t ON o.doc_id = t.doc_id
+  WHERE NOT o.bad AND NOT (o.no_range AND o.total_pages > 20)),
+whole_clean AS ({cleaned_whole}),
+way AS (
+  SELECT *, CASE WHEN bad THEN 'bad' WHEN no_range AND total_pages > 20 THEN 'chunk'
+                 WHEN doc_id % 13 = 0 THEN CASE WHEN no_range THEN 'late chunk' WHEN fallback THEN 'fallback' ELSE 'fail' END
+                 WHEN doc_id % 17 = 0 THEN 'fail' ELSE 'primary' END AS way FROM doc),
+chunk_plan AS (SELECT * FROM ({_PLAN_SQL}) WHERE doc_id IN (SELECT doc_id FROM way WHERE way LIKE '%chunk')),
+chunk_text AS (
+  SELECT pl.doc_id * 100000 + pl.chunk_number AS k, pl.doc_id, pl.chunk_number, pl.label,
+         (SELECT string_agg(p.text, chr(10) ORDER BY p.page_no) FROM fx_pages p
+          WHERE p.doc_id = pl.doc_id AND p.page_no BETWEEN pl.start_page AND pl.end_page) AS text
+  FROM chunk_plan pl),
+chunk_clean AS ({cleaned_chunk}),
+chunk_end AS (
+  SELECT t.doc_id, t.chunk_number, t.label,
+         CASE WHEN (t.doc_id + chunk_number) % 7 = 0
+                THEN CASE WHEN doc.fallback AND t.doc_id % 4 <> 3 THEN text
+                          ELSE '<!-- ERROR: Chunk ' || label || ' failed: HTTP 504 Gateway Timeout -->' END
+              WHEN (t.doc_id + chunk_number) % 11 = 0 THEN '<!-- ERROR: Chunk ' || label || ' failed: Unknown error -->'
+              ELSE c.markdown END AS content,
+         CASE WHEN (t.doc_id + chunk_number) % 7 = 0
+                THEN CASE WHEN doc.fallback AND t.doc_id % 4 <> 3 THEN 0.5 + length(text) / 2000.0::DOUBLE ELSE 0.0 END
+              WHEN (t.doc_id + chunk_number) % 11 = 0 THEN 0.0 ELSE length(text) / 1000.0::DOUBLE END AS seconds
+  FROM chunk_text t JOIN chunk_clean c ON t.k = c.k JOIN doc ON t.doc_id = doc.doc_id),
+stitched_raw AS (
+  SELECT doc_id, string_agg('<!-- Pages ' || label || ' -->' || chr(10) || content || chr(10), chr(10) ORDER BY chunk_number) AS raw
+  FROM chunk_end GROUP BY doc_id),
+stitched AS ({cleaned_doc}),
+chunked AS (
+  SELECT e.doc_id, count(*) FILTER (WHERE NOT starts_with(content, '<!-- ERROR')) AS good, count(*) AS n, sum(seconds) AS seconds,
+         any_value(s.markdown) AS markdown
+  FROM chunk_end e JOIN stitched s ON e.doc_id = s.doc_id GROUP BY e.doc_id),
+ended AS (
+  SELECT w.doc_id, w.page_ranges, w.way, w.way = 'late chunk' AND coalesce(c.good, 0) = 0 AS gave_up, c.good, c.n,
+         CASE WHEN w.way = 'primary' OR (w.way LIKE '%chunk' AND coalesce(c.good, 0) > 0) OR (w.way = 'fallback' AND w.doc_id % 4 <> 3)
+              THEN 'success' ELSE 'error' END AS status,
+         CASE w.way WHEN 'primary' THEN p.markdown WHEN 'fallback' THEN t.text ELSE c.markdown END AS markdown,
+         t.text, c.seconds
+  FROM way w LEFT JOIN chunked c ON w.doc_id = c.doc_id LEFT JOIN whole_text t ON w.doc_id = t.doc_id
+  LEFT JOIN whole_clean p ON w.doc_id = p.doc_id),
+ladder AS (
+  SELECT doc_id, page_ranges, status,
+    CASE WHEN way LIKE '%chunk' THEN 'chunk' WHEN way = 'fallback' THEN 'ocr_fallback' WHEN way = 'bad' THEN 'fail' ELSE way END AS route,
+    way = 'fallback' AND status = 'success' AS fallback_used,
+    way = 'primary' OR (way LIKE '%chunk' AND status = 'success') AS formatting_preserved,
+    CASE WHEN way = 'primary' THEN 'converter'
+         WHEN way = 'fallback' AND status = 'success' THEN 'converter (OCR fallback - formatting reduced)'
+         WHEN way LIKE '%chunk' AND NOT gave_up
+           THEN 'converter (chunked: ' || CAST(good AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ' chunks)' END AS model,
+    CASE WHEN way = 'bad' THEN 'invalid page ranges: ' || page_ranges
+         WHEN gave_up OR (status = 'error' AND way IN ('fallback', 'fail') AND doc_id % 13 = 0) THEN 'HTTP 504 Gateway Timeout'
+         WHEN way = 'fail' THEN 'bad request' END AS error,
+    CASE WHEN way = 'bad' THEN 'ValueError'
+         WHEN gave_up OR (status = 'error' AND way IN ('fallback', 'fail') AND doc_id % 13 = 0) THEN {_TIMEOUT_TYPE}
+         WHEN way = 'fail' THEN 'SDKError' END AS error_type,
+    CASE WHEN status = 'success' OR (way LIKE '%chunk' AND NOT gave_up) THEN length(markdown) END AS markdown_length,
+    CASE way WHEN 'bad' THEN 0.0 WHEN 'primary' THEN length(text) / 1000.0::DOUBLE WHEN 'fail' THEN 0.5
+         WHEN 'fallback' THEN 0.5 + length(text) / 2000.0::DOUBLE
+         WHEN 'chunk' THEN seconds ELSE 0.5 + coalesce(seconds, 0.0) END AS processing_time
+  FROM ended)
+"""
+
+
+_LADDER_SQL = _ladder_ctes()
+
+
+@query("convert_documents", with_fixtures(_LADDER_SQL + """
+SELECT doc_id, status, route, fallback_used, formatting_preserved, model, error, error_type, markdown_length,
+       round(processing_time, 6) AS processing_time FROM ladder""", "fx_requests", "fx_pages", "fx_files"))
+def q_convert_documents(spark: SparkSession, d: str) -> DataFrame:
+    c = _ladder(spark, d)
+    return c.select("doc_id", "status", "route", "fallback_used", "formatting_preserved", "model", "error", "error_type",
+                    "markdown_length", F.round("processing_time", 6).alias("processing_time"))
+
+
+@query("convert_ladder", with_fixtures(_LADDER_SQL + """
+SELECT l.doc_id, l.status, CASE WHEN l.status = 'success' OR (l.route = 'chunk' AND l.error IS NULL) THEN e.markdown END AS markdown
+FROM ladder l JOIN ended e ON l.doc_id = e.doc_id""", "fx_requests", "fx_pages", "fx_files"))
+def q_convert_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return _ladder(spark, d, keep_text=True).select("doc_id", "status", "markdown")
+
+
+# Prompt variants: every document once per variant, keyed by (doc_id, approach).
 @query("approach_summary", with_fixtures(f"""
 SELECT doc_id, count(*) AS total_approaches, count(*) FILTER (WHERE ok) AS successful,
        count(*) FILTER (WHERE NOT ok) AS failed,
        coalesce(string_agg(CASE WHEN ok THEN approach END, ',' ORDER BY approach_no), '') AS successful_approaches,
        coalesce(string_agg(CASE WHEN NOT ok THEN approach END, ',' ORDER BY approach_no), '') AS failed_approaches,
        count(*) FILTER (WHERE ok) = 0 AS all_failed
-FROM (SELECT d.doc_id, a.approach_no, a.approach, (d.doc_id + a.approach_no) % 9 <> 0 AND d.doc_id % 50 <> 7 AS ok
+FROM (SELECT d.doc_id, a.approach_no, a.approach,
+             d.doc_id % 13 <> 0 AND d.doc_id % 17 <> 0 AND (d.doc_id + a.approach_no) % 9 <> 0 AS ok
       FROM documents d CROSS JOIN {_prompt_values_sql()})
 GROUP BY doc_id"""))
 def q_approach_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs = FX.read_table(spark, d, "documents").select("doc_id")
-    runs = fan_out(docs).withColumn("status", F.when(
-        ((F.col("doc_id") + F.col("approach_no")) % 9 != 0) & (F.col("doc_id") % 50 != 7), "success").otherwise("error"))
-    s = approach_summary(runs)
+    # One page per document and no chunking: each run is a single call with the variant's prompt.
+    docs = FX.read_table(spark, d, "documents")
+    pages = docs.select("doc_id", F.lit(1).alias("page_no"), "text")
+    jobs = fan_out(docs.select("doc_id", F.concat(F.lit(RUN_JOB_PREFIX), JB.stem(FX.fx_path())).alias("job_id"),
+                               F.lit("1").alias("page_ranges")))
+    runs = convert_ladder(pages, jobs, echo_converter, ocr_echo_converter, keys=["doc_id", "approach"],
+                          disable_chunking=True, fallback_enabled=False, call_rows=1000, keep_text=False)["documents"]
+    numbered = runs.join(jobs.select("doc_id", "approach", "approach_no"), ["doc_id", "approach"])
+    s = approach_summary(numbered)
     return s.select("doc_id", "total_approaches", "successful", "failed",
                     F.array_join("successful_approaches", ",").alias("successful_approaches"),
                     F.array_join("failed_approaches", ",").alias("failed_approaches"), "all_failed")
 
 
-def _converted(spark: SparkSession, d: str) -> DataFrame:
-    docs = FX.read_table(spark, d, "documents").select("doc_id", "text").join(FX.fx_requests(spark, d), "doc_id")
-    return convert_with_fallback(docs, echo_converter, ocr_echo_converter, keep=["doc_id"],
-                                 inputs=["doc_id", "text"], model="converter",
-                                 fallback_enabled=F.col("doc_id") % 3 != 2)
-
-
-_CONVERT_SQL = """
-SELECT doc_id,
-  CASE WHEN NOT failed THEN 'success' WHEN retriable AND no_range THEN 'chunked'
-       WHEN retriable AND doc_id % 3 <> 2 THEN 'success' ELSE 'error' END AS status,
-  CASE WHEN NOT failed THEN 'primary' WHEN retriable AND no_range THEN 'chunk'
-       WHEN retriable AND doc_id % 3 <> 2 THEN 'ocr_fallback' ELSE 'fail' END AS route,
-  failed AND retriable AND NOT no_range AND doc_id % 3 <> 2 AS fallback_used,
-  NOT failed OR (retriable AND no_range) AS formatting_preserved,
-  CASE WHEN failed AND retriable AND NOT no_range AND doc_id % 3 <> 2
-       THEN 'converter (OCR fallback - formatting reduced)' ELSE 'converter' END AS model,
-  CASE WHEN failed AND NOT (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN error END AS error,
-  CASE WHEN NOT failed OR (retriable AND NOT no_range AND doc_id % 3 <> 2) THEN CAST(length(text) AS INTEGER) END
-    AS markdown_length,
-  CASE WHEN NOT failed THEN CAST(length(text) AS DOUBLE) / 1000
-       WHEN retriable AND NOT no_range AND doc_id % 3 <> 2 THEN CAST(length(text) AS DOUBLE) / 2000
-       ELSE 0.0 END AS processing_time
-FROM (SELECT *, coalesce(error_type = 'APITimeoutError' OR contains(error, '504')
-                         OR contains(lower(error), 'timeout'), FALSE) AS retriable
-      FROM (SELECT d.doc_id, d.text, (r.page_ranges IS NULL OR r.page_ranges = '') AS no_range,
-                   d.doc_id % 13 = 0 OR d.doc_id % 17 = 0 AS failed,
-                   CASE WHEN d.doc_id % 13 = 0 THEN 'HTTP 504 Gateway Timeout'
-                        WHEN d.doc_id % 17 = 0 THEN 'bad request' END AS error,
-                   CASE WHEN d.doc_id % 13 = 0 AND d.doc_id % 2 = 0 THEN 'APITimeoutError'
-                        WHEN d.doc_id % 13 = 0 OR d.doc_id % 17 = 0 THEN 'SDKError' END AS error_type
-            FROM documents d JOIN fx_requests r ON d.doc_id = r.doc_id))
-"""
-
-
-@query("convert_documents", with_fixtures(_CONVERT_SQL, "fx_requests"))
-def q_convert_documents(spark: SparkSession, d: str) -> DataFrame:
-    c = _converted(spark, d)
-    return c.select("doc_id", "status", "route", "fallback_used", "formatting_preserved", "model", "error",
-                    F.length("markdown").alias("markdown_length"), "processing_time")
-
-
 def _run_metadata(spark: SparkSession, d: str) -> DataFrame:
-    reduction = PR.size_reduction(FX.fx_files(spark, d))
-    results = _converted(spark, d)
-    return run_metadata(_job_ids(spark, d), _routed(spark, d), reduction, results, FX.fx_requests(spark, d),
+    return run_metadata(_job_ids(spark, d), _routed(spark, d), PR.size_reduction(FX.fx_files(spark, d)), _ladder(spark, d),
                         F.lit(FX.RUN_TS).cast("timestamp_ntz"))
 
 
-_METADATA_SQL = f"""
-SELECT i.doc_id, i.job_id, i.source_name AS source_pdf, i.output_markdown,
+_METADATA_SQL = _LADDER_SQL + f"""
+SELECT i.doc_id, i.job_id, i.unique_job_id, CAST(NULL AS VARCHAR) AS approach, i.source_name AS source_pdf,
+       CASE WHEN c.status = 'success' THEN i.output_markdown END AS output_markdown,
        '2024-01-30T12:00:00' AS processing_date,
-       coalesce(CASE WHEN q.page_ranges <> '' THEN q.page_ranges END, 'all') AS pages_processed,
+       coalesce(CASE WHEN c.page_ranges <> '' THEN c.page_ranges END, 'all') AS pages_processed,
        coalesce(r.route <> 'skipped', FALSE) AS optimization_performed,
        CASE WHEN coalesce(r.route <> 'skipped', FALSE)
             THEN coalesce(CASE WHEN f.file_size_bytes = 0 THEN 'N/A'
@@ -658,33 +748,34 @@ SELECT i.doc_id, i.job_id, i.source_name AS source_pdf, i.output_markdown,
             ELSE 'N/A' END AS size_reduction,
        CASE WHEN r.route = 'remove_images' THEN r.total_images ELSE 0 END AS images_removed,
        CAST(0.0 AS DOUBLE) AS optimization_seconds,
-       coalesce(c.processing_time, 0.0) AS ocr_seconds,
-       CAST(0.0 AS DOUBLE) + coalesce(c.processing_time, 0.0) AS total_seconds,
-       coalesce(c.model, 'unknown') AS model, coalesce(c.status, 'error') AS status,
-       CAST(CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS INTEGER) AS markdown_length,
-       CASE WHEN c.status <> 'success' THEN c.error END AS error
+       round(c.processing_time, 6) AS ocr_seconds, round(c.processing_time, 6) AS total_seconds,
+       coalesce(c.model, 'unknown') AS model, 0 AS prompt_length, CAST(NULL AS VARCHAR) AS custom_prompt_file, c.status,
+       CASE WHEN c.status = 'success' THEN c.markdown_length ELSE 0 END AS markdown_length,
+       CASE WHEN c.status <> 'success' THEN coalesce(c.error, 'Unknown error') END AS error,
+       CASE WHEN c.status <> 'success' THEN coalesce(c.error_type, 'UnknownError') END AS error_type,
+       CASE WHEN c.status <> 'success' THEN '2024-01-30T12:00:00' END AS failed_at
 FROM ({_JOB_IDS_SQL}) i
 LEFT JOIN ({_ROUTING_SQL}) r ON i.doc_id = r.doc_id
 LEFT JOIN fx_files f ON i.doc_id = f.doc_id
-LEFT JOIN ({_CONVERT_SQL}) c ON i.doc_id = c.doc_id
-LEFT JOIN fx_requests q ON i.doc_id = q.doc_id
+LEFT JOIN ladder c ON i.doc_id = c.doc_id
 """
 
 
 @query("run_metadata", with_fixtures(_METADATA_SQL, "fx_pages", "fx_files", "fx_requests"))
 def q_run_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _run_metadata(spark, d)
+    m = _run_metadata(spark, d)
+    return m.withColumns({c: F.round(c, 6) for c in ("ocr_seconds", "total_seconds")})
 
 
 @query("timing_summary", with_fixtures(f"""
-SELECT status, optimization_performed, count(*) AS runs, round(sum(optimization_seconds), 6) AS optimization_seconds,
-       round(sum(ocr_seconds), 6) AS ocr_seconds, round(sum(total_seconds), 6) AS total_seconds
+SELECT status, optimization_performed, count(*) AS runs, round(sum(optimization_seconds), 4) AS optimization_seconds,
+       round(sum(ocr_seconds), 4) AS ocr_seconds, round(sum(total_seconds), 4) AS total_seconds
 FROM ({_METADATA_SQL}) GROUP BY status, optimization_performed""", "fx_pages", "fx_files", "fx_requests"))
 def q_timing_summary(spark: SparkSession, d: str) -> DataFrame:
-    # Sums of doubles depend on the summation order; six decimals make the check order-free.
-    t = timing_summary(_run_metadata(spark, d))
+    # Sums of doubles depend on the summation order; four decimals make the check order-free.
+    t = timing_summary(_run_metadata(spark, d).withColumns({c: F.round(c, 6) for c in ("ocr_seconds", "total_seconds")}))
     return t.select("status", "optimization_performed", "runs",
-                    *[F.round(c, 6).alias(c) for c in ("optimization_seconds", "ocr_seconds", "total_seconds")])
+                    *[F.round(c, 4).alias(c) for c in ("optimization_seconds", "ocr_seconds", "total_seconds")])
 
 
 def _original_chunk_id(parent: F.Column, chunk_number: F.Column) -> F.Column:
@@ -694,21 +785,13 @@ def _original_chunk_id(parent: F.Column, chunk_number: F.Column) -> F.Column:
 
 
 @query("chunk_job_link", with_fixtures(f"""
-SELECT CASE WHEN r.success THEN r.job_id ELSE r.original_job_id END AS job_id, r.original_job_id,
-       r.parent_job_id, r.chunk_number, r.total_chunks, r.pages AS page_range, r.success AS is_chunk, l.status
-FROM (SELECT *, NOT starts_with(content, '<!-- ERROR') AS success,
-             printf('job_20240130_12%02d00_%s', chunk_number,
-                    regexp_extract(parent_job_id, '^job_[0-9]{{8}}_[0-9]{{6}}_(.*)$', 1)) AS original_job_id
-      FROM ({_CHUNK_RESULTS_SQL})) r
-JOIN (SELECT printf('job_20240130_12%02d00_%s', chunk_number, 'doc_' || CAST(doc_id AS VARCHAR)) AS original_job_id,
-             CASE WHEN (doc_id + chunk_number) % 7 = 0 OR (doc_id + chunk_number) % 11 = 0
-                  THEN 'failed' ELSE 'completed' END AS status
-      FROM ({_PLAN_SQL}) WHERE total_pages > 20) l
-  ON r.original_job_id = l.original_job_id""", "fx_pages", "fx_files"))
+SELECT doc_id, CASE WHEN success THEN job_id ELSE original_job_id END AS job_id, original_job_id,
+       parent_job_id, chunk_number, total_chunks, pages AS page_range, success AS is_chunk,
+       CASE WHEN (doc_id + chunk_number) % 7 = 0 OR (doc_id + chunk_number) % 11 = 0 THEN 'failed' ELSE 'completed' END AS status
+FROM (SELECT *, printf('job_20240130_12%02d00_%s', chunk_number, 'doc_' || CAST(doc_id % 40 AS VARCHAR)) AS original_job_id
+      FROM ({_CHUNK_RESULTS_SQL}))""", "fx_pages", "fx_files"))
 def q_chunk_job_link(spark: SparkSession, d: str) -> DataFrame:
-    results = _chunk_results(spark, d).withColumn(
-        "original_job_id", _original_chunk_id(F.col("parent_job_id"), F.col("chunk_number")))
-    runs = _chunk_outcomes(spark, d).select(
-        _original_chunk_id(F.col("job_id"), F.col("chunk_number")).alias("job_id"),
+    runs = _plan(spark, d).join(_chunk_outcomes(spark, d).select("doc_id", "chunk_number", "status"), ["doc_id", "chunk_number"]).select(
+        "doc_id", "chunk_number", _original_chunk_id(F.col("job_id"), F.col("chunk_number")).alias("original_job_id"),
         F.when(F.col("status") == "success", "completed").otherwise("failed").alias("status"))
-    return CH.chunk_job_link(results, runs)
+    return CH.chunk_job_link(_chunk_results(spark, d), runs)

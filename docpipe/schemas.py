@@ -18,6 +18,17 @@ JOB_EVENT_SCHEMA = T.StructType([
     T.StructField("page_ranges", T.StringType()),
     T.StructField("prompt_tokens", T.LongType()),
     T.StructField("completion_tokens", T.LongType()),
+    T.StructField("total_tokens", T.LongType()),
+    T.StructField("start_time", T.TimestampNTZType()),
+    T.StructField("end_time", T.TimestampNTZType()),
+    T.StructField("request_ts", T.TimestampNTZType()),
+    T.StructField("prompt_type", T.StringType()),
+    T.StructField("processing_time", T.DoubleType()),
+    T.StructField("model", T.StringType()),
+    T.StructField("markdown_length", T.LongType()),
+    T.StructField("error_type", T.StringType()),
+    T.StructField("parent_job_id", T.StringType()),
+    T.StructField("is_chunk", T.BooleanType()),
 ])
 
 PAGES_SCHEMA = T.StructType([
@@ -28,6 +39,7 @@ PAGES_SCHEMA = T.StructType([
 ])
 
 CHUNK_RESULTS_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()),
     T.StructField("parent_job_id", T.StringType()),
     T.StructField("chunk_number", T.IntegerType()),
     T.StructField("total_chunks", T.IntegerType()),
@@ -35,6 +47,7 @@ CHUNK_RESULTS_SCHEMA = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("processing_time", T.DoubleType()),
     T.StructField("job_id", T.StringType()),
+    T.StructField("success", T.BooleanType()),
 ])
 
 RESPONSES_SCHEMA = T.StructType([

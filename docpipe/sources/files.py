@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docpipe.schemas import PAGES_SCHEMA
 
@@ -42,11 +43,14 @@ def read_files(spark: SparkSession, path_glob: str, recursive: bool = True) -> D
                         F.col("length").alias("file_size_bytes"), "content")
 
 
+EXTRACTED_SCHEMA = T.StructType([*PAGES_SCHEMA.fields, T.StructField("error", T.StringType())])
+
+
 def extract_pages(files: DataFrame, extract: PageExtractor, partitions: int | None = None) -> DataFrame:
-    """Pages of every file through the caller's ``extract``: doc_id, page_no, text, images.
+    """Pages of every file through the caller's ``extract``: doc_id, page_no, text, images, error.
 
-    A file the extractor cannot read yields no pages (it then profiles as a zero-page
-    document). ``partitions`` spreads large files over more tasks before extraction.
+    A file the extractor cannot read to its end gives no pages but one row with ``error``
+    and no page number. ``partitions`` spreads large files over more tasks before extraction.
     """
     src = files.select("doc_id", "content")
     if partitions:
@@ -54,13 +58,22 @@ def extract_pages(files: DataFrame, extract: PageExtractor, partitions: int | No
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                try:
-                    for page_no, text, images in extract(bytes(content)):
-                        rows.append((doc_id, int(page_no), text, int(images)))
-                except Exception:  # noqa: BLE001 - an unreadable file has no pages
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "text", "images"])
-
-    return src.mapInPandas(run, PAGES_SCHEMA)
+                try:                            # a file's pages are held back until it is read to its end
+                    rows = [(doc_id, int(page_no), text, int(images), None) for page_no, text, images in extract(bytes(content))]
+                except Exception as exc:  # noqa: BLE001 - errors are data here
+                    rows = [(doc_id, None, None, None, f"{type(exc).__name__}: {exc}")]
+                out = pd.DataFrame(rows, columns=["doc_id", "page_no", "text", "images", "error"])
+                yield out.astype({"page_no": "Int32", "images": "Int64"})
+
+    return src.mapInPandas(run, EXTRACTED_SCHEMA)
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """The pages of the files that could be read."""
+    return pages.where("error IS NULL").drop("error")
+
+
+def extraction_errors(pages: DataFrame) -> DataFrame:
+    """doc_id, error of the files that could not."""
+    return pages.where("error IS NOT NULL").select("doc_id", "error")

@@ -57,32 +57,37 @@ FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p
 """
 
 
+def fx_path() -> Column:
+    """A path per document; many documents share a file name, as in any real collection."""
+    return F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/doc_"),
+                    (F.col("doc_id") % 40).cast("string"), F.lit(".pdf"))
+
+
 def fx_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """Stand-in file listing: doc_id, path, file_size_bytes, optimized_size_bytes."""
     d = _docs(spark, data_dir, "doc_id", "source", "n_chars")
     zero = F.col("doc_id") % 97 == 0
     return d.select(
         "doc_id",
-        F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
-                 F.lit(".pdf")).alias("path"),
+        fx_path().alias("path"),
         F.when(zero, F.lit(0).cast("bigint")).otherwise(F.col("n_chars") * 16384).alias("file_size_bytes"),
         F.when(zero, F.lit(0).cast("bigint")).otherwise(
             F.col("n_chars") * (16384 - (F.col("doc_id") % 60) * 128)).alias("optimized_size_bytes"))
 
 
 FX_FILES_SQL = """
-SELECT doc_id, concat('/corpus/', source, '/doc_', CAST(doc_id AS VARCHAR), '.pdf') AS path,
+SELECT doc_id, concat('/corpus/', source, '/', CAST(doc_id AS VARCHAR), '/doc_', CAST(doc_id % 40 AS VARCHAR), '.pdf') AS path,
        CASE WHEN doc_id % 97 = 0 THEN 0 ELSE n_chars * 16384 END AS file_size_bytes,
        CASE WHEN doc_id % 97 = 0 THEN 0 ELSE n_chars * (16384 - (doc_id % 60) * 128) END AS optimized_size_bytes
 FROM documents
 """
 
-_REQUEST_SPECS = ["1-3,5,7-9", " 2 - 4 ,3", "5-3", "1", "10,1,1", "1-2-3", "x"]
+_REQUEST_SPECS = ["1-3,5,7-9", " 2 - 4 ,3", "5-3", "1", "10,1,1", "1-2-3", "x", "3-1000000000,0"]
 
 
 def fx_requests(spark: SparkSession, data_dir: str) -> DataFrame:
     """Page-range requests per document: doc_id, page_ranges (NULL = all pages)."""
-    k = F.col("doc_id") % 8
+    k = F.col("doc_id") % 10
     spec: Column = F.lit(None).cast("string")
     for i in reversed(range(len(_REQUEST_SPECS))):
         spec = F.when(k == i, F.lit(_REQUEST_SPECS[i])).otherwise(spec)
@@ -90,8 +95,8 @@ def fx_requests(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 FX_REQUESTS_SQL = """
-SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '1-3,5,7-9' WHEN 1 THEN ' 2 - 4 ,3' WHEN 2 THEN '5-3'
-       WHEN 3 THEN '1' WHEN 4 THEN '10,1,1' WHEN 5 THEN '1-2-3' WHEN 6 THEN 'x' END AS page_ranges
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '1-3,5,7-9' WHEN 1 THEN ' 2 - 4 ,3' WHEN 2 THEN '5-3'
+       WHEN 3 THEN '1' WHEN 4 THEN '10,1,1' WHEN 5 THEN '1-2-3' WHEN 6 THEN 'x' WHEN 7 THEN '3-1000000000,0' END AS page_ranges
 FROM documents
 """
 
@@ -119,16 +124,19 @@ def fx_responses(spark: SparkSession, data_dir: str) -> DataFrame:
         .when(doc % 10 == 7, F.lit("When you act under fire: roll+hard, then stop."))
         .when(doc % 10 == 8, F.lit("When you read a person, roll+Sharp. On a hit: stay cool."))
         .otherwise(F.lit("   ")))
-    body = F.when(doc % 30 == 4, F.lit("Formatting preserved as specified.")).otherwise(F.col("text"))
+    body = F.when(doc % 30 == 4, F.concat(F.lit("Formatting preserved as specified.\n"), F.col("text"))).otherwise(F.col("text"))
     tail = F.when(doc % 4 == 0, F.lit("All formatting has been preserved as specified.")).otherwise(F.lit("end "))
-    content = (F.when(doc % 250 == 9, F.lit(None).cast("string"))
-               .when(doc % 250 == 19, F.lit(""))
-               .otherwise(F.concat_ws(NL, head, body, tail)))
-    return d.select("doc_id", content.alias("content"))
+    answers = d.select("doc_id", F.concat_ws(NL, head, body, tail).alias("content"))
+    # the cases without text are answers of their own, under negative ids
+    bare = d.where((doc % 250 == 9) | (doc % 250 == 19)).select(
+        (-1 - doc).alias("doc_id"), F.when(doc % 250 == 19, F.lit("")).alias("content"))
+    short = d.where(doc % 30 == 4).select((-1 - doc).alias("doc_id"), _lines(
+        "```markdown", "```", "", "Formatting preserved as specified.").alias("content"))
+    return answers.union(bare).union(short)
 
 
 FX_RESPONSES_SQL = """
-SELECT doc_id, CASE WHEN doc_id % 250 = 9 THEN NULL WHEN doc_id % 250 = 19 THEN '' ELSE concat_ws(chr(10),
+SELECT doc_id, concat_ws(chr(10),
   CASE doc_id % 10
     WHEN 0 THEN concat_ws(chr(10), 'Here is the PDF converted to Markdown format:', '', '# Title', '', '')
     WHEN 1 THEN concat_ws(chr(10), '---', 'All formatting has been preserved as requested.', '- **Bold** text converted to `**bold**`', '---')
@@ -141,9 +149,14 @@ SELECT doc_id, CASE WHEN doc_id % 250 = 9 THEN NULL WHEN doc_id % 250 = 19 THEN
     WHEN 7 THEN 'When you act under fire: roll+hard, then stop.'
     WHEN 8 THEN 'When you read a person, roll+Sharp. On a hit: stay cool.'
     ELSE '   ' END,
-  CASE WHEN doc_id % 30 = 4 THEN 'Formatting preserved as specified.' ELSE text END,
-  CASE WHEN doc_id % 4 = 0 THEN 'All formatting has been preserved as specified.' ELSE 'end ' END) END AS content
+  CASE WHEN doc_id % 30 = 4 THEN 'Formatting preserved as specified.' || chr(10) || text ELSE text END,
+  CASE WHEN doc_id % 4 = 0 THEN 'All formatting has been preserved as specified.' ELSE 'end ' END) AS content
 FROM documents
+UNION ALL
+SELECT -1 - doc_id, CASE WHEN doc_id % 250 = 19 THEN '' END FROM documents WHERE doc_id % 250 IN (9, 19)
+UNION ALL
+SELECT -1 - doc_id, concat_ws(chr(10), '```markdown', '```', '', 'Formatting preserved as specified.') FROM documents
+WHERE doc_id % 30 = 4
 """
 
 
@@ -167,6 +180,17 @@ def fx_job_events(spark: SparkSession, data_dir: str) -> DataFrame:
         F.when(eid % 4 == 0, F.lit("1-5")).alias("page_ranges"),
         F.floor("value").cast("bigint").alias("prompt_tokens"),
         (eid % 1000).cast("bigint").alias("completion_tokens"),
+        F.when(eid % 5 == 0, F.floor("value").cast("bigint") + eid % 1000 + 3).alias("total_tokens"),
+        F.when(eid % 6 == 0, F.col("ts") - F.expr("INTERVAL 30 SECONDS")).alias("start_time"),
+        F.when(et.isin("purchase", "error"), F.col("ts")).alias("end_time"),
+        F.when(eid % 7 == 0, F.col("ts") - F.expr("INTERVAL 5 SECONDS")).alias("request_ts"),
+        F.when(eid % 3 == 0, "default").when(eid % 3 == 1, "custom").alias("prompt_type"),
+        F.when(et == "purchase", F.col("value")).alias("processing_time"),
+        F.when(eid % 2 == 0, "model-a").when(eid % 3 == 0, "model-b").alias("model"),
+        F.when(et == "purchase", eid * 10).alias("markdown_length"),
+        F.when(et == "error", F.when(eid % 2 == 0, "APITimeoutError").otherwise("SDKError")).alias("error_type"),
+        F.lit(None).cast("string").alias("parent_job_id"),
+        F.lit(None).cast("boolean").alias("is_chunk"),
     )
 
 
@@ -180,7 +204,17 @@ SELECT event_id, concat('job_', strftime(ts, '%Y%m%d'), '_000000_doc', CAST(user
   concat('/corpus/doc', CAST(user_id AS VARCHAR), '.pdf') AS input_file,
   CASE event_type WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'HTTP 504' WHEN 1 THEN 'Request Timeout' ELSE 'bad request' END END AS error,
   CASE WHEN event_id % 4 = 0 THEN '1-5' END AS page_ranges,
-  CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(event_id % 1000 AS BIGINT) AS completion_tokens
+  CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(event_id % 1000 AS BIGINT) AS completion_tokens,
+  CASE WHEN event_id % 5 = 0 THEN CAST(floor(value) AS BIGINT) + event_id % 1000 + 3 END AS total_tokens,
+  CASE WHEN event_id % 6 = 0 THEN ts - INTERVAL 30 SECOND END AS start_time,
+  CASE WHEN event_type IN ('purchase', 'error') THEN ts END AS end_time,
+  CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 5 SECOND END AS request_ts,
+  CASE event_id % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'custom' END AS prompt_type,
+  CASE WHEN event_type = 'purchase' THEN value END AS processing_time,
+  CASE WHEN event_id % 2 = 0 THEN 'model-a' WHEN event_id % 3 = 0 THEN 'model-b' END AS model,
+  CASE WHEN event_type = 'purchase' THEN event_id * 10 END AS markdown_length,
+  CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'APITimeoutError' ELSE 'SDKError' END END AS error_type,
+  CAST(NULL AS VARCHAR) AS parent_job_id, CAST(NULL AS BOOLEAN) AS is_chunk
 FROM events
 """
 
@@ -220,6 +254,5 @@ def fx_file_bytes(spark: SparkSession, data_dir: str) -> DataFrame:
     d = _docs(spark, data_dir, "doc_id", "source", "text")
     return d.select(
         "doc_id",
-        F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
-                 F.lit(".pdf")).alias("path"),
+        fx_path().alias("path"),
         F.encode("text", "UTF-8").alias("content"))

@@ -38,9 +38,12 @@ def prompt_catalog(spark: SparkSession, custom_prompt: str | None = None) -> Dat
 
 
 def read_prompt_file(spark: SparkSession, path: str) -> str:
-    """A custom prompt file (one small text file) read whole."""
-    row = spark.read.text(path, wholetext=True).first()
-    return row[0] if row else ""
+    """A custom prompt file (one small text file) read whole; a path that names another number
+    of files is an error."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} names {'no file' if not rows else 'several files'}, one is needed")
+    return rows[0][0]
 
 
 def approaches_literal(custom_prompt: str | None = None) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def write_markdown(results: DataFrame, path: str, mode: str = "append",
                    partition_by: list[str] | None = None) -> None:
     """doc_id, approach, job_id, output_name, markdown -> Parquet table."""
-    cols = [c for c in ["doc_id", "approach", "job_id", "output_name", "markdown"] if c in results.columns]
+    cols = [c for c in ["doc_id", "approach", "job_id", "unique_job_id", "output_name", "markdown"] if c in results.columns]
     writer = results.select(*cols).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -26,13 +26,14 @@ def metadata_records(metadata: DataFrame) -> DataFrame:
     return metadata.select(
         "doc_id",
         F.struct(
-            F.col("source_pdf"), F.col("output_markdown"), F.col("processing_date"), F.col("job_id"),
+            F.col("source_pdf"), F.col("output_markdown"), F.col("processing_date"), F.col("job_id"), F.col("unique_job_id"),
             F.col("pages_processed"),
             F.struct(F.col("optimization_performed").alias("performed"), F.col("size_reduction"),
                      F.col("images_removed")).alias("optimization"),
             F.struct(F.col("optimization_seconds").alias("optimization"), F.col("ocr_seconds").alias("ocr"),
                      F.col("total_seconds").alias("total")).alias("processing_time"),
-            F.col("model"), F.col("status"), F.col("markdown_length"), F.col("error"),
+            F.col("model"), F.col("approach"), F.col("prompt_length"), F.col("custom_prompt_file"), F.col("status"),
+            F.col("markdown_length"), F.col("error"), F.col("error_type"), F.col("failed_at"),
         ).alias("metadata"))
 
 

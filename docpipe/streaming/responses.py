@@ -59,7 +59,9 @@ def start_chunk_collection(spark: SparkSession, source: str, table_path: str, ch
 
 
 def complete_parents(results: DataFrame) -> DataFrame:
-    """Parent jobs whose every chunk has arrived (count of chunk numbers = total_chunks)."""
-    return (results.groupBy("parent_job_id")
+    """Documents whose every chunk has arrived (count of chunk numbers = total_chunks).
+
+    Keyed by doc_id: parent job ids are labels that two documents may share."""
+    return (results.groupBy("doc_id")
             .agg(F.countDistinct("chunk_number").alias("n"), F.max("total_chunks").alias("total"))
-            .where(F.col("n") == F.col("total")).select("parent_job_id"))
+            .where(F.col("n") == F.col("total")).select("doc_id"))

@@ -14,7 +14,7 @@ from docpipe.operators import profile as PR
 @pytest.mark.parametrize("spec,expected", [
     ("1-3,5,7-9", [1, 2, 3, 5, 7, 8, 9]), ("5-3", []), ("7-7", [7]), ("10,1", [1, 10]),
     (" 2 - 4 ,3", [2, 3, 4]), ("1-2-3", None), ("x", None), ("", None), ("1,,2", None),
-    ("99999999999", None),
+    ("99999999999", None), ("1\t2", None), ("1-\t2", [1, 2]), ("1 2", [12]),
 ])
 def test_page_ranges(spark, spec, expected):
     got = spark.createDataFrame([(spec,)], "s string").select(parse_page_ranges(F.col("s")).alias("p")).first().p
@@ -76,9 +76,10 @@ def test_stitch_pages_keeps_empty_documents(spark):
 
 
 def ledger(spark, rows):
-    return spark.createDataFrame(rows, "event_id long, job_id string, event_ts timestamp_ntz, status string, "
-                                       "current_stage string, input_file string, error string, page_ranges string, "
-                                       "prompt_tokens long, completion_tokens long")
+    """Events from their first ten fields; the others are NULL."""
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    width = len(JOB_EVENT_SCHEMA.fields)
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], JOB_EVENT_SCHEMA)
 
 
 def test_job_severity_edges(spark):
@@ -153,15 +154,27 @@ def test_random_page_ranges_match_sequential_model(spark):
         assert pages == want, spec
 
 
-def test_two_level_stitch_equals_single_level(spark):
-    rows = [(1, p, f"p{p}", 7) for p in range(1, 8)] + [(2, 1, "only", 1)] + [(3, 2, "b", 2), (3, 1, "a", 2)]
-    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, n long")
-    docs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
-    single = {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs).collect()}
-    for split_above in (1, 2, 3, 100):
-        two = {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs, size_col="n", split_above=split_above).collect()}
-        assert two == single
-    assert single[1] == "\n\n---\n\n".join(f"p{p}" for p in range(1, 8)) and single[4] == ""
+def test_stitch_in_blocks_of_any_size(spark):
+    rows = [(1, p, f"p{p}") for p in range(1, 8)] + [(2, 1, "only")] + [(3, 2, "b"), (3, 1, "a"), (5, 1, None), (5, 2, "")]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    docs = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "doc_id long")
+    want = {1: "\n\n---\n\n".join(f"p{p}" for p in range(1, 8)), 2: "only", 3: "a\n\n---\n\nb", 4: "", 5: ""}
+    for block in (1, 2, 3, 1024):
+        assert {r.doc_id: r.markdown for r in PG.stitch_pages(pages, docs, block_parts=block).collect()} == want
+
+
+def test_stitched_chunks_of_one_job_id_stay_apart(spark):
+    """Two files of one name share their job id; each keeps its own text and its own chunks."""
+    counts = spark.createDataFrame([(1, "job_rules", 1), (2, "job_rules", 1)], "doc_id long, job_id string, total_pages long")
+    outcomes = spark.createDataFrame([(1, 1, "success", "one", None, 1.0), (2, 1, "success", "two", None, 1.0)],
+                                     "doc_id long, chunk_number int, status string, markdown string, error string, processing_time double")
+    res = CH.chunk_results(CH.chunk_plan(counts), outcomes)
+    assert res.count() == 2
+    assert {r.doc_id: r.markdown for r in CH.stitch_chunks(res, block_parts=2).collect()} == {1: "one", 2: "two"}
+    assert {r.doc_id: r.total_chunks for r in CH.chunk_summary(res).collect()} == {1: 1, 2: 1}
+    runs = spark.createDataFrame([(1, 1, "job_a", "completed"), (2, 1, "job_a", "completed")],
+                                 "doc_id long, chunk_number int, original_job_id string, status string")
+    assert CH.chunk_job_link(res, runs).count() == 2
 
 
 def test_parse_usage_from_raw_json(spark):
@@ -183,11 +196,11 @@ def test_chunk_membership_from_row_page_count(spark):
 
 
 def test_chunk_results_error_forms(spark):
-    plan = spark.createDataFrame([("j", 1, 3, "1-5", "j_chunk_01_of_03"), ("j", 2, 3, "6-10", "j_chunk_02_of_03"),
-                                  ("j", 3, 3, "11", "j_chunk_03_of_03")],
-                                 "job_id string, chunk_number int, total_chunks int, label string, chunk_job_id string")
-    outcomes = spark.createDataFrame([("j", 1, "error", None, "HTTP 504", 0.0), ("j", 2, "exception", None, "boom", 0.0)],
-                                     "job_id string, chunk_number int, status string, markdown string, error string, "
+    plan = spark.createDataFrame([(1, "j", 1, 3, "1-5", "j_chunk_01_of_03"), (1, "j", 2, 3, "6-10", "j_chunk_02_of_03"),
+                                  (1, "j", 3, 3, "11", "j_chunk_03_of_03")],
+                                 "doc_id long, job_id string, chunk_number int, total_chunks int, label string, chunk_job_id string")
+    outcomes = spark.createDataFrame([(1, 1, "error", None, "HTTP 504", 0.0), (1, 2, "exception", None, "boom", 0.0)],
+                                     "doc_id long, chunk_number int, status string, markdown string, error string, "
                                      "processing_time double")
     got = {r.chunk_number: r.content for r in CH.chunk_results(plan, outcomes).collect()}
     assert got == {1: "<!-- ERROR: Chunk 1-5 failed: HTTP 504 -->", 2: "<!-- ERROR: Chunk 6-10 error: boom -->",
@@ -212,3 +225,77 @@ def test_page_ranges_clipped_to_document(spark):
     wanted = PG.wanted_pages(spark.createDataFrame([(1, "2-1000000000", 3), (2, None, 2)],
                                                    "doc_id long, page_ranges string, total_pages long"))
     assert sorted(tuple(r) for r in wanted.collect()) == [(1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_huge_ranges_are_never_expanded(spark):
+    pages = spark.createDataFrame([(1, p, f"t{p}") for p in range(1, 6)], "doc_id long, page_no int, text string")
+    req = spark.createDataFrame([(1, "4-1000000000,0,2"), (2, "7-9"), (3, None), (4, "x")], "doc_id long, page_ranges string")
+    assert sorted(r.page_no for r in PG.select_pages(pages, req).collect()) == [2, 4, 5]
+    assert sorted(tuple(r) for r in PG.missing_pages(pages, req).collect()) == [(1, 0, 0), (1, 6, 1000000000), (2, 7, 9)]
+    named = {r.doc_id: r.n_pages for r in PG.parsed_requests(req).collect()}
+    assert named == {1: 999_999_999, 2: 3, 3: None, 4: None}
+
+
+def test_converter_rows_are_never_lost_or_sent_again(spark, tmp_path):
+    """Short answers, missing statuses and exceptions become rows; each row is handed over once."""
+    from docpipe.operators.convert import convert
+    log = str(tmp_path)
+
+    def odd():
+        import os
+        import uuid
+
+        import pandas as pd
+
+        def run(batch):
+            for d in batch["doc_id"]:
+                open(os.path.join(log, f"{d}-{uuid.uuid4().hex}"), "w").close()
+            if (batch["doc_id"] == 5).any():
+                raise ValueError("boom")
+            out = pd.DataFrame({"status": "success", "markdown": "m", "error": None, "error_type": None, "processing_time": 0.1},
+                               index=range(len(batch)))
+            if (batch["doc_id"] == 2).any():
+                out = out.iloc[:-1]
+            if (batch["doc_id"] == 7).any():
+                out.loc[0, "status"] = None
+            return out
+        return run
+
+    df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for call_rows in (1, 3):
+        got = {r.doc_id: (r.status, r.error_type) for r in convert(df, odd, ["doc_id"], ["text"], call_rows=call_rows).collect()}
+        assert set(got) == set(range(10))
+        assert got[5] == ("exception", "ValueError")
+        assert got[2] == ("exception", "ConverterContractError")
+    import os
+    calls = [f.split("-")[0] for f in os.listdir(log)]
+    assert sorted(calls) == sorted([str(d) for d in range(10)] * 2)
+
+
+def test_recorded_times_win_over_event_times(spark):
+    import datetime as dt
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    t = dt.datetime(2024, 1, 1, 10, 0, 0)
+    event = dict.fromkeys(f.name for f in JOB_EVENT_SCHEMA.fields)
+    event |= {"event_id": 1, "job_id": "a", "event_ts": t + dt.timedelta(minutes=4), "status": "started",
+              "current_stage": "waiting_for_chat_response", "start_time": t, "request_ts": t + dt.timedelta(minutes=4)}
+    state = JB.latest_job_state(spark.createDataFrame([tuple(event.values())], JOB_EVENT_SCHEMA))
+    row = JB.job_status(state, "2024-01-01 10:05:00").first()
+    assert (row.elapsed_seconds, row.api_wait_seconds, row.long_wait, row.prompt_type) == (300.0, 60.0, False, "unknown")
+
+
+def test_list_jobs_reads_the_state_of_the_top_ids_only(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, f"job_{k:03d}", t0 + dt.timedelta(seconds=k), "started", None, f"/x/{k}.pdf", None, None, 1, 1) for k in range(40)]
+    got = JB.list_jobs(ledger(spark, rows), 3)
+    assert sorted(r.job_id for r in got.collect()) == ["job_037", "job_038", "job_039"]
+    assert "TakeOrderedAndProject" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prompt_file_must_be_one(spark, tmp_path):
+    from docpipe.sources.prompts import read_prompt_file
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "b.txt").write_text("b")
+    with pytest.raises(ValueError):
+        read_prompt_file(spark, str(tmp_path))

@@ -78,19 +78,19 @@ def test_bounded_live_state_matches_batch(spark):
 def test_chunk_collection_then_batch_stitch(spark):
     from docpipe.operators.chunks import stitch_chunks
     src = scratch()
-    rows = [("j1", 1, 2, "1-2", "a\nb", 1.0, "j1_chunk_01_of_02"), ("j1", 2, 2, "3", "c", 1.5, "j1_chunk_02_of_02"),
-            ("j2", 1, 2, "1", "x", 0.5, "j2_chunk_01_of_02")]
-    schema = "parent_job_id string, chunk_number int, total_chunks int, pages string, content string, " \
-             "processing_time double, job_id string"
+    rows = [(1, "j", 1, 2, "1-2", "a\nb", 1.0, "j_chunk_01_of_02", True), (1, "j", 2, 2, "3", "c", 1.5, "j_chunk_02_of_02", True),
+            (2, "j", 1, 2, "1", "x", 0.5, "j_chunk_01_of_02", True)]
+    schema = "doc_id long, parent_job_id string, chunk_number int, total_chunks int, pages string, content string, " \
+             "processing_time double, job_id string, success boolean"
     for r in rows:                                   # chunks arrive one file at a time
         spark.createDataFrame([r], schema).write.mode("append").parquet(src)
     table = scratch() + "/chunks"
     R.start_chunk_collection(spark, src, table, scratch(), available_now=True).awaitTermination()
     collected = spark.read.parquet(table)
     done = R.complete_parents(collected)
-    assert [r.parent_job_id for r in done.collect()] == ["j1"]
-    stitched = stitch_chunks(collected.join(done, "parent_job_id", "left_semi")).collect()
-    assert [(r.parent_job_id, r.markdown) for r in stitched] == [("j1", "a\nb\n\nc")]
+    assert [r.doc_id for r in done.collect()] == [1]
+    stitched = stitch_chunks(collected.join(done, "doc_id", "left_semi")).collect()
+    assert [(r.doc_id, r.markdown) for r in stitched] == [(1, "a\nb\n\nc")]
 
 
 def test_hung_job_alerts_over_many_batches(spark):
