@@ -434,10 +434,9 @@ def q_enhance_formatting(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", enhance_formatting(F.col("content"), F.col("doc_id") % 3 != 2).alias("markdown"))
 
 
-@query("markup_to_markdown", with_fixtures(f"SELECT page_id, {S.markup_sql('html')} AS markdown FROM fx_markup",
-                                           "fx_markup"))
+@query("markup_to_markdown", S.markup_sql("pages", "page_id", "html"))
 def q_markup_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return FX.fx_markup(spark, d).select("page_id", markup_to_markdown(F.col("html")).alias("markdown"))
+    return FX.read_table(spark, d, "pages").select("page_id", markup_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query("result_preview", with_fixtures("""

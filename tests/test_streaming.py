@@ -15,19 +15,6 @@ def scratch():
     return tempfile.mkdtemp(prefix="docpipe-stream-")
 
 
-def test_live_job_state_matches_batch(spark):
-    src = scratch()
-    events = FX.fx_job_events(spark, SF_SMALL)
-    events.repartition(4, "event_id").write.mode("overwrite").parquet(src)
-    q = (L.live_job_state(L.read_job_events(spark, src, max_files_per_trigger=1)).writeStream
-         .format("memory").queryName("live_state").outputMode("complete")
-         .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = spark.table("live_state").select("job_id", "status", "current_stage", "last_event_ts", "start_time")
-    want = JB.latest_job_state(events).select("job_id", "status", "current_stage", "last_event_ts", "start_time")
-    assert sorted(got.collect()) == sorted(want.collect())
-
-
 def test_hung_job_alerts_match_batch(spark):
     src = scratch()
     events = FX.fx_job_events(spark, SF_SMALL)
@@ -54,7 +41,7 @@ def test_streaming_cleaner_matches_batch(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_bounded_live_state_matches_batch(spark):
+def test_live_state_matches_batch(spark):
     src = scratch()
     events = FX.fx_job_events(spark, SF_SMALL)
     # Files arrive in event-time order (one time slice per write): a stateful stream drops
@@ -63,7 +50,7 @@ def test_bounded_live_state_matches_batch(spark):
         events.where(F.col("event_ts").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))
                      & (F.col("event_ts") < F.lit(hi).cast("timestamp_ntz"))) \
             .coalesce(1).write.mode("append").parquet(src)
-    q = (L.live_job_state_bounded(L.read_job_events(spark, src, max_files_per_trigger=1), retention_seconds=10 ** 7)
+    q = (L.live_job_state(L.read_job_events(spark, src, max_files_per_trigger=1), retention_seconds=10 ** 7)
          .writeStream.format("memory").queryName("live_bounded").outputMode("update")
          .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -111,3 +98,45 @@ def test_hung_job_alerts_over_many_batches(spark):
     last = events.agg(F.max("event_ts")).first()[0]
     want = sorted(r.job_id for r in JB.hung_jobs(JB.latest_job_state(events), F.lit(last)).collect())
     assert sorted(r.job_id for r in alerts.collect()) == want
+
+
+def alerts_of(spark, name, batches, **options):
+    """Alerts of a stream whose micro-batches are the given (seconds, job, status) lists."""
+    import datetime as dt
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    src, t0, n = scratch(), dt.datetime(2024, 1, 1), 0
+    for rows in batches:
+        events = []
+        for seconds, job, status in rows:
+            n += 1
+            event = dict.fromkeys(f.name for f in JOB_EVENT_SCHEMA.fields)
+            event |= {"event_id": n, "job_id": job, "event_ts": t0 + dt.timedelta(seconds=seconds), "status": status,
+                      "input_file": f"/x/{job}.pdf"}
+            events.append(tuple(event.values()))
+        spark.createDataFrame(events, JOB_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    q = (L.hung_job_alerts(L.read_job_events(spark, src, max_files_per_trigger=1), **options).writeStream
+         .format("memory").queryName(name).outputMode("append").option("checkpointLocation", scratch())
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return [(r.job_id, (r.start_time - t0).total_seconds()) for r in spark.table(name).collect()]
+
+
+def test_end_seen_before_start_raises_no_alert(spark):
+    """The end of a job arrives one batch before its start: no alert, however far time goes on."""
+    got = alerts_of(spark, "late_start", [[(700, "a", "completed"), (0, "z", "started")], [(10, "a", "started")],
+                                          [(2000, "clock", "completed")], [(4000, "clock", "completed")]], watermark="1000 seconds")
+    assert got == [("z", 0.0)]
+
+
+def test_alerted_job_that_speaks_again_is_not_alerted_again(spark):
+    got = alerts_of(spark, "speaks_again", [[(0, "a", "started")], [(1000, "clock", "completed")], [(1100, "a", "started")],
+                                            [(3000, "clock", "completed")], [(3100, "a", "started")], [(6000, "clock", "completed")]],
+                    watermark="0 seconds")
+    assert got == [("a", 0.0)]
+
+
+def test_state_is_forgotten_after_the_retention(spark):
+    got = alerts_of(spark, "forgotten", [[(0, "a", "started")], [(1000, "clock", "completed")], [(9000, "clock", "completed")],
+                                         [(9001, "clock", "completed")], [(9100, "a", "started")], [(12000, "clock", "completed")]],
+                    watermark="0 seconds", retention_seconds=2000)
+    assert got == [("a", 0.0), ("a", 9100.0)]
