@@ -16,8 +16,6 @@ def test_cleaner_is_narrow(spark):
 
 def test_no_cartesian_products(spark):
     for name, q in REGISTRY.items():
-        if name in ("convert_documents", "run_metadata", "timing_summary"):
-            continue          # these checkpoint eagerly; covered by the oracle test
         p = plan(q.run(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
