@@ -223,4 +223,10 @@ def _clean_response(text: Column | str, remove_page_markers: bool) -> Column:
     lines = split_lines(t)
     # Without any "---" there is no block, and the block pass is skipped.
     after_blocks = F.when(t.contains(BLOCK_MARKER), remove_confirmation_blocks_lines(lines)).otherwise(lines)
-    return py_strip(join_lines(remove_chatter_lines_lines(after_blocks, remove_page_markers)))
+    cleaned = join_lines(remove_chatter_lines_lines(after_blocks, remove_page_markers))
+    # The line pass changes a text only where a phrase, a fence or a page marker stands in it
+    # (phrases and markers lie within a line), so other texts without blocks go to the trim.
+    touched = t.contains(BLOCK_MARKER) | t.contains(CODE_FENCE) | F.lower(t).rlike(CHATTER_RE)
+    if remove_page_markers:
+        touched = touched | t.contains(PAGE_MARKER_PREFIX)
+    return py_strip(F.when(touched, cleaned).otherwise(t))

@@ -52,7 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     a cluster the setting must name a folder every executor can reach.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if sc.getCheckpointDir():                       # set once: each setting adds a folder of its own below it
+        return sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
