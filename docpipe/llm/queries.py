@@ -114,6 +114,68 @@ texts AS (
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars
 FROM texts""",
+    "op6_line_templates": r"""
+WITH texts AS (SELECT text, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+line AS (
+  SELECT text, first_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line
+  FROM texts),
+token AS (
+  SELECT text, first_id, n, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+                                           lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+  FROM line),
+slot AS (
+  SELECT text, first_id, n, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, j,
+         array_to_string(w[4 + (len(w) - 3) * j // 8 : 3 + (len(w) - 3) * (j + 1) // 8], ' ') AS value
+  FROM token, range(8) AS r(j) WHERE len(w) >= 4),
+busy AS (SELECT leaf FROM slot GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+kept AS (SELECT * FROM slot WHERE leaf IN (SELECT leaf FROM busy)),
+constant AS (SELECT leaf, j, value FROM kept GROUP BY ALL HAVING count(DISTINCT text) >= 10),
+template AS (
+  SELECT k.text, k.n, any_value(first_id) AS first_id,
+         k.leaf || CASE WHEN count(c.leaf) >= 6
+                        THEN ' general ' || string_agg(coalesce('=' || c.value, '*'), chr(10) ORDER BY k.j)
+                        ELSE ' own ' || string_agg(k.value, chr(10) ORDER BY k.j) END AS template
+  FROM kept k LEFT JOIN constant c ON k.leaf = c.leaf AND k.j = c.j AND k.value = c.value GROUP BY k.text, k.n, k.leaf),
+recurring AS (SELECT template, min(first_id) AS keeper FROM template GROUP BY template HAVING count(DISTINCT text) >= 10),
+dropped AS (SELECT text, n FROM template t JOIN recurring r ON t.template = r.template WHERE t.first_id <> r.keeper),
+cleaned AS (
+  SELECT l.text, coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (d.n IS NULL), '') AS new_text,
+         count(*)::INTEGER AS n_lines, count(d.n)::INTEGER AS n_dropped
+  FROM line l LEFT JOIN dropped d ON l.text = d.text AND l.n = d.n GROUP BY l.text)
+SELECT o.doc_id, c.new_text AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
+FROM documents o LEFT JOIN cleaned c ON o.text = c.text""",
+    "op8_decontaminate": r"""
+WITH words_of AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+item AS (
+  SELECT item_id, w, len(w) AS n, least(len(w), 5) AS size
+  FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0),
+item_shingle AS (
+  SELECT item_id, n, size, place, array_to_string(w[place + 1 : place + size], ' ') AS s
+  FROM (SELECT *, unnest(range(n - size + 1)) AS place FROM item)),
+doc_shingle AS (
+  SELECT doc_id, size, spot, len(w) AS n_words, array_to_string(w[spot + 1 : spot + size], ' ') AS s
+  FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS spot
+        FROM words_of, (SELECT DISTINCT size FROM item) WHERE len(w) >= size)),
+laid AS (
+  SELECT DISTINCT doc_id, item_id, i.n, i.size, greatest(0, least(spot - place, n_words - i.n)) AS start
+  FROM doc_shingle d JOIN item_shingle i ON d.s = i.s AND d.size = i.size),
+cut AS (
+  SELECT l.*, w[start + 1 : start + n] AS window_words FROM laid l JOIN words_of o ON l.doc_id = o.doc_id),
+window_shingle AS (
+  SELECT doc_id, item_id, n, start, len(window_words) - size + 1 AS n_window,
+         array_to_string(window_words[place + 1 : place + size], ' ') AS s
+  FROM (SELECT *, unnest(range(len(window_words) - size + 1)) AS place FROM cut)),
+counted AS (SELECT doc_id, item_id, n, start, n_window, s, count(*) AS c FROM window_shingle GROUP BY ALL),
+item_counted AS (SELECT item_id, s, count(*) AS c, any_value(n - size + 1) AS n_item FROM item_shingle GROUP BY item_id, s),
+alike AS (
+  SELECT doc_id, c.item_id, n, start, sum(least(c.c, i.c)) / (n_window + n_item - sum(least(c.c, i.c)))::DOUBLE AS similarity
+  FROM counted c JOIN item_counted i ON c.item_id = i.item_id AND c.s = i.s GROUP BY doc_id, c.item_id, n, start, n_window, n_item)
+SELECT doc_id, item_id, start::INTEGER AS start_word, n::INTEGER AS n_words, similarity::DOUBLE AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM alike WHERE similarity >= 0.8)
+WHERE r = 1""",
     "op7_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
