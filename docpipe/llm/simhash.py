@@ -1,9 +1,9 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A 64-bit fingerprint is cut into so few segments that two fingerprints within the radius
-have one segment (or one combination of segments) differing in at most one bit. Every
-fingerprint is indexed under each of its segments with each single bit wildcarded, equal
-index keys make candidates, and the full distance is verified.
+have one segment differing in at most one bit. Every fingerprint is indexed under its
+segments with single bits wildcarded, equal index keys make candidates, and the full
+distance is verified.
 """
 
 from __future__ import annotations
@@ -62,30 +62,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, content long, fp long")
 
 
-def signatures(fp: Column, radius: int, segments: int, joined: int = 1) -> Column:
+def signatures(fp: Column, radius: int) -> Column:
     """All index keys of a fingerprint, as an array of long.
 
-    ``joined`` segments make one indexed part; the longer the part, the fewer chance
-    candidates, at the price of more keys (3 segments of one: 64 keys of 20 or 21 free bits;
-    5 segments joined by two: 260 keys of 24 or 25).
+    With radius 2d and d + 1 segments, one segment differs in at most one bit. Its key is
+    made longer by what must be equal besides, which keeps chance candidates rare:
+
+    - a segment is equal: of the other bits, cut into radius + 1 pieces, one piece is equal;
+    - no segment is equal: two segments differ in exactly one bit each (were it one, the
+      others would differ in 1 + 2d bits). One has that bit wildcarded, and of the halves of
+      the other one is equal.
+
+    At radius 4 that is 143 keys of 30 or more bits. An odd radius counts as the next even.
     """
-    spare = radius % segments
-    worst = joined * (radius // segments) + max(0, joined - (segments - spare))
-    if worst > 1:
-        raise ValueError(f"{segments} segments joined by {joined} may all differ in over one bit at radius {radius}")
+    radius += radius % 2
+    segments = radius // 2 + 1
     cuts = [round(BITS * k / segments) for k in range(segments + 1)]
-    keys, variant = [], 0
-    for part in itertools.combinations(range(segments), joined):
-        value, shift, width = F.lit(0).cast("long"), 0, 0
-        for k in part:
-            size = cuts[k + 1] - cuts[k]
-            piece = F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << size) - 1))
-            value, shift, width = value.bitwiseOR(F.shiftleft(piece, shift)), shift + size, width + size
-        for bit in range(width):
-            masked = value.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)))
-            keys.append(masked.bitwiseOR(F.lit(variant << 40)))
-            variant += 1
-    return F.array(*keys)
+    spans = list(zip(cuts, cuts[1:]))
+
+    def bits(a: int, b: int) -> Column:
+        return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+
+    def joined(value: Column, width: int, more: Column) -> Column:
+        return value.bitwiseOR(F.shiftleft(more, width))
+
+    keys: list[Column] = []
+    for a, b in spans:
+        others = [k for k in range(BITS) if not a <= k < b]
+        edges = [round(len(others) * k / (radius + 1)) for k in range(radius + 2)]
+        for i, j in zip(edges, edges[1:]):
+            piece, width = bits(a, b), b - a
+            for x, y in ((others[i], others[j - 1] + 1),) if others[j - 1] - others[i] == j - 1 - i else (
+                    (others[i], a), (b, others[j - 1] + 1)):          # a piece may lie on both sides of the segment
+                piece, width = joined(piece, width, bits(x, y)), width + y - x
+            keys.append(piece)
+    for (a, b), (c, d) in itertools.combinations(spans, 2):
+        for bit in range(b - a):
+            masked = bits(a, b).bitwiseAND(F.lit(((1 << (b - a)) - 1) ^ (1 << bit)))
+            for x, y in ((c, (c + d) // 2), ((c + d) // 2, d)):
+                keys.append(joined(masked, b - a, bits(x, y)))
+    return F.array(*[k.bitwiseOR(F.lit(n << 48)) for n, k in enumerate(keys)])
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -130,14 +146,14 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     yield links(buckets, fps)
 
 
-def near_links(fps: DataFrame, radius: int = 4, segments: int = 3, joined: int = 1, bucket_rows: int = 20_000) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> DataFrame:
     """``a, b``: links that connect all distinct fingerprints (column ``fp``) within the radius.
 
     Buckets of one fingerprint are dropped by a count that is summed before the shuffle. A
     bucket of over ``bucket_rows`` fingerprints is cut into chunks, and every pair of chunks
     is a bucket of its own, so no task takes a hot bucket whole and no pair is lost.
     """
-    signed = fps.select("fp", F.explode(signatures(F.col("fp"), radius, segments, joined)).alias("key"))
+    signed = fps.select("fp", F.explode(signatures(F.col("fp"), radius)).alias("key"))
     counts = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / bucket_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -150,8 +166,8 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3, joined: int =
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
-                    segments: int = 3, joined: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                    radius: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id, component_fp, content`` for every row of ``docs``.
 
     ``fingerprint`` is 16 lowercase hex digits. Fingerprints within ``radius`` bits link;
@@ -164,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = saved(fingerprints(docs, id_col, text_col, shingle))
     groups = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_links(groups, radius, segments, joined))
+    roots = components(near_links(groups, radius))
     groups = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = groups.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component_fp"))
