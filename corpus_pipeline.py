@@ -1,9 +1,15 @@
-"""The corpus pipeline: STAGES over ``documents``, each stage one operator of docpipe.llm."""
+"""The corpus pipeline: STAGES over ``documents``, each stage one operator of docpipe.llm.
+
+Every stage takes rows with null ids, texts, sources or other columns, empty texts, repeated
+rows, empty tables and any further columns, whatever their names; what each of them gives
+is said at its operator. A null text has no words, no lines to lose and leaks nothing; rows
+that share a near-duplicate group, null and empty texts included, leave one row. The mix
+adds one column, ``mix``, which replaces an input column of that name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docpipe.llm import decontam, linetemplates, mixing, quality, simhash
 from docpipe.session import checkpoint_dir
@@ -20,11 +26,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs; n_chars is that of the new text."""
-    out = linetemplates.drop_recurring_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """All documents, without the lines whose template recurs; where lines went, n_chars is that of the new text."""
+    return linetemplates.drop_recurring_lines(docs, length_col="n_chars", counts=False)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

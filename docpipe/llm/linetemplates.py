@@ -58,13 +58,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A leaf in too few documents holds no recurring template; its lines go no further.
     leaves = lines.select("k1", "k2", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(
         F.col("docs") >= min_docs).select("leaf")
-    lines = saved(lines.join(leaves, "leaf").groupBy("k1", "k2", "line", "leaf", "slots").agg(F.min("doc_id").alias("doc_id")))
+    # The small sides of the joins below are written first: joined as plain scans, they leave
+    # Spark free to broadcast them or to split the partitions of a hot leaf or template.
+    lines = saved(lines.join(saved(leaves), "leaf").groupBy("k1", "k2", "line", "leaf", "slots").agg(F.min("doc_id").alias("doc_id")))
 
     values = lines.select("k1", "k2", "leaf", F.posexplode("slots").alias("slot", "value")).distinct()
     constant = values.groupBy("leaf", "slot", "value").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     exploded = lines.select("*", F.posexplode("slots").alias("slot", "value"))
     kept = F.when(F.col("docs").isNotNull(), F.col("value"))
-    found = exploded.join(constant, ["leaf", "slot", "value"], "left").groupBy("k1", "k2", "line", "leaf").agg(
+    found = exploded.join(saved(constant), ["leaf", "slot", "value"], "left").groupBy("k1", "k2", "line", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("slot", kept.alias("value")))).alias("constants"),
         F.count("docs").alias("n_constant"), F.first("slots").alias("slots"), F.min("doc_id").alias("doc_id"))
     alike = F.col("n_constant") >= least_alike * slots
@@ -75,27 +77,39 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = found.groupBy("template", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     recurring = by_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("keeper")).where(
         F.col("docs") >= min_docs).select("template", F.col("keeper.k1").alias("keep1"), F.col("keeper.k2").alias("keep2"))
-    return found.join(recurring, "template").where("NOT (k1 = keep1 AND k2 = keep2)").select("k1", "k2", "line")
+    return found.join(saved(recurring), "template").where("NOT (k1 = keep1 AND k2 = keep2)").select("k1", "k2", "line")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, plus ``n_lines`` and ``n_dropped``.
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+                         counts: bool = True, **options) -> DataFrame:
+    """``docs`` with recurring lines taken out of the text, plus (with ``counts``) ``n_lines`` and ``n_dropped``.
 
-    All other columns stay as they are (``n_lines`` and ``n_dropped`` of the input are
-    replaced). A null text stays null, with 0 lines; an empty text is one empty line; equal
+    All other columns stay as they are (with ``counts``, ``n_lines`` and ``n_dropped`` of the
+    input are replaced); where lines went, ``length_col`` is set to the characters of the new
+    text. A null text stays null, with 0 lines; an empty text is one empty line; equal
     rows are treated equally; a text all of whose lines recur becomes empty; an empty table
     gives no rows. Texts meet their lines by content hash, so ids may be null or repeat.
     """
     flagged = recurring_lines(docs, id_col, text_col, **options).groupBy("k1", "k2").agg(
         F.collect_set("line").alias("flagged")).toDF("f1", "f2", "flagged")
     rows = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("line_text"), *content_key(F.col(text_col)))
-    rows = rows.join(flagged, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
+    rows = rows.join(saved(flagged), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
     lines = F.split("line_text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "flagged")
-    text = F.when(F.col("flagged").isNull(), F.col("line_text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    others = [text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c)
-              for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    n_lines = F.when(F.col("line_text").isNotNull(), F.size(lines)).otherwise(0)
-    n_dropped = F.coalesce(F.size("flagged"), F.lit(0))
-    return rows.select(*others, n_lines.alias("n_lines"), F.when(F.col("flagged").isNull(), 0).otherwise(n_dropped).alias("n_dropped"))
+    touched = F.col("flagged").isNotNull() & F.col("line_text").isNotNull()
+    text = F.when(touched, F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")).otherwise(F.col("line_text"))
+    rows = rows.select("doc", text.alias("text"), touched.alias("touched"),
+                       F.when(F.col("line_text").isNotNull(), F.size(lines)).otherwise(0).alias("n_lines"),
+                       F.when(touched, F.size("flagged")).otherwise(0).alias("n_dropped"))
+
+    def column(name: str) -> Column:
+        old = F.col("doc").getField(name)
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == length_col:
+            return F.when(F.col("touched"), F.length("text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    if not counts:
+        return rows.select(*map(column, docs.columns))
+    return rows.select(*[column(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
