@@ -92,8 +92,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
     wanted = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "variant", "n", "size", "start")).alias("windows"))
     lean = docs.where(F.col(text_col).isNotNull()).select(*content_key(F.col(text_col)), F.col(text_col).alias("t"))
-    once = wanted.join(lean, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("windows").alias("windows"), F.first("t").alias("t"))
-    cut = once.select("k1", "k2", words(F.lower(F.col("t"))).alias("w"), "windows").select("k1", "k2", "w", F.explode("windows").alias("x"))
+    # Copies of a text become one row in their own task, before the shuffle.
+    once = lean.groupBy("k1", "k2").agg(F.first("t").alias("t"))
+    cut = once.join(wanted, ["k1", "k2"]).select("k1", "k2", words(F.lower(F.col("t"))).alias("w"), "windows").select("k1", "k2", "w", F.explode("windows").alias("x"))
     cut = cut.select("k1", "k2", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
     cut = cut.select("k1", "k2", "item", "variant", "n", "start", shingle_words(F.col("w"), F.col("size")).alias("shingles"))
     windows = saved(cut.withColumn("fp", simhash(F.col("shingles"))))
