@@ -153,7 +153,9 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> Da
     bucket of over ``bucket_rows`` fingerprints is cut into chunks, and every pair of chunks
     is a bucket of its own, so no task takes a hot bucket whole and no pair is lost.
     """
-    signed = fps.select("fp", F.explode(signatures(F.col("fp"), radius)).alias("key"))
+    # The keys are many times the size of what they are made from, so that is spread first.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = fps.select("fp").repartition(spread).select("fp", F.explode(signatures(F.col("fp"), radius)).alias("key"))
     counts = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / bucket_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
