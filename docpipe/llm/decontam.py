@@ -1,7 +1,8 @@
 """Benchmark decontamination with native DataFrame operators.
 
 A window of an item's size is laid over a document wherever a word shingle of the item
-stands in it, so that the shingle falls on its place. Windows and items get SimHash
+stands in it, once so that the shingle falls on its place and once so that the window starts
+at the shingle, which reaches reordered items too. Windows and items get SimHash
 fingerprints of their shingles, a multi-index over fingerprint blocks (one more block than
 the radius, so one block is equal) brings the pairs within the radius together, and the
 exact weighted similarity of the shingles decides.
@@ -57,6 +58,21 @@ def prepared_items(benchmark: DataFrame, item_col: str, text_col: str, shingle:
                         F.xxhash64("w").alias("variant"))
 
 
+def starts_at_hits(least: float) -> Column:
+    """Those of the sorted hits ``ats`` from which a window can reach ``least``.
+
+    A window shares at most as many shingles as hits stand in it, so the last of the hits that
+    ``least`` needs must stand in the window too. Any window of ``least`` can be moved right
+    to its first hit (or to the text's end) without losing one, so none is missed.
+    """
+    n_item = F.col("n") - F.col("size") + 1
+    n_window = F.least("n", "n_words") - F.col("size") + 1
+    need = F.greatest(F.lit(1), F.ceil(least * (n_item + n_window) / (1 + least) - 1e-9).cast("int"))
+    first = F.sequence(F.lit(1), F.size("ats") - need + 1)
+    near = F.filter(first, lambda i: F.element_at("ats", i + need - 1) - F.element_at("ats", i) < n_window)
+    return F.when(F.size("ats") >= need, F.transform(near, lambda i: F.element_at("ats", i))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """``k1, k2, item, start, n, similarity``: the most similar window for each text and item that leaks into it.
@@ -87,8 +103,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     if hits is None:
         hits = texts.where("false").select("k1", "k2", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"),
                                            F.lit(0).alias("size"))
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("n")))
-    laid = saved(hits.join(places, ["h", "size"]).select("k1", "k2", "item", "variant", "n", "size", start.alias("start")).distinct())
+    last = F.greatest(F.lit(0), F.col("n_words") - F.col("n"))
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), last))
+    met = hits.join(places, ["h", "size"]).groupBy("k1", "k2", "item", "variant", "n", "size", "n_words").agg(
+        F.collect_set(start).alias("on_place"), F.sort_array(F.collect_set("at")).alias("ats"))
+    starts = F.array_union("on_place", F.transform(starts_at_hits(least), lambda at: F.least(at, last)))
+    laid = saved(met.select("k1", "k2", "item", "variant", "n", "size", F.explode(starts).alias("start")))
 
     wanted = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "variant", "n", "size", "start")).alias("windows"))
     lean = docs.where(F.col(text_col).isNotNull()).select(*content_key(F.col(text_col)), F.col(text_col).alias("t"))

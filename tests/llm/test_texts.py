@@ -141,6 +141,24 @@ def test_leaks_edge_cases(spark):
     assert again == set(want)
 
 
+def test_leaks_of_reordered_items(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item, short = [word() for _ in range(100)], [word() for _ in range(60)]
+    around = lambda w: " ".join([*(word() for _ in range(30)), *w, *(word() for _ in range(150))])
+    swapped, turned = item[50:] + item[:50], item[20:] + item[:20]
+    docs = [(1, around(swapped)), (2, around(turned)), (3, " ".join(swapped)), (4, " ".join(word() for _ in range(200)) + " " + " ".join(turned)),
+            (5, around(short[30:] + short[:30])), (6, around(item[::-1])), (7, around(item[50:])), (8, " ".join(swapped[:95]))]
+    items = [(1, " ".join(item)), (2, " ".join(short))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(docs, items)
+    assert {d for d, _ in want} == {1, 2, 3, 4, 5, 8}
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontam.leaking_documents(df, bench).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert {r["doc_id"] for r in decontam.decontaminated(df, bench).collect()} == {6, 7}
+
+
 KINDS = {"email": r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "ip": r"\d+(\.\d+){3}", "key": r"AKIA[A-Z0-9]{16}", "card": r"\d{16}"}
 
 
