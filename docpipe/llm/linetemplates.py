@@ -5,7 +5,8 @@ tokens. Tokens that hold a digit are variable fields from the start. Below a lea
 of the line is dealt into slots by position; a slot value found in enough documents
 is constant, any other is generalised to a wildcard, and a line with enough constant slots
 is an instance of the template that its constants make (other lines are their own
-template). Templates of enough documents recur: their lines are dropped from every document
+template). Slots that are empty because a line is short do not count either way; a line
+without any other is told by its leading tokens. Templates of enough documents recur: their lines are dropped from every document
 but one. Everything is counted by partial sums, so no leaf is ever gathered in a task.
 """
 
@@ -32,18 +33,23 @@ def content_key(text: Column) -> list[Column]:
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, slots: int, min_tokens: int) -> DataFrame:
-    """``k1, k2, doc_id, line, leaf, slots`` of every line of at least ``min_tokens`` tokens."""
+    """``k1, k2, doc_id, line, leaf, slots, n_filled`` of every line of at least ``min_tokens`` tokens.
+
+    ``n_filled`` counts the slots that hold a token.
+    """
+    # Lines are cut into tokens before they are exploded: as a column of its own the cut would be
+    # copied into the filter and so made twice.
     lines = docs.where(F.col(text_col).isNotNull()).select(
         *content_key(F.col(text_col)), F.col(id_col).cast("long").alias("doc_id"),
-        F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-    lines = lines.withColumn("words", tokens(F.col("words"))).where(F.size("words") >= min_tokens)
+        F.posexplode(F.transform(F.split(text_col, "\n"), tokens)).alias("line", "words")).where(F.size("words") >= min_tokens)
     n = F.size("words")
     lead = F.least(F.lit(depth), n)
     leaf = F.xxhash64(n, F.slice("words", 1, lead))
     rest = n - lead
     cut = lambda j: lead + 1 + F.floor(rest * j / slots).cast("int")
     values = F.array(*[F.xxhash64(F.slice("words", cut(j), cut(j + 1) - cut(j))) for j in range(slots)])
-    return lines.select("k1", "k2", "doc_id", "line", leaf.alias("leaf"), values.alias("slots"))
+    return lines.select("k1", "k2", "doc_id", "line", leaf.alias("leaf"), values.alias("slots"),
+                        F.least(rest, F.lit(slots)).alias("n_filled"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, slots: int = 8,
@@ -60,16 +66,19 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("docs") >= min_docs).select("leaf")
     # The small sides of the joins below are written first: joined as plain scans, they leave
     # Spark free to broadcast them or to split the partitions of a hot leaf or template.
-    lines = saved(lines.join(saved(leaves), "leaf").groupBy("k1", "k2", "line", "leaf", "slots").agg(F.min("doc_id").alias("doc_id")))
+    lines = saved(lines.join(saved(leaves), "leaf").groupBy("k1", "k2", "line", "leaf", "slots", "n_filled").agg(F.min("doc_id").alias("doc_id")))
 
     values = lines.select("k1", "k2", "leaf", F.posexplode("slots").alias("slot", "value")).distinct()
     constant = values.groupBy("leaf", "slot", "value").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     exploded = lines.select("*", F.posexplode("slots").alias("slot", "value"))
     kept = F.when(F.col("docs").isNotNull(), F.col("value"))
+    # An empty slot is empty in the whole leaf, so it is constant; it says nothing about likeness.
+    own_constant = F.count_if(F.col("docs").isNotNull() & (F.col("value") != F.xxhash64(F.array().cast("array<string>"))))
     found = exploded.join(saved(constant), ["leaf", "slot", "value"], "left").groupBy("k1", "k2", "line", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("slot", kept.alias("value")))).alias("constants"),
-        F.count("docs").alias("n_constant"), F.first("slots").alias("slots"), F.min("doc_id").alias("doc_id"))
-    alike = F.col("n_constant") >= least_alike * slots
+        own_constant.alias("n_constant"), F.first("slots").alias("slots"), F.first("n_filled").alias("n_filled"),
+        F.min("doc_id").alias("doc_id"))
+    alike = F.col("n_constant") >= least_alike * F.col("n_filled")
     template = F.xxhash64("leaf", F.when(alike, F.col("constants")), F.when(~alike, F.col("slots")))
     found = saved(found.select("k1", "k2", "line", template.alias("template"), "doc_id"))
 

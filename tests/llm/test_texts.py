@@ -78,6 +78,19 @@ def test_lines_templates_generalise_fields(spark):
     assert linetemplates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_lines_likeness_counts_filled_slots(spark):
+    """Short lines that share only their leading tokens are no template; equal ones are."""
+    rows = [(k, f"It was a {'abcdefghijkl'[k]}x\nSo we saw {'abcdefghijkl'[k]}y {'abcdefghijkl'[k]}z\n"
+                f"They went on to the {'abcdefghijkl'[k]}v {'abcdefghijkl'[k]}w\nThis line is equal\nThis is a longer equal line\n"
+                f"a b c d e f {'abcdefghijkl'[k]}u") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linetemplates.drop_recurring_lines(df).collect()}
+    for d, text in rows:
+        lines = text.split("\n")
+        assert got[d]["text"] == (text if d == 0 else "\n".join(lines[:3])), d      # 3 of the last line's 4 slots are equal
+        assert got[d]["n_dropped"] == (0 if d == 0 else 3)
+
+
 def plain_leaks(docs, items, shingle=5, least=0.8):
     """(doc, item) -> best similarity over all windows of the item's size."""
     found = {}
