@@ -26,8 +26,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs; where lines went, n_chars is that of the new text."""
-    return linetemplates.drop_recurring_lines(docs, length_col="n_chars", counts=False)
+    """All documents, without the lines whose template recurs; where lines went, n_chars is that of the new text.
+
+    Lines count from one token on; those of up to three tokens are their own template.
+    """
+    return linetemplates.drop_recurring_lines(docs, length_col="n_chars", counts=False, min_tokens=1)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

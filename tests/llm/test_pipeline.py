@@ -91,3 +91,14 @@ def test_stages_take_odd_rows(spark):
             assert len(got) <= want[name] if name == "quality" else len(got) == want[name]
             assert all(r["n_lines"] == 5 and r["n"] == 14 for r in got)
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def test_lines_of_few_tokens_recur(spark):
+    """Lines of one to three tokens are dropped when they stand in ten texts; nine texts keep theirs."""
+    texts = [f"own words of text {'abcdefghijkl'[k]}\nAll rights reserved.\nLes.\n\nPage {k}" + ("\nin nine" if k < 9 else "") for k in range(12)]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r for r in P.without_recurring_lines(spark, docs, SF_SMALL).collect()}
+    assert got[0]["text"] == texts[0]
+    for k in range(1, 12):
+        assert got[k]["text"] == "\n".join(x for x in texts[k].split("\n") if x not in ("All rights reserved.", "Les.", f"Page {k}"))
+        assert got[k]["n_chars"] == len(got[k]["text"])
