@@ -62,24 +62,28 @@ class Buckets(dict):
         return found
 
 
-def pieces(texts: list[str | None], buckets: Buckets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token buckets and the row each belongs to, in bounded pieces that hold every token once.
+def pieces(texts: list[str | None], buckets: Buckets, window: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Token buckets and the row each belongs to, in bounded pieces, and how many tokens are carried.
 
-    Words at both sides of a piece border inside a very long text are not paired as neighbours.
+    A piece that goes on inside a text begins with the ``window`` tokens before it, which serve
+    as left neighbours only; without those carried tokens the pieces hold every token once.
     """
-    ids, owners, held = [], [], 0
+    ids, owners, held, carried = [], [], 0, 0
     for row, text in enumerate(texts):
         tokens = np.array(list(map(buckets.__getitem__, TOKEN.findall(text or ""))), dtype=np.int64)
         for at in range(0, len(tokens), CHUNK_TOKENS):
-            part = tokens[at:at + CHUNK_TOKENS]
+            first = max(0, at - window)
+            part = tokens[first:at + CHUNK_TOKENS]
             ids.append(part)
             owners.append(np.full(len(part), row, dtype=np.int64))
-            held += len(part)
+            if at:      # the text's tokens before this part have ended a piece, so it begins one
+                carried = at - first
+            held += len(part) - (at - first)
             if held >= CHUNK_TOKENS:
-                yield np.concatenate(ids), np.concatenate(owners)
-                ids, owners, held = [], [], 0
+                yield np.concatenate(ids), np.concatenate(owners), carried
+                ids, owners, held, carried = [], [], 0, 0
     if held:
-        yield np.concatenate(ids), np.concatenate(owners)
+        yield np.concatenate(ids), np.concatenate(owners), carried
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text", size: Size = Size()) -> np.ndarray:
@@ -91,9 +95,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text", size: Size = Size()) -
         place, sign = index_vectors(size)
         sums, cache = np.zeros(size.buckets * size.dims), Buckets(size.buckets)
         for batch in batches:
-            for ids, owners in pieces(batch.column(0).to_pylist(), cache):
+            for ids, owners, carried in pieces(batch.column(0).to_pylist(), cache, size.window):
                 for step in range(1, size.window + 1):
                     same = owners[step:] == owners[:-step]
+                    same[:max(0, carried - step)] = False       # both carried: paired in the piece before
                     left, right = ids[:-step][same], ids[step:][same]
                     for word, near in ((left, right), (right, left)):
                         for k in range(size.marks):
@@ -127,14 +132,15 @@ def pooled(texts: list[str | None], vectors: np.ndarray, cache: Buckets) -> np.n
     """Features of each text; an empty or null text has zeros."""
     n, d = len(texts), vectors.shape[1]
     total, squares, near, count = np.zeros((n, d)), np.zeros((n, d)), np.zeros(n), np.zeros(n)
-    for ids, owners in pieces(texts, cache):
+    for ids, owners, carried in pieces(texts, cache):
         v = vectors[ids]
+        likeness = np.einsum("ij,ij->i", v[1:], v[:-1]) * (owners[1:] == owners[:-1])
+        near += np.bincount(owners[1:], weights=likeness, minlength=n)
+        v, owners = v[carried:], owners[carried:]
         start = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1])))
         rows = owners[start]
         total[rows] += np.add.reduceat(v, start, axis=0)
         squares[rows] += np.add.reduceat(v * v, start, axis=0)
-        likeness = np.einsum("ij,ij->i", v[1:], v[:-1]) * (owners[1:] == owners[:-1])
-        near += np.bincount(owners[1:], weights=likeness, minlength=n)
         count += np.bincount(owners, minlength=n)
     some = np.maximum(count, 1)[:, None]
     mean = total / some

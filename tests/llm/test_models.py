@@ -79,3 +79,27 @@ def test_word_vectors_count_the_whole_corpus(spark):
     import numpy as np
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert np.allclose(quality.word_vectors(docs.repartition(1)), quality.word_vectors(docs.repartition(7)))
+
+
+def test_quality_pairs_words_across_pieces(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    long_text = " ".join(f"w{k}" for k in rng.integers(0, 3000, 2 * quality.CHUNK_TOKENS + 9))
+    texts = ["one two three", long_text, "", None, "four five"]
+    size, cache = quality.Size(), quality.Buckets(quality.Size().buckets)
+    place, sign = quality.index_vectors(size)
+    want = np.zeros((size.buckets, size.dims))
+    for text in texts:
+        ids = np.array([cache[t] for t in quality.TOKEN.findall(text or "")], dtype=np.int64)
+        for step in range(1, size.window + 1):
+            for word, near in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
+                for k in range(size.marks):
+                    np.add.at(want, (word, place[near, k]), sign[near, k])
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.allclose(vectors, want / np.where(norm > 0, norm, 1), rtol=0, atol=1e-7)
+    short = [" ".join(long_text.split()[:50]), "one two", None, " ".join(long_text.split()[60:75])]
+    whole = quality.pooled(short, vectors, cache)
+    for chunk in (1, 2, 7, 25):
+        monkeypatch.setattr(quality, "CHUNK_TOKENS", chunk)
+        assert np.allclose(quality.pooled(short, vectors, cache), whole)
