@@ -3,9 +3,9 @@
 A window of an item's size is laid over a document wherever a word shingle of the item
 stands in it, once so that the shingle falls on its place and once so that the window starts
 at the shingle, which reaches reordered items too. Windows and items get SimHash
-fingerprints of their shingles, a multi-index over fingerprint blocks (one more block than
-the radius, so one block is equal) brings the pairs within the radius together, and the
-exact weighted similarity of the shingles decides.
+fingerprints of their shingles. Shared shingles make the pairs of window and item; the
+fingerprint blocks (one more than the radius, so one block is equal) only filter them to
+those within the radius, and the exact weighted similarity of the shingles decides.
 
 Matching shingles needs no shuffle while the benchmark's shingles are few (counted first);
 a larger benchmark is joined by shingle hash. A document's text is shuffled only once, to
