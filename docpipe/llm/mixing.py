@@ -2,9 +2,10 @@
 
 Every source is a queue of documents in a keyed random order that may be served up to
 ``max_repeats`` times. A copy's virtual finish time is the number of words its source has
-served when the copy ends, divided by the source's target weight. All copies are
-sorted by virtual finish time over all sources, and the sorted sequence is cut at the total
-budget; the copies that are being served at the cut keep the words served so far.
+served when the copy ends, divided by the source's target. The target is a quota: it alone
+decides the words taken, and the copy that is being served when it is reached keeps the words
+served so far. The quotas add up to the budget; the order of all copies by virtual finish
+time over all sources gives the sequence of the mix and its running total.
 
 Running totals never gather a source in one task: a source is split into blocks by the
 leading digits of the shuffle key, block totals give each block its offset, and the window
