@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm import chat, decontam, langid, linetemplates, mixing, quality, repeats, simhash, surrogates, topk
-from docpipe.llm.common import crc32_mod
+from docpipe.llm import (chat, collocations, decontam, langid, linetemplates, mixing, prefixtree, quality, repeats, secretscan,
+                         simhash, surrogates, topk)
+from docpipe.llm.common import crc32_mod, saved
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -85,9 +86,30 @@ def op10_source_mix(spark: SparkSession, data_dir: str) -> DataFrame:
     return mixing.per_document(mixing.mix(table(spark, data_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language."""
+    return collocations.collocations(table(spark, data_dir, "documents").select("lang", "text"))
+
+
+def op12_prefix_trie(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every node of the trie over the conversations rebuilt with common starts."""
+    convs = prefixtree.sequences(table(spark, data_dir, "conversations"))
+    return prefixtree.trie(prefixtree.with_common_starts(saved(convs)))
+
+
+def op13_secrets(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Places of secrets in every document; the guess costs use the words of all documents."""
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    found = secretscan.find_secrets(docs, secretscan.learn(docs))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id", *(secretscan.count_of(spans, k).alias(f"n_{k}") for k in secretscan.KINDS),
+        F.sha2(secretscan.listed(spans, base_only=True), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_quality, op3_chat_format, op4_language, op5_repeats, op6_line_templates, op7_topk_search,
-    op8_decontaminate, op9_surrogates, op10_source_mix)}
+    op8_decontaminate, op9_surrogates, op10_source_mix, op11_collocations, op12_prefix_trie, op13_secrets)}
 
 _REST = chat.REST.replace("\\<", "<").replace("\\>", ">")
 
@@ -214,4 +236,35 @@ SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target)::BIGINT - start))
         + greatest(0, least(size, floor(target)::BIGINT - source_size - start)))::BIGINT AS taken
 FROM queue""",
+    "op11_collocations": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+line AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM line GROUP BY lang),
+gram AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM line, range(1, 4) AS r(m))),
+counted AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM gram GROUP BY ALL HAVING count(*) >= 10),
+candidate AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE m >= 2),
+cut AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, f.a AS l, g.a AS r, c.a * c.a * 1000000 // (f.a * g.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate) c
+  JOIN counted f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN counted g ON g.lang = c.lang AND g.phrase = array_to_string(c.w[k + 1 :], ' ')),
+least_cut AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cut) WHERE nth = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidate WHERE m = 3)
+  GROUP BY lang, phrase),
+ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(c.phrase)) AS rank
+  FROM least_cut c LEFT JOIN longer o ON c.lang = o.lang AND c.phrase = o.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 50 * c.a)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked r JOIN sizes s ON r.lang = s.lang WHERE rank <= 2000""",
 }
