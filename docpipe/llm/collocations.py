@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import saved
+from docpipe.llm.common import release, saved
 
 #: A-Z become lower case, the marks that end a piece become line feeds, tabs become blanks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t",
@@ -34,6 +34,8 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\
 #: Cells of a dense tile, and bytes of a text that are split into words at once.
 DENSE_CELLS = 1 << 22
 SLICE_BYTES = 1 << 22
+#: Rows of one Arrow batch.
+ROWS = 1 << 16
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
@@ -83,16 +85,15 @@ class Shelf:
     def chunk(self, number: int, lang: str) -> pa.RecordBatch:
         stream = np.concatenate(self.parts)
         counts = np.bincount(stream, minlength=len(self.codes))[2:]
-        words = [w.decode() for w in itertools.islice(self.codes, 2, None)]
+        words = np.frombuffer(b"\n".join(itertools.islice(self.codes, 2, None)), dtype=np.uint8)
         stream = np.where(stream > 1, stream - 1, 0).astype(np.uint32)      # 0: end of a piece, k: word k of the chunk
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([lang]), pa.array([words], pa.list_(pa.string())),
-             pa.array([counts], pa.list_(pa.int64())), pa.array([pack(stream)], pa.binary())],
-            names=["chunk", "lang", "words", "counts", "stream"])
+        row = [pa.array([number], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()),
+               *(pa.array([pack(x)], pa.binary()) for x in (words, counts, stream))]
+        return pa.RecordBatch.from_arrays(row, names=["chunk", "lang", "tokens", "words", "counts", "stream"])
 
 
 def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """``chunk, lang, words, counts, stream``: the texts (columns lang, text) as word codes."""
+    """``chunk, lang, tokens, words, counts, stream``: the texts (columns lang, text) as word codes, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shelves: dict[str, Shelf] = defaultdict(Shelf)
         numbers = itertools.count(TaskContext.get().partitionId() << 32)
@@ -111,7 +112,22 @@ def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         for lang, shelf in shelves.items():
             yield shelf.chunk(next(numbers), lang)
 
-    return docs.mapInArrow(run, "chunk long, lang string, words array<string>, counts array<long>, stream binary")
+    return docs.mapInArrow(run, "chunk long, lang string, tokens long, words binary, counts binary, stream binary")
+
+
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """``chunk, lang, at, word, n``: the distinct words of every chunk and their counts there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                found, n = unpack(words, np.uint8).tobytes().decode().split("\n"), unpack(counts, np.int64)
+                for at in range(0, len(n), ROWS):
+                    m = len(n[at:at + ROWS])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, chunk)), pa.array([lang] * m, pa.string()), pa.array(np.arange(at, at + m, dtype=np.int32)),
+                         pa.array(found[at:at + m], pa.string()), pa.array(n[at:at + m])], names=["chunk", "lang", "at", "word", "n"])
+
+    return chunks.select("chunk", "lang", "words", "counts").mapInArrow(run, "chunk long, lang string, at int, word string, n long")
 
 
 # -- frequency ranks ---------------------------------------------------------------------
@@ -132,20 +148,28 @@ def ranked_words(words: DataFrame, tile_load: int) -> DataFrame:
     before = F.col("load_before") + F.sum("a").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("a")
     return cut.join(offsets, ["lang", "part"]).select(
         "lang", "word", "a", (F.col("rows_before") + F.row_number().over(inside)).alias("id"),
-        F.floor(before / tile_load).cast("string").alias("tile"), F.ceil(F.col("a") / tile_load).cast("int").alias("bands"))
+        F.floor(before / tile_load).cast("int").alias("tile"), F.ceil(F.col("a") / tile_load).cast("int").alias("bands"))
 
 
 # -- a chunk's items -----------------------------------------------------------------------
 
-#: ``words`` is the stream of word ids and ``items`` that of phrases of the round, as numbers
-#: from 1 into ``tile_of``, ``rank`` and ``bands`` (0: none); ``tiles`` names the tiles.
+#: ``words`` is the stream of word ids (null in the first round, whose items are words) and
+#: ``items`` that of phrases of the round, as numbers from 1 into ``tile_of``, ``rank`` and
+#: ``bands`` (0: none); ``tiles`` names the tiles.
 CHUNK = "chunk long, lang string, words binary, items binary, tiles array<string>, tile_of binary, rank binary, bands binary"
 BLOCK = "chunk long, lang string, tile string, band int, codes binary, counts binary"
 
 
+def word_ids(chunk: dict, items: np.ndarray) -> np.ndarray:
+    if chunk["words"] is not None:
+        return unpack(chunk["words"])
+    return np.concatenate((np.zeros(1, dtype=np.uint32), unpack(chunk["rank"])))[items]
+
+
 def coded(chunk: dict, length: int) -> np.ndarray:
     """At each place of a chunk, the item that starts there (high half) and the word behind it (low half); 0: no phrase."""
-    words, items = unpack(chunk["words"]), unpack(chunk["items"])
+    items = unpack(chunk["items"])
+    words = word_ids(chunk, items)
     left, right = items[:-length], words[length:]
     there = (left > 0) & (right > 0)
     if length > 1:
@@ -192,8 +216,8 @@ def blocks(chunk: dict, length: int) -> Iterator[tuple[str, int, np.ndarray, np.
 
 def first_items(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The chunks with word ids; a word that is too rare for any phrase is 0, like the end of a piece."""
-    known = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word")).join(
-        vocabulary, ["lang", "word"]).select(F.col("chunk").alias("of"), "at", "id", "tile", "bands")
+    known = chunk_words(chunks).select("chunk", "lang", "at", "word").join(
+        vocabulary, ["lang", "word"]).select(F.col("chunk").alias("of"), "at", F.col("id").cast("int").alias("id"), "tile", "bands")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -202,12 +226,8 @@ def first_items(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
             stream = unpack(chunk["stream"])
             number = np.zeros(int(max(stream.max(initial=0), at.max(initial=-1) + 1)) + 1, dtype=np.uint32)
             number[at + 1] = np.arange(1, len(at) + 1)
-            if len(ids) and ids.max() >= 1 << 32:
-                raise OverflowError("more than 2^32 frequent words in a language")
-            word = np.concatenate(([0], ids)).astype(np.uint32)
-            tiles, tile_of = np.unique(right.column("tile").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            items = number[stream]
-            rows.append((chunk["chunk"], chunk["lang"], pack(word[items]), pack(items), tiles.tolist(),
+            tiles, tile_of = np.unique(right.column("tile").to_numpy(), return_inverse=True)
+            rows.append((chunk["chunk"], chunk["lang"], None, pack(number[stream]), [str(t) for t in tiles],
                          pack(tile_of.astype(np.uint32)), pack(ids.astype(np.uint32)), pack(bands.astype(np.uint32))))
         return table(rows, CHUNK_TYPES)
 
@@ -300,7 +320,8 @@ def next_items(items: DataFrame, found: DataFrame, length: int) -> DataFrame:
             phrase = np.where(own[place] == code, place + 1, 0).astype(np.uint32)
             stream = np.zeros(len(code) + length, dtype=np.uint32)
             stream[:len(code)] = phrase
-            rows.append((chunk["chunk"], chunk["lang"], chunk["words"], pack(stream), names, pack(tile_of[order]),
+            words = pack(word_ids(chunk, unpack(chunk["items"])))
+            rows.append((chunk["chunk"], chunk["lang"], words, pack(stream), names, pack(tile_of[order]),
                          pack(rank[order]), pack(bands[order])))
         return table(rows, CHUNK_TYPES)
 
@@ -329,7 +350,7 @@ def phrases(found: DataFrame) -> DataFrame:
 # -- the operator --------------------------------------------------------------------------
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3,
-                     min_count: int = 10, chunk_tokens: int = 1 << 20, tile_load: int = 1 << 22) -> DataFrame:
+                     min_count: int = 10, chunk_tokens: int = 1 << 21, tile_load: int = 1 << 22) -> DataFrame:
     """``lang, words, phrase, a, n`` of all phrases of 1 to ``max_words`` words found ``min_count`` times or more.
 
     ``words`` is the number of words, ``phrase`` the words joined by blanks, ``n`` the words
@@ -339,13 +360,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.col(text_col).cast("binary").alias("text")).where("octet_length(text) > 0")
     chunks = saved(chunked(texts, chunk_tokens))
-    all_words = saved(chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(
-        "lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("a")))
-    sizes = all_words.groupBy("lang").agg(F.sum("a").alias("n"))
-    vocabulary = saved(ranked_words(all_words.where(F.col("a") >= min_count), tile_load))
+    sizes = saved(chunks.groupBy("lang").agg(F.sum("tokens").alias("n")))
+    counts = chunk_words(chunks).groupBy("lang", "word").agg(F.sum("n").alias("a"))
+    vocabulary = saved(ranked_words(counts.where(F.col("a") >= min_count), tile_load))
     items = saved(first_items(chunks, vocabulary))
+    del chunks, counts
+    release(docs.sparkSession)
     # the phrases of a round, named by tile and rank, for the next round's left parts
-    known = vocabulary.select("lang", "tile", F.col("id").alias("rank"), F.col("word").alias("phrase"), "a")
+    known = vocabulary.select("lang", F.col("tile").cast("string").alias("tile"), F.col("id").alias("rank"),
+                              F.col("word").alias("phrase"), "a")
     out = known.select("lang", F.lit(1).alias("words"), "phrase", "a")
     for length in range(1, max_words):
         last = length == max_words - 1
@@ -357,6 +380,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         out = out.union(known.select("lang", F.lit(length + 1), "phrase", "a"))
         if not last:
             items = saved(next_items(items, found, length))
+        del found
+        release(docs.sparkSession)
     return out.join(sizes, "lang")
 
 
@@ -372,7 +397,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     Null texts hold no words, a null language is ``und`` (one language with texts so
     labelled), repeated rows count again, an empty table gives no rows; only the two named
-    columns are read. Ids per language stay below 2^32, else an error is raised.
+    columns are read. A language may have 2^31 - 1
+    words of ``min_count`` or more; beyond, the cast of their ids fails.
     """
     found = saved(frequent_phrases(docs, text_col, lang_col, max_words, min_count, **options))
     part = found.select("lang", "phrase", "a")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.session import reliable
@@ -30,6 +32,16 @@ def saved(df: DataFrame) -> DataFrame:
     return reliable(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which a job that moves much
+    and keeps little on the driver may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n (null key: null)."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)

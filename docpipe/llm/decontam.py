@@ -2,10 +2,11 @@
 
 A window of an item's size is laid over a document wherever a word shingle of the item
 stands in it, once so that the shingle falls on its place and once so that the window starts
-at the shingle, which reaches reordered items too. Windows and items get SimHash
-fingerprints of their shingles. Shared shingles make the pairs of window and item; the
-fingerprint blocks (one more than the radius, so one block is equal) only filter them to
-those within the radius, and the exact weighted similarity of the shingles decides.
+at the shingle, which reaches reordered items too: no other window can reach the similarity
+asked for. Windows and items get SimHash fingerprints of their shingles, and a multi-index
+makes the pairs: fingerprints are cut into one block more than the radius, so those within it
+have an equal block, and windows meet the items of their size by (block, value). The
+distance is checked, and the exact weighted similarity of the shingles decides.
 
 Matching shingles needs no shuffle while the benchmark's shingles are few (counted first);
 a larger benchmark is joined by shingle hash. A document's text is shuffled only once, to
@@ -108,33 +109,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     met = hits.join(places, ["h", "size"]).groupBy("k1", "k2", "item", "variant", "n", "size", "n_words").agg(
         F.collect_set(start).alias("on_place"), F.sort_array(F.collect_set("at")).alias("ats"))
     starts = F.array_union("on_place", F.transform(starts_at_hits(least), lambda at: F.least(at, last)))
-    laid = saved(met.select("k1", "k2", "item", "variant", "n", "size", F.explode(starts).alias("start")))
+    laid = saved(met.select("k1", "k2", "n", "size", F.explode(starts).alias("start")).distinct())
 
-    wanted = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "variant", "n", "size", "start")).alias("windows"))
+    wanted = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "size", "start")).alias("windows"))
     lean = docs.where(F.col(text_col).isNotNull()).select(*content_key(F.col(text_col)), F.col(text_col).alias("t"))
     # Copies of a text become one row in their own task, before the shuffle.
     once = lean.groupBy("k1", "k2").agg(F.first("t").alias("t"))
     cut = once.join(wanted, ["k1", "k2"]).select("k1", "k2", words(F.lower(F.col("t"))).alias("w"), "windows").select("k1", "k2", "w", F.explode("windows").alias("x"))
     cut = cut.select("k1", "k2", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
-    cut = cut.select("k1", "k2", "item", "variant", "n", "start", shingle_words(F.col("w"), F.col("size")).alias("shingles"))
+    cut = cut.select("k1", "k2", "n", "start", shingle_words(F.col("w"), F.col("size")).alias("shingles"))
     windows = saved(cut.withColumn("fp", simhash(F.col("shingles"))))
 
     def cells(fp: str, prefix: str) -> Column:
         return F.posexplode(blocks(F.col(fp), radius)).alias(f"{prefix}block", f"{prefix}value")
 
-    indexed = items.select(F.col("item").alias("i_item"), F.col("variant").alias("i_variant"), F.size("shingles").alias("n_item"),
+    indexed = items.select("item", "variant", F.col("n").alias("i_n"), F.size("shingles").alias("n_item"),
                            simhash(F.col("shingles")).alias("i_fp"))
     indexed = indexed.select("*", cells("i_fp", "i_"))
-    probe = windows.select("k1", "k2", "item", "variant", "start", "fp", cells("fp", ""))
-    near = probe.join(indexed, F.col("item").eqNullSafe(F.col("i_item")) & (F.col("variant") == F.col("i_variant"))
-                      & (F.col("block") == F.col("i_block")) & (F.col("value") == F.col("i_value"))
+    # Equal fingerprints of one size are looked up once; a common one makes no more pairs.
+    probe = windows.select("n", "fp").distinct().select("n", "fp", cells("fp", ""))
+    near = probe.join(indexed, (F.col("n") == F.col("i_n")) & (F.col("block") == F.col("i_block")) & (F.col("value") == F.col("i_value"))
                       & (F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= radius))
-    near = near.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("item").alias("n_id"),
-                       F.col("variant").alias("n_variant"), F.col("start").alias("n_start"), "n_item").distinct()
+    near = saved(near.select("n", "fp", "item", "variant", "n_item").distinct())
 
     window = ["k1", "k2", "item", "variant", "start", "n"]
-    verified = windows.join(near, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("item").eqNullSafe(F.col("n_id"))
-                            & (F.col("variant") == F.col("n_variant")) & (F.col("start") == F.col("n_start")))
+    verified = windows.join(near, ["n", "fp"])
     in_window = verified.select(*window, "n_item", F.size("shingles").alias("n_window"), F.explode("shingles").alias("s"))
     in_window = in_window.groupBy(*window, "n_item", "n_window", "s").agg(F.count("*").alias("c"))
     in_item = items.select("item", "variant", F.explode("shingles").alias("s")).groupBy("item", "variant", "s").agg(

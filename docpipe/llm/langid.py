@@ -85,9 +85,12 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 14,
-          smoothing: float = 0.5) -> Model:
+          smoothing: float = 0.5, max_languages: int = 2000) -> Model:
     """Counts all n-grams of all given texts with a non-null label.
 
+    A model of over ``max_languages`` labels (262 MB of log-probabilities by default) raises an
+    error before any of it is counted: such a column does not hold languages.
+
     Rows of null text or label teach nothing; without any there are no languages and every
     prediction is ``und``. What reaches the driver is languages x buckets counts.
     """
@@ -124,6 +127,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 
     schema = "lang string, slice int, counts array<long>"
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    found = rows.where("lang IS NOT NULL").select("lang").distinct().limit(max_languages + 1).count()
+    if found > max_languages:
+        raise ValueError(f"more than {max_languages} distinct labels in {lang_col}: too many for a language model")
     parts = rows.where("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(run, schema)
     rows = saved(parts.repartition("lang", "slice").mapInArrow(add, schema)).collect()
     languages = sorted({r["lang"] for r in rows})

@@ -53,9 +53,10 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, slots:
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, slots: int = 8,
-                    least_alike: float = 0.75, min_docs: int = 10, min_tokens: int = 4) -> DataFrame:
+                    least_alike: float = 0.75, min_docs: int = 10, min_tokens: int = 1) -> DataFrame:
     """``k1, k2, line``: lines (0-based, of the text with that hash) whose template recurs in other texts.
 
+    Lines of up to ``depth`` tokens are their own template (digits masked, as in any line).
     Documents are distinct texts: copies of one text do not make its lines recur. Of a
     template's documents the one of smallest id (no id comes last), then of smallest hash,
     keeps its lines.

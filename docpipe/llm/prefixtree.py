@@ -156,7 +156,7 @@ def burst(rows: DataFrame, container_rows: int, container_turns: int) -> tuple[D
     A round moves the sequences of oversized containers one turn on; there are as many
     rounds as turns are shared by too many different sequences.
     """
-    live = rows.select("*", F.lit("").alias("head"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("heads"))
+    live = rows.select("*", F.substring("ends", 1, 0).alias("head"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("heads"))
     kept, tops = [], []
     while True:
         following = F.substring(F.col("ids"), F.col("at") * ID + 1, F.lit(ID))

@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Word vectors from all of ``docs``; the network from the given ``labels`` (0/1, null: unused).
 
     Of the labelled ids the ``size.max_labelled`` of smallest hash are used, a bounded
-    sample; an id labelled twice counts with its larger label.
+    sample; an id labelled twice counts with its larger label, an id on several rows of
+    ``docs`` with one of its texts.
     """
     vectors = word_vectors(docs, text_col, size)
     sample = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
@@ -214,7 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))],
                                              names=["label_id", "label", "x"])
 
+    # An id that stands on several rows teaches once, by its text of least hash: the sample is bounded by rows, not ids.
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(sample.select("label_id")), "label_id", "left_semi").groupBy("label_id").agg(
+        F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
     rows = texts.join(F.broadcast(sample), "label_id").select("label_id", "label", "text").mapInArrow(
         run, "label_id long, label int, x array<double>").toPandas().sort_values("label_id", kind="stable")
     if rows["label"].nunique() < 2:

@@ -56,8 +56,10 @@ def op4_language(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def op5_repeats(spark: SparkSession, data_dir: str) -> DataFrame:
     """Bytes of every document that 400-byte strings found twice cover, and a digest of the rest."""
-    return repeats.remove_repeats(table(spark, data_dir, "documents"), length=400, hashed=True).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = F.col("kept")
+    return repeats.remove_repeats(table(spark, data_dir, "documents"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"),
+        F.octet_length(kept).cast("long").alias("n_kept"), F.make_valid_utf8(kept.cast("string")).alias("text"))
 
 
 def op6_line_templates(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -146,15 +148,17 @@ token AS (
                                            lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
   FROM line),
 slot AS (
-  SELECT text, first_id, n, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, j,
-         array_to_string(w[4 + (len(w) - 3) * j // 8 : 3 + (len(w) - 3) * (j + 1) // 8], ' ') AS value
-  FROM token, range(8) AS r(j) WHERE len(w) >= 4),
+  SELECT text, first_id, n, n_tokens || ' ' || array_to_string(w[1:3], ' ') AS leaf, j,
+         array_to_string(w[4 + (len(w) - 3) * j // 8 : 3 + (len(w) - 3) * (j + 1) // 8], ' ') AS value,
+         least(len(w) - 3, 8) AS n_filled
+  FROM (SELECT text, first_id, n, CASE len(w) WHEN 1 THEN w || ['', ''] WHEN 2 THEN w || [''] ELSE w END AS w, len(w) AS n_tokens
+        FROM token WHERE len(w) >= 1), range(8) AS r(j)),
 busy AS (SELECT leaf FROM slot GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 kept AS (SELECT * FROM slot WHERE leaf IN (SELECT leaf FROM busy)),
 constant AS (SELECT leaf, j, value FROM kept GROUP BY ALL HAVING count(DISTINCT text) >= 10),
 template AS (
   SELECT k.text, k.n, any_value(first_id) AS first_id,
-         k.leaf || CASE WHEN count(c.leaf) >= 6
+         k.leaf || CASE WHEN count(c.leaf) FILTER (k.value <> '') >= 0.75 * any_value(n_filled)
                         THEN ' general ' || string_agg(coalesce('=' || c.value, '*'), chr(10) ORDER BY k.j)
                         ELSE ' own ' || string_agg(k.value, chr(10) ORDER BY k.j) END AS template
   FROM kept k LEFT JOIN constant c ON k.leaf = c.leaf AND k.j = c.j AND k.value = c.value GROUP BY k.text, k.n, k.leaf),
@@ -182,7 +186,8 @@ doc_shingle AS (
   FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS spot
         FROM words_of, (SELECT DISTINCT size FROM item) WHERE len(w) >= size)),
 laid AS (
-  SELECT DISTINCT doc_id, item_id, i.n, i.size, greatest(0, least(spot - place, n_words - i.n)) AS start
+  SELECT DISTINCT doc_id, item_id, i.n, i.size,
+         unnest([greatest(0, least(spot - place, n_words - i.n)), greatest(0, least(spot, n_words - i.n))]) AS start
   FROM doc_shingle d JOIN item_shingle i ON d.s = i.s AND d.size = i.size),
 cut AS (
   SELECT l.*, w[start + 1 : start + n] AS window_words FROM laid l JOIN words_of o ON l.doc_id = o.doc_id),
@@ -223,19 +228,26 @@ shares AS (
   FROM weighed
   WINDOW before AS (ORDER BY cap / weight::DOUBLE, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, source_rank, weight,
          CASE WHEN level * weight >= cap THEN cap::DOUBLE
               ELSE weight * max(level) FILTER (level * weight < cap) OVER () END AS target
   FROM shares),
 queue AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, source_rank, weight,
+         row_number() OVER (PARTITION BY d.source ORDER BY order_key, d.doc_id, d.size) AS n,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY order_key, d.doc_id, d.size
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start))
-        + greatest(0, least(size, floor(target)::BIGINT - source_size - start)))::BIGINT AS taken
-FROM queue""",
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+packet AS (
+  SELECT source_rank, n, least(256, size - 256 * p) AS words, (copy * source_size + start + 256 * p + words) / weight::DOUBLE AS finish
+  FROM (SELECT *, unnest(range((size + 255) // 256)) AS p FROM queue, range(2) AS r(copy))),
+ordered AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mix_end FROM packet),
+served AS (
+  SELECT source_rank, n, sum(greatest(0, least(words, budget - mix_end + words)))::BIGINT AS taken
+  FROM ordered, (SELECT (3 * sum(size)::BIGINT) // 2 AS budget FROM d) GROUP BY source_rank, n)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queue q LEFT JOIN served s ON q.source_rank = s.source_rank AND q.n = s.n""",
     "op11_collocations": r"""
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang,

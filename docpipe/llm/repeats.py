@@ -29,6 +29,8 @@ from docpipe.llm.common import saved
 #: Bytes of one numpy round and texts of one collection, which bound a task's memory.
 CHUNK_BYTES = 1 << 21
 BATCH_TEXTS = 1 << 15
+#: Texts whose columns are written to the external file at once.
+PART_TEXTS = 1 << 12
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
 POSITION = np.uint64((1 << 24) - 1)
@@ -173,11 +175,13 @@ def column_wise(group: np.ndarray, before: np.ndarray, texts: Texts, length: int
     end = begin + np.fromiter(map(len, texts), dtype=np.int64, count=m)
     flags = np.zeros((m, width - length + 1), dtype=bool)
     with tempfile.TemporaryFile() as columns:
-        table = np.zeros((m, width), dtype=np.uint8)
-        for i, text in enumerate(texts):
-            table[i, begin[i]:end[i]] = np.frombuffer(text, dtype=np.uint8)
-        table.T.tofile(columns)
-        del table
+        for at in range(0, m, PART_TEXTS):              # the file is written by parts of texts, and read by columns
+            part = np.zeros((width, min(PART_TEXTS, m - at)), dtype=np.uint8)
+            for i, text in enumerate(texts[at:at + PART_TEXTS]):
+                part[begin[at + i]:end[at + i], i] = np.frombuffer(text, dtype=np.uint8)
+            for c in range(width):
+                columns.seek(c * m + at)
+                columns.write(part[c].tobytes())
         columns.seek(0)
         order, since = np.arange(m), np.zeros(m, dtype=np.int64)    # since: first column shared with the one before
         groups = group.astype(np.int64) << 9
@@ -286,38 +290,37 @@ def repeated_spans(texts: DataFrame, found: DataFrame, length: int, gram: int, h
 
 
 def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes that stay of each text, with the number of maximal removed runs."""
+    """Bytes that stay of each text (columns doc_id, text, spans; null spans: all), and the number of maximal removed runs."""
     for batch in batches:
         kept, removed, runs = [], [], []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             merged: list[list[int]] = []
             for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            ends = [0, *(x for s in merged for x in s), len(text or b"")]
-            kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])) if text is not None else None)
+            ends = [0, *(x for s in merged for x in s), len(text)]
+            kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
             removed.append(sum(b - a for a, b in merged))
             runs.append(len(merged))
+        sizes = [len(k) + n for k, n in zip(kept, removed)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            names=["k1", "k2", "kept", "n_removed", "n_spans"])
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64,
-                   hot_rows: int = 50_000, hashed: bool = False) -> DataFrame:
+                   hot_rows: int = 50_000) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary, the remaining bytes) for every row.
 
-    With ``hashed``, ``kept_sha256`` (lowercase hex) stands for ``kept``: texts that stay
-    whole are hashed where they are read, not shuffled again.
-
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in
     this text or another. Null texts count as empty, texts under ``length`` bytes keep all,
     copies of a text of that size keep nothing; null ids and repeated rows are rows like
     others (a repeated row is a copy); an empty table gives no rows. Only the two named
-    columns are read. Equal texts are one text, joined by a 128-bit hash and not by id, and
-    each distinct text is shuffled once. Texts are limited to 2^31 bytes by Spark's rows.
+    columns are read. Equal texts are one text, told by a 128-bit hash and not by id; a text
+    without copies takes its id along, so the texts are shuffled once and not brought
+    together with the rows again. Texts are limited to 2^31 bytes by Spark's rows.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
@@ -330,21 +333,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                    F.count("*").alias("n")).where("p <> q OR o").select("h", "n")
     found = saved(found.join(often, "h").distinct())
 
-    texts = long_rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = long_rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"))
     spans = repeated_spans(texts, found, length, gram, hot_rows)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    single = texts.join(spans, ["k1", "k2"], "left").where("copies = 1 AND spans IS NOT NULL")
-    cut = single.select("k1", "k2", "text", "spans").mapInArrow(
-        without_spans, "k1 long, k2 long, kept binary, n_removed long, n_spans long")
-    copied = texts.where("copies > 1").select(
-        "k1", "k2", F.lit(b"").alias("kept"), F.lit(length).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
-    changed = cut.union(copied)
-    if hashed:
-        changed = changed.withColumn("whole", F.octet_length("kept") == 0).withColumn("kept", F.sha2("kept", 256))
-        rows = rows.withColumn("text", F.sha2("text", 256))
-    else:
-        changed = changed.withColumn("whole", F.octet_length("kept") == 0)
-    out = rows.join(changed, ["k1", "k2"], "left")
-    return out.select(
-        "doc_id", "n_bytes", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "text").alias("kept_sha256" if hashed else "kept"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut = texts.where("copies = 1").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
+        without_spans, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+    def whole(of: DataFrame, removed, runs, kept) -> DataFrame:
+        return of.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.lit(runs).cast("long").alias("n_spans"),
+                         kept.alias("kept"))
+
+    copied = long_rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1").select("k1", "k2")
+    copies = whole(long_rows.join(copied, ["k1", "k2"], "left_semi"), F.col("n_bytes"), 1, F.lit(b""))
+    short = whole(rows.where(F.col("n_bytes") < length), F.lit(0), 0, F.col("text"))
+    return cut.union(copies).union(short)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docpipe.llm.common import saved
+
 #: Kinds of finding, in the order in which those of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -45,7 +47,8 @@ KEYS = {c: (x, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 STEPS = ((-1, 0), (1, 0), (0, -1), (1, -1), (-1, 1), (0, 1))
 ALIKE = str.maketrans("@4301!5$7+", "aaeoiisstt")
 DATES = re.compile(r"(?=((?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])"
-                   r"|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\3(?:19|20)\d\d|(?:19|20)\d\d))", re.A)
+                   r"|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\3(?:19|20)\d\d))", re.A)
+YEARS = re.compile(r"(?=((?:19|20)\d\d))", re.A)
 #: Guesses of a date (days of a hundred years, years), and of the choice of one more segment's kind.
 DATE_COST, YEAR_COST, KIND_COST = math.log10(36525), 2.0, math.log10(5)
 LONGEST_WORD = 24
@@ -81,9 +84,21 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
 
 
 def learn(docs: DataFrame, text_col: str = "text", max_words: int = 30_000) -> Dictionary:
-    """The ``max_words`` most frequent words of all texts; the table that reaches the driver is bounded by it."""
-    best = word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(max_words).select("word").collect()
-    return Dictionary({r["word"]: k for k, r in enumerate(best, 1)})
+    """The most frequent words of all texts, at most ``max_words``: whole classes of like frequency, from the top.
+
+    A class is an eighth of an octave of counts. The classes' sizes reach the driver, then
+    the words of the classes that fit, so neither grows with the corpus or its partitions.
+    """
+    counts = saved(word_counts(docs, text_col).withColumn("class", F.floor(8 * F.log2("n")).cast("int")))
+    sizes = sorted(((r["class"], r["count"]) for r in counts.groupBy("class").count().collect()), reverse=True)
+    total, least = 0, None
+    for k, size in sizes:
+        total += size
+        if total > max_words:
+            break
+        least = k
+    best = counts.where(F.lit(False) if least is None else F.col("class") >= least).select("n", "word").collect()
+    return Dictionary({word: k for k, (_, word) in enumerate(sorted((-r["n"], r["word"]) for r in best), 1)})
 
 
 # -- segments of a value: (start, end, cost) -----------------------------------------------
@@ -101,8 +116,9 @@ def word_segments(value: str, dictionary: Dictionary) -> Iterator[tuple[int, int
 
 
 def date_segments(value: str) -> Iterator[tuple[int, int, float]]:
-    for m in DATES.finditer(value):
-        yield m.start(), m.start() + len(m[1]), YEAR_COST if len(m[1]) == 4 else DATE_COST
+    for pattern, cost in ((DATES, DATE_COST), (YEARS, YEAR_COST)):
+        for m in pattern.finditer(value):
+            yield m.start(), m.start() + len(m[1]), cost
 
 
 def walk_segments(value: str) -> Iterator[tuple[int, int, float]]:

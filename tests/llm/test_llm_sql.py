@@ -21,6 +21,6 @@ def test_query_matches_sql(spark, con, name):
 def test_registered():
     import __spark_entry__ as e
     names = list(e.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names

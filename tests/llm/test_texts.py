@@ -13,7 +13,7 @@ from docpipe.llm.queries import op6_line_templates, op8_decontaminate, op9_surro
 GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def plain_lines(rows, depth=3, slots=8, alike=0.75, min_docs=10, min_tokens=4):
+def plain_lines(rows, depth=3, slots=8, alike=0.75, min_docs=10, min_tokens=1):
     """doc text -> text without recurring lines, by the rules over distinct texts."""
     first_id = {}
     for d, t in rows:
@@ -37,8 +37,9 @@ def plain_lines(rows, depth=3, slots=8, alike=0.75, min_docs=10, min_tokens=4):
     for at, (leaf, values) in parsed.items():
         if len(leaf_docs[leaf]) >= min_docs:
             general = tuple(v if len(slot_docs[leaf, j, v]) >= min_docs else None for j, v in enumerate(values))
-            constant = sum(v is not None for v in general)
-            template_of[at] = (leaf, general) if constant >= alike * slots else (leaf, "own", values)
+            constant = sum(v is not None and v != () for v in general)
+            filled = sum(v != () for v in values)
+            template_of[at] = (leaf, general) if constant >= alike * filled else (leaf, "own", values)
             template_docs[template_of[at]].add(at[0])
     keeper = {t: min(first_id[x] for x in texts) for t, texts in template_docs.items()}
     out = {}
@@ -78,6 +79,23 @@ def test_lines_templates_generalise_fields(spark):
     assert linetemplates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_follow_the_same_rule(spark):
+    """Lines of one to seven tokens, equal ones and such that differ in their last tokens, against the plain rule."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        lines = ["End", "All rights reserved.", f"Page {k}", f"{k}", "", " ", "\t one\x0b"]
+        for n in range(4, 8):
+            lines.append(" ".join([f"lead{n}", "of", "line", *(rng.choice(["x", "x", f"own{rng.random()}"]) for _ in range(n - 3))]))
+        rows.append((k, "\n".join(rng.sample(lines, rng.randint(3, len(lines))) + [f"word{rng.random()} alone"])))
+    want = plain_lines(rows)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linetemplates.drop_recurring_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: want[t] for d, t in rows}
+    kept = "\n".join(text for d, (text, _) in got.items()).split("\n")
+    assert kept.count("All rights reserved.") == kept.count("End") == 1 and "word" in kept[-1]
+
+
 def test_lines_likeness_counts_filled_slots(spark):
     """Short lines that share only their leading tokens are no template; equal ones are."""
     rows = [(k, f"It was a {'abcdefghijkl'[k]}x\nSo we saw {'abcdefghijkl'[k]}y {'abcdefghijkl'[k]}z\n"
