@@ -26,11 +26,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs; where lines went, n_chars is that of the new text.
-
-    Lines count from one token on; those of up to three tokens are their own template.
-    """
-    return linetemplates.drop_recurring_lines(docs, length_col="n_chars", counts=False, min_tokens=1)
+    """All documents, without the lines whose template recurs; where lines went, n_chars is that of the new text."""
+    return linetemplates.drop_recurring_lines(docs, length_col="n_chars", counts=False)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all documents; between stages the rows go through Parquet in the shared folder."""
+    """Every stage over all documents; between stages the rows go through Parquet in the shared folder.
+
+    A stage's rows are deleted when the next stage's are written; the last ones stay, as the
+    mix reads them.
+    """
     import uuid
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
@@ -73,4 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            before.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(before, True)
     return STAGES[-1][1](spark, docs, sf_dir)
