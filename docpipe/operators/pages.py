@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.constants import PAGE_SEPARATOR
-from docpipe.functions.pages import int_range, merged_ranges, page_ranges_valid, parse_page_ranges
+from docpipe.functions.pages import merged_ranges, page_ranges_valid, parse_page_ranges
 
 
 def parsed_requests(requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
@@ -38,13 +38,29 @@ def requested_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page
     return known.select("doc_id", F.explode(parse_page_ranges(F.col(spec_col), F.col("last_page"))).alias("page_no"))
 
 
-def wanted_pages(requests: DataFrame, spec_col: str = "page_ranges", count_col: str = "total_pages") -> DataFrame:
-    """(doc_id, page_no) to convert: the parsed range, or every page 1..count when no range
-    is given. Built per document, so the page table is joined on (doc_id, page_no) only."""
-    whole = F.col(spec_col).isNull() | (F.col(spec_col) == "")
-    count = F.col(count_col)
-    pages = F.when(whole, int_range(F.lit(1), count.cast("int"))).otherwise(parse_page_ranges(F.col(spec_col), count))
-    return requests.select("doc_id", F.explode(pages).alias("page_no"))
+#: Page numbers of one block of the interval join.
+PAGE_BLOCK = 1024
+
+
+def pages_to_convert(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
+    """The pages of each requested document that its range names, or all if it has no range.
+
+    An interval join in blocks of page numbers: the blocks in which a document has pages meet
+    the merged ranges that reach into them, then pages meet their block. Only pages that
+    exist count, so gaps in the numbering lose nothing, and a range of a billion pages
+    costs the document's blocks. A range that cannot be read names no page.
+    """
+    block = F.floor(F.col("page_no") / PAGE_BLOCK)
+    blocks = pages.where("page_no IS NOT NULL").groupBy("doc_id", block.alias("_block")).agg(
+        F.min("page_no").alias("_first"), F.max("page_no").alias("_last"))
+    whole = F.coalesce(F.col(spec_col) == "", F.lit(True))
+    asked = requests.select("doc_id", whole.alias("_whole"), merged_ranges(F.col(spec_col)).alias("_ranges")).distinct()
+    reach = F.filter("_ranges", lambda r: (r["last"] >= F.col("_first")) & (r["first"] <= F.col("_last")))
+    met = blocks.join(asked, "doc_id").select(F.col("doc_id").alias("_doc"), F.col("_block").alias("_of"), "_whole", reach.alias("_reach")).where(
+        F.col("_whole") | (F.size("_reach") > 0))
+    inside = F.col("_whole") | F.exists("_reach", lambda r: F.col("page_no").between(r["first"], r["last"]))
+    keyed = pages.withColumn("_block", block)
+    return keyed.join(met, (F.col("doc_id") == F.col("_doc")) & (F.col("_block") == F.col("_of")) & inside, "left_semi").drop("_block")
 
 
 def select_pages(pages: DataFrame, requests: DataFrame, spec_col: str = "page_ranges") -> DataFrame:
@@ -107,3 +123,8 @@ def stitch_pages(pages: DataFrame, documents: DataFrame, text_col: str = "text",
 
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
+
+
+def page_extents(pages: DataFrame) -> DataFrame:
+    """doc_id, total_pages, last_page: they differ where page numbers have gaps."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.max("page_no").cast("long").alias("last_page"))

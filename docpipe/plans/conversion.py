@@ -48,10 +48,9 @@ def single_pass(pages: DataFrame, files: DataFrame, requests: DataFrame, page_co
     range fails its document: status ``error``, the first error, no Markdown.
     """
     routed = PR.optimize_routing(PR.document_profile(pages, files, text_limit), skip_optimization, keep_images)
-    # The wanted (doc_id, page_no) list is built per document (all pages, or the parsed
-    # range), so the page table is joined only on (doc_id, page_no), never on doc_id alone.
-    asked = requests.join(routed.select("doc_id", "total_pages"), "doc_id")
-    wanted = pages.join(PG.wanted_pages(asked), ["doc_id", "page_no"], "left_semi")
+    # The page table is joined on (doc_id, block of page numbers), never on doc_id alone.
+    asked = requests.join(routed.select("doc_id"), "doc_id", "left_semi")
+    wanted = PG.pages_to_convert(pages, asked)
     # Read by the stitch and by the counts: materialise so each page is converted once.
     converted = reliable(convert(wanted, page_converter, keep=["doc_id", "page_no"], inputs=["text"], call_rows=call_rows))
     good = F.col("status") == "success"
@@ -99,11 +98,11 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
     keys = keys or ["doc_id"]
     extra = [c for c in ("approach_no", "prompt") if c in jobs.columns]
     enabled = fallback_enabled if isinstance(fallback_enabled, Column) else F.lit(bool(fallback_enabled))
-    counts = PG.page_counts(pages)
+    counts = PG.page_extents(pages)
     routed = jobs.withColumn("_fallback", enabled).join(counts, "doc_id", "left").withColumn(
-        "total_pages", F.coalesce("total_pages", F.lit(0)))
+        "total_pages", F.coalesce("total_pages", F.lit(0))).withColumn("last_page", F.greatest("total_pages", F.coalesce("last_page", F.lit(0))))
     routed = reliable(CH.needs_chunking(routed, threshold, disable_chunking).select(
-        *keys, "job_id", "page_ranges", *extra, "_fallback", "total_pages", "needs_chunking", bad_range().alias("_bad")))
+        *keys, "job_id", "page_ranges", *extra, "_fallback", "last_page", "needs_chunking", bad_range().alias("_bad")))
     text_out = [F.col("markdown")] if keep_text else []
 
     def called(source: DataFrame, with_keys: list[str]) -> DataFrame:
@@ -114,8 +113,8 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
 
     # One call per document: the requested pages, or all.
     whole = routed.where("NOT needs_chunking AND NOT _bad")
-    asked = PG.wanted_pages(whole.select("doc_id", "page_ranges", "total_pages").distinct())
-    texts = PG.ordered_concat(pages.join(asked, ["doc_id", "page_no"], "left_semi"), "doc_id", "page_no", "text", "\n")
+    asked = PG.pages_to_convert(pages, whole.select("doc_id", "page_ranges"))
+    texts = PG.ordered_concat(asked, "doc_id", "page_no", "text", "\n")
     whole = whole.join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("chunk_number", F.lit(0))
     first = called(whole, keys).withColumn("markdown_length", F.length("markdown").cast("long"))
     first = reliable(first if keep_text else first.drop("markdown"))
@@ -144,7 +143,8 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
     timed_out = first.where(~good & (F.col("next_route") == "chunk")).select(
         *keys, F.col("error").alias("_error"), F.col("error_type").alias("_error_type"), F.col("processing_time").alias("_seconds"),
         F.lit(True).alias("_timed_out"))
-    to_chunk = routed.join(timed_out, keys, "left").where("needs_chunking OR _timed_out")
+    # chunks are ranges of page numbers, up to the last one
+    to_chunk = routed.withColumnRenamed("last_page", "total_pages").join(timed_out, keys, "left").where("needs_chunking OR _timed_out")
     plan = CH.chunk_plan(to_chunk, chunk_size, keys=keys)
     sizes = CH.chunk_sizes(to_chunk.select("doc_id", "total_pages").distinct(), chunk_size)
     chunk_text = CH.chunk_texts(CH.chunk_membership(pages.select("doc_id", "page_no", "text"), sizes))

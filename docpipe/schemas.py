@@ -48,6 +48,7 @@ CHUNK_RESULTS_SCHEMA = T.StructType([
     T.StructField("processing_time", T.DoubleType()),
     T.StructField("job_id", T.StringType()),
     T.StructField("success", T.BooleanType()),
+    T.StructField("approach", T.StringType()),
 ])
 
 RESPONSES_SCHEMA = T.StructType([

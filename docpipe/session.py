@@ -33,6 +33,8 @@ def build_session(master: str | None = None, app_name: str = "docpipe",
         "spark.ui.showConsoleProgress": "false",
         # checkpoints written by reliable() are removed once nothing references them
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # transformWithState (hung-job alerts, completed parents) needs named state columns
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.driver.memory": "16g",
     }
     if shuffle_partitions:

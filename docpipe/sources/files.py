@@ -4,12 +4,14 @@
 only for ``path`` and ``length`` lets column pruning skip reading the bytes, which is all
 the size-based routing needs. Page extraction needs a PDF library and runs as a
 caller-supplied ``extract`` function in ``mapInPandas``; reading an existing page table
-is the alternative.
+is the alternative. ``extract_page_ranges`` reads the pages of one file in many tasks, where
+the library at hand can open a file at a page.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import AbstractContextManager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docpipe.schemas import PAGES_SCHEMA
+from docpipe.session import reliable
 
 # extract(file_bytes) -> iterable of (page_no starting at 1, text, image count)
 PageExtractor = Callable[[bytes], Iterable[tuple[int, str, int]]]
+# the same for a part of a file: a handle from open_file(path), its page count, the pages first..last
+FileOpener = Callable[[str], AbstractContextManager]
+PageCounter = Callable[[object], int]
+PageReader = Callable[[object, int, int], Iterable[tuple[int, str, int]]]
 
 
 def doc_id_of(path_col: F.Column) -> F.Column:
@@ -69,6 +76,72 @@ def extract_pages(files: DataFrame, extract: PageExtractor, partitions: int | No
     return src.mapInPandas(run, EXTRACTED_SCHEMA)
 
 
+def page_range_plan(files: DataFrame, open_file: FileOpener, count_pages: PageCounter, pages_per_range: int = 64) -> DataFrame:
+    """doc_id, path, first, last, error: the page ranges of every file, or its one error row.
+
+    Each file is opened once, to count its pages.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, path in zip(batch["doc_id"], batch["path"]):
+                try:
+                    with open_file(path) as handle:
+                        n = int(count_pages(handle))
+                    rows = [(doc_id, path, a, min(a + pages_per_range - 1, n), None) for a in range(1, n + 1, pages_per_range)]
+                except Exception as exc:  # noqa: BLE001 - errors are data here
+                    rows = [(doc_id, path, None, None, f"{type(exc).__name__}: {exc}")]
+                out = pd.DataFrame(rows, columns=["doc_id", "path", "first", "last", "error"])
+                yield out.astype({"first": "Int32", "last": "Int32"})
+
+    return files.select("doc_id", "path").mapInPandas(run, "doc_id long, path string, first int, last int, error string")
+
+
+def extract_page_ranges(files: DataFrame, open_file: FileOpener, count_pages: PageCounter, read_pages: PageReader,
+                        pages_per_range: int = 64, partitions: int | None = None, batch_pages: int = 16) -> DataFrame:
+    """As ``extract_pages``, with the pages of one file read by many tasks.
+
+    ``files``: doc_id, path. ``open_file(path)`` gives a handle (a context manager) wherever a
+    task runs, ``count_pages(handle)`` the number of pages, ``read_pages(handle, first, last)``
+    yields (page_no, text, images). A range of ``pages_per_range`` pages is one unit of work;
+    its pages are passed on in batches of ``batch_pages``, so a task holds a few pages however
+    long the file. A file of which any range cannot be read gives one row with the error of
+    its first such range, and no pages: the extracted pages are written to the checkpoint
+    folder first, as the verdict on a file needs all its ranges.
+    """
+    plan = reliable(page_range_plan(files, open_file, count_pages, pages_per_range))
+    ranges = plan.where("error IS NULL").select("doc_id", "path", "first", "last")
+    ranges = ranges.repartition(partitions, "doc_id", "first") if partitions else ranges.repartition("doc_id", "first")
+    columns = ["doc_id", "page_no", "text", "images", "error", "first"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"page_no": "Int32", "images": "Int64", "first": "Int32"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, path, first, last in batch[["doc_id", "path", "first", "last"]].itertuples(index=False):
+                rows = []
+                try:
+                    with open_file(path) as handle:
+                        for page_no, text, images in read_pages(handle, int(first), int(last)):
+                            rows.append((doc_id, int(page_no), text, int(images), None, first))
+                            if len(rows) >= batch_pages:
+                                yield frame(rows)
+                                rows = []
+                except Exception as exc:  # noqa: BLE001 - errors are data here
+                    rows.append((doc_id, None, None, None, f"{type(exc).__name__}: {exc}", first))
+                if rows:
+                    yield frame(rows)
+
+    kinds = T.StructType([*EXTRACTED_SCHEMA.fields, T.StructField("first", T.IntegerType())])
+    read = reliable(ranges.mapInPandas(run, kinds))
+    broken = read.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "first").alias("error"))
+    broken = broken.unionByName(plan.where("error IS NOT NULL").select("doc_id", "error"))
+    failed = broken.select("doc_id", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("string").alias("text"),
+                           F.lit(None).cast("long").alias("images"), "error")
+    whole = read.where("error IS NULL").drop("first").join(broken.select("doc_id"), "doc_id", "left_anti")
+    return whole.unionByName(failed)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """The pages of the files that could be read."""
     return pages.where("error IS NULL").drop("error")

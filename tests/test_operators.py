@@ -222,9 +222,19 @@ def test_page_ranges_clipped_to_document(spark):
     df = spark.createDataFrame([("1-1000000000", 5), ("0,3,9", 5), ("4-2", 5), ("x", 5)], "s string, n long")
     got = [r.p for r in df.select(parse_page_ranges(F.col("s"), F.col("n")).alias("p")).collect()]
     assert got == [[1, 2, 3, 4, 5], [3], [], None]
-    wanted = PG.wanted_pages(spark.createDataFrame([(1, "2-1000000000", 3), (2, None, 2)],
-                                                   "doc_id long, page_ranges string, total_pages long"))
-    assert sorted(tuple(r) for r in wanted.collect()) == [(1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_pages_to_convert_are_those_that_exist(spark):
+    """Gaps, far pages and huge ranges: equal to testing each page on its own."""
+    have = {1: [1, 2, 4], 2: [1, 5, 1023, 1024, 1025, 5000, 2_000_000_000], 3: [1, 2], 4: [1], 5: [7], 6: [0, 1, 3]}
+    pages = spark.createDataFrame([(d, p, f"{d}.{p}") for d, ps in have.items() for p in ps] + [(1, None, "no number")],
+                                  "doc_id long, page_no int, text string").repartition(4)
+    requests = [(1, None), (2, "5-1024,1999999999-2000000000,4"), (3, "2-1000000000"), (4, "x"), (5, ""), (6, "1-2"), (6, "1-2"), (9, None)]
+    got = PG.pages_to_convert(pages, spark.createDataFrame(requests, "doc_id long, page_ranges string"))
+    assert got.columns == pages.columns
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 1, "1.1"), (1, 2, "1.2"), (1, 4, "1.4"), (2, 5, "2.5"), (2, 1023, "2.1023"), (2, 1024, "2.1024"),
+        (2, 2_000_000_000, "2.2000000000"), (3, 2, "3.2"), (5, 7, "5.7"), (6, 1, "6.1")]
 
 
 def test_huge_ranges_are_never_expanded(spark):

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import tempfile
 
 import pandas as pd
@@ -126,6 +127,23 @@ def test_chunks_are_cleaned_before_they_are_stitched(spark):
     assert doc.markdown == "# A\n---\nbody\n\n# B"
 
 
+def test_gaps_in_page_numbers_lose_nothing(spark):
+    def echo():
+        return lambda batch: pd.DataFrame({"status": ["success"], "markdown": [batch["text"].iloc[0]], "error": [None], "error_type": [None],
+                                           "processing_time": [1.0]})
+    have = {1: [1, 2, 4], 2: [*range(1, 23), 40], 3: [3, 9]}
+    pages = spark.createDataFrame([(d, p, f"p{p}") for d, ps in have.items() for p in ps], "doc_id long, page_no int, text string")
+    jobs = spark.createDataFrame([(1, "j", None), (2, "j", None), (3, "j", "2-9")], "doc_id long, job_id string, page_ranges string")
+    docs = {r.doc_id: r for r in convert_ladder(pages, jobs, echo, echo)["documents"].collect()}
+    assert docs[2].route == "chunk"
+    assert {d: [int(x) for x in re.findall(r"p([0-9]+)", r.markdown)] for d, r in docs.items()} == have
+    files = spark.createDataFrame([(d, 10) for d in have], "doc_id long, file_size_bytes long")
+    requests = jobs.select("doc_id", "page_ranges")
+    shown = pages.withColumn("images", F.lit(0).cast("long"))
+    once = {r.doc_id: r.pages_ok for r in single_pass(shown, files, requests, upper_pages)["documents"].collect()}
+    assert once == {1: 3, 2: 23, 3: 2}
+
+
 def test_ladder_over_prompt_variants(spark):
     from docpipe.sources.prompts import PROMPTS, fan_out
 
@@ -200,6 +218,49 @@ def test_file_scan_and_extractor(spark):
     assert [r.error for r in extraction_errors(pages).collect()] == ["ValueError: cut off"]
 
 
+def test_pages_of_one_file_are_read_by_many_tasks(spark):
+    """Rows equal the whole-file extractor; a broken range, count or file gives one error row and no pages."""
+    from docpipe.sources.files import extract_page_ranges
+    d = tempfile.mkdtemp(prefix="docpipe-ranges-")
+    sizes = {"long": 500, "short": 1, "none": 0, "broken": 30, "twice": 40, "uncounted": 5}
+    for name, n in sizes.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write("\f".join(f"{name} page {k}" for k in range(1, n + 1)).encode())
+
+    def pages_of(data):
+        return data.decode().split("\f") if data else []
+
+    def opened(path):
+        return open(path.removeprefix("file:"), "rb")
+
+    def count(handle):
+        data = handle.read()
+        if data.startswith(b"uncounted"):
+            raise ValueError("no page tree")
+        return len(pages_of(data))
+
+    def reader(handle, first, last):
+        for k, text in list(enumerate(pages_of(handle.read()), start=1))[first - 1:last]:
+            if text in ("broken page 17", "twice page 9", "twice page 31"):
+                raise ValueError(text)
+            yield k, text, k % 3
+
+    def whole(data: bytes):
+        if data.startswith(b"uncounted"):
+            raise ValueError("no page tree")
+        for k, text in enumerate(pages_of(data), start=1):
+            if text in ("broken page 17", "twice page 9", "twice page 31"):
+                raise ValueError(text)
+            yield k, text, k % 3
+
+    files = list_files(spark, d)
+    got = extract_page_ranges(files, opened, count, reader, pages_per_range=7, partitions=6, batch_pages=3)
+    want = extract_pages(read_files(spark, d), whole)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert extraction_errors(got).count() == 3 and extracted(got).count() == 501
+
+
 def test_job_record_ingest_and_sinks(spark):
     d = tempfile.mkdtemp(prefix="docpipe-jobs-")
     recs = [{"id": "job_1", "input_file": "/a/x.pdf", "status": "started", "start_time": "2024-01-01T10:00:00.5"},
