@@ -5,7 +5,7 @@ the hand-polled ``--check-job`` / ``--check-hung`` loops:
 
 - ``live_job_state``: newest state per job, emitted whenever it changes.
 - ``hung_job_alerts``: at most one alert per job, when the event-time watermark passes its
-  start + 600 s and its newest status is still ``started``.
+  start + 600 s and its newest status is still ``started`` (named state and event-time timers).
 
 Both keep state per job and drop it a retention time after the job's last event, so state
 follows the number of recently active jobs. Until then a finished or alerted job leaves a
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docpipe.constants import HUNG_JOB_SECONDS
 from docpipe.schemas import JOB_EVENT_SCHEMA
@@ -66,39 +67,68 @@ def _text(value) -> str | None:
 
 ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
                 "deadline timestamp_ntz")
-_ALERT_STATE = ("recorded_us long, first_us long, last_ts_us long, last_id long, status string, stage string, "
-                "input_file string, alerted boolean")
 
 
-def _track(limit_us: int, retention_ms: int):
-    def track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recorded, first, last_ts, last_id, status, stage, input_file, alerted = (
-            state.get if state.exists else (None, None, None, None, None, None, None, False))
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                recorded = _earliest(recorded, pdf["start_time"])
-                first = _earliest(first, pdf["event_ts"])
-                newer = _newest(pdf, None if last_ts is None else (last_ts, last_id))
-                if newer:
-                    (last_ts, last_id), row = newer
-                    status, stage, input_file = _text(row["status"]), _text(row["current_stage"]), _text(row["input_file"])
+class HungJobs(StatefulProcessor):
+    """State of one job: ``times`` (its start), ``newest`` (its newest event) and ``alerted``.
+
+    One event-time timer stands per job: at its deadline while it runs, else when it may be
+    forgotten.
+    """
+
+    def __init__(self, limit_us: int, retention_ms: int):
+        self.limit_us, self.retention_ms = limit_us, retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "recorded_us long, first_us long")
+        self.newest = handle.getValueState("newest", "ts_us long, event_id long, status string, stage string, input_file string")
+        self.alerted = handle.getValueState("alerted", "start_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recorded, first = self.times.get() or (None, None)
+        newest = self.newest.get()
+        for pdf in rows:
+            recorded, first = _earliest(recorded, pdf["start_time"]), _earliest(first, pdf["event_ts"])
+            newer = _newest(pdf, None if newest is None else tuple(newest[:2]))
+            if newer:
+                order, row = newer
+                newest = (*order, _text(row["status"]), _text(row["current_stage"]), _text(row["input_file"]))
+        self.times.update((recorded, first))
+        self.newest.update(tuple(newest))
+        yield from self.settled(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not self.waits() and self.newest.get()[0] // 1000 + self.retention_ms <= watermark:
+            for state in (self.times, self.newest, self.alerted):
+                state.clear()
+        else:
+            yield from self.settled(key, watermark)
+
+    def waits(self) -> bool:
+        """The job runs and has not been alerted."""
+        return self.newest.get()[2] == "started" and not self.alerted.exists()
+
+    def settled(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        """The alert, if it is due, and the job's next timer."""
+        recorded, first = self.times.get()
+        ts, _, _, stage, input_file = self.newest.get()
         start = first if recorded is None else recorded
-        watermark = state.getCurrentWatermarkMs()
-        deadline = (start + limit_us) // 1000
-        if status == "started" and not alerted and deadline < watermark:
-            alerted = True
+        deadline = (start + self.limit_us) // 1000
+        if self.waits() and deadline < watermark:
+            self.alerted.update((start,))
             yield pd.DataFrame({
                 "job_id": [key[0]], "start_time": [pd.Timestamp(start, unit="us")],
                 "stage": [stage if stage is not None else "unknown"], "input_file": [input_file],
-                "deadline": [pd.Timestamp(start + limit_us, unit="us")]})
-        waits = status == "started" and not alerted
-        wake = deadline if waits else last_ts // 1000 + retention_ms
-        if state.hasTimedOut and not waits and wake <= watermark:
-            state.remove()
-            return
-        state.update((recorded, first, last_ts, last_id, status, stage, input_file, alerted))
-        state.setTimeoutTimestamp(max(wake, watermark + 1))
-    return track
+                "deadline": [pd.Timestamp(start + self.limit_us, unit="us")]})
+        wake = deadline + 1 if self.waits() else ts // 1000 + self.retention_ms
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(wake, watermark + 1))
+
+    def close(self) -> None:
+        pass
 
 
 def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes", retention_seconds: int = 86400) -> DataFrame:
@@ -106,12 +136,14 @@ def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes", retention_
 
     A job gets at most one alert, and none if any event so far says it has ended, in whatever
     order events arrive. ``retention_seconds`` after its last event a job that has ended or
-    was alerted is forgotten; an event that comes later still begins a new job.
+    was alerted is forgotten; an event that comes later still begins a new job. Retention is
+    in event time, by timers: Spark's state TTL counts processing time only. Needs the RocksDB
+    state store (``build_session`` sets it).
     """
     return (with_event_time(events).withWatermark("event_time", watermark)
             .groupBy("job_id")
-            .applyInPandasWithState(_track(HUNG_JOB_SECONDS * 1_000_000, retention_seconds * 1000), ALERT_SCHEMA, _ALERT_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+            .transformWithStateInPandas(HungJobs(HUNG_JOB_SECONDS * 1_000_000, retention_seconds * 1000), ALERT_SCHEMA,
+                                        "append", "EventTime"))
 
 
 _LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]

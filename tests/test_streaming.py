@@ -140,3 +140,69 @@ def test_state_is_forgotten_after_the_retention(spark):
                                          [(9001, "clock", "completed")], [(9100, "a", "started")], [(12000, "clock", "completed")]],
                     watermark="0 seconds", retention_seconds=2000)
     assert got == [("a", 0.0), ("a", 9100.0)]
+
+
+def test_alerts_go_on_after_a_restart(spark):
+    """A query stopped and started from its checkpoint keeps its timers and does not alert twice."""
+    import datetime as dt
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    src, checkpoint, sink, t0 = scratch(), scratch(), scratch() + "/out", dt.datetime(2024, 1, 1)
+
+    def land(n, seconds, job, status):
+        event = dict.fromkeys(f.name for f in JOB_EVENT_SCHEMA.fields)
+        event |= {"event_id": n, "job_id": job, "event_ts": t0 + dt.timedelta(seconds=seconds), "status": status}
+        spark.createDataFrame([tuple(event.values())], JOB_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        (L.hung_job_alerts(L.read_job_events(spark, src, max_files_per_trigger=1), watermark="0 seconds").writeStream
+         .format("parquet").option("path", sink).outputMode("append").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start()).awaitTermination()
+        return sorted(r.job_id for r in spark.read.parquet(sink).collect())
+
+    land(1, 0, "a", "started")
+    land(2, 100, "b", "started")
+    assert run() == []
+    land(3, 650, "b", "completed")                    # passes a's deadline, ends b before its own
+    assert run() == ["a"]
+    land(4, 660, "a", "started")
+    land(5, 5000, "clock", "completed")
+    assert run() == ["a"]
+
+
+CHUNKS = ("doc_id long, parent_job_id string, chunk_number int, total_chunks int, pages string, content string, "
+          "processing_time double, job_id string, success boolean, approach string")
+
+
+def test_parents_are_told_once_when_their_last_chunk_arrives(spark):
+    src, sink, checkpoint = scratch(), scratch() + "/done", scratch()
+
+    def land(*rows):
+        full = [(d, "j", n, total, "", "x", 1.0, "c", n != 2, approach) for d, approach, n, total in rows]
+        spark.createDataFrame(full, CHUNKS).coalesce(1).write.mode("append").parquet(src)
+
+    def run(**options):
+        R.start_parent_completion(spark, src, sink, checkpoint, available_now=True, **options).awaitTermination()
+        return sorted((r.doc_id, r.approach or "", r.total_chunks) for r in spark.read.parquet(sink).collect())
+
+    land((1, None, 2, 3), (1, None, 2, 3), (2, "a", 1, 1), (3, None, 1, 2), (None, None, 1, 1), (5, None, None, 2))
+    assert run() == [(2, "a", 1)]
+    land((1, "a", 1, 3), (1, "a", 3, 3), (1, None, 3, 3), (3, None, 7, 2))       # variants do not mix; chunk 7 of 2 is none
+    assert run() == [(2, "a", 1)]
+    land((1, None, 1, 3), (2, "a", 1, 1))                                        # the last one, late; a repeated one
+    want = [(1, "", 3), (2, "a", 1)]
+    assert run() == want
+    land((1, None, 1, 3), (1, "a", 2, 3), (3, None, 2, 2))
+    want += [(1, "a", 3), (3, "", 2)]
+    assert run() == sorted(want)
+    batch = R.complete_parents(spark.read.schema(CHUNKS).parquet(src).where("doc_id IS NOT NULL"))
+    assert sorted((r.doc_id, r.approach or "") for r in batch.collect()) == sorted(w[:2] for w in want)
+
+
+def test_unfinished_parents_are_forgotten_after_the_retention(spark):
+    import time
+    src, sink, checkpoint = scratch(), scratch() + "/done", scratch()
+    for n in (1, 2):
+        spark.createDataFrame([(1, "j", n, 2, "", "x", 1.0, "c", True, None)], CHUNKS).coalesce(1).write.mode("append").parquet(src)
+        R.start_parent_completion(spark, src, sink, checkpoint, available_now=True, retention_seconds=1).awaitTermination()
+        time.sleep(2)
+    assert spark.read.schema("doc_id long").parquet(sink).count() == 0
