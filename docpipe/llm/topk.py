@@ -32,7 +32,7 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 
 
 def shard_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
-    """The k best vectors of one shard for every query: (query id, ids, scores)."""
+    """The k best vectors of one shard for every query: (query's place, ids, scores)."""
     n = len(ids)
     order = np.sort(x, axis=0)                                   # the lists, ascending
     rank = np.empty(x.shape, dtype=np.int64)                     # a vector's place in each list
@@ -62,7 +62,7 @@ def shard_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
             rows = np.flatnonzero(candidate[:, j])
             scores = x[rows] @ q[open_queries[j]]                # read the candidates' lists to the end
             best = np.lexsort((ids[rows], -scores))[:k]
-            yield query_ids[open_queries[j]], ids[rows[best]], scores[best]
+            yield open_queries[j], ids[rows[best]], scores[best]
         open_queries = open_queries[~done]
         if not len(open_queries):
             return
@@ -76,8 +76,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     id. Vectors meet queries of the same number of components only. Returns ``query_id``,
     ``rank`` (from 1; ties go to the smaller id), ``vec_id``, ``score``; fewer than k rows if
     there are fewer candidates. Null ids, null or empty vectors and vectors with null, NaN or
-    infinite components take no part; repeated rows are separate candidates, repeated query
-    rows are one query; empty tables give no rows.
+    infinite components take no part; repeated rows are separate candidates; a repeated query
+    row is no further query, but each distinct vector of a query id is one, with ranks of
+    its own; empty tables give no rows.
 
     Vectors go to shards of about ``shard_rows`` and queries to blocks of about
     ``query_rows`` by hash, and each (shard, block) is one task's work, so a task's memory
@@ -87,7 +88,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         out = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
         return out.where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
 
-    base, asked = prepared(vectors), prepared(queries).dropDuplicates(["id"])
+    base, asked = prepared(vectors), prepared(queries).dropDuplicates(["id", "v"]).withColumn("which", F.xxhash64("v"))
     shards = max(1, math.ceil(vectors.count() / shard_rows))
     blocks = max(1, math.ceil(queries.count() / query_rows))
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
@@ -100,13 +101,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         if len(x) and len(q):
             found = list(shard_topk(x["id"].to_numpy(), np.stack(x["v"].to_numpy()).astype(np.float64),
                                     q["id"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float64), k))
+        place = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
         return pd.DataFrame({
-            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
+            "query_id": q["id"].to_numpy()[place].astype(np.int64), "which": q["which"].to_numpy()[place].astype(np.int64),
             "vec_id": np.concatenate([f[1] for f in found] or [np.empty(0)]).astype(np.int64),
             "score": np.concatenate([f[2] for f in found] or [np.empty(0)]).astype(np.int64)})
 
     local = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        search, "query_id long, which long, vec_id long, score long")
+    best = W.partitionBy("query_id", "which").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Chat formatting, exact top-k and source mixing: edge cases and invariants beside the SQL."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -78,9 +79,23 @@ def test_bounds_close_early_where_scores_differ():
     x = np.floor(rng.normal(0, 10, (500, 4)))
     x[:15] += 500
     ids = np.arange(500)
-    (query, found, scores), = topk.shard_topk(ids, x, np.array([900]), np.ones((1, 4)), 10)
+    (place, found, scores), = topk.shard_topk(ids, x, np.array([900]), np.ones((1, 4)), 10)
     best = np.lexsort((ids, -x.sum(axis=1)))[:10]
-    assert query == 900 and found.tolist() == best.tolist() and scores.tolist() == x.sum(axis=1)[best].tolist()
+    assert place == 0 and found.tolist() == best.tolist() and scores.tolist() == x.sum(axis=1)[best].tolist()
+
+
+def test_topk_of_one_id_with_two_vectors(spark):
+    """Each distinct vector of a query id is a query; a repeated row is none of its own."""
+    schema = "vec_id long, embedding array<float>"
+    base = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(1, 40)], schema)
+    asked = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, -1.0])]
+    got = topk.topk(base, spark.createDataFrame(asked, schema), k=3).collect()
+    assert len(got) == 6
+    want = []
+    for v in ([1.0, 0.0], [0.0, -1.0]):
+        scores = sorted((-int(1024 * 1024 * (v[0] * (k % 7) + v[1] * (k % 5))), k) for k in range(1, 40))[:3]
+        want += [(100, r, k, -s) for r, (s, k) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_mix_reaches_targets_and_keeps_order(spark):
