@@ -34,6 +34,8 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\
 #: Cells of a dense tile, and bytes of a text that are split into words at once.
 DENSE_CELLS = 1 << 22
 SLICE_BYTES = 1 << 22
+#: Shares of a language's phrases that are ranked apart before they are ranked together.
+SHARES = 32
 #: Rows of one Arrow batch.
 ROWS = 1 << 16
 LOW = np.uint64(0xFFFFFFFF)
@@ -426,7 +428,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))
-    best = W.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # The best of each of SHARES shares of a language, then the best of those: no task takes all its phrases.
+    order = (F.col("cut.score").desc(), F.col("a").desc(), "phrase")
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    first = kept.withColumn("place", F.row_number().over(W.partitionBy("lang", share).orderBy(*order))).where(F.col("place") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"),
                          F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
