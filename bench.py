@@ -1,5 +1,6 @@
 """Benchmark: every catalogue query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
+The queries of docpipe.plans.stored, which write files and run streams, are left out.
 Each query is written to Spark's ``noop`` sink (so every column is computed, unlike
 ``count()`` which lets the optimizer prune projections). After an untimed warm-up, each
 query runs twice and the faster run is reported. Prints one JSON line.

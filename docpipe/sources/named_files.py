@@ -30,6 +30,8 @@ MOVERS = 16
 def file_system(path: str):
     """The file system of a path and the path's name there."""
     from pyarrow import fs
+    if path.startswith("file:"):                    # file:/x and file:///x alike
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 

@@ -42,6 +42,12 @@ def start_cleaning(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return writer.start()
 
 
+def chunk_columns() -> list[str]:
+    """The columns of chunk results, in the order of their files."""
+    from docpipe.schemas import CHUNK_RESULTS_SCHEMA
+    return CHUNK_RESULTS_SCHEMA.names
+
+
 def read_chunk_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     from docpipe.schemas import CHUNK_RESULTS_SCHEMA
     return spark.readStream.schema(CHUNK_RESULTS_SCHEMA).format(fmt).load(path)

@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from conftest import SF_ORACLE
+import docpipe.plans.stored  # noqa: F401 - adds its queries
 from docpipe.plans.catalog import REGISTRY
 
 WITH_SQL = sorted(n for n, q in REGISTRY.items() if q.sql)
