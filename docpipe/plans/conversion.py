@@ -104,12 +104,24 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
     routed = reliable(CH.needs_chunking(routed, threshold, disable_chunking).select(
         *keys, "job_id", "page_ranges", *extra, "_fallback", "last_page", "needs_chunking", bad_range().alias("_bad")))
     text_out = [F.col("markdown")] if keep_text else []
+    may_fall_back = isinstance(fallback_enabled, Column) or bool(fallback_enabled)
+    good = F.col("status") == "success"
 
     def called(source: DataFrame, with_keys: list[str]) -> DataFrame:
-        """First attempts, cleaned, with the next step of those that failed."""
-        got = convert(source, primary, [*with_keys, "page_ranges", "_fallback"], ["chunk_number", "text", *extra], call_rows=call_rows)
+        """First attempts, cleaned, with the next step of those that failed and, for the fallback, what they read."""
+        read = ["text", *extra] if may_fall_back else []
+        got = convert(source, primary, [*with_keys, "page_ranges", "_fallback", *read], ["chunk_number", "text", *extra], call_rows=call_rows)
         got = got.withColumn("markdown", clean_response("markdown", False))
-        return retry_routing(got, F.col("_fallback"))
+        got = retry_routing(got, F.col("_fallback"))
+        return got.withColumns({c: F.when(F.col("next_route") == "ocr_fallback", F.col(c)) for c in read})
+
+    def second_attempts(tried: DataFrame, with_keys: list[str]) -> DataFrame:
+        """The fallback's outcome of the attempts that go there, from the text they brought along: the pages are not read again."""
+        again = tried.where(~good & (F.col("next_route") == "ocr_fallback"))
+        if not may_fall_back:                       # no attempt goes there
+            again = again.withColumns({c: F.lit(None).cast(t) for c, t in (("text", "string"), ("approach_no", "int"), ("prompt", "string"))})
+        inputs = again if "chunk_number" in with_keys else again.withColumn("chunk_number", F.lit(0))
+        return retried(again, inputs, fallback, with_keys, [c for c in ("chunk_number", "text", *extra) if c not in with_keys], call_rows)
 
     # One call per document: the requested pages, or all.
     whole = routed.where("NOT needs_chunking AND NOT _bad")
@@ -119,7 +131,6 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
     first = called(whole, keys).withColumn("markdown_length", F.length("markdown").cast("long"))
     first = reliable(first if keep_text else first.drop("markdown"))
 
-    good = F.col("status") == "success"
     ok = first.where(good).select(
         *keys, "status", *text_out, "markdown_length", "error", "error_type", "processing_time", F.lit("primary").alias("route"),
         F.lit(False).alias("fallback_used"), F.lit(True).alias("formatting_preserved"), F.lit(model).alias("model"))
@@ -132,8 +143,7 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
         F.lit(None).cast("long").alias("markdown_length"), F.concat(F.lit("invalid page ranges: "), "page_ranges").alias("error"),
         F.lit("ValueError").alias("error_type"), F.lit(0.0).alias("processing_time"), F.lit("fail").alias("route"),
         F.lit(False).alias("fallback_used"), F.lit(False).alias("formatting_preserved"), F.lit(None).cast("string").alias("model"))
-    second = retried(first.where(~good & (F.col("next_route") == "ocr_fallback")), whole, fallback, keys,
-                     ["chunk_number", "text", *extra], call_rows).withColumn("markdown_length", F.length("markdown").cast("long"))
+    second = second_attempts(first, keys).withColumn("markdown_length", F.length("markdown").cast("long"))
     second = second.select(
         *keys, F.when(good, "success").otherwise("error").alias("status"), *text_out, "markdown_length", "error", "error_type",
         "processing_time", F.lit("ocr_fallback").alias("route"), "fallback_used", F.lit(False).alias("formatting_preserved"),
@@ -155,8 +165,7 @@ def convert_ladder(pages: DataFrame, jobs: DataFrame, primary: ConverterFactory,
     tried = reliable(called(chunk_in, chunk_keys))
     outcome = ["status", "markdown", "error", "processing_time"]
     kept = tried.where(good | (F.col("next_route") != "ocr_fallback")).select(*chunk_keys, *outcome)
-    rescued = retried(tried.where(~good & (F.col("next_route") == "ocr_fallback")), chunk_in, fallback, chunk_keys,
-                      ["text", *extra], call_rows).select(*chunk_keys, *outcome)
+    rescued = second_attempts(tried, chunk_keys).select(*chunk_keys, *outcome)
     results = reliable(CH.chunk_results(plan, kept.unionByName(rescued), keys))
     summary = CH.chunk_summary(results, model, keys)
     stitched = CH.stitch_chunks(results, keys).select(*keys, "markdown")
