@@ -80,7 +80,8 @@ def op8_decontaminate(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def op9_surrogates(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document with its personal data and secrets replaced."""
-    return surrogates.replace_pii(table(spark, data_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.docpipe.surrogates.key", "key of the example query")
+    return surrogates.replace_pii(table(spark, data_dir, "documents").select("doc_id", "text"), key)
 
 
 def op10_source_mix(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Entities are found by pattern, brought to a canonical form (so that two spellings of one
 number are one entity), and every distinct entity of the corpus gets one surrogate: a keyed
-pseudorandom value of the same type, so mentions stay coreferent. Surrogates that two
+pseudorandom value of the same type, so mentions stay coreferent. A person's first and family
+names are entities of their own, so a family name has one surrogate with and without a first
+name before it. Surrogates that two
 entities share, or that equal a real entity, are drawn again until none is left; the check
 is a distributed aggregate over the distinct entities.
 """
@@ -10,9 +12,12 @@ is a distributed aggregate over the distinct entities.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +29,7 @@ from docpipe.llm.linetemplates import content_key
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"),
+    "n": ("Dr", "Prof", "Professor"),
 }
 #: First names and syllables of family names by script, first names by gender (fixed values).
 NAMES = {
@@ -37,6 +43,8 @@ NAMES = {
               "m": "Ανδρέας Γιάννης Δημήτρης Κώστας Νίκος Παύλος Πέτρος Σπύρος",
               "parts": "βα γαλ δημ ζαν θεο καρ λου μαν νικ παπ ρος σιν τσα φωτ"},
 }
+#: Endings of made-up first names by script and gender (fixed values; "n": a title that tells none).
+ENDINGS = {"latin": {"f": "a", "m": "o", "n": "e"}, "cyrillic": {"f": "а", "m": "", "n": "е"}, "greek": {"f": "α", "m": "ος", "n": "ι"}}
 ALL_TITLES = sorted((t for group in TITLES.values() for t in group), key=len, reverse=True)
 #: Detectors in order of precedence. Group 1 is the entity.
 DETECTORS = [
@@ -67,6 +75,14 @@ def iban_ok(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def looks_secret(value: str) -> bool:
+    """The value is no plain word: it mixes kinds of characters, or is long, and is not monotonous."""
+    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    word = re.fullmatch("[A-Z]?[a-z]+|[A-Z]+", value) or re.fullmatch("[A-Za-z]+([._/-][A-Za-z]+)+", value)
+    bits = -sum(n * math.log2(n / len(value)) for n in Counter(value).values())
+    return bits >= 16 and (kinds > 1 and not word or len(value) >= 24 and not word)
+
+
 def script_of(word: str) -> str:
     first = ord(word[0])
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "latin"
@@ -92,10 +108,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 words = words[:2] if len(words) > 1 and words[1][:1].isupper() else words[:1]
                 if not words[0][:1].isupper():
                     continue
-                value, b = " ".join(words), a + len(" ".join(words))
                 title = m[0].split(" ")[0].rstrip(".")
-                gender = "f" if title in TITLES["f"] else "m"
-                canonical = f"{gender}:{value.lower()}"
+                gender = next(g for g, titles in TITLES.items() if title in titles)
+                end = a + len(" ".join(words))
+                if all(end <= x or a >= y for x, y, _, _ in taken):
+                    if len(words) == 2:
+                        taken.append((a, a + len(words[0]), "first", f"{gender}:{words[0].lower()}"))
+                    taken.append((end - len(words[-1]), end, "family", words[-1].lower()))
+                continue
+            elif kind == "secret" and not looks_secret(value):
+                continue
             else:
                 canonical = value.lower() if kind == "email" else value
             if all(b <= x or a >= y for x, y, _, _ in taken):
@@ -150,13 +172,16 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         keep = max(0, len(canonical) - 10)                   # the country code stays
         rest = "".join(map(d.like, canonical[keep:]))
         return canonical[:keep] + str(2 + d.below(8)) + rest[1:]
-    if kind == "name":
+    if kind == "family":
+        parts = NAMES[script_of(canonical)]["parts"].split(" ")
+        return "".join(parts[d.below(len(parts))] for _ in range(3 + attempt // 4))
+    if kind == "first":                                      # known names first, then made-up ones
         gender, value = canonical.split(":", 1)
-        words = value.split(" ")
-        lists = NAMES[script_of(value)]
-        first, parts = lists[gender].split(" "), lists["parts"].split(" ")
-        family = "".join(parts[d.below(len(parts))] for _ in range(3 + attempt // 4))
-        return f"{gender}:" + (family if len(words) == 1 else first[d.below(len(first))].lower() + " " + family)
+        script = script_of(value)
+        names, parts = NAMES[script].get(gender, "").split(), NAMES[script]["parts"].split(" ")
+        if not attempt and names:
+            return f"{gender}:" + names[d.below(len(names))].lower()
+        return f"{gender}:" + "".join(parts[d.below(len(parts))] for _ in range(2 + attempt // 4)) + ENDINGS[script][gender]
     if re.fullmatch("[0-9a-f]+", canonical):                 # hexadecimal stays hexadecimal
         return "".join("0123456789abcdef"[d.below(16)] for _ in canonical)
     return "".join(map(d.like, canonical))
@@ -167,9 +192,9 @@ def in_format(original: str, kind: str, canonical: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         rest = iter(canonical)
         return "".join(next(rest, "") if c.isalnum() else c for c in original)
-    if kind == "name":
-        words = canonical.split(":", 1)[1]
-        return words.upper() if original.isupper() else words.title()
+    if kind in ("first", "family"):
+        word = canonical.split(":", 1)[-1]
+        return word.upper() if original.isupper() and len(original) > 1 else word.title()
     if kind == "email":
         return canonical.upper() if original.isupper() else "".join(
             s.upper() if len(canonical) == len(original) and o.isupper() else s for s, o in zip(canonical, original))
@@ -183,9 +208,9 @@ def assigned(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     others draw again, as do those whose surrogate is a real entity. Where a format has too
     few values left after ``rounds`` rounds, the rest get ``[KIND-hash]``, which is unique.
     """
-    @F.udf("string")
-    def draw(kind: str, canonical: str, attempt: int) -> str:
-        return surrogate(key, kind, canonical, attempt)
+    @F.pandas_udf("string")
+    def draw(kind: pd.Series, canonical: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, *x) for x in zip(kind, canonical, attempt)], dtype=object)
 
     real = entities.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
     done = saved(entities.select("kind", "canonical", F.lit(0).alias("attempt")).withColumn("surrogate", draw("kind", "canonical", "attempt")))
@@ -204,8 +229,11 @@ def assigned(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
         "kind", "canonical", F.when(F.col("left"), unique).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
-def replace_pii(docs: DataFrame, key: str = "docpipe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every detected entity replaced, plus ``n_replaced``.
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every detected entity replaced, plus ``n_replaced`` (a first and a family name count as two).
+
+    ``key`` is the caller's secret: who has it can compute an entity's surrogate. Names are
+    found behind a title only, secrets behind a credential's name if they are no plain word.
 
     All other columns stay (``n_replaced`` of the input is replaced). Null and empty texts
     stay with 0; repeated rows and null ids are rows like others; an empty table gives no

@@ -222,7 +222,7 @@ def test_surrogates_by_type():
             "IBAN DE89 3704 0044 0532 0130 00, Frau Müller met Mr. John Smith and Господин Иванов; host 10.0.0.255; 078-05-1120; "
             "password=b7db7aa4a5fcc78305")
     found = {(kind, value) for _, _, kind, value in surrogates.detect(text)}
-    assert {k for k, _ in found} == {"email", "phone", "card", "iban", "name", "ip", "ssn", "secret"}
+    assert {k for k, _ in found} == {"email", "phone", "card", "iban", "first", "family", "ip", "ssn", "secret"}
     assert len([k for k, _ in found if k in ("email", "phone")]) == 2               # two spellings, one entity
     for kind, value in found:
         new = surrogates.surrogate(key, kind, value, 0)
@@ -233,11 +233,34 @@ def test_surrogates_by_type():
             assert surrogates.iban_ok(new) and new[:2] == "DE"
         if kind == "secret":
             assert re.fullmatch("[0-9a-f]{18}", new)
-        if kind == "name":
+        if kind == "first":
             assert new[0] == value[0] and surrogates.script_of(new[2:]) == surrogates.script_of(value[2:])
+        if kind == "family":
+            assert surrogates.script_of(new) == surrogates.script_of(value)
     assert surrogates.in_format("+1 (988) 555-2485", "phone", "12345678901") == "+1 (234) 567-8901"
 
 
+def test_family_names_stay_linked(spark):
+    """A family name has one surrogate whatever stands before it; names of one gender get names of it; many stay distinct."""
+    texts = ["Mr Martin Smith met Mrs Smith.", "SMITH? No: Mr SMITH and Dr Anna Jones.", "Prof. Lee and Mr. Lee", "Mr smith is no name"]
+    texts += [f"Herr {a}{b}ach und Frau {a}{b}a {b}{a}er" for a in ("Kl", "Br", "St", "Fr", "Gr") for b in ("au", "ei", "o", "u", "ie", "a")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [r["text"] for r in sorted(surrogates.replace_pii(df, "k").collect(), key=lambda r: r["doc_id"])]
+    first, family = re.fullmatch(r"Mr (\w+) (\w+) met Mrs \2\.", got[0]).groups()
+    assert family != "Smith" and first != "Martin" and re.fullmatch(rf"SMITH\? No: Mr {family.upper()} and Dr (?!Anna)\w+ (?!Jones)\w+\.", got[1])
+    assert re.fullmatch(r"Prof\. (\w+) and Mr\. \1", got[2]) and "Lee" not in got[2] and got[3] == texts[3]
+    pairs = [re.fullmatch(r"Herr (\w+) und Frau (\w+) (\w+)", t).groups() for t in got[4:]]
+    assert len({p[0] for p in pairs} | {p[2] for p in pairs}) == 60 and len({p[1] for p in pairs}) == 30
+    assert surrogates.replace_pii(df, "other").where("doc_id = 0").first()["text"] != got[0]
+
+
+def test_plain_words_are_no_secrets():
+    found = lambda text: [x[3] for x in surrogates.detect(text) if x[2] == "secret"]
+    assert found("the token: configuration is set") == found("secret: Everything else") == found("password = aaaaaaaa1") == []
+    assert found("api_key: some-plain-words here") == []
+    assert found('token = "24be64439e3e49cf46b2"') == ["24be64439e3e49cf46b2"] and found("pwd: hunter2Two!") == ["hunter2Two"]
+
+
 def test_surrogate_collisions_are_drawn_again(spark):
     ips = [f"{a}.{b}.1.{c}" for a in range(1, 10) for b in range(10) for c in range(6)]   # 540 of 10,000 like them
     df = spark.createDataFrame([("ip", x) for x in ips], "kind string, canonical string")
@@ -252,11 +275,11 @@ def test_surrogates_edge_cases(spark):
     rows = [(1, None, 9), (2, "", 9), (None, "a@b.org", 9), (3, "a@b.org", 9), (3, "a@b.org", 9), (4, "plain = 5", 9),
             (5, "x " * 200_000 + "a@b.org", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_replaced int")
-    out = surrogates.replace_pii(df)
+    out = surrogates.replace_pii(df, "k")
     assert out.columns == ["doc_id", "text", "n_replaced"]
     got = out.collect()
     assert sorted((r["doc_id"] or 0, r["n_replaced"]) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0), (5, 1)]
     mails = {r["text"].split(" ")[-1] for r in got if r["n_replaced"]}
     assert len(mails) == 1 and mails != {"a@b.org"} and next(iter(mails)).endswith(".org")
     assert {r["doc_id"]: r["text"] for r in got}[4] == "plain = 5"
-    assert surrogates.replace_pii(df.limit(0)).count() == 0
+    assert surrogates.replace_pii(df.limit(0), "k").count() == 0
