@@ -190,7 +190,7 @@ def q_live_job_stream(spark: SparkSession, d: str) -> DataFrame:
      .option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()).awaitTermination()
     rows = spark.read.schema(f"{SL.LIVE_SCHEMA}, batch long").parquet(f"{path}/out")
     fields = [c for c in rows.columns if c not in ("job_id", "batch")]
-    return rows.groupBy("job_id").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("job_id", "s.*")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*fields), F.struct("last_event_ts", "batch")).alias("s")).select("job_id", "s.*")
 
 
 @query("cleaned_stream", with_fixtures(S.clean_sql("fx_responses", remove_markers=False), "fx_responses"))

@@ -3,7 +3,7 @@
 Job events arrive as files (JSON or Parquet) in a folder. Two standing queries replace
 the hand-polled ``--check-job`` / ``--check-hung`` loops:
 
-- ``live_job_state``: newest state per job, emitted whenever it changes.
+- ``live_job_state``: newest state per job, emitted whenever it changes (a built-in aggregate).
 - ``hung_job_alerts``: at most one alert per job, when the event-time watermark passes its
   start + 600 s and its newest status is still ``started`` (named state and event-time timers).
 
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docpipe.constants import HUNG_JOB_SECONDS
@@ -146,43 +145,28 @@ def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes", retention_
                                         "append", "EventTime"))
 
 
-_LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]
-_LIVE_TYPES = ", ".join(f"{f} {'long' if f.endswith('tokens') else 'string'}" for f in _LIVE_FIELDS)
-LIVE_SCHEMA = f"job_id string, {_LIVE_TYPES}, last_event_ts timestamp_ntz, start_time timestamp_ntz"
-_LIVE_STATE = f"recorded_us long, first_us long, last_ts_us long, last_id long, {_LIVE_TYPES}"
-
-
-def _live(retention_us: int):
-    def track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:          # nothing newer within the retention: forget the job
-            state.remove()
-            return
-        recorded, first, last_ts, last_id, *values = state.get if state.exists else [None] * (4 + len(_LIVE_FIELDS))
-        before = (recorded, first, last_ts, last_id)
-        for pdf in pdfs:
-            recorded = _earliest(recorded, pdf["start_time"])
-            first = _earliest(first, pdf["event_ts"])
-            newer = _newest(pdf, None if last_ts is None else (last_ts, last_id))
-            if newer:
-                (last_ts, last_id), row = newer
-                values = [None if pd.isna(row[f]) else int(row[f]) if f.endswith("tokens") else row[f] for f in _LIVE_FIELDS]
-        state.update((recorded, first, last_ts, last_id, *values))
-        state.setTimeoutTimestamp(max((last_ts + retention_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        if (recorded, first, last_ts, last_id) != before:
-            out = pd.DataFrame({"job_id": [key[0]]} | {f: [v] for f, v in zip(_LIVE_FIELDS, values)})
-            out["last_event_ts"] = [pd.Timestamp(last_ts, unit="us")]
-            out["start_time"] = [pd.Timestamp(first if recorded is None else recorded, unit="us")]
-            yield out.astype({f: "Int64" for f in _LIVE_FIELDS if f.endswith("tokens")})
-    return track
+LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]
+LIVE_SCHEMA = (", ".join(["job_id string", *(f"{f} {'long' if f.endswith('tokens') else 'string'}" for f in LIVE_FIELDS)])
+               + ", last_event_ts timestamp_ntz, start_time timestamp_ntz")
 
 
 def live_job_state(events: DataFrame, retention_seconds: int = 86400, watermark: str = "10 minutes") -> DataFrame:
     """Newest state per job, emitted whenever it changes (output mode ``update``).
 
-    The state of a job is dropped once the event-time watermark passes its last event plus
-    ``retention_seconds``; an event that comes later still begins a new job.
+    A built-in aggregate, so that no event leaves the JVM. Aggregate state is dropped by
+    window: every event counts in two overlapping windows of twice the retention, and a job is
+    told by the one in whose second half its newest event lies, which holds all its events of
+    the ``retention_seconds`` before. A window goes when the watermark passes its end, at the
+    latest twice the retention after a job's last event; an event that comes later still
+    begins a new job. Where events of one batch lie on both sides of a border, or one comes
+    that late behind newer ones, an older state is told too: a sink keeps the row of the
+    greatest ``last_event_ts``.
     """
-    return (with_event_time(events).withWatermark("event_time", watermark)
-            .groupBy("job_id")
-            .applyInPandasWithState(_live(retention_seconds * 1_000_000), LIVE_SCHEMA, _LIVE_STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+    span = F.window("event_time", f"{2 * retention_seconds} seconds", f"{retention_seconds} seconds")
+    newest = F.max_by(F.struct(*LIVE_FIELDS, "event_ts", "event_time"), F.struct("event_ts", "event_id"))
+    state = (with_event_time(events).withWatermark("event_time", watermark).groupBy("job_id", span.alias("span"))
+             .agg(newest.alias("s"), F.min("start_time").alias("recorded"), F.min("event_ts").alias("first")))
+    half = F.col("span.start") + F.make_dt_interval(secs=F.lit(retention_seconds))
+    return state.where(F.col("s.event_time") >= half).select(
+        "job_id", *[F.col(f"s.{f}").alias(f) for f in LIVE_FIELDS], F.col("s.event_ts").alias("last_event_ts"),
+        F.coalesce("recorded", "first").alias("start_time"))

@@ -62,6 +62,34 @@ def test_live_state_matches_batch(spark):
     assert sorted(newest.collect()) == sorted(want.collect())
 
 
+def test_live_state_is_a_built_in_aggregate_that_forgets(spark):
+    """No Python in the plan; jobs across window borders keep their start; old windows are dropped."""
+    import datetime as dt
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    src, sink, t0 = scratch(), scratch() + "/out", dt.datetime(2024, 1, 1)
+    #   seconds, job, status: a spans a border of 100 s; b speaks again long after its windows are gone
+    batches = [[(95, "a", "started"), (5, "b", "started")], [(105, "a", "completed"), (106, "a", "failed")], [(1000, "c", "started")],
+               [(1001, "c", "started")], [(1500, "b", "completed"), (1499, "b", "started")]]
+    n = 0
+    for rows in batches:
+        out = []
+        for seconds, job, status in rows:
+            n += 1
+            event = dict.fromkeys(f.name for f in JOB_EVENT_SCHEMA.fields)
+            out.append(tuple((event | {"event_id": n, "job_id": job, "event_ts": t0 + dt.timedelta(seconds=seconds), "status": status}).values()))
+        spark.createDataFrame(out, JOB_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    live = L.live_job_state(L.read_job_events(spark, src, max_files_per_trigger=1), retention_seconds=100, watermark="0 seconds")
+    plan = live._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    q = (live.writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{sink}/batch={k}")).outputMode("update")
+         .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
+    q.awaitTermination()
+    told = [(r.job_id, r.status, (r.start_time - t0).seconds, (r.last_event_ts - t0).seconds) for r in spark.read.parquet(sink).orderBy("batch").collect()]
+    assert sorted(told) == [("a", "failed", 95, 106), ("a", "started", 95, 95), ("b", "completed", 1499, 1500), ("b", "started", 5, 5),
+                            ("b", "started", 1499, 1499), ("c", "started", 1000, 1000), ("c", "started", 1000, 1001)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
 def test_chunk_collection_then_batch_stitch(spark):
     from docpipe.operators.chunks import stitch_chunks
     src = scratch()
