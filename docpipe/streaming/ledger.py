@@ -5,7 +5,8 @@ the hand-polled ``--check-job`` / ``--check-hung`` loops:
 
 - ``live_job_state``: newest state per job, emitted whenever it changes (a built-in aggregate).
 - ``hung_job_alerts``: at most one alert per job, when the event-time watermark passes its
-  start + 600 s and its newest status is still ``started`` (named state and event-time timers).
+  start + 600 s and its newest status is still ``started`` (named state and event-time timers,
+  kept by buckets of jobs).
 
 Both keep state per job and drop it a retention time after the job's last event, so state
 follows the number of recently active jobs. Until then a finished or alerted job leaves a
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,36 +44,34 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("event_ts"))))
 
 
-def _us(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
-def _earliest(known: int | None, ts: pd.Series) -> int | None:
-    given = ts.dropna()
-    found = [int(_us(given).min())] if len(given) else []
-    return min([*found, *([known] if known is not None else [])], default=None)
-
+ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
+                "deadline timestamp_ntz")
 
-def _newest(pdf: pd.DataFrame, seen: tuple | None) -> tuple[tuple[int, int], pd.Series] | None:
-    """Order key and row of the newest event if it is newer than ``seen``."""
-    order = pd.DataFrame({"ts": _us(pdf["event_ts"]), "id": pdf["event_id"]}).sort_values(["ts", "id"])
-    last = (int(order["ts"].iloc[-1]), int(order["id"].iloc[-1]))
-    return (last, pdf.loc[order.index[-1]]) if seen is None or last > seen else None
 
+#: Buckets that jobs are dealt to by a hash of their id; fixed for the life of a checkpoint.
+JOB_BUCKETS = 1024
+#: A start that is not known (later than any) and the time of an event without one (earlier than any).
+NO_START, NO_TIME = 2 ** 63 - 1, -2 ** 63
+JOB_STATE = {"job_id": "string", "recorded_us": "long", "first_us": "long", "ts_us": "long", "event_id": "long", "status": "string",
+             "stage": "string", "input_file": "string", "alerted": "boolean"}
 
-def _text(value) -> str | None:
-    return None if pd.isna(value) else value
 
-
-ALERT_SCHEMA = ("job_id string, start_time timestamp_ntz, stage string, input_file string, "
-                "deadline timestamp_ntz")
+def _by_job(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per job: its newest event (of equals the last row), its earliest starts, whether it was alerted or has come now."""
+    rows = rows.sort_values(["ts_us", "event_id"], kind="stable", ignore_index=True)
+    job = rows.groupby("job_id", dropna=False, sort=False).ngroup()
+    of = rows.groupby(job)
+    for column, least in (("recorded_us", "min"), ("first_us", "min"), ("alerted", "max"), ("come", "max")):
+        rows[column] = of[column].transform(least)
+    return rows[~job.duplicated(keep="last")]
 
 
 class HungJobs(StatefulProcessor):
-    """State of one job: ``times`` (its start), ``newest`` (its newest event) and ``alerted``.
+    """State of a bucket of jobs, column by column: of each job its start, its newest event and whether it was alerted.
 
-    One event-time timer stands per job: at its deadline while it runs, else when it may be
-    forgotten.
+    One event-time timer stands per bucket, at the first of its jobs' times: a job's deadline
+    while it runs, else when it may be forgotten. The state's cost is a few calls per bucket
+    that has events or a timer, however many jobs it holds.
     """
 
     def __init__(self, limit_us: int, retention_ms: int):
@@ -80,51 +79,49 @@ class HungJobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getValueState("times", "recorded_us long, first_us long")
-        self.newest = handle.getValueState("newest", "ts_us long, event_id long, status string, stage string, input_file string")
-        self.alerted = handle.getValueState("alerted", "start_us long")
+        self.jobs = handle.getValueState("jobs", ", ".join(f"{c} array<{kind}>" for c, kind in JOB_STATE.items()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recorded, first = self.times.get() or (None, None)
-        newest = self.newest.get()
+        jobs = self.known()
         for pdf in rows:
-            recorded, first = _earliest(recorded, pdf["start_time"]), _earliest(first, pdf["event_ts"])
-            newer = _newest(pdf, None if newest is None else tuple(newest[:2]))
-            if newer:
-                order, row = newer
-                newest = (*order, _text(row["status"]), _text(row["current_stage"]), _text(row["input_file"]))
-        self.times.update((recorded, first))
-        self.newest.update(tuple(newest))
-        yield from self.settled(key, timerValues.getCurrentWatermarkInMs())
+            come = pdf[[c for c in JOB_STATE if c in pdf.columns]].assign(
+                first_us=pdf["ts_us"].where(pdf["ts_us"] != NO_TIME, NO_START), alerted=False, come=True)
+            jobs = _by_job(come if jobs is None else pd.concat([come, jobs], ignore_index=True))
+        yield from self.settled(jobs, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        if not self.waits() and self.newest.get()[0] // 1000 + self.retention_ms <= watermark:
-            for state in (self.times, self.newest, self.alerted):
-                state.clear()
-        else:
-            yield from self.settled(key, watermark)
-
-    def waits(self) -> bool:
-        """The job runs and has not been alerted."""
-        return self.newest.get()[2] == "started" and not self.alerted.exists()
-
-    def settled(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        """The alert, if it is due, and the job's next timer."""
-        recorded, first = self.times.get()
-        ts, _, _, stage, input_file = self.newest.get()
-        start = first if recorded is None else recorded
+        yield from self.settled(self.known(), timerValues.getCurrentWatermarkInMs())
+
+    def known(self) -> pd.DataFrame | None:
+        """The bucket's jobs, none of which has come in this batch yet."""
+        state = self.jobs.get()
+        return None if state is None else pd.DataFrame(dict(zip(JOB_STATE, state))).assign(come=False)
+
+    def settled(self, jobs: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """The alerts that are due; the jobs that stay and the bucket's next timer."""
+        start = jobs["recorded_us"].where(jobs["recorded_us"] != NO_START, jobs["first_us"])
+        waits = (jobs["status"] == "started") & ~jobs["alerted"] & (start != NO_START)
+        start = start.where(waits, 0)
         deadline = (start + self.limit_us) // 1000
-        if self.waits() and deadline < watermark:
-            self.alerted.update((start,))
+        due = waits & (deadline < watermark)
+        if due.any():
+            told = jobs[due]
             yield pd.DataFrame({
-                "job_id": [key[0]], "start_time": [pd.Timestamp(start, unit="us")],
-                "stage": [stage if stage is not None else "unknown"], "input_file": [input_file],
-                "deadline": [pd.Timestamp(start + self.limit_us, unit="us")]})
-        wake = deadline + 1 if self.waits() else ts // 1000 + self.retention_ms
+                "job_id": told["job_id"], "start_time": start[due].to_numpy().astype("datetime64[us]"),
+                "stage": told["stage"].where(told["stage"].notna(), "unknown"), "input_file": told["input_file"],
+                "deadline": (start[due] + self.limit_us).to_numpy().astype("datetime64[us]")})
+        waits &= ~due
+        wake = (deadline + 1).where(waits, jobs["ts_us"] // 1000 + self.retention_ms)
+        # what has come now, or was alerted now, is forgotten when the watermark moves on at the earliest
+        stays = waits | due | jobs["come"] | (wake > watermark)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(wake, watermark + 1))
+        if stays.any():
+            jobs = jobs.assign(alerted=jobs["alerted"] | due)[stays]
+            self.jobs.update(tuple(jobs[c].astype(object).where(jobs[c].notna(), None).tolist() for c in JOB_STATE))
+            self.handle.registerTimer(max(int(wake[stays].min()), watermark + 1))
+        else:
+            self.jobs.clear()
 
     def close(self) -> None:
         pass
@@ -138,11 +135,21 @@ def hung_job_alerts(events: DataFrame, watermark: str = "10 minutes", retention_
     was alerted is forgotten; an event that comes later still begins a new job. Retention is
     in event time, by timers: Spark's state TTL counts processing time only. Needs the RocksDB
     state store (``build_session`` sets it).
+
+    Jobs are kept in ``JOB_BUCKETS`` buckets of state, so that Python is called per bucket and
+    not per job; only the columns that alerts need go there. A stream begins with a new
+    checkpoint if the number of buckets changes.
     """
-    return (with_event_time(events).withWatermark("event_time", watermark)
-            .groupBy("job_id")
-            .transformWithStateInPandas(HungJobs(HUNG_JOB_SECONDS * 1_000_000, retention_seconds * 1000), ALERT_SCHEMA,
-                                        "append", "EventTime"))
+    def micros(column: str, missing: int) -> Column:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.coalesce(F.timestamp_diff("MICROSECOND", epoch, F.col(column)), F.lit(missing))
+
+    rows = with_event_time(events).withWatermark("event_time", watermark).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(JOB_BUCKETS)).alias("bucket"), "job_id", micros("start_time", NO_START).alias("recorded_us"),
+        micros("event_ts", NO_TIME).alias("ts_us"), F.coalesce("event_id", F.lit(NO_TIME)).alias("event_id"), "status",
+        F.col("current_stage").alias("stage"), "input_file", "event_time")
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        HungJobs(HUNG_JOB_SECONDS * 1_000_000, retention_seconds * 1000), ALERT_SCHEMA, "append", "EventTime")
 
 
 LIVE_FIELDS = ["status", "current_stage", "input_file", "error", "page_ranges", "prompt_tokens", "completion_tokens"]

@@ -197,6 +197,30 @@ def test_alerts_go_on_after_a_restart(spark):
     assert run() == ["a"]
 
 
+def test_state_of_jobs_is_kept_by_buckets(spark, monkeypatch):
+    """Python and the state store are called per bucket of jobs, not per job; nulls are a job like others."""
+    import datetime as dt
+    from docpipe.schemas import JOB_EVENT_SCHEMA
+    monkeypatch.setattr(L, "JOB_BUCKETS", 4, raising=False)
+    src, t0, told = scratch(), dt.datetime(2024, 1, 1), []
+    blank = dict.fromkeys(f.name for f in JOB_EVENT_SCHEMA.fields)
+
+    def land(*events):
+        spark.createDataFrame([tuple((blank | {"event_id": n, "job_id": job, "event_ts": t0 + dt.timedelta(seconds=s), "status": status}).values())
+                               for n, s, job, status in events], JOB_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+
+    land(*[(k, k, f"j{k}", "started") for k in range(200)], (500, 7, None, "started"))
+    land(*[(1000 + k, 300, f"j{k}", "completed") for k in range(0, 200, 2)])
+    land((2000, 700, "clock", "completed"))
+    land((3000, 5000, "clock", "completed"))
+    q = (L.hung_job_alerts(L.read_job_events(spark, src, max_files_per_trigger=1), watermark="0 seconds").writeStream
+         .foreachBatch(lambda df, k: told.extend((r.job_id, (r.start_time - t0).seconds, r.stage) for r in df.collect()))
+         .option("checkpointLocation", scratch()).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(told, key=str) == sorted([(f"j{k}", k, "unknown") for k in range(1, 200, 2)] + [(None, 7, "unknown")], key=str)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 3          # a value and a timer with its index
+
+
 CHUNKS = ("doc_id long, parent_job_id string, chunk_number int, total_chunks int, pages string, content string, "
           "processing_time double, job_id string, success boolean, approach string")
 
