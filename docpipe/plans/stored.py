@@ -197,7 +197,7 @@ def q_live_job_stream(spark: SparkSession, d: str) -> DataFrame:
 def q_cleaned_stream(spark: SparkSession, d: str) -> DataFrame:
     """Answers cleaned as their files land."""
     path = _folder(spark, "cleaning")
-    FX.fx_responses(spark, d).repartition(3).write.parquet(f"{path}/in")
+    FX.fx_responses(spark, d).write.parquet(f"{path}/in")      # as many files as the table has splits
     SR.start_cleaning(spark, f"{path}/in", f"{path}/out", f"{path}/state", available_now=True).awaitTermination()
     return spark.read.schema("doc_id long, markdown string").parquet(f"{path}/out")
 

@@ -41,6 +41,25 @@ def test_streaming_cleaner_matches_batch(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_cleaned_stream_writes_the_table_split_by_split(spark, tmp_path):
+    """No fixed number of tasks takes the whole table: each answer file holds one split of it."""
+    import glob
+    from docpipe.plans import stored
+    from docpipe.session import checkpoint_dir
+    rows = [(k, f"---\nline {k}\n" * 3, "en", "s", 10) for k in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/stored-cleaning-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = stored.q_cleaned_stream(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted(R.cleaned_responses(FX.fx_responses(spark, str(tmp_path))).collect())
+    folder, = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/stored-cleaning-*")) - before
+    assert len(glob.glob(f"{folder}/in/part-*.parquet")) >= 12
+
+
 def test_live_state_matches_batch(spark):
     src = scratch()
     events = FX.fx_job_events(spark, SF_SMALL)
