@@ -28,7 +28,7 @@ from docpipe.plans.catalog import (
     _routed,
     query,
 )
-from docpipe.session import checkpoint_dir
+from docpipe.session import checkpoint_dir, reliable
 from docpipe.sources import fixtures as FX
 from docpipe.sources import job_table as JT
 from docpipe.sources.files import extract_page_ranges, extracted, list_files
@@ -88,7 +88,7 @@ def q_document_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     write_named(FX.read_table(spark, d, "documents").where("text IS NOT NULL").select(
         name.alias("name"), name.alias("second_name"), F.col("text").alias("content")), path)
-    files = list_files(spark, path)
+    files = reliable(list_files(spark, path))               # listed once, for pages and for names
     pages = extract_page_ranges(
         files, _open, lambda handle: len(_lines(handle)),
         lambda handle, first, last: [(k, text, 0) for k, text in enumerate(_lines(handle), start=1)][first - 1:last], pages_per_range=16)

@@ -73,3 +73,32 @@ def test_files_of_runs_have_the_names_of_job_ids(spark, tmp_path):
     assert (one.markdown_file, one.metadata_file) == (one.output_markdown, one.output_metadata)
     custom = N.run_files(ids.select(F.col("source_name").alias("source_pdf"), "job_id", "unique_job_id", F.lit("custom").alias("approach"))).first()
     assert custom.markdown_file == "Rule Book.v2_custom_job_20240130_120005_Rule Book.v2.md"
+
+
+def test_tasks_move_the_files_and_may_be_repeated(spark, tmp_path):
+    """Rows of one name meet in one task, none is overwritten; what an earlier attempt has moved stays where it is."""
+    import pyarrow as pa
+    rows = [("a.md", "a_1.md", "first"), ("b.md", "b_1.md", "b"), ("b.md", "b_1.md", "b again"), ("b.md", "b_1.md", "b once more"),
+            ("old.md", "old_1.md", "new"), ("c.md", "a.md", "c")]
+    (tmp_path / "old.md").write_text("old")
+    writer = N.NamedFilesWriter(str(tmp_path), "run")
+    staged = writer.write(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["name", "second_name", "content"])]))
+    writer.commit([staged])
+    assert sorted(f for f in os.listdir(tmp_path) if f != N.STAGING) == ["old.md"]          # the driver's commit moves none
+    os.rename(f"{staged.folder}/0", tmp_path / "a.md")
+    N.place_all(spark.createDataFrame([(staged.folder,)], "folder string"), str(tmp_path))
+    found = read(tmp_path)
+    assert {found.pop(k) for k in ("b.md", "b_1.md", "b_1-2.md")} == {"b", "b again", "b once more"}
+    assert found == {"a.md": "first", "old.md": "old", "old_1.md": "new", "c.md": "c"}
+
+
+def test_a_listing_takes_many_files_in_a_task(spark, tmp_path):
+    from docpipe.sources.files import list_files
+    write(spark, [(f"d{k}.txt", f"e{k}.txt", "x" * (k + 1)) for k in range(400)], tmp_path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")                    # a file counts as 4 MB at least
+    try:
+        files = list_files(spark, f"file://{tmp_path}")
+        assert files.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 4)
+        assert sorted(r.file_size_bytes for r in files.collect()) == list(range(1, 401))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
