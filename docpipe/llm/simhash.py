@@ -9,7 +9,7 @@ distance is verified.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import saved
+from docpipe.llm.common import release, saved
 from docpipe.llm.components import components
 
 BITS = 64
@@ -62,8 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, content long, fp long")
 
 
-def signatures(fp: Column, radius: int) -> Column:
-    """All index keys of a fingerprint, as an array of long.
+def key_masks(radius: int) -> list[int]:
+    """The bits that each index key of a fingerprint reads, as 64-bit masks.
 
     With radius 2d and d + 1 segments, one segment differs in at most one bit. Its key is
     made longer by what must be equal besides, which keeps chance candidates rare:
@@ -73,35 +73,37 @@ def signatures(fp: Column, radius: int) -> Column:
       others would differ in 1 + 2d bits). One has that bit wildcarded, and of the halves of
       the other one is equal.
 
-    At radius 4 that is 143 keys of 30 or more bits. An odd radius counts as the next even.
+    At radius 4 that is 143 keys of 29 or more bits. An odd radius counts as the next even.
     """
     radius += radius % 2
     segments = radius // 2 + 1
     cuts = [round(BITS * k / segments) for k in range(segments + 1)]
     spans = list(zip(cuts, cuts[1:]))
 
-    def bits(a: int, b: int) -> Column:
-        return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-
-    def joined(value: Column, width: int, more: Column) -> Column:
-        return value.bitwiseOR(F.shiftleft(more, width))
+    def mask(places: Iterable[int]) -> int:
+        return sum(1 << k for k in places)
 
-    keys: list[Column] = []
+    masks: list[int] = []
     for a, b in spans:
         others = [k for k in range(BITS) if not a <= k < b]
         edges = [round(len(others) * k / (radius + 1)) for k in range(radius + 2)]
-        for i, j in zip(edges, edges[1:]):
-            piece, width = bits(a, b), b - a
-            for x, y in ((others[i], others[j - 1] + 1),) if others[j - 1] - others[i] == j - 1 - i else (
-                    (others[i], a), (b, others[j - 1] + 1)):          # a piece may lie on both sides of the segment
-                piece, width = joined(piece, width, bits(x, y)), width + y - x
-            keys.append(piece)
+        masks += [mask(range(a, b)) | mask(others[i:j]) for i, j in zip(edges, edges[1:])]
     for (a, b), (c, d) in itertools.combinations(spans, 2):
-        for bit in range(b - a):
-            masked = bits(a, b).bitwiseAND(F.lit(((1 << (b - a)) - 1) ^ (1 << bit)))
-            for x, y in ((c, (c + d) // 2), ((c + d) // 2, d)):
-                keys.append(joined(masked, b - a, bits(x, y)))
-    return F.array(*[k.bitwiseOR(F.lit(n << 48)) for n, k in enumerate(keys)])
+        for bit in range(a, b):
+            one_wild = mask(range(a, b)) ^ (1 << bit)
+            masks += [one_wild | mask(range(c, (c + d) // 2)), one_wild | mask(range((c + d) // 2, d))]
+    return masks
+
+
+def signatures(fp: Column, radius: int) -> Column:
+    """All index keys of a fingerprint, as an array of long: 56 bits of a hash of the bits under each mask.
+
+    Keys that meet by chance cost a comparison only, as distances are verified. One expression
+    over the masks' array: written out key by key, the code generated for it took hundreds of
+    MB of the driver's heap to compile.
+    """
+    masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in key_masks(radius)])
+    return F.transform(masks, lambda mask, n: F.shiftrightunsigned(F.xxhash64(n, fp.bitwiseAND(mask)), 8))
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -183,6 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(fingerprints(docs, id_col, text_col, shingle))
     groups = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_links(groups, radius))
+    release(docs.sparkSession)      # the keys' shuffle files, before the caller moves texts
     groups = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = groups.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component_fp"))

@@ -81,6 +81,30 @@ def test_index_finds_every_pair_within_the_radius(spark):
         assert met.select("pair").distinct().count() == len(pairs)
 
 
+def test_index_keys_are_short_code_whatever_their_number(spark, capsys):
+    """Keys written out one by one took hundreds of MB of the driver to compile."""
+    fps = spark.range(10).select(simhash.F.col("id").alias("fp"))
+    lengths = []
+    for radius in (2, 4, 6):
+        capsys.readouterr()
+        fps.select("fp", simhash.F.explode(simhash.signatures(simhash.F.col("fp"), radius)).alias("key")).explain("codegen")
+        code = [line for line in capsys.readouterr().out.splitlines() if line.startswith("/* ")]
+        lengths.append(len(code))
+    assert 0 < lengths[0] and max(lengths) < 1.2 * min(lengths), lengths
+
+
+def test_keys_are_equal_where_the_bits_under_their_mask_are(spark):
+    rng = random.Random(3)
+    masks = simhash.key_masks(4)
+    assert len(masks) == len(set(masks)) == 143 and min(m.bit_count() for m in masks) == 29
+    pairs = [(a := rng.getrandbits(64), a ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7)))) for _ in range(200)]
+    rows = [(k, *(int(np.uint64(x).view(np.int64)) for x in p)) for k, p in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "pair int, a long, b long")
+    for r in df.select("pair", *[simhash.signatures(simhash.F.col(c), 4).alias(f"of_{c}") for c in "ab"]).collect():
+        a, b = pairs[r["pair"]]
+        assert [x == y for x, y in zip(r["of_a"], r["of_b"], strict=True)] == [not (a ^ b) & m for m in masks]
+
+
 def test_edge_cases(spark):
     long_text = " ".join(f"word{k % 977}" for k in range(150_000))
     rows = [(1, None, "x"), (2, "", "y"), (3, " \n\t", None), (4, "one two", "z"), (5, "ONE  two", "z"), (None, "one two", "q"),
