@@ -55,11 +55,11 @@ def op4_language(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Bytes of every document that 400-byte strings found twice cover, and a digest of the rest."""
+    """Bytes of every document that 400-byte strings found twice cover, a digest of the rest, and words of shared passages of 51 words."""
     kept = F.col("kept")
-    return repeats.remove_repeats(table(spark, data_dir, "documents"), length=400).select(
+    return repeats.remove_repeats(table(spark, data_dir, "documents"), length=400, passage=51).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"),
-        F.octet_length(kept).cast("long").alias("n_kept"), F.make_valid_utf8(kept.cast("string")).alias("text"))
+        F.octet_length(kept).cast("long").alias("n_kept"), F.make_valid_utf8(kept.cast("string")).alias("text"), "n_shared_words")
 
 
 def op6_line_templates(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -82,3 +83,74 @@ def test_edge_cases(spark):
     assert sorted(((r["doc_id"] or 0), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()) == [
         (0, 500, 500, 1, b""), (1, 500, 500, 1, b""), (2, 0, 0, 0, b"")]
     assert repeats.remove_repeats(rows.limit(0)).count() == 0
+
+
+def plain_shared(texts, n):
+    """Per text: words under runs of n words that another text holds too; by counting every run in every row."""
+    split = [re.split(r"[\x20\x09-\x0D]+", (t or "").strip(" \t\n\v\f\r")) for t in texts]
+    split = [[w for w in s if w] for s in split]
+    runs = [{tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in split]
+    rows = Counter(r for of in runs for r in of)
+    out = []
+    for w in split:
+        covered = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if rows[tuple(w[i:i + n])] > 1:
+                covered[i:i + n] = [True] * n
+        out.append(sum(covered))
+    return out
+
+
+def shared(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = repeats.remove_repeats(rows, **options).collect()
+    assert len(out) == len(texts)
+    return {r["doc_id"]: r["n_shared_words"] for r in out}, {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in out}
+
+
+def test_planted_passages_of_over_50_words(spark):
+    """A passage of 51 words and more is told in both documents, though most are under 400 bytes; clean documents are not."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    texts, want = [], []
+    for i in range(60):
+        passage = prose(51 + i % 30)
+        for gap in (" ", "\n"):                    # the white space may differ, and so the bytes
+            around = prose(rng.randint(0, 60)), prose(rng.randint(0, 60))
+            texts.append(" ".join(around[0]) + "\t" + gap.join(passage) + gap + " ".join(around[1]))
+            want.append(len(passage))
+    own = " ".join(prose(60))
+    texts += [" ".join(prose(200)) for _ in range(60)] + [own + " x " + own]                       # repeats nothing of others
+    almost = prose(50)
+    texts += [" ".join([*prose(9), *almost, *prose(9)]) for _ in range(2)]                         # 50 words are not over 50
+    want += [0] * 63
+    got_words, rest = shared(spark, texts, length=400, passage=51)
+    assert [got_words[i] for i in range(len(texts))] == want == plain_shared(texts, 51)
+    assert any(w and not rest[i][0] for i, w in enumerate(want))                                   # the 400 bytes do not tell them
+    assert [(rest[i][0], hashlib.sha256(rest[i][1]).hexdigest()) for i in range(len(texts))] == [(r, k) for _, r, _, k in plain(texts, 400)]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 50_000])
+def test_shared_words_against_every_run(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 512)
+    monkeypatch.setattr(repeats, "BATCH_TEXTS", 16)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 3)))
+    passages = [[word() for _ in range(rng.randint(10, 40))] for _ in range(6)]
+    texts = []
+    for _ in range(150):
+        parts = [p[rng.randrange(8):] if rng.random() < 0.5 else [word() for _ in range(rng.randint(1, 25))]
+                 for p in rng.choices(passages, k=rng.randint(1, 5))]
+        texts.append("".join(w + rng.choice(["  ", " ", "\n", "\r\n", "\t", "  "]) for part in parts for w in part))
+    texts += ["a " * 300, "a " * 12, "a " * 11, "ab " * 100, "a b " * 50, "é " * 30, "b" * 2000, " \n ", "", None, texts[0], texts[0],
+              "a b c d e f g h i j k", "a b c d e f g h i j k", "a b c d e f g h i j k l", "\0 " * 90]
+    got_words, rest = shared(spark, texts, length=40, gram=8, hot_rows=hot_rows, passage=12)
+    assert [got_words[i] for i in range(len(texts))] == plain_shared(texts, 12)
+    assert [(rest[i][0], hashlib.sha256(rest[i][1]).hexdigest()) for i in range(len(texts))] == [(r, k) for _, r, _, k in plain(texts, 40)]
+
+
+def test_query_tells_shared_words(spark):
+    rows = sorted(spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text").collect())
+    out = sorted(op5_repeats(spark, SF_ORACLE).select("doc_id", "n_shared_words").collect())
+    assert [tuple(r) for r in out] == [(r["doc_id"], n) for r, n in zip(rows, plain_shared([r["text"] for r in rows], 51))]
