@@ -155,7 +155,8 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> Da
     bucket of over ``bucket_rows`` fingerprints is cut into chunks, and every pair of chunks
     is a bucket of its own, so no task takes a hot bucket whole and no pair is lost.
     """
-    # The keys are many times the size of what they are made from, so that is spread first.
+    # The keys are many times the size of what they are made from, so that is spread first. Spark
+    # takes them for about as small (an explode counts as one row a row) and would broadcast them.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = fps.select("fp").repartition(spread).select("fp", F.explode(signatures(F.col("fp"), radius)).alias("key"))
     counts = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -163,7 +164,7 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> Da
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
                          lambda c: F.least(c, F.col("own")).cast("long") * F.col("chunks") + F.greatest(c, F.col("own")))
-    rows = signed.join(counts, "key").withColumn("chunks", chunks).withColumn("own", own)
+    rows = signed.join(counts.hint("merge"), "key").withColumn("chunks", chunks).withColumn("own", own)
     rows = rows.select("key", F.explode(blocks).alias("block"), "fp")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
     return rows.mapInArrow(lambda it: bucket_links(it, radius), "a long, b long").select(

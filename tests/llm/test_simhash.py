@@ -93,6 +93,24 @@ def test_index_keys_are_short_code_whatever_their_number(spark, capsys):
     assert 0 < lengths[0] and max(lengths) < 1.2 * min(lengths), lengths
 
 
+def test_the_keys_are_never_broadcast(spark):
+    """The fingerprints' shuffle is small enough for a broadcast, but 143 keys of each are not."""
+    near = [k << 40 | k for k in range(1, 500)]
+    fps = spark.createDataFrame([(f ^ flip,) for f in near for flip in (0, 1)], "fp long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in ("-1", "10m"):                     # by sizes as they turn out, and by the estimate too
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            links = simhash.near_links(fps)
+            found = {(r["a"], r["b"]) for r in links.collect()}
+            plan = links._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        linked = {x for pair in found for x in pair}
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert linked == {f ^ flip for f in near for flip in (0, 1)}
+
+
 def test_keys_are_equal_where_the_bits_under_their_mask_are(spark):
     rng = random.Random(3)
     masks = simhash.key_masks(4)
